@@ -6,23 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregraph.llm import decontaminate, exact_dedup
+from loregraph.llm import decontaminate, exact_dedup, language_id, quality, token_counts, wavelet
 from loregraph.llm._scratch import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_report(documents(spark, sf_dir))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(documents(spark, sf_dir))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_wavelet_tokens": op1_wavelet_tokens,
+        "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_language_id": op7_language_id,
+        "op8_token_counts": op8_token_counts,
         "op10_decontaminate": op10_decontaminate,
     }
 
