@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregraph.llm import decontaminate, exact_dedup, language_id, quality, token_counts, wavelet
+from loregraph.llm import decontaminate, exact_dedup, language_id, packing, quality, sharding, token_counts, wavelet
 from loregraph.llm._scratch import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_report(documents(spark, sf_dir))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(documents(spark, sf_dir))
+
+
+def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -39,6 +47,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_wavelet_tokens": op1_wavelet_tokens,
+        "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_extendible_shards": op3_extendible_shards,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_language_id": op7_language_id,
@@ -47,6 +57,21 @@ def queries() -> dict[str, Query]:
     }
 
 
+OP3_SQL = """
+WITH h AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+cells AS (SELECT doc_id, h, d, h >> (60 - d) AS p, bytes FROM h, (SELECT unnest(range(0, 61)) AS d)),
+sizes AS (SELECT d, p, sum(bytes) AS b FROM cells GROUP BY d, p),
+own AS (
+  SELECT doc_id, h, min(cells.d) AS depth
+  FROM cells JOIN sizes USING (d, p) WHERE b <= 2097152 OR cells.d = 60 GROUP BY doc_id, h)
+SELECT doc_id, 'b' || CASE WHEN depth = 0 THEN '' ELSE right(repeat('0', 60) || bin(h >> (60 - depth)), CAST(depth AS BIGINT)) END AS shard,
+       CAST(depth AS INTEGER) AS depth, CAST(b AS BIGINT) AS shard_bytes
+FROM own JOIN sizes ON sizes.d = own.depth AND sizes.p = own.h >> (60 - own.depth)
+"""
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -89,6 +114,7 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_extendible_shards": OP3_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op10_decontaminate": OP10_SQL,
     }
