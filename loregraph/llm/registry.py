@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregraph.llm import decontaminate, exact_dedup, language_id, packing, quality, sharding, token_counts, wavelet
+from loregraph.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, sharding, token_counts, wavelet
 from loregraph.llm._scratch import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_report(documents(spark, sf_dir))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op5_exact_dedup": op5_exact_dedup,
         "op7_language_id": op7_language_id,
         "op8_token_counts": op8_token_counts,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_decontaminate": op10_decontaminate,
     }
 
