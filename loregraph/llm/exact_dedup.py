@@ -22,6 +22,13 @@ from loregraph.llm._scratch import fresh, scratch_dir, stage
 #: Up to this many digests (40 bytes each) are broadcast; beyond it the join is shuffled.
 BROADCAST_DIGESTS = 500_000
 
+#: State is kept by RocksDB; many small stores share a disk, so none allocates files ahead, and commits write changes only.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 LOG_SCHEMA = "digest binary, n_chars long, doc_id long, locator string"
 
 
@@ -74,9 +81,9 @@ class StreamingDeduplicator:
                 "digest", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.locator").alias("locator"), "group_size"
             ).write.mode("overwrite").parquet(f"{home}/keepers/batch={number}")
 
-        provider = "spark.sql.streaming.stateStore.providerClass"
-        before = spark.conf.get(provider, None)
-        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
         try:
             query = (
                 state.writeStream.outputMode("update")
@@ -87,7 +94,8 @@ class StreamingDeduplicator:
             )
             query.awaitTermination()
         finally:
-            spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def log(self) -> DataFrame:
         return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.home}/log")
