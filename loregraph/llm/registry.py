@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregraph.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, sharding, token_counts, wavelet
+from loregraph.llm import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, wavelet
 from loregraph.llm._scratch import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op3_extendible_shards": op3_extendible_shards,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_line_dedup": op6_line_dedup,
         "op7_language_id": op7_language_id,
         "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard": op9_ngram_jaccard,
@@ -89,6 +94,42 @@ g AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents)),
+g AS (
+  SELECT * FROM (
+    SELECT doc_id, i, CAST('0x' || substr(md5(h || ',' || lead(h) OVER (PARTITION BY doc_id ORDER BY i)), 1, 15) AS BIGINT) AS gram,
+           count(*) OVER (PARTITION BY doc_id) - 1 AS n
+    FROM d) WHERE gram IS NOT NULL),
+win AS (
+  SELECT a.doc_id, a.i AS s, b.i AS pos, b.gram, row_number() OVER (PARTITION BY a.doc_id, a.i ORDER BY b.gram, b.i DESC) AS r
+  FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 1
+  WHERE a.i <= greatest(0, a.n - 2)),
+fp AS (SELECT DISTINCT doc_id, pos, gram FROM win WHERE r = 1),
+src AS (SELECT gram, min({'d': doc_id, 'p': pos}) AS f FROM fp GROUP BY gram HAVING count(*) > 1),
+pairs AS (
+  SELECT fp.doc_id, f.d AS source, pos - f.p AS shift, pos
+  FROM fp JOIN src USING (gram) WHERE fp.doc_id <> f.d OR pos <> f.p),
+diag AS (SELECT DISTINCT doc_id, source, shift FROM pairs),
+steps AS (
+  SELECT diag.*, a.i, a.h = b.h AS same
+  FROM diag JOIN d a ON a.doc_id = diag.doc_id JOIN d b ON b.doc_id = diag.source AND b.i = a.i - diag.shift),
+runs AS (
+  SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, source, shift ORDER BY i) AS run FROM steps),
+hit AS (
+  SELECT r.doc_id, r.source, r.shift, r.run FROM runs r JOIN pairs p
+  ON r.doc_id = p.doc_id AND r.source = p.source AND r.shift = p.shift AND r.i = p.pos WHERE same),
+gone AS (
+  SELECT DISTINCT r.doc_id, r.i FROM runs r JOIN hit USING (doc_id, source, shift, run) WHERE r.same),
+total AS (
+  SELECT d.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+         coalesce(string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY d.i), '') AS rest
+  FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id AND d.i = gone.i GROUP BY d.doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(rest) AS text_sha256 FROM total
+"""
+
 OP10_SQL = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -121,5 +162,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_extendible_shards": OP3_SQL,
         "op5_exact_dedup": OP5_SQL,
+        "op6_line_dedup": OP6_SQL,
         "op10_decontaminate": OP10_SQL,
     }
