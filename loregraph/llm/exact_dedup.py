@@ -130,12 +130,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), normalised(F.col("text")).alias("norm"))
     full = full.withColumn("digest", _digest(F.col("norm"), digest_bytes))
     hits = full.join(F.broadcast(repeated) if few else repeated, "digest")
-    kept_bytes = (
-        hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("norm").alias("kept_norm"))
-    )
-    # a copy of the kept text goes to every member: a shuffled join, whose large partitions are split at run time
+    kept_bytes = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("norm").alias("kept_norm"))
+    # A copy of the kept text goes to every member. Nothing is grouped right below or above the join, so that its large
+    # partitions can be split at run time.
+    kept_bytes = stage(kept_bytes, "exact-kept-bytes")
     clash = hits.select("digest", "norm").join(kept_bytes.hint("merge"), "digest").where(~F.col("norm").eqNullSafe(F.col("kept_norm")))
-    bad = stage(clash.select("digest").distinct(), "exact-clashes")
+    bad = stage(clash.select("digest"), "exact-clashes").distinct()
     sure = dedup.log().withColumn("sha", F.lower(F.hex("digest"))) if digest_bytes == 32 else None
     if not bad.take(1) and sure is not None:
         rows = sure.join(keepers.drop("locator").hint("merge"), "digest")
