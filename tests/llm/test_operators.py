@@ -1,0 +1,441 @@
+"""Each operator against a brute-force version, on small tables with nulls, empty and long texts, ties and repeats."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from loregraph.llm import _pretokens, _scan, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, wavelet
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+BASE = "the quick brown fox jumps over the lazy dog and runs away from all of the others in that old yard near home"
+LONG = " ".join(f"w{i % 977} x{i % 13}" for i in range(20000))
+TEXTS = [
+    (1, BASE), (2, BASE.upper()), (3, BASE + "  "), (4, BASE.replace("fox", "cat")), (5, None), (6, ""), (7, " \n\t "), (8, "12 34"), (9, LONG), (10, LONG + " end"),
+    (11, "a b c"), (12, "a b c"), (12, "a b c"), (None, "a b c"), (None, None), (13, "été à la plage, n'est-ce pas? <|endoftext|> don't 'S  x"), (14, "one\ntwo\nthree\nfour"),
+    (15, "zero\none\ntwo\nthree\nfour"), (16, "one\ntwo\nother\none\ntwo\nthree\nfour"), (17, BASE + " extra"), (18, "x\nx\nx\nx\nx"), (13, "other text under the same id"),
+]
+
+
+def table(spark, rows=TEXTS):
+    rows = [(i, t, ["en", "fr", None][k % 3], ["s0", "s0", "s1", None][k % 4], len(t or "")) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, [])
+
+
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(token_counts.vocabulary_path())
+
+
+def test_pretokens_follow_the_library():
+    from tokenizers import pre_tokenizers
+
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    rng = np.random.default_rng(3)
+    parts = ["a", "s", "'", "'s", "'ll", "'re", " ", "  ", "\n", "\t", "1", "é", "中", "!", " ", "́", "🙂", "²", "\x1c", "\x85", "'D"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(1500)] + ["", None]
+    for lo, hi, data, offsets in _scan.pieces(pa.array(texts)):
+        words = _pretokens.cut(data, offsets)
+        for k in range(hi - lo):
+            own = [words.text(j) for j in range(words.first[k], words.first[k + 1])]
+            assert len(own) == len(cut(texts[lo + k] or "")) and "".join(own) == (texts[lo + k] or "")
+
+
+def test_wavelet_matrix():
+    rng = np.random.default_rng(1)
+    for n in (1, 511, 512, 513, 3000):
+        ids = rng.integers(0, 50, n).astype(np.uint32) * 1000
+        m = wavelet.WaveletMatrix.build(ids, 16)
+        assert (m.decode() == ids).all()
+        for i in rng.integers(0, n, 10):
+            assert m.access(int(i)) == ids[i]
+        for t in [*set(ids[:5].tolist()), 7]:
+            at = np.flatnonzero(ids == t)
+            end = int(rng.integers(0, n + 1))
+            assert m.rank(t) == len(at) and m.rank(t, end) == (ids[:end] == t).sum()
+            assert [m.select(t, k) for k in range(len(at))] == at.tolist() and m.select(t, len(at)) == -1
+
+
+@pytest.mark.parametrize("shard_tokens", [1 << 20, 20])
+def test_op1_tokens(spark, docs, shard_tokens):
+    t = tokenizer()
+    rows = wavelet.token_report(docs, shard_tokens=shard_tokens).orderBy("start").collect()
+    assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([r.n_tokens for r in rows])])[:-1].tolist()
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+
+    def digest(text):
+        own = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        return len(own), zlib.crc32(np.array(own, dtype="<u4").tobytes())
+
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == collections.Counter((i, *digest(x)) for i, x in TEXTS)
+
+
+def test_op1_and_op8_empty(spark, empty):
+    assert wavelet.token_report(empty).collect() == [] and token_counts.token_counts(empty).collect() == []
+
+
+def test_op8_counts(docs):
+    t = tokenizer()
+    want = collections.Counter((i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in TEXTS)
+    rows = token_counts.token_counts(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == want
+    assert all(r.over_limit == (r.n_tokens > 512) for r in rows)
+
+
+def brute_pack(pieces, capacity):
+    bins = []
+    for size, s, c in pieces:
+        fit = [(b["free"], k) for k, b in enumerate(bins) if b["free"] >= size and (s < 0 or s not in b["s"]) and (c < 0 or c not in b["c"])]
+        if not fit:
+            bins.append({"free": capacity, "s": set(), "c": set()})
+        at = min(fit)[1] if fit else len(bins) - 1
+        b = bins[at]
+        b["free"] -= size
+        b["s"].add(s)
+        b["c"].add(c)
+        yield at
+
+
+def test_op2_best_fit_against_brute_force():
+    rng = np.random.default_rng(5)
+    n = 700
+    lengths, s, c = rng.integers(1, 101, n), rng.integers(-1, 70, n), rng.integers(-1, 300, n)
+    s[: n // 3] = 0
+    lengths = -np.sort(-lengths)
+    bins, slots = packing.best_fit(lengths, s, c, 100)
+    order = np.argsort(-lengths, kind="stable")
+    want = list(brute_pack([(int(lengths[k]), int(s[k]), int(c[k])) for k in order], 100))
+    # bins without room left take nothing, so numbers agree
+    assert [int(bins[k]) for k in order] == want
+    for b in range(bins.max() + 1):
+        own = bins == b
+        assert lengths[own].sum() <= 100 and sorted(slots[own]) == list(range(own.sum()))
+
+
+def test_op2_packing(docs, empty):
+    rows = packing.packing_report(docs, capacity=300, group_rows=8).collect()
+    per_bin = collections.defaultdict(list)
+    for r in rows:
+        per_bin[r.bin_id].append(r)
+    assert all(sum(r.length for r in own) == own[0].bin_used <= 300 for own in per_bin.values())
+    total = collections.Counter()
+    for r in rows:
+        total[r.doc_id] += r.length
+    want = collections.Counter()
+    for i, t in TEXTS:
+        want[i] += len((t or "").encode()) + 1
+    assert total == want
+    assert packing.packing_report(empty).collect() == []
+
+
+def test_op3_sharding(spark, docs, empty):
+    rows = sharding.shard_report(docs, limit_bytes=400).collect()
+    size = collections.Counter()
+    for r, (i, t) in zip(sorted(rows, key=lambda r: str(r.doc_id)), sorted(TEXTS, key=lambda x: str(x[0])), strict=True):
+        assert r.doc_id == i
+        size[r.shard] += len((t or "").encode())
+    shards = {r.shard: (r.depth, r.shard_bytes) for r in rows}
+    h = {i: int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:15], 16) for i, _ in TEXTS}
+
+    def brute(prefix, ids):
+        own = [(i, t) for i, t in TEXTS if i in ids]
+        b = sum(len((t or "").encode()) for _, t in own)
+        if b <= 400 or len(prefix) == 60:
+            return {"b" + prefix: b} if own else {}
+        split = [{i for i in ids if h[i] >> (59 - len(prefix)) & 1 == bit} for bit in (0, 1)]
+        return brute(prefix + "0", split[0]) | brute(prefix + "1", split[1])
+
+    assert {s: b for s, (_, b) in shards.items()} == brute("", set(h))
+    assert size == collections.Counter({s: b for s, (_, b) in shards.items()})
+    assert {r.shard for r in sharding.shard_report(docs, limit_bytes=1 << 30).collect()} == {"b"}
+    assert sharding.shard_report(empty).collect() == []
+    clash = docs.withColumnRenamed("lang", "shard").withColumnRenamed("source", "__h")
+    assert sharding.assign_shards(clash, limit_bytes=400).count() == len(TEXTS)
+
+
+def test_op4_quality(spark, docs, empty):
+    rng = np.random.default_rng(2)
+    good = ["".join(rng.choice(["the ", "house ", "runs ", "well ", "over. ", "hill "]) for _ in range(40)) for _ in range(300)]
+    bad = ["".join(rng.choice(["$$$ ", "XX!! ", "### ", "A|B ", "%% "]) for _ in range(40)) for _ in range(120)]
+    rows = [(k, t) for k, t in enumerate(good + bad)] + [(900, None), (901, ""), (None, "x")]
+    labels = spark.createDataFrame([(k, int(k < 300)) for k in range(420)] + [(0, None), (5, 1), (None, 1)], "doc_id long, quality int")
+    out = quality.quality_report(table(spark, rows), labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
+    held = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id < 420]
+    assert held and all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in out if r.doc_id is not None)
+    assert sum(r.predicted == int(r.doc_id < 300) for r in held) / len(held) > 0.97
+    none = labels.limit(0)
+    assert {r.score for r in quality.quality_report(docs, none).collect()} == {0.5}
+    assert quality.quality_report(empty, labels).collect() == []
+
+
+def test_op4_isotonic():
+    rng = np.random.default_rng(0)
+    x, n = np.sort(rng.normal(size=60)), rng.integers(1, 9, 60).astype(float)
+    good = np.minimum(n, rng.integers(0, 9, 60)).astype(float)
+    points, rates = quality.isotonic(x, n, good)
+    assert (np.diff(points) > 0).all() and (np.diff(rates) > 0).all()
+    fitted = np.interp(x, points, rates)
+    assert abs((fitted - good / n).mean()) < 0.2
+
+
+def norm(t):
+    return re.sub("[\x20\x09-\x0d]", "", t or "")
+
+
+@pytest.mark.parametrize("digest_bytes", [32, 0])
+def test_op5_exact(docs, digest_bytes):
+    """A digest of no bytes makes all texts collide; full bytes still tell them apart."""
+    rows = exact_dedup.exact_duplicates(docs, digest_bytes=digest_bytes).collect()
+    groups = collections.defaultdict(list)
+    for i, t in TEXTS:
+        groups[norm(t)].append((i, t))
+    want = collections.Counter()
+    for n, own in groups.items():
+        keep = min(own, key=lambda x: (-len(x[1] or ""), x[0] is None, x[0] or 0))[0]
+        for i, _ in own:
+            want[(i, keep, len(own), i == keep, hashlib.sha256(n.encode()).hexdigest())] += 1
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows) == want
+
+
+def test_op5_goes_on_with_its_state(spark, docs, tmp_path):
+    dedup = exact_dedup.StreamingDeduplicator(spark, f"file://{tmp_path}/state")
+    first, second = docs.where("doc_id <= 6"), docs.where("doc_id > 6 OR doc_id IS NULL")
+    dedup.add(first)
+    dedup.add(second)
+    sizes = sorted(r.group_size for r in dedup.keepers().collect())
+    assert sizes == sorted(collections.Counter(norm(t) for _, t in TEXTS).values())
+
+
+def test_op5_stage(docs, empty):
+    left = exact_dedup.keep_first_copies(docs.withColumnRenamed("lang", "__keep"))
+    assert left.columns == ["doc_id", "text", "__keep", "source", "n_chars"]
+    assert left.count() == len({norm(t) for _, t in TEXTS})
+    assert exact_dedup.keep_first_copies(empty).collect() == [] and exact_dedup.exact_duplicates(empty).collect() == []
+
+
+def brute_lines(rows, w=2):
+    order = sorted({(i is None, i or 0, i, t or "") for i, t in rows})
+    lines = [t.split("\n") for *_, t in order]
+    first, gone = {}, collections.defaultdict(set)
+    marks = []
+    for d, own in enumerate(lines):
+        grams = [hashlib.md5(f"{h(own[i])},{h(own[i + 1])}".encode()).hexdigest()[:15] for i in range(len(own) - 1)]
+        picked = set()
+        for s in range(max(1, len(grams) - w + 1) if grams else 0):
+            picked.add(min(range(s, min(s + w, len(grams))), key=lambda i: (int(grams[i], 16), -i)))
+        marks += [(d, p, grams[p]) for p in picked]
+    for d, p, g in sorted(marks):
+        if g not in first:
+            first[g] = (d, p)
+            continue
+        e, q = first[g]
+        a = 0
+        while min(p - a, q - a) > 0 and lines[d][p - a - 1] == lines[e][q - a - 1]:
+            a += 1
+        b = 0
+        while p + b < len(lines[d]) and q + b < len(lines[e]) and lines[d][p + b] == lines[e][q + b]:
+            b += 1
+        gone[d] |= set(range(p - a, p + b))
+    return {(i, t): (len(own), len(gone[d]), "\n".join(x for k, x in enumerate(own) if k not in gone[d])) for d, ((*_, i, t), own) in enumerate(zip(order, lines, strict=True))}
+
+
+def h(line):
+    return int(hashlib.md5(line.encode()).hexdigest()[:15], 16)
+
+
+def test_op6_lines(spark, docs, empty):
+    rng = np.random.default_rng(8)
+    rows = TEXTS[:8] + TEXTS[10:12] + [(13, None), (14, "one\ntwo\nthree\nfour"), (15, "zero\none\ntwo\nthree\nfour"), (16, "x\nx\nx\nx\nx"), (16, "x\nx\nx\nx\nx")]
+    rows += [(100 + k, "\n".join(rng.choice(["a", "b", "c", "", "d"], rng.integers(1, 14)))) for k in range(60)]
+    want = brute_lines(rows)
+    out = line_dedup.remove_repeated_runs(table(spark, rows)).select("doc_id", "text", "n_lines", "n_removed").collect()
+    # place of the text hash among documents of one id does not matter here: ids with several texts have none repeated
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in out) == collections.Counter((i, *want[(i, t or "")]) for i, t in rows)
+    assert line_dedup.line_report(empty).collect() == []
+    clash = docs.withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "__key")
+    assert line_dedup.remove_repeated_runs(clash).count() == len(TEXTS)
+
+
+def test_op6_is_native(docs):
+    plan = line_dedup.line_report(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_op7_language(spark, docs, empty):
+    rng = np.random.default_rng(4)
+    words = {"en": ["the", "house", "which", "th", "with"], "fr": ["été", "où", "maison", "les", "ça"], "de": ["über", "straße", "das", "nicht", "schön"]}
+    rows = [(k, " ".join(rng.choice(words[lang], 12)), lang, "s", 0) for k, lang in enumerate(rng.choice(list(words), 400))]
+    rows += [(1000, None, "en", "s", 0), (1001, "12 3", "en", "s", 0), (1002, "", None, "s", 0), (None, "the house", None, "s", 0)]
+    out = language_id.language_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    lang = {r[0]: r[2] for r in rows}
+    held = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id < 1000]
+    assert held and all(r.lang_pred == lang[r.doc_id] for r in held)
+    assert {(r.lang_pred, r.score) for r in out if r.doc_id in (1000, 1001, 1002)} == {("und", 0.0)}
+    assert all(0 <= r.score <= 1 for r in out)
+    assert language_id.language_report(empty).collect() == []
+    kept = language_id.keep_identified(docs.withColumnRenamed("source", "lang_pred"))
+    assert kept.columns == ["doc_id", "text", "lang", "lang_pred", "n_chars"]
+    assert not {5, 6, 7, 8} & {r.doc_id for r in kept.collect()}
+
+
+def test_op7_code_lengths_by_hand():
+    """Costs against a plain PPM of the same order."""
+    text = b"abracadabra abrac"
+    counts = collections.Counter()
+    padded = b"\n\n" + text
+    for i in range(2, len(padded)):
+        counts[padded[i - 2 : i + 1]] += 1
+
+    def cost(ctx, sym):
+        if ctx is None:
+            return 8.0
+        n, q, own = collections.Counter(), 0, 0
+        for k, v in counts.items():
+            if k[: 2][2 - len(ctx) :] == ctx:
+                n[k[2]] += v
+        total, q, own = sum(n.values()), len(n), n[sym]
+        shorter = ctx[1:] if ctx else None
+        if own:
+            return -np.log2(own / (total + q))
+        return (-np.log2(q / (total + q)) if total else 0.0) + cost(shorter, sym)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([text.decode()])], names=["lang", "text"])
+    key, n = (next(language_id._count_trigrams(iter([batch]))).column(c).to_numpy() for c in ("key", "n"))
+    cube = np.zeros((256, 256, 256), dtype=np.int64)
+    cube[key >> 16, (key >> 8) & 255, key & 255] = n
+    table_ = language_id._tables(cube)
+    for probe in (b"abra", b"zzz", b"cab", b"a a"):
+        p = b"\n\n" + probe
+        want = sum(cost(p[i - 2 : i], p[i]) for i in range(2, len(p)))
+        got = sum(table_[(p[i - 2] * 256 + p[i - 1]) * 256 + p[i]] for i in range(2, len(p))) / language_id.UNIT
+        assert abs(want - got) < 0.05
+
+
+def shingles(text, n):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = re.findall("[^\x20\x09-\x0d]+", low)
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, n, percent):
+    sets = [shingles(t, n) for _, t in rows]
+    label = list(range(len(rows)))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while True:
+        old = list(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if old == label:
+            break
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[label[k]] = min(least.get(label[k], i), i)
+    return [(i, len(sets[k]), least.get(label[k])) for k, (i, _) in enumerate(rows)]
+
+
+def near_copies(seed, groups=25):
+    rng = np.random.default_rng(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    passage = list(rng.choice(vocab, 30))
+    rows = []
+    for _ in range(groups):
+        words = list(rng.choice(vocab, rng.integers(3, 70)))
+        if rng.random() < 0.4:
+            words += passage
+        for _ in range(rng.integers(1, 12)):
+            own = list(words)
+            for _ in range(rng.integers(0, 4)):
+                own[rng.integers(0, len(own))] = str(rng.choice(vocab))
+            if rng.random() < 0.3:
+                own = own[: -int(rng.integers(1, 4))] or own
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "n", "percent"), [(1, 4, 85), (2, 5, 80)])
+def test_op9_components(spark, seed, n, percent):
+    rows = near_copies(seed) + [(i if i is None else i + 1000, t) for i, t in TEXTS]
+    out = ngram_join.similarity_report(table(spark, rows), n=n, percent=percent).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == collections.Counter(brute_components(rows, n, percent))
+
+
+def test_op9_keys_lose_no_pair():
+    """Sets that link share a key that both may use, whatever tokens are frequent."""
+    rng = np.random.default_rng(9)
+    bounds = ngram_join.Bounds(85)
+    for _ in range(400):
+        n = int(rng.integers(7, 90))
+        a = rng.choice(5000, n, replace=False)
+        gone = rng.permutation(n)[: int(rng.integers(0, max(1, n // 10) + 1))]
+        b = np.concatenate([np.delete(a, gone), rng.choice(np.arange(5000, 9000), int(rng.integers(0, max(1, n // 10) + 1)), replace=False)])
+        a, b = np.unique(a).astype(np.uint64), np.unique(b).astype(np.uint64)
+        i = len(np.intersect1d(a, b))
+        t = -(-85 * (len(a) + len(b)) // 185)
+        if i < t:
+            continue
+        frequent = np.unique(rng.choice(np.arange(9000), int(rng.integers(0, 9000)))).astype(np.uint64)
+        (ka, na), (kb, nb) = (ngram_join.keys_of(x, len(x), frequent, bounds) for x in (a, b))
+        usable = [set(k[need <= len(x) - t].tolist()) for k, need, x in ((ka, na, a), (kb, nb, b))]
+        assert usable[0] & usable[1]
+
+
+def test_op9_stage(docs, empty):
+    left = ngram_join.keep_one_per_component(docs.withColumnRenamed("lang", "__row"))
+    assert left.columns == ["doc_id", "text", "__row", "source", "n_chars"]
+    ids = collections.Counter(r.doc_id for r in left.collect())
+    comps = brute_components(TEXTS, 4, 85)
+    assert all(ids[i] == (2 if i == 13 else 1) for i, n, c in comps if i is not None and i == c)
+    assert not [i for i, n, c in comps if i is not None and i != c and ids[i]]
+    assert ngram_join.similarity_report(empty).collect() == [] and ngram_join.keep_one_per_component(empty).collect() == []
+
+
+def item_words(t):
+    low = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+
+
+def brute_contamination(rows, items):
+    for i, t in rows:
+        w, hit, found = item_words(t), set(), set()
+        for k, x in items:
+            own = item_words(x)
+            size = min(13, len(own))
+            for s in range(len(own) - size + 1 if own else 0):
+                for p in range(len(w) - size + 1):
+                    if w[p : p + size] == own[s : s + size]:
+                        hit |= set(range(p, p + size))
+                        found.add(str(k))
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        yield i, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)
+
+
+@pytest.mark.parametrize("block_bytes", [32 << 20, 60])
+def test_op10_contamination(spark, empty, block_bytes):
+    items = [(1, BASE), (2, "Quick, brown!"), (10, "é x1 <y>"), (3, None), (4, "--"), (5, BASE.replace("dog", "hen")), (2, "lazy dog")]
+    rows = [*TEXTS[:8], *TEXTS[10:], (50, f"é X1 y {BASE[20:]} tail"), (51, "quick é x1 y"), (52, "lazy"), (53, "and dog"), (54, BASE + " " + BASE)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.contamination_report(table(spark, rows), bench, block_bytes=block_bytes, shard_words=40).collect()
+    want = collections.Counter(brute_contamination(rows, items))
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out) == want
+    assert decontaminate.contamination_report(empty, bench).collect() == []
+    assert {r.n_hit for r in decontaminate.contamination_report(table(spark, rows), bench.limit(0)).collect()} == {0}
+    kept = decontaminate.remove_contaminated(table(spark, rows).withColumnRenamed("lang", "spans"), bench)
+    assert kept.columns == ["doc_id", "text", "spans", "source", "n_chars"] and kept.count() == sum(n for w, n in want.items() if not w[-1])
