@@ -5,7 +5,7 @@ import collections
 import corpus_pipeline
 import pytest
 
-from test_operators import BASE, brute_components, brute_contamination, near_copies, norm, table
+from test_llm_operators import BASE, brute_components, brute_contamination, near_copies, norm, table
 
 
 @pytest.fixture(scope="module")
