@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loregraph.llm._scratch import stage
 
 CAPACITY = 8192
-GROUP_ROWS = 16384
+GROUP_ROWS = 4096
 _CHUNK = 512
 
 RESULT = "doc_id long, piece int, start long, length long, bin_id string, slot int, bin_used long"
