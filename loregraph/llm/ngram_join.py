@@ -140,9 +140,11 @@ def _is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[at] == tokens
 
 
-def keys_of(tokens: np.ndarray, n: int, frequent: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.ndarray] | None:
+def keys_of(tokens: np.ndarray, n: int, frequent: np.ndarray, bounds: Bounds, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """(keys, need of each) from the first tokens of a set of n by hash; None if more tokens are needed than were given.
 
+    With ``shared``, rare tokens that are not among these are left out; combinations are not counted before, so all stay.
+
     A partner with which the set must share t tokens uses the keys with
     need <= n - t: rare tokens among the first n - t + 1, and combinations
     whose second token is among the first n - t + k, if the set has no more
@@ -150,19 +152,22 @@ def keys_of(tokens: np.ndarray, n: int, frequent: np.ndarray, bounds: Bounds) ->
     """
     mask = _is_frequent(tokens, frequent)
     rare, large = tokens[~mask], bounds.large(n)
+    single = np.arange(min(len(rare), large))
+    if shared is not None:
+        single = single[_is_frequent(rare[single], shared)]
     if len(rare) >= large:
-        return rare[:large], np.arange(large)
+        return rare[single], single
     if len(tokens) < n:
         return None
     common, more = tokens[mask], bounds.more(n)
     run = common[: min(n, large + more) - len(rare)]
     pairs = _scan.mix(run[:-1] * _MULTS[50] + run[1:] * _MULTS[51]) if len(run) > 1 else run[:0]
     second = len(rare) + 1 + np.arange(len(pairs))
-    return np.concatenate([rare, pairs]), np.concatenate([np.arange(len(rare)), np.maximum(second - more, len(rare))])
+    return np.concatenate([rare[single], pairs]), np.concatenate([single, np.maximum(second - more, len(rare))])
 
 
 def _emit_keys(frequent: np.ndarray, percent: int, shared: np.ndarray | None = None):
-    """Keys of each set; with ``shared``, only those among these tokens."""
+    """Keys of each set; with ``shared``, rare tokens only if they are among these."""
     bounds = Bounds(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +177,10 @@ def _emit_keys(frequent: np.ndarray, percent: int, shared: np.ndarray | None = N
             nodes, sizes = batch.column("node").to_pylist(), batch.column("n").to_pylist()
             keys, need, owner, n_out = [], [], [], []
             for k, (node, n) in enumerate(zip(nodes, sizes, strict=True)):
-                found = keys_of(flat[at[k] : at[k + 1]], n, frequent, bounds)
+                found = keys_of(flat[at[k] : at[k + 1]], n, frequent, bounds, shared)
                 if found is not None:
-                    mask = slice(None) if shared is None else _is_frequent(found[0], shared)
-                    keys.append(found[0][mask])
-                    need.append(found[1][mask])
+                    keys.append(found[0])
+                    need.append(found[1])
                     owner.append(np.full(len(keys[-1]), node, dtype=np.int64))
                     n_out.append(np.full(len(keys[-1]), n, dtype=np.int64))
             if keys:
@@ -346,7 +350,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if len(grown) == len(frequent):
             break
         frequent = grown
-    # a key of one set only links nothing: such keys are left out before any shuffle where the others can be held
+    # a key of one set only links nothing: such rare tokens are left out before any shuffle where the others can be held
     shared = counts.select(F.col("token").alias("key"))
     keys = None
     if dense is not None:

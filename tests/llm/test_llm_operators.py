@@ -377,6 +377,17 @@ def test_op9_components(spark, seed, n, percent):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == collections.Counter(brute_components(rows, n, percent))
 
 
+@pytest.mark.parametrize("held", [4_000_000, -1])
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_op9_short_variants(spark, monkeypatch, held, n, percent):
+    """Variants of one short text share frequent tokens only, so combinations of these alone link them."""
+    monkeypatch.setattr(ngram_join, "HELD_TOKENS", held)
+    texts = [" ".join(f"g{g}w{k}" for k in range(length)) for g, length in enumerate(range(8, 16))]
+    rows = list(enumerate(x for t in texts for x in [t, *[f"{t} own{k}" for k in range(4)]]))
+    out = ngram_join.similarity_report(table(spark, rows), n=n, percent=percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows, n, percent)
+
+
 def test_op9_keys_lose_no_pair():
     """Sets that link share a key that both may use, whatever tokens are frequent."""
     rng = np.random.default_rng(9)
