@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,8 +127,8 @@ def filtered(nodes: DataFrame, edges: DataFrame, text: str = "", types: list[str
     return nodes, edges
 
 
-def distances(edges: DataFrame, source: str, max_hops: int = 10) -> DataFrame:
-    """node_id, hops: nodes that ``source`` reaches over directed edges, and how far they are.
+def distances(edges: DataFrame, source: str, max_hops: int | None = None) -> DataFrame:
+    """node_id, hops: nodes that ``source`` reaches over directed edges, and how far they are; all, or within ``max_hops``.
 
     One join per hop, whose result is written; a node enters the frontier once.
     """
@@ -134,7 +136,7 @@ def distances(edges: DataFrame, source: str, max_hops: int = 10) -> DataFrame:
     steps = settled(edges.select("src_id", "dst_id").distinct())
     seen = spark.createDataFrame([(source, 0)], "node_id string, hops int")
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         near = frontier.select(F.col("node_id").alias("src_id")).join(steps, "src_id").select(F.col("dst_id").alias("node_id")).distinct()
         frontier = settled(near.join(seen, "node_id", "left_anti").select("node_id", F.lit(hop).alias("hops")))
         if not frontier.take(1):
@@ -143,8 +145,8 @@ def distances(edges: DataFrame, source: str, max_hops: int = 10) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 10) -> list[str]:
-    """Nodes of one shortest directed path, the least ids where there are several; empty if there is none."""
+def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> list[str]:
+    """Nodes of one shortest directed path, the least ids where there are several; empty if there is none (within ``max_hops``)."""
     far = distances(edges, source, max_hops)
     end = far.where(F.col("node_id") == target).first()
     if end is None:

@@ -93,6 +93,13 @@ def test_domain_terms(spark):
     assert "auth" not in {r["term"] for r in mining.domain_terms(rows, 1, 10, excluded=["auth"]).collect()}
 
 
+def test_long_path(spark):
+    ids = [f"n{k:02}" for k in range(14)]
+    chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src_id string, dst_id string")
+    assert graph.shortest_path(chain, ids[0], ids[-1]) == ids
+    assert graph.shortest_path(chain, ids[0], ids[-1], 10) == []
+
+
 def test_graph(spark):
     rows = issue_table(spark, [("AE-100", "a", "b", ["support", "portal"], "2026-01-01T10:00", "alice"), ("AE-101", "c", "d", ["support", "faq"], "2026-01-02T10:00", "bob")])
     nodes, edges = graph.issue_nodes(rows), graph.issue_edges(rows)
