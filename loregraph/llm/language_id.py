@@ -6,7 +6,9 @@ the longest known context, with an escape (method C: distinct symbols over
 distinct symbols plus occurrences) for every step to a shorter one, down to a
 uniform byte. With frozen statistics a cost depends on three bytes only, so the
 trees are unrolled into one table per language and code lengths are exact sums
-of table entries. The language with the shortest code for the whole text wins.
+of table entries. Where the tables of all languages would be too large, the
+trigrams that occur are looked up instead, with the same costs. The language
+with the shortest code for the whole text wins.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from loregraph.llm._scratch import fresh
 UNDETERMINED = "und"
 #: Fixed point of costs, in parts of a bit.
 UNIT = 256
-#: Unrolled tables take this much at most; the rarest bytes share a symbol where that needs it.
+#: Unrolled tables take this much at most; where they need more, costs are held by the trigrams that occur.
 TABLE_BYTES = 96 << 20
 _LETTER = regex.compile(r"\p{L}")
 _NEWLINE = 10
@@ -89,14 +91,56 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from rows()
 
 
+def _order(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Bits of each symbol from its counts in a context and its bits in the shorter one."""
+    n, q = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = -np.log2(c / (n + q))
+        escape = np.where(n > 0, -np.log2(q / (n + q)), 0.0)
+    return np.where(c > 0, seen, escape + shorter)
+
+
+def _fixed(bits: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(bits * UNIT), 65535).astype(np.uint16)
+
+
+class SparseCosts:
+    """Costs of one language by the trigrams that occur; others cost the escape of their context and the shorter context's bits."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        by_key = np.argsort(keys)
+        self.keys, n = keys[by_key].astype(np.int32), n[by_key].astype(float)
+        context = self.keys >> 8
+        at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        q = np.diff(np.append(at, len(n)))
+        total = np.add.reduceat(n, at) + q
+        self.contexts, self.escapes = context[at], -np.log2(q / total)
+        self.seen = _fixed(-np.log2(n / np.repeat(total, q)))
+        counts = np.zeros((256, 256))
+        np.add.at(counts, (context & 255, self.keys & 255), n)
+        one = _order(counts, _order(counts.sum(0), np.full(256, 8.0)))
+        # all bytes that are no context have one row
+        self.rows, row_of = np.unique(one, axis=0, return_inverse=True)
+        self.row_of = row_of.reshape(-1)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        out, missed = self.seen[at], self.keys[at] != keys
+        k = keys[missed]
+        at = np.minimum(np.searchsorted(self.contexts, k >> 8), len(self.contexts) - 1)
+        escape = np.where(self.contexts[at] == k >> 8, self.escapes[at], 0.0)
+        out[missed] = _fixed(escape + self.rows[self.row_of[(k >> 8) & 255], k & 255])
+        return out
+
+
 @dataclass
 class LanguageModel:
-    """Frozen statistics, unrolled: ``costs[l][(a * size + b) * size + c]`` in 1/UNIT bits."""
+    """Frozen statistics, unrolled: ``costs[l][(a * size + b) * size + c]`` in 1/UNIT bits, or by trigrams."""
 
     langs: list[str]
     symbols: np.ndarray  # byte -> symbol
     size: int
-    costs: list[np.ndarray]
+    costs: list[np.ndarray | SparseCosts]
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text in each language."""
@@ -106,6 +150,12 @@ class LanguageModel:
             return out
         two, one = _contexts(data, offsets)
         s = self.symbols
+        if self.costs and isinstance(self.costs[0], SparseCosts):
+            key = (two.astype(np.int32) << 16) | (one.astype(np.int32) << 8) | data
+            found, at = np.unique(key, return_inverse=True)
+            for k, costs in enumerate(self.costs):
+                out[full, k] = np.add.reduceat(costs.of(found)[at], offsets[:-1][full], dtype=np.int64) / UNIT
+            return out
         key = (s[two] * self.size + s[one]) * self.size + s[data]
         for k, table in enumerate(self.costs):
             out[full, k] = np.add.reduceat(table[key], offsets[:-1][full], dtype=np.int64) / UNIT
@@ -114,20 +164,12 @@ class LanguageModel:
 
 def _tables(counts: np.ndarray) -> np.ndarray:
     """Costs in 1/UNIT bits from counts[a, b, c] of one language; the last symbol is every other byte."""
-
-    def order(c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        n, q = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(c / (n + q))
-            escape = np.where(n > 0, -np.log2(q / (n + q)), 0.0)
-        return np.where(c > 0, seen, escape + shorter)
-
     size = counts.shape[0]
-    zero = order(counts.sum((0, 1)).astype(float), np.full(size, 8.0))
-    one = order(counts.sum(0).astype(float), zero)
+    zero = _order(counts.sum((0, 1)).astype(float), np.full(size, 8.0))
+    one = _order(counts.sum(0).astype(float), zero)
     out = np.empty(counts.shape, dtype=np.uint16)
     for a in range(size):
-        out[a] = np.minimum(np.round(order(counts[a].astype(float), one) * UNIT), 65535)
+        out[a] = _fixed(_order(counts[a].astype(float), one))
     return out.reshape(-1)
 
 
@@ -142,8 +184,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", table_b
     lang_of, key, n = (sums.column(c).to_pylist() if c == "lang" else sums.column(c).to_numpy() for c in ("lang", "key", "n"))
     langs = sorted(set(lang_of))
     per_byte = np.bincount(key & 255, weights=n, minlength=256) if len(key) else np.zeros(256)
-    room = int((table_bytes / (2 * max(1, len(langs)))) ** (1 / 3)) - 1
-    known = [b for b in np.argsort(-per_byte, kind="stable") if per_byte[b] or b == _NEWLINE][: max(room, 2)]
+    known = [b for b in np.argsort(-per_byte, kind="stable") if per_byte[b] or b == _NEWLINE]
     symbols = np.full(256, len(known), dtype=np.int32)
     symbols[known] = np.arange(len(known))
     size = len(known) + 1
@@ -151,6 +192,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", table_b
     costs = []
     for k in range(len(langs)):
         own, w = key[code == k], n[code == k]
+        if 2 * len(langs) * size**3 > table_bytes:
+            costs.append(SparseCosts(own, w))
+            continue
         counts = np.zeros((size, size, size), dtype=np.int64)
         np.add.at(counts, (symbols[own >> 16], symbols[(own >> 8) & 255], symbols[own & 255]), w)
         costs.append(_tables(counts))
@@ -199,8 +243,8 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return predict(docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out")), model).drop("text")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that have no language: ``und``, or a share below ``least``. Columns stay."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
+    """``docs`` without the rows that have no language: ``und``, or a share below ``least`` where one is asked for. Columns stay."""
     model = fit(docs.where(fold(id_col, 4) != 2), text_col, lang_col)
     lang, score = fresh(docs, "lang_pred", "share")
     found = predict(docs, model, text_col, lang, score)

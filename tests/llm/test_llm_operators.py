@@ -295,6 +295,23 @@ def test_op7_language(spark, docs, empty):
     assert not {5, 6, 7, 8} & {r.doc_id for r in kept.collect()}
 
 
+def test_op7_keeps_every_byte(spark):
+    """Rare scripts cost the same whatever room the tables have."""
+    texts = {"en": "the cat and the dog sat on a mat " * 30, "el": "λόγος και θάλασσα", "he": "שלום עולם", "th": "สวัสดีชาวโลก"}
+    rows = spark.createDataFrame([(k, t, lang, "s", 0) for k, (lang, t) in enumerate(texts.items())], SCHEMA)
+    probes = [*texts.values(), "γος", "לום", "ชาว", "zq é"]
+    raw = [t.encode() for t in probes]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole, small = (language_id.fit(rows, table_bytes=b).code_lengths(data, offsets) for b in (1 << 40, 20_000))
+    assert (whole == small).all()
+
+
+def test_op7_stage_keeps_close_calls(spark):
+    """A share of a third is a language all the same."""
+    rows = [(k, "same words", f"l{k % 3}", "s", 0) for k in range(60)]
+    assert language_id.keep_identified(spark.createDataFrame(rows, SCHEMA)).count() == 60
+
+
 def test_op7_code_lengths_by_hand():
     """Costs against a plain PPM of the same order."""
     text = b"abracadabra abrac"
