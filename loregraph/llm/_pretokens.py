@@ -40,6 +40,8 @@ def kinds(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
+    data: np.ndarray  # UTF-8 bytes of the piece
+    at: np.ndarray  # byte where each code point starts, one more at the end
     points: np.ndarray  # code points of the piece
     starts: np.ndarray  # of each word, in code points
     ends: np.ndarray
@@ -47,13 +49,9 @@ class Words:
     special: np.ndarray  # per word: -1, or which special string it is
 
     def hashes(self) -> np.ndarray:
-        n = len(self.points)
-        if not n:
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.points + np.uint32(1)) * _scan.powers(_scan._MULT, n), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * _scan.powers(_scan._MULT_INV, n)[self.starts]
-        return _scan.mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+        """Two independent hashes of each word."""
+        starts, ends = self.at[self.starts], self.at[self.ends]
+        return np.stack([_scan.span_hashes(self.data, starts, ends, lane) for lane in (0, 1)], axis=1)
 
     def text(self, k: int) -> str:
         return self.points[self.starts[k] : self.ends[k]].tobytes().decode("utf-32-le")
@@ -105,7 +103,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, specials: tuple[str, ...] = ()) -
     special = np.full(len(where), -1, dtype=np.int64)
     for s, _, k in marks:
         special[np.searchsorted(where, s)] = k
-    return Words(points, where, np.append(where[1:], n), np.searchsorted(where, texts), special)
+    return Words(data, np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)), points, where, np.append(where[1:], n), np.searchsorted(where, texts), special)
 
 
 def _cut_contractions(points: np.ndarray, kind: np.ndarray, edge: np.ndarray, start: np.ndarray, quote: np.ndarray) -> None:
@@ -120,29 +118,45 @@ def _cut_contractions(points: np.ndarray, kind: np.ndarray, edge: np.ndarray, st
         start[more] |= kind[more] == LETTER
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct pair of hashes, which of these each row is)."""
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]).any(1)
+    back = np.empty(len(h), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 class WordTable:
-    """Bounded open-addressing table from word hashes to numbers; it is emptied when it fills up."""
+    """Bounded open-addressing table from words to numbers; it is emptied when it fills up.
+
+    A slot holds two independent hashes of its word. Those of up to eight bytes tell words of
+    one length apart without fail; of longer words 128 bits have to agree.
+    """
 
     PROBES = 8
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.bits, self.used = bits, 0
-        self.keys = np.zeros(1 << bits, dtype=np.uint64)
-        self.values = np.zeros(1 << bits, dtype=np.int32)
+        self.keys = np.zeros((1 << bits, 2), dtype=np.uint64)
+        self.values = np.full(1 << bits, -1, dtype=np.int32)
 
     def _slots(self, h: np.ndarray, probe: int) -> np.ndarray:
-        return ((h >> np.uint64(64 - self.bits)).astype(np.int64) + probe * probe) & ((1 << self.bits) - 1)
+        return ((h[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64) + probe * probe) & ((1 << self.bits) - 1)
+
+    def _holds(self, slots: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return (self.values[slots] >= 0) & (self.keys[slots] == h).all(1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of the hashes; -1 where there is none."""
-        slots = self._slots(h, 0)
-        out = np.where(self.keys[slots] == h, self.values[slots], np.int32(-1))
-        left = np.flatnonzero(out < 0)
-        for probe in range(1, self.PROBES):
+        """Numbers of the words with the two hashes ``h``; -1 where there is none."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        left = np.arange(len(h))
+        for probe in range(self.PROBES):
             if not len(left):
                 break
             slots = self._slots(h[left], probe)
-            hit = self.keys[slots] == h[left]
+            hit = self._holds(slots, h[left])
             out[left[hit]] = self.values[slots[hit]]
             left = left[~hit]
         return out
@@ -151,19 +165,19 @@ class WordTable:
         return self.used + n <= 0.6 * len(self.keys)
 
     def clear(self) -> None:
-        self.keys[:] = 0
+        self.values[:] = -1
         self.used = 0
 
     def add(self, h: np.ndarray, values: np.ndarray) -> None:
-        """Distinct new hashes; one that finds no slot is simply not kept."""
+        """Distinct new words with numbers of 0 or more; one that finds no slot is simply not kept."""
         self.used += len(h)
         left = np.arange(len(h))
         for probe in range(self.PROBES):
             slots = self._slots(h[left], probe)
-            free = self.keys[slots] == 0
+            free = np.flatnonzero(self.values[slots] < 0)
+            # of several words for one free slot the last one gets it
             self.keys[slots[free]] = h[left[free]]
-            done = self.keys[slots] == h[left]
-            self.values[slots[done]] = values[left[done]]
-            left = left[~done]
+            self.values[slots[free]] = values[left[free]]
+            left = left[~self._holds(slots, h[left])]
             if not len(left):
                 break

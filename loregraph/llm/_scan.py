@@ -7,6 +7,7 @@ piece is a piece of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,9 +17,10 @@ import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
 
-_MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_MULT_INV = pow(_MULT, -1, 1 << 64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+_HASH_KEY = b"loregraph words"
 
 
 def pieces(texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -40,25 +42,6 @@ def pieces(texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the usual piece size."""
-    return _powers(base, PIECE_BYTES + 2)[:n] if n <= PIECE_BYTES + 2 else np.multiply.accumulate(
-        np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)])
-    )
-
-
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalising 64-bit mixer."""
     h = h ^ (h >> np.uint64(30))
@@ -69,6 +52,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: The low k bytes of a block.
+_FULL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
 @lru_cache(maxsize=1)
 def lower_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
@@ -94,15 +81,31 @@ def alnum_words() -> np.ndarray:
     return t
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each span."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for each span; different lanes are independent hashes.
+
+    Blocks of eight bytes are mixed one after the other, so no relation between the
+    letters of two words carries over to their hashes. Of up to eight bytes, no two spans
+    of one length share a hash: each step is a bijection of the block.
+    """
+    size = ends - starts
+    key = np.random.default_rng([20240117, lane]).integers(1, 1 << 63, 2, dtype=np.uint64)
+    h = mix(size.astype(np.uint64) ^ key[0])
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_byte_values()[data] * powers(_MULT, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(_MULT_INV, n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    short = size <= LONG_WORD
+    left, k = (np.flatnonzero(short & (size > 0)) if not short.all() else np.flatnonzero(size > 0)), 0
+    while len(left):
+        rest = size[left] - k
+        block = blocks[starts[left] + k] & _FULL[np.minimum(rest, 8)]
+        h[left] = mix((h[left] ^ block) * np.uint64(0xD6E8FEB86659FD93) + key[1])
+        left, k = left[rest > 8], k + 8
+    for i in np.flatnonzero(~short).tolist():
+        own = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=_HASH_KEY, salt=bytes([lane])).digest()
+        h[i] = np.frombuffer(own, "<u8")[0]
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 """Jaccard join on word n-grams with token-combination prefixes.
 
-A document is the set of its distinct word shingles, as 64-bit hashes, which
+A document is the set of its distinct word shingles, as 63-bit hashes, which
 are the tokens here. Documents with one set form a node. Tokens are ordered
 rare ones first, then frequent ones, each class by hash. Two sets of n and m that
 share at least t tokens share one among the first n - t + 1 of the one and the
@@ -18,9 +18,13 @@ first m - t + 1 of the other. So
 
 Frequencies come from prefixes that are a little longer than needed, counted over
 all nodes; for dense sets all tokens are counted. Every list of sets with a
-common key is linked like a star to one centre, each pair is verified on whole
-sets, and lists that fell into one component are done. For what is left, all
-pairs across components are verified, so no link is lost.
+common key is linked like a star to one centre, and lists that fell into one
+component are done, as are lists of two. For what is left, all pairs across
+components are tested, so no link is lost.
+
+A pair is tested in two steps. The least tokens of both sets, which are known
+from the count, bound what the two can share at most, which rules out sets that
+have just a passage in common; the rest is verified on the words of the texts.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm import _scan
@@ -39,13 +43,13 @@ from loregraph.llm._scratch import fresh, stage
 N = 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: A token in more prefixes is frequent; doubled until at most MAX_FREQUENT tokens are, which each task holds (8 bytes each).
+#: A token in more prefixes is frequent; doubled until at most MAX_FREQUENT tokens are.
 FREQUENT = 3
 MAX_FREQUENT = 4_000_000
 #: Up to this many ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Up to this many tokens that keys are filtered by are held by each task (8 bytes each); more are joined by a shuffle.
-HELD_TOKENS = 4_000_000
+#: Tokens are marked in bitmaps of 2 to this power bits, whose size depends on nothing else.
+MARK_BITS = 27
 
 #: So many of the least keys of a set are carried along to make a pair of sets once, not at every key that they share.
 LEAST_KEYS = 8
@@ -60,14 +64,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     acc = np.zeros(max(m - n + 1, 0), dtype=np.uint64)
     for k in range(n):
         acc += h[k : m - n + 1 + k] * _MULTS[k]
-    full = _scan.mix(acc)
+    full = _scan.mix(acc) >> np.uint64(1)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= n:
             out.append(np.unique(full[a : b - n + 1]))
         elif b > a:
             own = (h[a:b] * _MULTS[: b - a]).sum(dtype=np.uint64, keepdims=True)
-            out.append(_scan.mix(own + _MULTS[60:61] * np.array([b - a], dtype=np.uint64)))
+            out.append(_scan.mix(own + _MULTS[60:61] * np.array([b - a], dtype=np.uint64)) >> np.uint64(1))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -124,37 +128,64 @@ def _scan_sets(n: int, percent: int, whole: bool):
 _SETS = "doc_id long, row long, node long, n long, tokens array<long>"
 
 
-def _frequent(tokens: DataFrame) -> np.ndarray:
+class Marks:
+    """Marked tokens as a bitmap over their low bits: it knows every marked token, and takes a few others for marked.
+
+    Which class a token falls in, and whether a lone key is made, may hang on such a mistake; links do not, since
+    every set is held against the same bitmap.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def none(cls, bits: int | None = None) -> Marks:
+        return cls(np.zeros(1 << ((bits or MARK_BITS) - 6), dtype=np.uint64))
+
+    @classmethod
+    def of(cls, tokens: DataFrame, name: str = "token") -> Marks:
+        """What reaches the driver is the bitmap, at most 2 ** (MARK_BITS - 6) words."""
+        at = F.col(name).bitwiseAND((1 << MARK_BITS) - 1)
+        bit = F.expr(f"shiftleft(1L, cast({name} & 63 as int))")
+        rows = tokens.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        out = cls.none()
+        out.words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        return out
+
+    def __or__(self, other: Marks) -> Marks:
+        return Marks(self.words | other.words)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Marks) and np.array_equal(self.words, other.words)
+
+    def has(self, tokens: np.ndarray) -> np.ndarray:
+        at = (tokens & np.uint64(64 * len(self.words) - 1)).astype(np.int64)
+        return (self.words[at >> 6] >> (tokens & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _frequent(tokens: DataFrame) -> Marks:
     """Tokens of ``tokens`` (token, c) with more than FREQUENT, or so much more that at most MAX_FREQUENT are left."""
     at_least = FREQUENT
     while tokens.where(F.col("c") > at_least).count() > MAX_FREQUENT:
         at_least *= 2
-    found = tokens.where(F.col("c") > at_least).select("token").toArrow().column("token").to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
-
+    return Marks.of(tokens.where(F.col("c") > at_least))
 
-def _is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.zeros(len(tokens), dtype=bool)
-    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    return frequent[at] == tokens
 
-
-def keys_of(tokens: np.ndarray, n: int, frequent: np.ndarray, bounds: Bounds, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+def keys_of(tokens: np.ndarray, n: int, frequent: Marks, bounds: Bounds, shared: Marks | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """(keys, need of each) from the first tokens of a set of n by hash; None if more tokens are needed than were given.
 
-    With ``shared``, rare tokens that are not among these are left out; combinations are not counted before, so all stay.
+    With ``shared``, rare tokens that are not marked there are left out; combinations are not counted before, so all stay.
 
     A partner with which the set must share t tokens uses the keys with
     need <= n - t: rare tokens among the first n - t + 1, and combinations
     whose second token is among the first n - t + k, if the set has no more
     than n - t rare tokens.
     """
-    mask = _is_frequent(tokens, frequent)
+    mask = frequent.has(tokens)
     rare, large = tokens[~mask], bounds.large(n)
     single = np.arange(min(len(rare), large))
     if shared is not None:
-        single = single[_is_frequent(rare[single], shared)]
+        single = single[shared.has(rare[single])]
     if len(rare) >= large:
         return rare[single], single
     if len(tokens) < n:
@@ -166,8 +197,8 @@ def keys_of(tokens: np.ndarray, n: int, frequent: np.ndarray, bounds: Bounds, sh
     return np.concatenate([rare[single], pairs]), np.concatenate([single, np.maximum(second - more, len(rare))])
 
 
-def _emit_keys(frequent: np.ndarray, percent: int, shared: np.ndarray | None = None):
-    """Keys of each set; with ``shared``, rare tokens only if they are among these."""
+def _emit_keys(frequent: Marks, percent: int, shared: Marks | None = None):
+    """Keys of each set; with ``shared``, rare tokens only if they are marked there."""
     bounds = Bounds(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,18 +224,22 @@ def _emit_keys(frequent: np.ndarray, percent: int, shared: np.ndarray | None = N
 _KEYS = "key long, node long, n long, need long"
 
 
-def _dense(frequent: np.ndarray, percent: int):
-    """Nodes whose measured tokens hold too few rare ones."""
+def _dense(frequent: Marks, percent: int, known: Marks):
+    """Nodes whose measured tokens hold too few rare ones, but did not with the frequent tokens ``known`` before."""
     bounds = Bounds(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("tokens")
             flat, at = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            rare = np.concatenate([[0], np.cumsum(~_is_frequent(flat, frequent))])
             n = np.asarray(batch.column("n"))
             need = n - -(-bounds.percent * n // 100) + 1
-            mask = (rare[at[1:]] - rare[at[:-1]] < need) & (np.diff(at) < n)
+
+            def short(marks: Marks) -> np.ndarray:
+                rare = np.concatenate([[0], np.cumsum(~marks.has(flat))])
+                return rare[at[1:]] - rare[at[:-1]] < need
+
+            mask = short(frequent) & ~short(known) & (np.diff(at) < n)
             yield batch.select(["node", "doc_id", "row"]).filter(pa.array(mask))
 
     return run
@@ -224,23 +259,61 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> Dat
     return found if found.count() <= wanted.count() else stage(found.dropDuplicates(["node"]), "jaccard-sets")
 
 
+def _most_shared() -> Column:
+    """What two sets share at most, from the least tokens of each (x of n, y of m): beyond the last one that is known on both sides, all may be common."""
+    last = F.least(*[F.when(F.size(t) < F.col(k), F.element_at(t, -1)).otherwise((1 << 63) - 1) for t, k in (("x", "n"), ("y", "m"))])
+    left = [F.col(k) - F.size(F.filter(t, lambda v: v <= last)) for t, k in (("x", "n"), ("y", "m"))]
+    return F.size(F.array_intersect("x", "y")) + F.least(*left)
+
+
+def word_shingles(text: str | None, n: int) -> set[tuple[bytes, ...]]:
+    words = (text or "").encode().lower().split()  # of bytes: A-Z alone, and the six blanks
+    return set(zip(*[words[k:] for k in range(n)], strict=False)) if len(words) >= n else {tuple(words)} if words else set()
+
+
+def _verify(n: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, set()
+        for batch in batches:
+            ends, mask = batch.column("b").to_pylist(), []
+            for k, b in enumerate(ends):
+                if held is None or held != b:
+                    held, own = b, word_shingles(batch.column("text_b")[k].as_py(), n)
+                other = word_shingles(batch.column("text_a")[k].as_py(), n)
+                both = len(own & other)
+                mask.append(100 * both >= percent * (len(own) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
+
+    return run
+
+
 class _Corpus:
-    """Documents, their nodes (node, n, doc_id, row), and verification of pairs of nodes on whole sets."""
+    """Documents (doc_id, row, text), their nodes (node, n, doc_id, row), least tokens of each (node, n, tokens), and the test of pairs of nodes."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, percent: int):
-        self.docs, self.nodes, self.n, self.percent = docs, nodes, n, percent
+    def __init__(self, docs: DataFrame, nodes: DataFrame, least: DataFrame, n: int, percent: int):
+        self.docs, self.nodes, self.least, self.n, self.percent = docs, nodes, least, n, percent
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
         pairs = stage(pairs, "jaccard-pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        named = stage(self.nodes.join(ends, "node", "left_semi").select("doc_id", "row"), "jaccard-named")
-        sets = _whole_sets(self.docs, named, self.n, self.percent)
-        left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        union = F.size("x") + F.size("y") - both
-        return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * both >= self.percent * union).select("a", "b")
+        ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ends")
+        few = ends.count() <= BROADCAST_IDS
+        least = self.least.join(F.broadcast(ends) if few else ends, "node", "left_semi")
+        left = least.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x"))
+        right = least.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        close = stage(both.where((100 + self.percent) * _most_shared() >= self.percent * (F.col("n") + F.col("m"))).select("a", "b"), "jaccard-close")
+        return self._on_texts(close)
+
+    def _on_texts(self, pairs: DataFrame) -> DataFrame:
+        few = pairs.count() <= BROADCAST_IDS
+        ends = stage(self.nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "row"), "jaccard-named")
+        a = pairs.join(ends.withColumnRenamed("node", "a"), "a").select("a", "b", F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"))
+        b = ends.select(F.col("node").alias("b"), F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"))
+        same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))
+        left, right = (self.docs.join(F.broadcast(x) if few else x, same).withColumnRenamed("text", t).drop("doc_id", "row", "w_id", "w_row") for x, t in ((a, "text_a"), (b, "text_b")))
+        # a document is found again only where rows repeat its id and text
+        return left.join(right.hint("merge"), "b").mapInArrow(_verify(self.n, self.percent), "a long, b long").distinct()
 
 
 def _fits(percent: int):
@@ -277,27 +350,34 @@ def _across(postings: DataFrame, percent: int) -> DataFrame:
     return both.where(apart & ~_paired_before(percent))
 
 
-def _links(postings: DataFrame, corpus: _Corpus) -> DataFrame:
+def _with_centres(postings: DataFrame, turn: int) -> DataFrame:
+    """Postings of keys of several sets, each with one set of its key (other, m, other_need, other_comp) and how many there are (c)."""
+    rank = F.xxhash64("node", F.lit(turn)).alias("rank")
+    chosen = F.max(F.struct(rank, F.col("node").alias("other"), F.col("n").alias("m"), F.col("need").alias("other_need"), F.col("comp").alias("other_comp")))
+    centre = postings.groupBy("key").agg(chosen.alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return postings.join(centre.select("key", "c", "x.other", "x.m", "x.other_need", "x.other_comp"), "key")
+
+
+def _links(keys: DataFrame, corpus: _Corpus) -> DataFrame:
     """Verified edges (a, b) that connect all that any shared key connects."""
     percent = corpus.percent
-    weight = postings.groupBy("node").agg(F.sum("c").alias("weight"))
-    edges, before = None, float("inf")
+    postings, edges, before = keys.withColumn("comp", F.col("node")), None, float("inf")
     for turn in range(4):
-        rank = F.struct("weight", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("weight"), F.col("node"))
-        rows = postings.join(weight, "node") if turn == 0 else postings
-        centre = rows.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m"), F.col("need").alias("other_need")), rank).alias("x"))
-        pairs = postings.join(centre.select("key", "x.*"), "key").where((F.col("node") != F.col("other")) & _fits(percent)).select(*_pair()).distinct()
+        dealt = stage(_with_centres(postings, turn), "jaccard-dealt")
+        # a list of two is done with this pair, and so are components that have met
+        pairs = dealt.where((F.col("comp") != F.col("other_comp")) & _fits(percent)).select(*_pair()).distinct()
         found = corpus.verified(pairs)
         edges = stage(found if edges is None else edges.union(found).distinct(), "jaccard-edges")
         labels = components(edges)
-        postings = postings.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_keys = postings.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        postings = stage(postings.join(open_keys, "key"), "jaccard-open")
-        if not postings.take(1):
-            return edges
-        by_comp = postings.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-        spread = by_comp.groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        longer = dealt.where("c > 2").select("key", "node", "n", "need")
+        few = labels.count() <= BROADCAST_IDS
+        postings = longer.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        by_comp = stage(postings.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")), "jaccard-by-comp")
+        spread = by_comp.groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
         rows, left = spread.agg(F.sum("s"), F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).first()
+        if not rows:
+            return edges
+        postings = stage(postings.join(spread.select("key"), "key"), "jaccard-open")
         if left <= 8 * rows or left > 0.8 * before:
             break
         before = left
@@ -326,8 +406,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ``[\\x20\\x09-\\x0D]``); fewer words are one shingle; null texts and texts
     without words have none and link with nothing: their component is their own
     id. The component is the smallest id that is reachable by links; null ids are
-    passed over, and where no other is known it is null. Shingles are told
-    apart by 64-bit hashes.
+    passed over, and where no other is known it is null. Sets are counted and
+    compared for being equal by 63-bit hashes of their shingles; links are
+    verified on the words themselves.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     rows = stage(docs.mapInArrow(_scan_sets(n, percent, False), _SETS), "jaccard-rows")
@@ -337,33 +418,27 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     can = _one_of_each(rows.where(F.size("tokens") > 0), nodes)
 
     counts = stage(can.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-counts")
-    frequent = _frequent(counts)
-    dense = None
+    frequent, known, dense = _frequent(counts), Marks.none(), None
     while True:
         # sets with too few rare tokens among the measured ones are counted as a whole, which may make more tokens frequent
-        found = stage(can.mapInArrow(_dense(frequent, percent), "node long, doc_id long, row long"), "jaccard-dense")
+        found = stage(can.mapInArrow(_dense(frequent, percent, known), "node long, doc_id long, row long"), "jaccard-dense")
         if not found.take(1):
             break
-        dense = _whole_sets(docs, found, n, percent)
-        more = dense.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        grown = np.union1d(frequent, _frequent(more))
-        if len(grown) == len(frequent):
+        more = _whole_sets(docs, found, n, percent)
+        dense = more if dense is None else dense.unionByName(more)
+        tokens = dense.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        known, frequent = frequent, frequent | _frequent(stage(tokens, "jaccard-dense-counts"))
+        if known == frequent:
             break
-        frequent = grown
-    # a key of one set only links nothing: such rare tokens are left out before any shuffle where the others can be held
-    shared = counts.select(F.col("token").alias("key"))
-    keys = None
+    # a key of one set only links nothing: most such rare tokens are left out before any shuffle
+    shared = Marks.of(counts)
+    keys = can.mapInArrow(_emit_keys(frequent, percent, shared), _KEYS)
     if dense is not None:
-        keys = stage(dense.mapInArrow(_emit_keys(frequent, percent), _KEYS), "jaccard-dense-keys")
-        shared = shared.union(keys.select("key").distinct())
-    held = None
-    if shared.count() <= HELD_TOKENS:
-        held = np.unique(shared.toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
-    own = can.mapInArrow(_emit_keys(frequent, percent, held), _KEYS)
-    keys = stage(own if keys is None else own.unionByName(keys), "jaccard-keys")
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    postings = stage(keys.join(several, "key"), "jaccard-postings")
-    labels = components(_links(postings, _Corpus(docs, nodes, n, percent)))
+        # rare tokens of dense sets may be others than those that were counted
+        whole = stage(dense.mapInArrow(_emit_keys(frequent, percent), _KEYS), "jaccard-dense-keys")
+        shared = shared | Marks.of(whole, "key")
+        keys = can.mapInArrow(_emit_keys(frequent, percent, shared), _KEYS).unionByName(whole)
+    labels = components(_links(stage(keys, "jaccard-keys"), _Corpus(docs, nodes, can.select("node", "n", "tokens"), n, percent)))
     placed = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     placed = stage(placed.join(least, "comp").select("node", "comp", "component_id"), "jaccard-components")

@@ -108,7 +108,8 @@ class _Counter:
         out = self.known.find(h)
         new = np.flatnonzero(out < 0)
         if len(new):
-            own, at, back = np.unique(h[new], return_index=True, return_inverse=True)
+            at, back = _pretokens.distinct(h[new])
+            own = h[new[at]]
             values = np.array([self._count(words, k) for k in new[at].tolist()], dtype=np.int32)
             if not self.known.room(len(own)):
                 self.known.clear()

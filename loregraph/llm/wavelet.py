@@ -169,7 +169,8 @@ class Encoder:
         out = self.known.find(h)
         new = np.flatnonzero(out < 0)
         if len(new):
-            own, at, back = np.unique(h[new], return_index=True, return_inverse=True)
+            at, back = _pretokens.distinct(h[new])
+            own = h[new[at]]
             if not self.known.room(len(own)):
                 self._reset()
                 return self.encode(data, offsets) if len(own) < len(self.known.keys) // 2 else self._plain(data, offsets)

@@ -387,18 +387,21 @@ def near_copies(seed, groups=25):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "n", "percent"), [(1, 4, 85), (2, 5, 80)])
-def test_op9_components(spark, seed, n, percent):
+@pytest.mark.parametrize(("seed", "n", "percent", "bounds"), [(1, 4, 85, {}), (2, 5, 80, {}), (3, 4, 85, {"BROADCAST_IDS": -1, "MARK_BITS": 10, "MAX_FREQUENT": 3})])
+def test_op9_components(spark, monkeypatch, seed, n, percent, bounds):
+    """Bounds change plans only: shuffles for broadcasts, a full bitmap, a threshold of frequency that doubles."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(seed) + [(i if i is None else i + 1000, t) for i, t in TEXTS]
     out = ngram_join.similarity_report(table(spark, rows), n=n, percent=percent).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == collections.Counter(brute_components(rows, n, percent))
 
 
-@pytest.mark.parametrize("held", [4_000_000, -1])
+@pytest.mark.parametrize("bits", [27, 8])
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
-def test_op9_short_variants(spark, monkeypatch, held, n, percent):
-    """Variants of one short text share frequent tokens only, so combinations of these alone link them."""
-    monkeypatch.setattr(ngram_join, "HELD_TOKENS", held)
+def test_op9_short_variants(spark, monkeypatch, bits, n, percent):
+    """Variants of one short text share frequent tokens only, so combinations of these alone link them; a full bitmap loses nothing."""
+    monkeypatch.setattr(ngram_join, "MARK_BITS", bits)
     texts = [" ".join(f"g{g}w{k}" for k in range(length)) for g, length in enumerate(range(8, 16))]
     rows = list(enumerate(x for t in texts for x in [t, *[f"{t} own{k}" for k in range(4)]]))
     out = ngram_join.similarity_report(table(spark, rows), n=n, percent=percent).collect()
@@ -419,7 +422,9 @@ def test_op9_keys_lose_no_pair():
         t = -(-85 * (len(a) + len(b)) // 185)
         if i < t:
             continue
-        frequent = np.unique(rng.choice(np.arange(9000), int(rng.integers(0, 9000)))).astype(np.uint64)
+        frequent = ngram_join.Marks.none(14)
+        for token in rng.choice(9000, int(rng.integers(0, 9000))).tolist():
+            frequent.words[token >> 6] |= np.uint64(1 << (token & 63))
         (ka, na), (kb, nb) = (ngram_join.keys_of(x, len(x), frequent, bounds) for x in (a, b))
         usable = [set(k[need <= len(x) - t].tolist()) for k, need, x in ((ka, na, a), (kb, nb, b))]
         assert usable[0] & usable[1]
