@@ -350,30 +350,38 @@ def _across(postings: DataFrame, percent: int) -> DataFrame:
     return both.where(apart & ~_paired_before(percent))
 
 
-def _with_centres(postings: DataFrame, turn: int) -> DataFrame:
-    """Postings of keys of several sets, each with one set of its key (other, m, other_need, other_comp) and how many there are (c)."""
-    rank = F.xxhash64("node", F.lit(turn)).alias("rank")
-    chosen = F.max(F.struct(rank, F.col("node").alias("other"), F.col("n").alias("m"), F.col("need").alias("other_need"), F.col("comp").alias("other_comp")))
-    centre = postings.groupBy("key").agg(chosen.alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    return postings.join(centre.select("key", "c", "x.other", "x.m", "x.other_need", "x.other_comp"), "key")
+def _centres(postings: DataFrame, turn: int) -> DataFrame:
+    """Postings with one set of their key (other, m, other_need, other_comp): the one of most weight at first, any other in later turns."""
+    rank = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    chosen = F.max(F.struct(rank.alias("rank"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("need").alias("other_need"), F.col("comp").alias("other_comp")))
+    return postings.join(postings.groupBy("key").agg(chosen.alias("x")).select("key", "x.other", "x.m", "x.other_need", "x.other_comp"), "key")
 
 
 def _links(keys: DataFrame, corpus: _Corpus) -> DataFrame:
     """Verified edges (a, b) that connect all that any shared key connects."""
     percent = corpus.percent
-    postings, edges, before = keys.withColumn("comp", F.col("node")), None, float("inf")
+    ends = F.struct("node", "n", "need")
+    lists = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(ends).alias("x"), F.max(ends).alias("y")).where("c > 1"), "jaccard-lists")
+    # a list of two is a pair; longer ones are dealt to centres
+    twos = lists.where("c = 2").select("key", "x.*", F.col("y.node").alias("other"), F.col("y.n").alias("m"), F.col("y.need").alias("other_need"))
+    twos = twos.where((F.col("node") != F.col("other")) & _fits(percent)).select(*_pair())
+    long = lists.where("c > 2").select("key", "c")
+    long = F.broadcast(long) if long.count() <= BROADCAST_IDS else long
+    longer = stage(keys.join(long, "key"), "jaccard-longer")
+    weight = longer.groupBy("node").agg(F.sum("c").alias("weight"))
+    postings = stage(longer.drop("c").join(weight, "node").withColumn("comp", F.col("node")), "jaccard-open")
+    edges, before = None, float("inf")
     for turn in range(4):
-        dealt = stage(_with_centres(postings, turn), "jaccard-dealt")
-        # a list of two is done with this pair, and so are components that have met
-        pairs = dealt.where((F.col("comp") != F.col("other_comp")) & _fits(percent)).select(*_pair()).distinct()
-        found = corpus.verified(pairs)
+        apart = (F.col("comp") != F.col("other_comp")) & _fits(percent)
+        pairs = _centres(postings, turn).where(apart).select(*_pair())
+        found = corpus.verified((pairs.union(twos) if turn == 0 else pairs).distinct())
         edges = stage(found if edges is None else edges.union(found).distinct(), "jaccard-edges")
         labels = components(edges)
-        longer = dealt.where("c > 2").select("key", "node", "n", "need")
         few = labels.count() <= BROADCAST_IDS
-        postings = longer.join(F.broadcast(labels) if few else labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        by_comp = stage(postings.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")), "jaccard-by-comp")
+        postings = postings.drop("comp").join(F.broadcast(labels) if few else labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        by_comp = postings.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
         spread = by_comp.groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        spread = stage(spread, "jaccard-spread")
         rows, left = spread.agg(F.sum("s"), F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).first()
         if not rows:
             return edges
@@ -382,7 +390,7 @@ def _links(keys: DataFrame, corpus: _Corpus) -> DataFrame:
             break
         before = left
     least = F.slice(F.array_sort(F.collect_list(F.struct("key", "need"))), 1, LEAST_KEYS).alias("least")
-    postings = stage(postings.join(postings.groupBy("node").agg(least), "node"), "jaccard-across")
+    postings = stage(postings.drop("weight").join(postings.groupBy("node").agg(least), "node"), "jaccard-across")
     across = _across(postings, percent)
     return edges.union(corpus.verified(across.select(*_pair()).distinct()))
 
