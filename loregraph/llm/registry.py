@@ -94,40 +94,30 @@ g AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+#: From the definition: pairs of equal lines, the diagonals that they lie on, the unbroken runs of each, and all lines of those of enough weight.
 OP6_SQL = r"""
-WITH d AS (
-  SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents)),
-g AS (
-  SELECT * FROM (
-    SELECT doc_id, i, CAST('0x' || substr(md5(h || ',' || lead(h) OVER (PARTITION BY doc_id ORDER BY i)), 1, 15) AS BIGINT) AS gram,
-           count(*) OVER (PARTITION BY doc_id) - 1 AS n
-    FROM d) WHERE gram IS NOT NULL),
-win AS (
-  SELECT a.doc_id, a.i AS s, b.i AS pos, b.gram, row_number() OVER (PARTITION BY a.doc_id, a.i ORDER BY b.gram, b.i DESC) AS r
-  FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 1
-  WHERE a.i <= greatest(0, a.n - 2)),
-fp AS (SELECT DISTINCT doc_id, pos, gram FROM win WHERE r = 1),
-src AS (SELECT gram, min({'d': doc_id, 'p': pos}) AS f FROM fp GROUP BY gram HAVING count(*) > 1),
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+words AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw),
+d AS (SELECT doc_id, pos, line, greatest(n, 17) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM words WHERE n > 0),
 pairs AS (
-  SELECT fp.doc_id, f.d AS source, pos - f.p AS shift, pos
-  FROM fp JOIN src USING (gram) WHERE fp.doc_id <> f.d OR pos <> f.p),
-diag AS (SELECT DISTINCT doc_id, source, shift FROM pairs),
-steps AS (
-  SELECT diag.*, a.i, a.h = b.h AS same
-  FROM diag JOIN d a ON a.doc_id = diag.doc_id JOIN d b ON b.doc_id = diag.source AND b.i = a.i - diag.shift),
-runs AS (
-  SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, source, shift ORDER BY i) AS run FROM steps),
-hit AS (
-  SELECT r.doc_id, r.source, r.shift, r.run FROM runs r JOIN pairs p
-  ON r.doc_id = p.doc_id AND r.source = p.source AND r.shift = p.shift AND r.i = p.pos WHERE same),
-gone AS (
-  SELECT DISTINCT r.doc_id, r.i FROM runs r JOIN hit USING (doc_id, source, shift, run) WHERE r.same),
-total AS (
-  SELECT d.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
-         coalesce(string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY d.i), '') AS rest
-  FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id AND d.i = gone.i GROUP BY d.doc_id)
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(rest) AS text_sha256 FROM total
+  SELECT a.doc_id, b.doc_id AS source, a.i - b.i AS shift, a.i, a.w FROM d a JOIN d b USING (line)
+  WHERE b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.i < a.i)),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, source, shift ORDER BY i) AS run FROM pairs),
+heavy AS (SELECT doc_id, min(i) AS lo, max(i) AS hi FROM islands GROUP BY doc_id, source, shift, run HAVING sum(w) >= 50),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(lo, hi + 1)) AS i FROM heavy)),
+marked AS (
+  SELECT words.doc_id, words.pos, words.line, d.i IS NOT NULL AS has_words, gone.i IS NOT NULL AS dead
+  FROM words LEFT JOIN d USING (doc_id, pos) LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.i = d.i),
+near AS (
+  SELECT *, last_value(CASE WHEN has_words THEN dead END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above,
+         first_value(CASE WHEN has_words THEN dead END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below
+  FROM marked),
+cut AS (SELECT doc_id, pos, line, coalesce(above AND below, false) AS cut FROM near)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN cut THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(CASE WHEN cut THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS text_sha256
+FROM cut GROUP BY doc_id
 """
 
 OP10_SQL = r"""

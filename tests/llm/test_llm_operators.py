@@ -230,49 +230,59 @@ def test_op5_stage(docs, empty):
     assert exact_dedup.keep_first_copies(empty).collect() == [] and exact_dedup.exact_duplicates(empty).collect() == []
 
 
-def brute_lines(rows, w=2):
-    order = sorted({(i is None, i or 0, i, t or "") for i, t in rows})
-    lines = [t.split("\n") for *_, t in order]
-    first, gone = {}, collections.defaultdict(set)
-    marks = []
-    for d, own in enumerate(lines):
-        grams = [hashlib.md5(f"{h(own[i])},{h(own[i + 1])}".encode()).hexdigest()[:15] for i in range(len(own) - 1)]
-        picked = set()
-        for s in range(max(1, len(grams) - w + 1) if grams else 0):
-            picked.add(min(range(s, min(s + w, len(grams))), key=lambda i: (int(grams[i], 16), -i)))
-        marks += [(d, p, grams[p]) for p in picked]
-    for d, p, g in sorted(marks):
-        if g not in first:
-            first[g] = (d, p)
-            continue
-        e, q = first[g]
-        a = 0
-        while min(p - a, q - a) > 0 and lines[d][p - a - 1] == lines[e][q - a - 1]:
-            a += 1
-        b = 0
-        while p + b < len(lines[d]) and q + b < len(lines[e]) and lines[d][p + b] == lines[e][q + b]:
-            b += 1
-        gone[d] |= set(range(p - a, p + b))
-    return {(i, t): (len(own), len(gone[d]), "\n".join(x for k, x in enumerate(own) if k not in gone[d])) for d, ((*_, i, t), own) in enumerate(zip(order, lines, strict=True))}
-
-
-def h(line):
-    return int(hashlib.md5(line.encode()).hexdigest()[:15], 16)
-
-
-def test_op6_lines(spark, docs, empty):
+def brute_lines(rows, hashes, weight=50):
+    """Every run of lines that also stands earlier goes, if it has three lines or ``weight`` words; straight from the definition."""
+    order = sorted({(i is None, i or 0, hashes[t or ""], i, t or "") for i, t in rows})
+    texts = [t.split("\n") for *_, t in order]
+    full = [[(k, x) for k, x in enumerate(own) if x.strip(" \t\n\v\f\r")] for own in texts]
+    gone = [set() for _ in order]
+    for d, own in enumerate(full):
+        for e in range(d + 1):
+            for i in range(len(own)):
+                for j in range(i if e == d else len(full[e])):
+                    n = 0
+                    while i + n < len(own) and j + n < len(full[e]) and own[i + n][1] == full[e][j + n][1]:
+                        n += 1
+                    if sum(max(17, len(re.findall("[^\x20\x09-\x0d]+", x))) for _, x in own[i : i + n]) >= weight:
+                        gone[d] |= set(range(i, i + n))
+    out = {}
+    for (*_, i, t), lines, own, dead in zip(order, texts, full, gone, strict=True):
+        cut = {own[k][0] for k in dead}
+        for k in dead & {x - 1 for x in dead}:
+            cut |= set(range(own[k][0], own[k + 1][0]))
+        out[(i, t)] = (len(lines), len(cut), "\n".join(x for k, x in enumerate(lines) if k not in cut))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [200_000, -1])
+def test_op6_lines(spark, monkeypatch, docs, empty, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
     rng = np.random.default_rng(8)
-    rows = TEXTS[:8] + TEXTS[10:12] + [(13, None), (14, "one\ntwo\nthree\nfour"), (15, "zero\none\ntwo\nthree\nfour"), (16, "x\nx\nx\nx\nx"), (16, "x\nx\nx\nx\nx")]
-    rows += [(100 + k, "\n".join(rng.choice(["a", "b", "c", "", "d"], rng.integers(1, 14)))) for k in range(60)]
-    want = brute_lines(rows)
+    long_line, half = " ".join(f"p{k}" for k in range(51)), " ".join(f"q{k}" for k in range(26))
+    rows = [*TEXTS, (16, "x\nx\nx\nx\nx"), (16, "x\nx\nx\nx\nx"), (19, "\n\n\n\n"), (20, "a\n\nb\n \nc"), (21, "z\na\n\n\nb\nc\n\nd")]
+    # one long line between others; two lines of half the length; no two lines that are too short; a run whose edges stand in different documents
+    rows += [(30, f"u\n{long_line}\nv"), (31, f"w\n{long_line}\ny"), (32, f"{half}\n{half}1"), (33, f"r\n{half}\n{half}1\ns"), (34, f"{half}\nother"), (35, long_line)]
+    rows += [(40, "p\na1\nb1\nc1\ns"), (41, "x1\na1\nb1\nc1\ne1"), (42, "x1\na1\nb1\nc1\ne1"), (43, f"{long_line}\n{long_line}\ntail")]
+    lines = ["a", "b", "c", "", "d", " ", half, long_line]
+    rows += [(100 + k, "\n".join(rng.choice(lines, rng.integers(1, 14)))) for k in range(60)]
+    texts = sorted({t or "" for _, t in rows})
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    want = brute_lines(rows, hashes)
+    assert want[(42, rows[-62][1])][1] == 5 and want[(34, f"{half}\nother")][1] == 0
     out = line_dedup.remove_repeated_runs(table(spark, rows)).select("doc_id", "text", "n_lines", "n_removed").collect()
-    # place of the text hash among documents of one id does not matter here: ids with several texts have none repeated
     assert collections.Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in out) == collections.Counter((i, *want[(i, t or "")]) for i, t in rows)
     assert line_dedup.line_report(empty).collect() == []
     clash = docs.withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "__key")
     assert line_dedup.remove_repeated_runs(clash).count() == len(TEXTS)
 
 
+def test_op6_many_equal_lines(spark):
+    """Costs grow with the lines of a text, not with their square."""
+    rows = [(1, "\n".join(["same"] * 20_000)), (2, "\n".join(f"line {k} of many" for k in range(20_000))), (3, "\n".join(f"line {k} of many" for k in range(5, 19_000)))]
+    out = {r.doc_id: r.n_removed for r in line_dedup.line_report(table(spark, rows)).collect()}
+    assert out == {1: 19_999, 2: 0, 3: 18_995}
+
+
 def test_op6_is_native(docs):
     plan = line_dedup.line_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
