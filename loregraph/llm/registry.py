@@ -73,10 +73,10 @@ WITH h AS (
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
   FROM documents),
 cells AS (SELECT doc_id, h, d, h >> (60 - d) AS p, bytes FROM h, (SELECT unnest(range(0, 61)) AS d)),
-sizes AS (SELECT d, p, sum(bytes) AS b FROM cells GROUP BY d, p),
+sizes AS (SELECT d, p, sum(bytes) AS b, count(*) AS n FROM cells GROUP BY d, p),
 own AS (
   SELECT doc_id, h, min(cells.d) AS depth
-  FROM cells JOIN sizes USING (d, p) WHERE b <= 2097152 OR cells.d = 60 GROUP BY doc_id, h)
+  FROM cells JOIN sizes USING (d, p) WHERE b <= 2097152 OR n = 1 GROUP BY doc_id, h)
 SELECT doc_id, 'b' || CASE WHEN depth = 0 THEN '' ELSE right(repeat('0', 60) || bin(h >> (60 - depth)), CAST(depth AS BIGINT)) END AS shard,
        CAST(depth AS INTEGER) AS depth, CAST(b AS BIGINT) AS shard_bytes
 FROM own JOIN sizes ON sizes.d = own.depth AND sizes.p = own.h >> (60 - own.depth)

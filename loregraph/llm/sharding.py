@@ -1,14 +1,19 @@
 """Sharding by extendible hashing.
 
-Each row has a hash of 60 bits; a directory is indexed by the leading bits.
-Only a bucket whose rows exceed the byte limit is split, on its next bit, until
-every shard fits. Sizes are summed by cells of some more bits than the directory
-has, so one pass over the sizes settles several splits; only the cells that are
-still too large are summed again, finer.
+Each row has a hash of 60 bits of its key; a directory is indexed by the leading
+bits. Only a bucket whose rows exceed the byte limit is split, on its next bit, until
+every shard fits. Rows of one key that exceed the limit are split on, by a second hash
+of 60 bits: of the text, and for equal texts of the row.
+
+Sizes are summed by cells of some more bits than the directory has, so one pass over
+the sizes settles several splits; only the cells that are still too large are summed
+again, finer. The directory is a table throughout.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,8 @@ HASH_BITS = 60
 LIMIT_BYTES = 2 << 20
 #: Bits that one pass refines a cell by.
 STEP_BITS = 12
+#: Low bits of the second hash that tell equal texts apart.
+ROW_BITS = 24
 #: Largest directory that is broadcast (entries of about 50 bytes); a larger one is joined by a shuffle.
 BROADCAST_CELLS = 500_000
 
@@ -28,89 +35,85 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _prefix(h: Column | str, depth: int) -> Column:
-    return F.shiftright(F.col(h) if isinstance(h, str) else h, HASH_BITS - depth)
+def _prefix(h: str, depth: int) -> Column:
+    return F.shiftright(F.col(h), HASH_BITS - depth)
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_CELLS else df
 
 
-def directory(sizes: DataFrame, limit_bytes: int = LIMIT_BYTES, step_bits: int = STEP_BITS) -> dict[tuple[int, int], int]:
-    """{(depth, prefix): bytes} of the shards of ``sizes`` (h, bytes): the shallowest prefixes that fit the limit.
+def directory(sizes: DataFrame, limit_bytes: int = LIMIT_BYTES, step_bits: int = STEP_BITS) -> tuple[DataFrame, DataFrame]:
+    """Shards (g, d, p, b, n) of ``sizes`` (g, h, bytes), and cells of 60 bits that are still too large.
 
-    Its length is about twice the total size over the limit at most, besides
-    shards that cannot be split: rows of one hash stay together, so such a shard
-    may be larger than the limit at depth 60.
+    A directory of its own for each g: the shallowest prefixes p of d bits whose rows have b bytes within the limit, or are one row.
     """
-    shards: dict[tuple[int, int], int] = {}
-    total = sizes.agg(F.sum("bytes")).first()[0]
-    if total is None:
-        return shards
-    open_cells = {(0, 0): total}
-    depth = 0
-    while open_cells:
-        large = {p: b for (d, p), b in open_cells.items() if b > limit_bytes and d < HASH_BITS}
-        shards.update({c: b for c, b in open_cells.items() if c[1] not in large})
-        if not large:
+    many = (F.col("b") > limit_bytes) & (F.col("n") > 1)
+    open_cells = stage(
+        sizes.groupBy("g").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).select("g", F.lit(0).alias("d"), F.lit(0).cast("long").alias("p"), "b", "n"), "shard-cells"
+    )
+    shards, depth = [open_cells.where(~many)], 0
+    open_cells = open_cells.where(many)
+    while depth < HASH_BITS:
+        largest = open_cells.agg(F.max("b")).first()[0]
+        if largest is None:
             break
         # deep enough that an even spread would fit, and at least one step
-        need = max(1, (-(-max(large.values()) // limit_bytes) - 1).bit_length()) + 2
+        need = max(1, (-(-largest // limit_bytes) - 1).bit_length()) + 2
         finer = min(HASH_BITS, depth + min(step_bits, need))
-        rows = sizes
-        if depth:
-            cells = sizes.sparkSession.createDataFrame([(p,) for p in large], "cell long")
-            rows = sizes.withColumn("cell", _prefix("h", depth)).join(F.broadcast(cells) if len(large) <= BROADCAST_CELLS else cells, "cell", "left_semi")
-        found = rows.groupBy(_prefix("h", finer).alias("p")).agg(F.sum("bytes").alias("b")).toArrow()
-        level = dict(zip(found.column("p").to_pylist(), found.column("b").to_pylist(), strict=True))
-        levels = [level]
-        for _ in range(finer - depth):
-            up: dict[int, int] = {}
-            for p, b in levels[-1].items():
-                up[p >> 1] = up.get(p >> 1, 0) + b
-            levels.append(up)
-        levels.reverse()  # levels[k] is depth + k
-        walk, open_cells = list(large), {}
-        for k in range(1, finer - depth + 1):
-            children = [c for p in walk for c in (2 * p, 2 * p + 1) if c in levels[k]]
-            walk = []
-            for c in children:
-                if levels[k][c] <= limit_bytes or depth + k == HASH_BITS:
-                    shards[(depth + k, c)] = levels[k][c]
-                else:
-                    walk.append(c)
-        depth = finer
-        open_cells = {(depth, p): levels[-1][p] for p in walk}
-    return shards
+        rows = sizes.withColumn("p", _prefix("h", depth)).join(_if_small(open_cells.select("g", "p")), ["g", "p"], "left_semi")
+        fine = rows.groupBy("g", _prefix("h", finer).alias("p")).agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+        above = fine.select("g", F.explode(F.sequence(F.lit(depth + 1), F.lit(finer))).alias("d"), "p", "b", "n").withColumn("p", F.expr(f"shiftright(p, {finer} - d)"))
+        cells = stage(above.groupBy("g", "d", "p").agg(F.sum("b").alias("b"), F.sum("n").alias("n")), "shard-cells")
+        parents = open_cells.union(cells.where(many & (F.col("d") < finer))).select("g", (F.col("d") + 1).alias("d"), F.col("p").alias("up"))
+        shards.append(cells.where(~many).withColumn("up", F.shiftright("p", 1)).join(_if_small(parents), ["g", "d", "up"], "left_semi").drop("up"))
+        open_cells, depth = cells.where(many & (F.col("d") == finer)), finer
+    return reduce(DataFrame.unionByName, shards), open_cells
+
+
+def _placed(rows: DataFrame, shards: DataFrame, g: str | None, h: str, names: tuple[str, str, str], base: Column, base_depth: int) -> DataFrame:
+    """``rows`` with the names, depths and bytes of their shards; ``base`` are the bits before the prefix."""
+    cell, parts, group = fresh(rows, "cell", "parts", "group")
+    bits = F.expr("CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), d, '0') END")
+    # a directory entry is a cell of the least depth in use, with the shards below it
+    common = shards.agg(F.min("d")).first()[0] or 0
+    low = F.expr(f"shiftleft(p, {HASH_BITS} - d)")
+    entry = F.struct(low.alias("lo"), F.expr(f"shiftleft(p + 1, {HASH_BITS} - d) - 1").alias("hi"), F.col("d"), bits.alias("s"), F.col("b"))
+    table = shards.groupBy(F.col("g").alias(group), F.expr(f"shiftright(p, d - {common})").alias(cell)).agg(F.collect_list(entry).alias(parts))
+    table = _if_small(stage(table, "shard-directory"))
+    same = (_prefix(h, common) == F.col(cell)) & (F.col(group) == (F.lit(0) if g is None else F.col(g)))
+    own = F.get(F.filter(F.col(parts), lambda x: (x["lo"] <= F.col(h)) & (F.col(h) <= x["hi"])), 0)
+    # a row of a cell that is too large has no shard here
+    placed = rows.join(table, same).where(own.isNotNull()).withColumn(names[0], F.concat(base, own["s"])).withColumn(names[1], (own["d"] + base_depth).cast("int"))
+    return placed.withColumn(names[2], own["b"]).drop(cell, parts, group)
 
 
 def assign_shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES,
                   names: tuple[str, str, str] = ("shard", "depth", "shard_bytes")) -> DataFrame:
     """``docs`` with the shard ("b" and the bits of its prefix), its depth and its bytes of text.
 
-    Null keys hash as the empty text, null texts have no bytes. Rows of one key
-    are always in one shard; a shard exceeds the limit only where one key does.
-    The shard of an input that fits as a whole is "b".
+    Null keys hash as the empty text, null texts have no bytes. Rows of one key are
+    in one shard where they fit together; where they do not, they are split by text,
+    and repeated rows by a number that each gets when they are set aside. So a shard
+    exceeds the limit only if it is one row that does. The shard of an input that fits
+    as a whole is "b". Columns of ``docs`` named like ``names`` are replaced.
     """
-    h, size, cell = fresh(docs, "h", "bytes", "cell")
+    h, t = fresh(docs, "h", "t")
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     rows = docs.drop(*[c for c in names if c in docs.columns]).withColumn(h, key_hash(F.col(key_col)))
-    sized = rows.select(F.col(h).alias("h"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes"))
-    shards = directory(stage(sized, "shard-sizes"), limit_bytes)
-    spark = docs.sparkSession
-    shard, depth, total = names
-    bits = [(d, p, "b" + (format(p, "b").zfill(d) if d else ""), b) for (d, p), b in sorted(shards.items())]
-    # a directory entry is a cell of the least depth in use, with the shards below it
-    common = max(0, min((d for d, _ in shards), default=0))
-    by_cell: dict[int, list] = {}
-    for d, p, s, b in bits:
-        by_cell.setdefault(p >> (d - common), []).append((p << (HASH_BITS - d), ((p + 1) << (HASH_BITS - d)) - 1, d, s, b))
-    table = spark.createDataFrame(
-        [(c, [{"lo": lo, "hi": hi, "d": d, "s": s, "b": b} for lo, hi, d, s, b in v]) for c, v in by_cell.items()],
-        "cell long, parts array<struct<lo:long,hi:long,d:int,s:string,b:long>>",
-    ).withColumnRenamed("cell", cell)
-    parts = fresh(docs, "parts")[0]
-    table = table.withColumnRenamed("parts", parts)
-    if len(shards) <= BROADCAST_CELLS:
-        table = F.broadcast(table)
-    joined = rows.withColumn(cell, _prefix(h, common)).join(table, cell)
-    own = F.filter(F.col(parts), lambda x: (x["lo"] <= F.col(h)) & (F.col(h) <= x["hi"]))[0]
-    return joined.withColumn(shard, own["s"]).withColumn(depth, own["d"]).withColumn(total, own["b"]).drop(h, cell, parts)
+    sizes = stage(rows.select(F.lit(0).cast("long").alias("g"), F.col(h).alias("h"), size.alias("bytes")), "shard-sizes")
+    shards, large = directory(sizes, limit_bytes)
+    placed = _placed(rows, stage(shards, "shards-of-keys"), None, h, names, F.lit("b"), 0)
+    if large.take(1):
+        own = _if_small(large.select(F.col("p").alias(h)))
+        of_text = F.shiftleft(F.shiftright(key_hash(F.col(text_col)), ROW_BITS), ROW_BITS)
+        of_row = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << ROW_BITS) - 1)
+        # written, so that each row keeps its number
+        aside = stage(rows.join(own, h, "left_semi").withColumn(t, of_text + of_row), "shard-large-keys")
+        finer, left = directory(aside.select(F.col(h).alias("g"), F.col(t).alias("h"), size.alias("bytes")), limit_bytes)
+        base = F.concat(F.lit("b"), F.lpad(F.bin(F.col(h)), HASH_BITS, "0"))
+        placed = placed.unionByName(_placed(aside, stage(finer.unionByName(left), "shards-of-rows"), h, t, names, base, HASH_BITS).drop(t))
+    return placed.drop(h)
 
 
 def write_shards(assigned: DataFrame, path: str, shard_col: str = "shard") -> None:

@@ -156,7 +156,7 @@ def test_op3_sharding(spark, docs, empty):
     def brute(prefix, ids):
         own = [(i, t) for i, t in TEXTS if i in ids]
         b = sum(len((t or "").encode()) for _, t in own)
-        if b <= 400 or len(prefix) == 60:
+        if b <= 400 or len(own) == 1:
             return {"b" + prefix: b} if own else {}
         split = [{i for i in ids if h[i] >> (59 - len(prefix)) & 1 == bit} for bit in (0, 1)]
         return brute(prefix + "0", split[0]) | brute(prefix + "1", split[1])
@@ -169,6 +169,20 @@ def test_op3_sharding(spark, docs, empty):
     assert sharding.assign_shards(clash, limit_bytes=400).count() == len(TEXTS)
 
 
+def test_op3_keys_above_the_limit(spark):
+    """Rows of one key, of a null key, and repeated rows are split; only a single row may exceed the limit."""
+    rows = [(None, f"{k} " * 100) for k in range(10, 30)] + [(7, "same " * 60)] * 12 + [(8, "x" * 5000), (9, None)] + [(k, "y" * 30) for k in range(100, 140)]
+    out = sharding.assign_shards(table(spark, rows), limit_bytes=1000).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter(rows)
+    shards = collections.defaultdict(list)
+    for r in out:
+        shards[r.shard].append(r)
+    for name, own in shards.items():
+        total = sum(len(r.text or "") for r in own)
+        assert {(r.depth, r.shard_bytes) for r in own} == {(len(name) - 1, total)} and (total <= 1000 or len(own) == 1)
+    assert max(r.depth for r in out) > 60
+
+
 def test_op4_quality(spark, docs, empty):
     rng = np.random.default_rng(2)
     good = ["".join(rng.choice(["the ", "house ", "runs ", "well ", "over. ", "hill "]) for _ in range(40)) for _ in range(300)]
