@@ -24,6 +24,8 @@ from loregraph.llm._scratch import stage
 CAPACITY = 8192
 GROUP_ROWS = 4096
 _CHUNK = 512
+#: So many copies of a row are numbered together.
+_RUN = 4096
 
 RESULT = "doc_id long, piece int, start long, length long, bin_id string, slot int, bin_used long"
 
@@ -119,8 +121,9 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", source_col: st
     cluster; without it no two clusters are alike. A document longer than the
     capacity is cut: its full pieces fill bins by themselves, the rest is packed.
     Documents of null or no length have no piece. A null source or cluster
-    conflicts with nothing. Repeated rows are packed each by itself; they are
-    alike in every column, so it does not matter which of them gets which place.
+    conflicts with nothing. Rows that are alike in id, length, source and cluster
+    are counted and numbered, and each is packed by itself; bins depend on
+    the rows alone, not on how they are partitioned.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -128,20 +131,24 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", source_col: st
         F.col(source_col).cast("string").alias("source"),
         (F.lit(None) if cluster is None else cluster).cast("long").alias("cluster"),
     ).where("size > 0")
-    rows = stage(rows, "packing-rows")
+    own = ["doc_id", "size", "source", "cluster"]
+    counted = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("copies"))
+    # runs of copies first, so that no task makes all rows of a large group
+    runs = counted.select(*own, "copies", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / _RUN))).alias("run"))
+    copy = F.explode(F.sequence(F.col("run") * _RUN, F.least((F.col("run") + 1) * _RUN, "copies") - 1)).alias("copy")
+    rows = stage(runs.repartition("run", *own).select(*own, copy).withColumn("tie", F.xxhash64(*own, "copy")), "packing-rows")
     full = F.floor(F.col("size") / capacity).cast("int")
-    whole = rows.where(F.col("size") >= capacity).select("doc_id", "cluster", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
+    whole = rows.where(F.col("size") >= capacity).select(*own, "copy", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
+    name = F.concat_ws("-", F.lit("w"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("size", "source", "cluster")), "copy", "piece")
     whole = whole.select(
         "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"),
-        F.concat_ws("-", F.lit("w"), F.hex(F.xxhash64("doc_id", "cluster")), F.col("piece")).alias("bin_id"), F.lit(0).alias("slot"), F.lit(capacity).cast("long").alias("bin_used"),
+        name.alias("bin_id"), F.lit(0).alias("slot"), F.lit(capacity).cast("long").alias("bin_used"),
     )
     rest = rows.where(F.col("size") % capacity > 0).select(
-        "doc_id", full.alias("piece"), (full.cast("long") * capacity).alias("start"), (F.col("size") % capacity).alias("length"), "source", "cluster",
-        F.xxhash64("doc_id", "size", "source", "cluster").alias("tie"),
-    )
+        "doc_id", full.alias("piece"), (full.cast("long") * capacity).alias("start"), (F.col("size") % capacity).alias("length"), "source", "cluster", "tie"
+    )
     groups = max(1, math.ceil(rest.count() / group_rows))
-    # a group is a hash of the row and, for rows alike, of their place in the input
-    dealt = rest.withColumn("grp", F.pmod(F.xxhash64("tie", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    dealt = rest.withColumn("grp", F.pmod(F.xxhash64("tie"), F.lit(groups)).cast("int"))
     packed = dealt.groupBy("grp").applyInPandas(_pack_group(capacity), RESULT)
     return whole.unionByName(packed)
 

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loregraph.llm import _pretokens, _scan, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, wavelet
 
@@ -144,6 +145,40 @@ def test_op2_packing(docs, empty):
     assert packing.packing_report(empty).collect() == []
 
 
+def test_op2_pack_against_brute_force(spark, docs):
+    """One group: every piece is where a plain best fit over one list puts it; repeated, long and null rows included."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i) if i % 9 else None, int(n), None if n % 7 == 0 else f"s{n % 5}", int(c) if c % 3 else None) for i, n, c in rng.integers(1, 400, (150, 3))]
+    rows += [(5, 350, "s0", 4)] * 3 + [(None, 700, None, None)] * 4 + [(6, 0, "s1", 1), (6, None, "s1", 1), (8, 100, "s1", 9), (9, 101, "s2", 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster long").repartition(5)
+    args = (F.col("n"), "doc_id", "source", F.col("cluster"), 100, 10**6)
+    out = packing.pack(frame, *args).collect()
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r.bin_id].append(r)
+    for own in bins.values():
+        assert sum(r.length for r in own) == own[0].bin_used <= 100 and sorted(r.slot for r in own) == list(range(len(own)))
+    numbered, seen = [], collections.Counter()
+    for row in rows:
+        if row[1]:
+            numbered.append((row[0], row[1], row[2], row[3], seen[row]))
+            seen[row] += 1
+    typed = "doc_id long, size long, source string, cluster long, copy long"
+    ties = {(r.doc_id, r.size, r.source, r.cluster, r.copy): r.tie for r in spark.createDataFrame(numbered, typed).selectExpr("*", "xxhash64(doc_id, size, source, cluster, copy) tie").collect()}
+    rest = sorted((-(n % 100), ties[(i, n, s, c, k)], n, s, c, i) for i, n, s, c, k in numbered if n % 100)
+    sources = {None: -1} | {f"s{k}": k for k in range(5)}
+    want = list(brute_pack([(-x[0], sources[x[3]], -1 if x[4] is None else x[4]) for x in rest], 100))
+    filled = collections.defaultdict(list)
+    for x, b in zip(rest, want, strict=True):
+        filled[b].append((x[5], x[2] // 100, -x[0]))
+    full = [(i, k, 100) for i, n, *_ in numbered for k in range(n // 100)]
+    assert collections.Counter(tuple(sorted(((r.doc_id, r.piece, r.length) for r in own), key=str)) for own in bins.values()) == collections.Counter(
+        [tuple(sorted(own, key=str)) for own in filled.values()] + [(x,) for x in full]
+    )
+    again = packing.pack(frame.repartition(2), *args).collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, out))
+
+
 def test_op3_sharding(spark, docs, empty):
     rows = sharding.shard_report(docs, limit_bytes=400).collect()
     size = collections.Counter()
@@ -213,9 +248,10 @@ def norm(t):
     return re.sub("[\x20\x09-\x0d]", "", t or "")
 
 
-@pytest.mark.parametrize("digest_bytes", [32, 0])
-def test_op5_exact(docs, digest_bytes):
+@pytest.mark.parametrize(("digest_bytes", "broadcast"), [(32, 500_000), (0, 500_000), (32, -1), (1, -1)])
+def test_op5_exact(docs, monkeypatch, digest_bytes, broadcast):
     """A digest of no bytes makes all texts collide; full bytes still tell them apart."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGESTS", broadcast)
     rows = exact_dedup.exact_duplicates(docs, digest_bytes=digest_bytes).collect()
     groups = collections.defaultdict(list)
     for i, t in TEXTS:
@@ -235,6 +271,10 @@ def test_op5_goes_on_with_its_state(spark, docs, tmp_path):
     dedup.add(second)
     sizes = sorted(r.group_size for r in dedup.keepers().collect())
     assert sizes == sorted(collections.Counter(norm(t) for _, t in TEXTS).values())
+    # a locator finds the text that it was made for
+    kept = {(r.file, r.row): r.digest for r in dedup.keepers().select("digest", "locator.*").collect()}
+    stored = {(r.file, r.row): r for r in dedup.content().select("norm", "digest", F.inline(F.array(exact_dedup._locator()))).collect()}
+    assert all(stored[at].digest == d and hashlib.sha256(stored[at].norm.encode()).digest() == bytes(d) for at, d in kept.items())
 
 
 def test_op5_stage(docs, empty):
