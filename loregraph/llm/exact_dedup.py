@@ -1,15 +1,17 @@
 """Exact deduplication as a stateful stream.
 
-Arriving rows are logged as small records: digest of the normalised text, length,
-stable identifier and content locator. A Structured Streaming query reads the
-log and keeps, per digest, the best record seen so far and a count, in RocksDB
-state on disk, without watermark and so without expiry. Records of a
-micro-batch are combined per task before the shuffle, so a digest that a third
-of all rows share reaches its state as one record per task.
-
-On a hit (a digest with more than one record) the full normalised bytes of
-every member are compared with those at the retained locator. Digests whose
-members differ, should there be any, are grouped again by their whole texts.
+Arriving rows are written to a content store in the shared folder: digest of the
+normalised text, length, identifier, and the normalised text itself. Where a row
+stands in the store, its file and number in it, is its content locator. A Structured
+Streaming query reads the store without its texts and keeps, per digest, the best
+record seen so far, with its locator, and a count, in RocksDB state on disk, without
+watermark and so without expiry. Records of a micro-batch are combined per task before
+the shuffle, so a digest that a third of all rows share reaches its state as one record
+per task.
+
+On a hit (a digest with more than one record) the text that stands at the retained
+locator is read, and the full normalised bytes of every member are compared with it.
+Digests whose members differ, should there be any, are grouped again by their whole texts.
 """
 
 from __future__ import annotations
@@ -22,14 +24,19 @@ from loregraph.llm._scratch import fresh, scratch_dir, stage
 #: Up to this many digests (40 bytes each) are broadcast; beyond it the join is shuffled.
 BROADCAST_DIGESTS = 500_000
 
-#: State is kept by RocksDB; many small stores share a disk, so none allocates files ahead, and commits write changes only.
+#: State is kept by RocksDB. Its memory is bounded for all stores of an executor together, stores are closed when they
+#: have been written, none allocates files ahead, and commits write changes only.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
-LOG_SCHEMA = "digest binary, n_chars long, doc_id long, locator string"
+CONTENT = "digest binary, n_chars long, doc_id long, norm string"
+_LOCATOR = "struct<file:string,row:long>"
 
 
 def normalised(text: Column) -> Column:
@@ -37,42 +44,39 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", "")
 
 
-def _digest(text: Column, digest_bytes: int) -> Column:
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, digest_bytes)
+def _locator() -> Column:
+    return F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 class StreamingDeduplicator:
-    """Keyed state over everything that was ever logged under ``home``.
+    """Keyed state over everything that was ever added under ``home``.
 
     ``home`` is a folder that all executors share. Each ``add`` appends rows to
-    the log and brings the state up to date; calling it again later, in another
-    session too, goes on from the checkpoint.
+    the content store and brings the state up to date; calling it again later, in
+    another session too, goes on from the checkpoint.
     """
 
     def __init__(self, spark: SparkSession, home: str, digest_bytes: int = 32):
         self.spark, self.home, self.digest_bytes = spark, home.rstrip("/"), digest_bytes
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        norm = normalised(F.col(text_col))
-        docs.select(
-            _digest(norm, self.digest_bytes).alias("digest"),
-            F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.input_file_name().alias("locator"),
-        ).write.mode("append").parquet(f"{self.home}/log")
+        rows = docs.select(
+            normalised(F.col(text_col)).alias("norm"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), F.col(id_col).cast("long").alias("doc_id")
+        )
+        digest = F.substring(F.unhex(F.sha2("norm", 256)), 1, self.digest_bytes).alias("digest")
+        rows.select(digest, "n_chars", "doc_id", "norm").write.mode("append").option("compression", "zstd").parquet(f"{self.home}/content")
         self._update()
 
     def _update(self) -> None:
         spark = self.spark
         # largest length first, then smallest id, null ids last
-        rank = F.struct(
-            F.col("n_chars"), F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("neg_id"), F.col("locator")
-        )
+        rank = F.struct(F.col("n_chars"), F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("neg_id"), _locator().alias("locator"))
         state = (
-            spark.readStream.schema(LOG_SCHEMA)
-            .parquet(f"{self.home}/log")
+            spark.readStream.schema(CONTENT)
+            .parquet(f"{self.home}/content")
+            .select("digest", rank.alias("rank"))
             .groupBy("digest")
-            .agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
+            .agg(F.max("rank").alias("best"), F.count(F.lit(1)).alias("group_size"))
         )
         home = self.home
 
@@ -97,17 +101,31 @@ class StreamingDeduplicator:
             for k, v in before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.home}/log")
+    def content(self) -> DataFrame:
+        """Everything that was added: digest, n_chars, doc_id, norm."""
+        return self.spark.read.schema(CONTENT).parquet(f"{self.home}/content")
 
     def keepers(self) -> DataFrame:
         """The state's latest row for each digest: digest, keep_id, locator, group_size."""
-        rows = self.spark.read.schema("digest binary, keep_id long, locator string, group_size long, batch long").parquet(f"{self.home}/keepers")
+        rows = self.spark.read.schema(f"digest binary, keep_id long, locator {_LOCATOR}, group_size long, batch long").parquet(f"{self.home}/keepers")
         if len(rows.select("batch").distinct().take(2)) < 2:
             return rows.drop("batch")
         latest = F.max_by(F.struct("keep_id", "locator", "group_size"), "batch")
         return rows.groupBy("digest").agg(latest.alias("x")).select("digest", "x.*")
 
+    def clashes(self, keepers: DataFrame) -> DataFrame:
+        """Digests that texts of different bytes share: every member of a digest is held against the text at its retained locator."""
+        repeated = keepers.where("group_size > 1").select("digest", "locator")
+        few = repeated.count() <= BROADCAST_DIGESTS
+        hits = self.content().select("digest", "norm").join(F.broadcast(repeated.select("digest")) if few else repeated.select("digest"), "digest")
+        at = repeated.select(F.col("digest").alias("own"), "locator.*")
+        stored = self.content().select("norm", F.inline(F.array(_locator())))
+        kept = stored.join(F.broadcast(at) if few else at, ["file", "row"]).select(F.col("own").alias("digest"), F.col("norm").alias("kept_norm"))
+        # A copy of the kept text goes to every member. Nothing is grouped right below or above the join, so that its large
+        # partitions can be split at run time.
+        clash = hits.join(stage(kept, "exact-kept-bytes").hint("merge"), "digest").where(F.col("norm") != F.col("kept_norm"))
+        return stage(clash.select("digest"), "exact-clashes").distinct()
+
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
@@ -121,27 +139,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key; results stay the same, since full bytes decide.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dedup = StreamingDeduplicator(spark, scratch_dir(spark, "exact-dedup"), digest_bytes)
-    dedup.add(docs)
+    dedup.add(docs, id_col, text_col)
     keepers = stage(dedup.keepers(), "exact-keepers")
-    repeated = keepers.where("group_size > 1")
-    few = repeated.count() <= BROADCAST_DIGESTS
-    full = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), normalised(F.col("text")).alias("norm"))
-    full = full.withColumn("digest", _digest(F.col("norm"), digest_bytes))
-    hits = full.join(F.broadcast(repeated) if few else repeated, "digest")
-    kept_bytes = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("norm").alias("kept_norm"))
-    # A copy of the kept text goes to every member. Nothing is grouped right below or above the join, so that its large
-    # partitions can be split at run time.
-    kept_bytes = stage(kept_bytes, "exact-kept-bytes")
-    clash = hits.select("digest", "norm").join(kept_bytes.hint("merge"), "digest").where(~F.col("norm").eqNullSafe(F.col("kept_norm")))
-    bad = stage(clash.select("digest"), "exact-clashes").distinct()
-    sure = dedup.log().withColumn("sha", F.lower(F.hex("digest"))) if digest_bytes == 32 else None
-    if not bad.take(1) and sure is not None:
-        rows = sure.join(keepers.drop("locator").hint("merge"), "digest")
-        return _result(rows)
-    rows = full.join(bad, "digest", "left_anti").join(keepers.drop("locator"), "digest").withColumn("sha", F.sha2("norm", 256))
-    torn = full.join(bad, "digest")
+    bad = dedup.clashes(keepers)
+    sha = F.lower(F.hex("digest")) if digest_bytes == 32 else F.sha2("norm", 256)
+    own, keepers = dedup.content(), keepers.drop("locator").hint("merge")
+    if not bad.take(1):
+        return _result(own.join(keepers, "digest").withColumn("sha", sha))
+    rows = own.join(bad, "digest", "left_anti").join(keepers, "digest").withColumn("sha", sha)
+    torn = own.join(bad, "digest")
     best = torn.groupBy("norm").agg(
         F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("neg_id"))).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
