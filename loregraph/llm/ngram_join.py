@@ -20,11 +20,8 @@ Frequencies come from prefixes that are a little longer than needed, counted ove
 all nodes; for dense sets all tokens are counted. Every list of sets with a
 common key is linked like a star to one centre, and lists that fell into one
 component are done, as are lists of two. For what is left, all pairs across
-components are tested, so no link is lost.
-
-A pair is tested in two steps. The least tokens of both sets, which are known
-from the count, bound what the two can share at most, which rules out sets that
-have just a passage in common; the rest is verified on the words of the texts.
+components are tested, so no link is lost. Pairs are verified on the words of
+their texts.
 """
 
 from __future__ import annotations
@@ -33,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm import _scan
@@ -51,6 +48,8 @@ BROADCAST_IDS = 500_000
 #: Tokens are marked in bitmaps of 2 to this power bits, whose size depends on nothing else.
 MARK_BITS = 27
 
+#: Lists are dealt to other centres once more while they hold more than so many pairs for each entry.
+MANY_PAIRS = 32
 #: So many of the least keys of a set are carried along to make a pair of sets once, not at every key that they share.
 LEAST_KEYS = 8
 
@@ -155,9 +154,6 @@ class Marks:
     def __or__(self, other: Marks) -> Marks:
         return Marks(self.words | other.words)
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Marks) and np.array_equal(self.words, other.words)
-
     def has(self, tokens: np.ndarray) -> np.ndarray:
         at = (tokens & np.uint64(64 * len(self.words) - 1)).astype(np.int64)
         return (self.words[at >> 6] >> (tokens & np.uint64(63))) & np.uint64(1) > 0
@@ -224,8 +220,8 @@ def _emit_keys(frequent: Marks, percent: int, shared: Marks | None = None):
 _KEYS = "key long, node long, n long, need long"
 
 
-def _dense(frequent: Marks, percent: int, known: Marks):
-    """Nodes whose measured tokens hold too few rare ones, but did not with the frequent tokens ``known`` before."""
+def _dense(frequent: Marks, percent: int, known: Marks | None):
+    """Nodes whose measured tokens hold too few rare ones, and, where ``known`` is given, did not with those frequent tokens."""
     bounds = Bounds(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +235,9 @@ def _dense(frequent: Marks, percent: int, known: Marks):
                 rare = np.concatenate([[0], np.cumsum(~marks.has(flat))])
                 return rare[at[1:]] - rare[at[:-1]] < need
 
-            mask = short(frequent) & ~short(known) & (np.diff(at) < n)
+            mask = short(frequent) & (np.diff(at) < n)
+            if known is not None:
+                mask &= ~short(known)
             yield batch.select(["node", "doc_id", "row"]).filter(pa.array(mask))
 
     return run
@@ -259,13 +257,6 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> Dat
     return found if found.count() <= wanted.count() else stage(found.dropDuplicates(["node"]), "jaccard-sets")
 
 
-def _most_shared() -> Column:
-    """What two sets share at most, from the least tokens of each (x of n, y of m): beyond the last one that is known on both sides, all may be common."""
-    last = F.least(*[F.when(F.size(t) < F.col(k), F.element_at(t, -1)).otherwise((1 << 63) - 1) for t, k in (("x", "n"), ("y", "m"))])
-    left = [F.col(k) - F.size(F.filter(t, lambda v: v <= last)) for t, k in (("x", "n"), ("y", "m"))]
-    return F.size(F.array_intersect("x", "y")) + F.least(*left)
-
-
 def word_shingles(text: str | None, n: int) -> set[tuple[bytes, ...]]:
     words = (text or "").encode().lower().split()  # of bytes: A-Z alone, and the six blanks
     return set(zip(*[words[k:] for k in range(n)], strict=False)) if len(words) >= n else {tuple(words)} if words else set()
@@ -288,28 +279,18 @@ def _verify(n: int, percent: int):
 
 
 class _Corpus:
-    """Documents (doc_id, row, text), their nodes (node, n, doc_id, row), least tokens of each (node, n, tokens), and the test of pairs of nodes."""
+    """Documents (doc_id, row, text), their nodes (node, n, doc_id, row), and the test of pairs of nodes on their words."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, least: DataFrame, n: int, percent: int):
-        self.docs, self.nodes, self.least, self.n, self.percent = docs, nodes, least, n, percent
+    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, percent: int):
+        self.docs, self.nodes, self.n, self.percent = docs, nodes, n, percent
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
         pairs = stage(pairs, "jaccard-pairs")
-        ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ends")
-        few = ends.count() <= BROADCAST_IDS
-        least = self.least.join(F.broadcast(ends) if few else ends, "node", "left_semi")
-        left = least.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x"))
-        right = least.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
-        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-        close = stage(both.where((100 + self.percent) * _most_shared() >= self.percent * (F.col("n") + F.col("m"))).select("a", "b"), "jaccard-close")
-        return self._on_texts(close)
-
-    def _on_texts(self, pairs: DataFrame) -> DataFrame:
         few = pairs.count() <= BROADCAST_IDS
-        ends = stage(self.nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "row"), "jaccard-named")
-        a = pairs.join(ends.withColumnRenamed("node", "a"), "a").select("a", "b", F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"))
-        b = ends.select(F.col("node").alias("b"), F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"))
+        named = self.nodes.select("node", F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"))
+        a = stage(pairs.join(named.withColumnRenamed("node", "a"), "a"), "jaccard-named")
+        b = stage(named.withColumnRenamed("node", "b").join(pairs.select("b").distinct(), "b"), "jaccard-named")
         same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))
         left, right = (self.docs.join(F.broadcast(x) if few else x, same).withColumnRenamed("text", t).drop("doc_id", "row", "w_id", "w_row") for x, t in ((a, "text_a"), (b, "text_b")))
         # a document is found again only where rows repeat its id and text
@@ -386,7 +367,7 @@ def _links(keys: DataFrame, corpus: _Corpus) -> DataFrame:
         if not rows:
             return edges
         postings = stage(postings.join(spread.select("key"), "key"), "jaccard-open")
-        if left <= 8 * rows or left > 0.8 * before:
+        if left <= MANY_PAIRS * rows or left > 0.8 * before:
             break
         before = left
     least = F.slice(F.array_sort(F.collect_list(F.struct("key", "need"))), 1, LEAST_KEYS).alias("least")
@@ -426,18 +407,18 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     can = _one_of_each(rows.where(F.size("tokens") > 0), nodes)
 
     counts = stage(can.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-counts")
-    frequent, known, dense = _frequent(counts), Marks.none(), None
-    while True:
-        # sets with too few rare tokens among the measured ones are counted as a whole, which may make more tokens frequent
+    frequent, dense = _frequent(counts), None
+    # Sets with too few rare tokens among the measured ones are counted as a whole. That makes more tokens frequent, and so
+    # some more sets dense; they need no count of their own, since all that matters is that every set sees the same classes.
+    for known in (None, frequent):
         found = stage(can.mapInArrow(_dense(frequent, percent, known), "node long, doc_id long, row long"), "jaccard-dense")
         if not found.take(1):
             break
         more = _whole_sets(docs, found, n, percent)
         dense = more if dense is None else dense.unionByName(more)
-        tokens = dense.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        known, frequent = frequent, frequent | _frequent(stage(tokens, "jaccard-dense-counts"))
-        if known == frequent:
-            break
+        if known is None:
+            tokens = dense.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+            frequent = frequent | _frequent(stage(tokens, "jaccard-dense-counts"))
     # a key of one set only links nothing: most such rare tokens are left out before any shuffle
     shared = Marks.of(counts)
     keys = can.mapInArrow(_emit_keys(frequent, percent, shared), _KEYS)
@@ -446,7 +427,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         whole = stage(dense.mapInArrow(_emit_keys(frequent, percent), _KEYS), "jaccard-dense-keys")
         shared = shared | Marks.of(whole, "key")
         keys = can.mapInArrow(_emit_keys(frequent, percent, shared), _KEYS).unionByName(whole)
-    labels = components(_links(stage(keys, "jaccard-keys"), _Corpus(docs, nodes, can.select("node", "n", "tokens"), n, percent)))
+    labels = components(_links(stage(keys, "jaccard-keys"), _Corpus(docs, nodes, n, percent)))
     placed = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     placed = stage(placed.join(least, "comp").select("node", "comp", "component_id"), "jaccard-components")
