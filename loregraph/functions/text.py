@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that search and mining leave out.
-STOPWORDS = (
-    "und oder der die das ein eine mit von für auf in zu den dem des ist sind nicht bei "
-    "the and for with from this that into issue task story bug todo done"
-).split()
+STOPWORDS = [
+    "und", "oder", "der", "die", "das", "ein", "eine", "mit", "von", "für", "auf", "in", "zu", "den", "dem", "des", "ist", "sind", "nicht", "bei",
+    "the", "and", "for", "with", "from", "this", "that", "into", "issue", "task", "story", "bug", "todo", "done",
+]
 
 # Words that name no domain term.
-NOISE_TERMS = (
-    "bitte danke sowie sollte koennen können wurde wurden wird haben hier diese dieser dieses there "
-    "would should could about after before because while where which when what ticket tickets request requests "
-    "service system feature problem problems update updates description kommentar comment body field text info "
-    "error errors failed failure please need needs user users team seite frage fragen"
-).split()
+NOISE_TERMS = [
+    "bitte", "danke", "sowie", "sollte", "koennen", "können", "wurde", "wurden", "wird", "haben", "hier", "diese", "dieser", "dieses", "there",
+    "would", "should", "could", "about", "after", "before", "because", "while", "where", "which", "when", "what", "ticket", "tickets", "request",
+    "requests", "service", "system", "feature", "problem", "problems", "update", "updates", "description", "kommentar", "comment", "body", "field",
+    "text", "info", "error", "errors", "failed", "failure", "please", "need", "needs", "user", "users", "team", "seite", "frage", "fragen",
+]
 
 # Parts of names of fields that hold comments.
 COMMENT_HINTS = ("comment", "kommentar", "rueckmeldung", "rückmeldung", "feedback", "discussion")
@@ -48,13 +49,28 @@ def search_tokens(text: Column, excluded: list[str] | None = None) -> Column:
     return F.filter(tokens_of(F.lower(F.coalesce(text, F.lit(""))), SEARCH_TOKEN), lambda t: ~t.isin(*out))
 
 
-def _fold_marks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+@lru_cache(maxsize=1)
+def _folded() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one of ASCII, these, and what the others fold to that leave several (compatibility decomposition)."""
+    one, to, many = [], [], {}
+    for p in range(128, sys.maxunicode + 1):
+        c = chr(p)
+        plain = "" if 0xD800 <= p < 0xE000 else unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one.append(c)
+            to.append(plain)
+        elif plain:
+            many[c] = plain
+    return "".join(one), "".join(to), many
 
 
 def fold(text: Column) -> Column:
     """Text without marks and other non-ASCII characters (compatibility decomposition)."""
-    return F.pandas_udf(_fold_marks, "string")(text)
+    one, to, many = _folded()
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
+    plain = F.when(text.rlike("[" + "".join(many) + "]"), wide).otherwise(text)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.translate(plain, one, to), "[^\\x00-\\x7F]+", "")).otherwise(text)
 
 
 def tfidf_tokens(text: Column, folded: bool = True) -> Column:

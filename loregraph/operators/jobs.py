@@ -74,8 +74,10 @@ def clean_stale(jobs: DataFrame, now: Column, timeout_s: int) -> DataFrame:
     """Jobs that ran past the timeout are failed; of several pending ones on a path the newest stays."""
     late = (F.col("status") == "processing") & (F.unix_timestamp(now) - F.unix_timestamp("started_at") > timeout_s)
     rows = jobs.withColumn("error_message", F.when(late, F.lit("timed out")).otherwise(F.col("error_message"))).withColumn("status", F.when(late, F.lit("failed")).otherwise(F.col("status")))
-    newest = W.partitionBy("path", "status").orderBy(F.desc("created_at"), "job_id")
-    return rows.withColumn("r", F.row_number().over(newest)).where((F.col("status") != "pending") | (F.col("r") == 1)).drop("r")
+    waiting = F.col("status").eqNullSafe("pending")
+    newest = W.partitionBy("path").orderBy(F.desc("created_at"), "job_id")
+    kept = rows.where(waiting).withColumn("r", F.row_number().over(newest)).where("r = 1").drop("r")
+    return rows.where(~waiting).unionByName(kept)
 
 
 def deletion_counts(ids: DataFrame, jobs: DataFrame) -> DataFrame:

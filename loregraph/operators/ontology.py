@@ -35,7 +35,11 @@ def _plain(value) -> str:
 
 def _json_ld(text: str) -> Iterator[dict]:
     data = json.loads(text)
-    for node in data.get("@graph", [data]) if isinstance(data, dict) else data:
+    if isinstance(data, dict):
+        data = data["@graph"] if isinstance(data.get("@graph"), list) else [data]
+    for node in data:
+        if not isinstance(node, dict):
+            continue
         own = {"id": _plain(node.get("@id") or node.get("id")), "label": "", "definition": "", "relations": []}
         for key, value in node.items():
             name = _tail(key)
@@ -122,7 +126,7 @@ def concepts_of(text: str | None) -> list[dict]:
             return [c for c in _rdf_xml(t) if c["id"]]
     except ElementTree.ParseError:
         pass
-    except ValueError:
+    except (ValueError, RecursionError):
         return []
     return [c for c in _turtle(t) if c["label"] or c["definition"] or c["relations"]]
 

@@ -1,7 +1,8 @@
 """Tables as Parquet snapshots: upserts, appends, deletes.
 
-An upsert writes a new snapshot and then names it in a pointer row; readers see
-the snapshot that the pointer names, so a writer that is lost leaves no half table.
+A write makes a new part of a table and then a pointer row with the parts that the
+table has from then on; readers see the parts of the newest pointer, so a writer that is
+lost leaves no half table. Parts that no pointer needs any more may be deleted at leisure.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,14 +45,21 @@ def cascade(blocks: DataFrame, embeddings: DataFrame, relations: DataFrame, gone
     return without(blocks, gone, "block_id"), without(embeddings, gone, "block_id"), relations
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the shared checkpoint folder and read back, which cuts their lineage."""
-    spark = rows.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one will do for a single process only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-loregraph-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared checkpoint folder and read back, which cuts their lineage."""
+    spark = rows.sparkSession
+    path = f"{shared_root(spark)}/settled-{uuid.uuid4().hex[:12]}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
@@ -61,37 +70,35 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str | None:
-        path = f"{self.root}/{name}/pointer"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+    def _pointer(self, name: str) -> tuple[int, list[str]] | None:
+        try:
+            row = self.spark.read.schema("version long, parts array<string>").parquet(f"{self.root}/{name}/pointer").orderBy(F.desc("version")).first()
+        except AnalysisException:  # no such path
             return None
-        return self.spark.read.parquet(path).orderBy(F.desc("version")).first()["snapshot"]
+        return (row["version"], row["parts"]) if row else None
+
+    def _point(self, name: str, rows: DataFrame, kept: list[str], version: int) -> None:
+        part = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}/{part}")
+        pointer = self.spark.createDataFrame([(version + 1, [*kept, part])], "version long, parts array<string>")
+        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/pointer")
 
     def exists(self, name: str) -> bool:
         return self._pointer(name) is not None
 
     def read(self, name: str) -> DataFrame:
-        snapshot = self._pointer(name)
-        if snapshot is None:
+        found = self._pointer(name)
+        if found is None:
             raise KeyError(name)
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}/{snapshot}")
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{name}/{p}" for p in found[1]])
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Replace a table."""
-        snapshot = f"snapshot-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}/{snapshot}")
-        old = self._versions(name)
-        self.spark.createDataFrame([(old + 1, snapshot)], "version long, snapshot string").coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/pointer")
-
-    def _versions(self, name: str) -> int:
-        return self.spark.read.parquet(f"{self.root}/{name}/pointer").agg(F.max("version")).first()[0] if self.exists(name) else 0
+        self._point(name, rows, [], (self._pointer(name) or (0, []))[0])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        if self.exists(name):
-            rows.write.mode("append").parquet(f"{self.root}/{name}/{self._pointer(name)}")
-        else:
-            self.write(name, rows)
+        version, parts = self._pointer(name) or (0, [])
+        self._point(name, rows, parts, version)
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], now: Column, keep: tuple[str, ...] = ("created_at",)) -> None:
         if self.exists(name):

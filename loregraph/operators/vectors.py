@@ -14,6 +14,10 @@ from loregraph.functions import text as tx
 from loregraph.functions.values import smoothed_idf
 
 
+#: Vocabularies of a bound up to this are broadcast.
+BROADCAST_TERMS = 100_000
+
+
 class Embedder(Protocol):
     """Anything with ``embed(text) -> list[float]``; it is shipped to the tasks."""
 
@@ -42,7 +46,7 @@ def tfidf(docs: DataFrame, key: str = "key", text: str = "text", min_df: int = 1
     """(weights: key, term, weight; vocabulary). Frequencies count all tokens, also those outside the vocabulary."""
     terms = terms_of(docs, tx.tfidf_tokens(F.col(text), folded), key)
     vocab = vocabulary(terms, docs.count(), min_df, max_features)
-    return weigh(terms, vocab), vocab
+    return weigh(terms, F.broadcast(vocab) if max_features and max_features <= BROADCAST_TERMS else vocab), vocab
 
 
 def weigh(terms: DataFrame, vocab: DataFrame) -> DataFrame:

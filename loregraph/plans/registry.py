@@ -243,22 +243,23 @@ def domain_terms_min_count(spark, sf):
 
 # -- vectors -------------------------------------------------------------------------------------------------------
 
-_TF = """tok AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS term FROM documents),
-tf AS (SELECT key, term, count(*) AS n FROM tok GROUP BY key, term),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+_TF = f"""tl AS (SELECT doc_id AS key, {_FOLDED} AS l FROM documents),
+tok AS (SELECT key, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM tl),
+tf AS (SELECT key, term, count(*) AS n, min(pos) AS pos FROM tok GROUP BY key, term),
+df AS (SELECT term, count(*) AS df, min({{'key': key, 'pos': pos}}) AS seen FROM tf GROUP BY term),
 nd AS (SELECT count(*) AS nd FROM documents),
-idf AS (SELECT term, df, ln((1 + CAST(nd AS DOUBLE)) / (1 + CAST(df AS DOUBLE))) + 1 AS idf FROM df, nd),
+idf AS (SELECT term, df, ln((1 + CAST(nd AS DOUBLE)) / (1 + CAST(df AS DOUBLE))) + 1 AS idf FROM df, nd ORDER BY df DESC, seen, term LIMIT 2048),
 total AS (SELECT key, sum(n) AS total FROM tf GROUP BY key),
 w AS (SELECT key, term, CAST(n AS DOUBLE) / total * idf AS weight FROM tf JOIN idf USING (term) JOIN total USING (key))"""
 
 
 def _tfidf(spark, sf):
-    return vectors.tfidf(views.docs(spark, sf), "key", "description", max_features=None, folded=False)
+    return vectors.tfidf(views.docs(spark, sf), "key", "description")
 
 
 @query(f"WITH {_TF} SELECT term, df FROM df")
 def document_frequency(spark, sf):
-    found = vectors.terms_of(views.docs(spark, sf), tx.tfidf_tokens(F.col("description"), False))
+    found = vectors.terms_of(views.docs(spark, sf), tx.tfidf_tokens(F.col("description")))
     return vectors.document_frequency(found).select("term", "df")
 
 
@@ -311,23 +312,26 @@ sem AS (SELECT w.key, sum(w.weight * coalesce(q.weight, 0)) / (sqrt(sum(w.weight
 @query(f"WITH {_SEM} SELECT key, round(score + 1e-9, 6) AS score FROM sem")
 def semantic_search(spark, sf):
     weights, vocab = _tfidf(spark, sf)
-    hits = search.sparse_similar(weights, vectors.query_weights(spark, _HQ, vocab, False))
+    hits = search.sparse_similar(weights, vectors.query_weights(spark, _HQ, vocab))
     return hits.select("key", values.stable(F.col("score")).alias("score"))
 
 
-@query(f"""WITH {_SEM}, {views.DOCS},
-lx AS (SELECT key, CAST({_SCORE} AS DOUBLE) AS score FROM v_docs WHERE {_HIT}),
+_HYBRID = f"""{_SEM}, {views.DOCS},
+lx AS (SELECT key, CAST({_SCORE} AS DOUBLE) AS score FROM v_docs WHERE {_HIT} ORDER BY score DESC, key LIMIT 80),
+sx AS (SELECT key, score FROM sem ORDER BY score DESC, key LIMIT 80),
 ls AS (SELECT key, score / max(score) OVER () AS lexical_score FROM lx),
-ss AS (SELECT key, score / max(score) OVER () AS semantic_score FROM sem)
-SELECT key, round(coalesce(lexical_score, 0) + 1e-9, 6) AS lexical_score, round(coalesce(semantic_score, 0) + 1e-9, 6) AS semantic_score,
-       round(0.35 * coalesce(lexical_score, 0) + 0.65 * coalesce(semantic_score, 0) + 1e-9, 6) AS combined_score
-FROM ls FULL JOIN ss USING (key)""")
+ss AS (SELECT key, score / max(score) OVER () AS semantic_score FROM sx),
+hs AS (
+  SELECT key, coalesce(lexical_score, 0) AS lexical_score, coalesce(semantic_score, 0) AS semantic_score,
+         0.35 * coalesce(lexical_score, 0) + 0.65 * coalesce(semantic_score, 0) AS combined_score
+  FROM ls FULL JOIN ss USING (key) ORDER BY combined_score DESC, key LIMIT 20)"""
+
+
+@query(f"""WITH {_HYBRID} SELECT key, round(lexical_score + 1e-9, 6) AS lexical_score, round(semantic_score + 1e-9, 6) AS semantic_score, round(combined_score + 1e-9, 6) AS combined_score FROM hs""")
 def hybrid_search(spark, sf):
     weights, vocab = _tfidf(spark, sf)
-    docs = views.docs(spark, sf)
-    lexical = search.lexical_search(docs, SEARCH_QUERY, None).select("key", "score")
-    fused = search.fuse(lexical, search.sparse_similar(weights, vectors.query_weights(spark, _HQ, vocab, False)), limit=None)
-    return fused.select("key", *(values.stable(F.col(c)).alias(c) for c in ("lexical_score", "semantic_score", "combined_score")))
+    hits = search.hybrid_search(views.docs(spark, sf), weights, SEARCH_QUERY, vectors.query_weights(spark, _HQ, vocab), 20)
+    return hits.select("key", *(values.stable(F.col(c)).alias(c) for c in ("lexical_score", "semantic_score", "combined_score")))
 
 
 # -- graph ---------------------------------------------------------------------------------------------------------
@@ -373,10 +377,10 @@ def related_label_edges(spark, sf):
     return graph.related_label_edges(_day_issues(spark, sf))
 
 
-@query(f"""WITH {_NODES} SELECT n.node_id, n.node_type, e.relation, e.weight FROM v_edges e JOIN v_nodes n ON e.dst_id = n.node_id WHERE e.src_id = 'issue:O-7'""")
+@query(f"""WITH {_NODES} SELECT n.node_id, n.node_type, e.relation, e.weight FROM v_edges e JOIN v_nodes n ON e.dst_id = n.node_id WHERE e.src_id = 'issue:O-7' ORDER BY e.weight DESC, n.node_id, e.relation LIMIT 6""")
 def issue_neighbors(spark, sf):
     i = views.issues(spark, sf)
-    return graph.neighbors(graph.issue_edges(i), graph.issue_nodes(i), "issue:O-7", limit=None)
+    return graph.neighbors(graph.issue_edges(i), graph.issue_nodes(i), "issue:O-7", limit=6)
 
 
 @query(f"""WITH {_NODES}, seeds AS (SELECT 'issue:O-' || k AS node_id, k AS rank FROM (SELECT unnest([1, 2, 3, 5, 7]) AS k)),
@@ -425,14 +429,14 @@ def children(spark, sf):
 
 _REACH = f"""{views.FACTS},
 e AS (SELECT DISTINCT CAST(source_term_id AS VARCHAR) AS src, CAST(target_term_id AS VARCHAR) AS dst FROM v_rel),
-walk(node_id, hops) AS (SELECT '0', 0 UNION SELECT e.dst, hops + 1 FROM walk JOIN e ON walk.node_id = e.src WHERE hops < 10)"""
+walk(node_id, hops) AS (SELECT '0', 0 UNION SELECT e.dst, hops + 1 FROM walk JOIN e ON walk.node_id = e.src WHERE hops < (SELECT count(DISTINCT dst) + 1 FROM e))"""
 
 
 @query(f"WITH RECURSIVE {_REACH} SELECT node_id, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY node_id")
 def shortest_paths(spark, sf):
     r = views.term_relations(spark, sf)
     edges = r.select(F.col("source_term_id").cast("string").alias("src_id"), F.col("target_term_id").cast("string").alias("dst_id"))
-    return graph.distances(edges, "0", 10)
+    return graph.distances(edges, "0")
 
 
 _VAR = "'n_' || regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]', '_', 'g')"
@@ -526,18 +530,45 @@ def forget_term(spark, sf):
 
 
 def _label_terms_table(spark, sf) -> DataFrame:
+    """The two words that each document starts with, as terms."""
     d = table(spark, sf, "documents")
-    first = F.array_join(F.slice(F.split(tx.canonical_term(F.substring("text", 1, 200)), " "), 1, 2), " ")
-    rows = d.where("doc_id % 10 = 3").select("doc_id", first.alias("normalized_label")).groupBy("normalized_label").agg(F.min("doc_id").alias("seen"))
+    first = F.array_join(F.slice(F.split(tx.canonical_term(F.col("text")), " "), 1, 2), " ")
+    rows = d.select("doc_id", first.alias("normalized_label")).groupBy("normalized_label").agg(F.min("doc_id").alias("seen"))
     return rows.where(F.col("normalized_label").rlike("^[a-z]+ [a-z]+$")).select(tx.hashed_id("term:", F.col("normalized_label")).alias("term_id"), "normalized_label", "seen")
 
 
 _LABELS = f"""lt AS (
   SELECT 'term:' || substr(sha1(l), 1, 20) AS term_id, l AS normalized_label, min(doc_id) AS seen
-  FROM (SELECT doc_id, array_to_string(string_split({_CANON.format('substr(text, 1, 200)')}, ' ')[1:2], ' ') AS l FROM documents WHERE doc_id % 10 = 3) WHERE regexp_full_match(l, '[a-z]+ [a-z]+') GROUP BY l),
+  FROM (SELECT doc_id, array_to_string(string_split({_CANON.format('text')}, ' ')[1:2], ' ') AS l FROM documents) WHERE regexp_full_match(l, '[a-z]+ [a-z]+') GROUP BY l),
 tx AS (SELECT doc_id, ' ' || regexp_replace({_CANON.format('text')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') || ' ' AS t, {_CANON.format('text')} AS raw FROM documents WHERE len(trim(text)) >= 20)"""
 
 
+_ANSWERS = """a AS (
+  SELECT p_partkey AS term_id, p_name || ' of ' || p_brand AS d, p_type AS f, p_brand AS rel, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size / 50.0 END AS sure, p_size % 2 = 0 AS named FROM part)"""
+
+
+def _answers(spark, sf) -> DataFrame:
+    """Parts as a model's answers on the terms that they stand for."""
+    p = table(spark, sf, "part")
+    related = F.struct(F.col("p_brand").alias("label"), F.when(F.col("p_size") % 2 == 0, "uses").alias("relation"), F.lit(0.8).alias("weight"))
+    sure = F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") / 50.0).alias("confidence")
+    answer = F.struct(F.concat_ws(" of ", "p_name", "p_brand").alias("definition"), F.array("p_type", F.upper("p_type")).alias("short_facts"), F.array(related, F.struct(F.lit(" ").alias("label"), F.lit("x").alias("relation"), F.lit(0.1).alias("weight"))).alias("related_terms"), sure)
+    return p.select(F.col("p_partkey").alias("term_id"), F.concat(F.lit("Here it is: "), F.to_json(answer)).alias("answer"))
+
+
+@query(f"""WITH {_ANSWERS}, f AS (SELECT term_id, 'definition' AS fact_type, d AS content, sure FROM a UNION ALL SELECT term_id, 'short_fact', f, sure FROM a WHERE term_id % 5 <> 0)
+SELECT term_id, fact_type, content, round(least(1.0, greatest(0.0, coalesce(sure, 0.6))) + 1e-9, 6) AS confidence FROM f""")
+def enriched_facts(spark, sf):
+    known = table(spark, sf, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("term_id"), F.lit("short_fact").alias("fact_type"), F.lower("p_type").alias("content"))
+    return terms.enriched(_answers(spark, sf), known, now())[0].select("term_id", "fact_type", "content", values.stable(F.col("confidence")).alias("confidence"))
+
+
+@query(f"""WITH {_ANSWERS} SELECT term_id AS source_term_id, 'term:' || substr(sha1({_CANON.format('rel')}), 1, 20) AS target_term_id, rel AS target_label, CASE WHEN named THEN 'uses' ELSE 'related_to' END AS relation_type, 0.8::DOUBLE AS weight FROM a""")
+def enriched_relations(spark, sf):
+    none = spark.createDataFrame([], "term_id long, fact_type string, content string")
+    return terms.enriched(_answers(spark, sf), none, now())[1].drop("created_at")
+
+
 @query(f"""WITH {_LABELS}, h AS (SELECT doc_id AS record_id, term_id, row_number() OVER (PARTITION BY doc_id ORDER BY seen, term_id) AS r FROM tx, lt WHERE contains(t, ' ' || normalized_label || ' ') AND contains(raw, normalized_label) AND len(normalized_label) >= 4)
 SELECT record_id, term_id FROM h WHERE r <= 14""")
 def record_term_links(spark, sf):
@@ -582,17 +613,21 @@ def stale_jobs(spark, sf):
     return jobs.clean_stale(j, now(), 864000).select("job_id", "status")
 
 
-@query(f"""WITH {views.JOBS}, k AS (SELECT DISTINCT key FROM v_jobs), b AS (SELECT DISTINCT key FROM v_jobs WHERE job_type = 'type-1' AND status IN ('pending', 'running') AND created_at < TIMESTAMP '2024-01-04 00:00:00')
+@query(f"""WITH {views.JOBS}, k AS (SELECT DISTINCT key FROM v_jobs UNION SELECT 'order-' || o_orderkey FROM orders), b AS (SELECT DISTINCT key FROM v_jobs WHERE job_type = 'type-1' AND status IN ('pending', 'running'))
 SELECT key, 'pending' AS status FROM k WHERE key NOT IN (SELECT key FROM b)""")
 def enqueue_jobs(spark, sf):
     j = views.jobs(spark, sf)
-    return jobs.enqueue(j.select("key"), j.where("created_at < '2024-01-04'"), "type-1", now(), block_done=False).select("key", "status")
+    keys = j.select("key").union(table(spark, sf, "orders").select(F.concat(F.lit("order-"), "o_orderkey")))
+    return jobs.enqueue(keys, j, "type-1", now(), block_done=False).select("key", "status")
 
 
-@query(f"""WITH {views.JOBS}, i AS (SELECT 'job:' || g AS job_id FROM range(0, 20000, 7) t(g)), x AS (SELECT i.job_id, status FROM i LEFT JOIN v_jobs USING (job_id))
+@query(f"""WITH {views.JOBS}, i AS (SELECT 'job:' || event_id AS job_id FROM events UNION ALL SELECT 'gone:' || event_id FROM events WHERE event_id % 7 = 0), x AS (SELECT i.job_id, status FROM i LEFT JOIN v_jobs USING (job_id))
 SELECT count(*) FILTER (status IN ('done', 'failed')) AS deleted, count(*) FILTER (status IN ('pending', 'running')) AS skipped_active, count(*) FILTER (status IS NULL) AS skipped_missing FROM x""")
 def delete_missing_counts(spark, sf):
-    return jobs.deletion_counts(spark.range(0, 20000, 7).select(F.concat(F.lit("job:"), "id").alias("job_id")), views.jobs(spark, sf))
+    """Every job is asked to go, and some that do not exist."""
+    e = table(spark, sf, "events")
+    ids = e.select(F.concat(F.lit("job:"), "event_id").alias("job_id")).union(e.where("event_id % 7 = 0").select(F.concat(F.lit("gone:"), "event_id")))
+    return jobs.deletion_counts(ids, views.jobs(spark, sf))
 
 
 @query(f"""WITH {views.JOBS}, a AS (SELECT status, CAST(greatest(0, floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(updated_at))) / 60)) AS BIGINT) AS age FROM v_jobs)
@@ -610,14 +645,14 @@ def upsert_last_wins(spark, sf):
     return store.last_wins(e, ["user_id"], "event_id")
 
 
-@query("""WITH old AS (SELECT user_id, min(event_id) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id), new AS (SELECT user_id, max(event_id) AS value FROM events WHERE event_id % 5 = 0 GROUP BY user_id)
+@query("""WITH old AS (SELECT user_id, min(event_id) AS value FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id), new AS (SELECT user_id, max(event_id) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id)
 SELECT coalesce(new.user_id, old.user_id) AS user_id, coalesce(new.value, old.value) AS value, CASE WHEN old.user_id IS NOT NULL THEN '2024-01-01' ELSE '2024-01-31' END AS created, CASE WHEN new.user_id IS NOT NULL THEN '2024-01-31' ELSE '2024-01-01' END AS updated
 FROM old FULL JOIN new USING (user_id)""")
 def upsert_keep_column(spark, sf):
     e = table(spark, sf, "events")
     first = F.lit("2024-01-01").cast("timestamp")
-    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.min("event_id").alias("value")).withColumn("created_at", first).withColumn("updated_at", first)
-    new = e.where("event_id % 5 = 0").groupBy("user_id").agg(F.max("event_id").alias("value"))
+    old = e.where("ts < TIMESTAMP '2024-01-15 00:00:00'").groupBy("user_id").agg(F.min("event_id").alias("value")).withColumn("created_at", first).withColumn("updated_at", first)
+    new = e.where("ts >= TIMESTAMP '2024-01-15 00:00:00'").groupBy("user_id").agg(F.max("event_id").alias("value"))
     out = store.merged(old, new, ["user_id"], now())
     return out.select("user_id", "value", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
@@ -717,15 +752,15 @@ def ontology_select(spark, sf):
 
 
 def _modules(spark, sf) -> DataFrame:
-    """Conversations as quiz modules: users ask, answers are the options."""
-    c = table(spark, sf, "conversations").where("role = 'user'")
-    q = F.struct(F.concat(F.lit("q"), "turn").alias("id"), F.substring("text", 1, 60).alias("question"), F.array(F.struct(F.lit("A").alias("id"), F.lit("yes").alias("text")), F.struct(F.lit("B").alias("id"), F.lit("no").alias("text"))).alias("options"), F.when(F.col("turn") % 4 == 0, "A").otherwise("B").alias("correct_option_id"))
+    """Conversations as quiz modules: every turn is a question."""
+    c = table(spark, sf, "conversations").dropDuplicates(["conv_id", "turn"]).withColumn("text", F.coalesce("text", F.lit("")))
+    q = F.struct(F.concat(F.lit("q"), "turn").alias("id"), F.col("text").alias("question"), F.array(F.struct(F.lit("A").alias("id"), F.lit("yes").alias("text")), F.struct(F.lit("B").alias("id"), F.lit("no").alias("text"))).alias("options"), F.when(F.col("turn") % 4 == 0, "A").otherwise("B").alias("correct_option_id"))
     docs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", q.alias("q")))).getField("q").alias("questions"))
     text = F.to_json(F.struct(F.struct(F.concat(F.lit("m"), "conv_id").alias("id"), F.concat(F.lit("Module "), "conv_id").alias("title"), "questions").alias("quiz")))
     return quiz.normalise(docs.select(text.alias("json")))
 
 
-@query("""WITH u AS (SELECT conv_id, turn, substr(text, 1, 60) AS text FROM conversations WHERE role = 'user')
+@query("""WITH u AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, coalesce(text, '') AS text FROM conversations)
 SELECT DISTINCT 'quiz:m' || conv_id || ':module' AS block_id, 'quiz_module' AS block_type, 'Module ' || conv_id AS content FROM u
 UNION ALL SELECT 'quiz:m' || conv_id || ':question:q' || turn, 'quiz_question', text FROM u
 UNION ALL SELECT 'quiz:m' || conv_id || ':question:q' || turn || ':option:A', 'quiz_option', 'yes' FROM u
@@ -734,7 +769,7 @@ def quiz_records(spark, sf):
     return quiz.records(_modules(spark, sf)).select("block_id", "block_type", "content")
 
 
-@query("""WITH u AS (SELECT 'quiz:m' || conv_id || ':module' AS m, 'quiz:m' || conv_id || ':question:q' || turn AS q, turn FROM conversations WHERE role = 'user')
+@query("""WITH u AS (SELECT 'quiz:m' || conv_id || ':module' AS m, 'quiz:m' || conv_id || ':question:q' || turn AS q, turn FROM (SELECT DISTINCT conv_id, turn FROM conversations))
 SELECT m AS src_id, q AS dst_id, 'contains' AS relation FROM u UNION ALL SELECT q, q || ':option:A', 'has_option' FROM u UNION ALL SELECT q, q || ':option:B', 'has_option' FROM u
 UNION ALL SELECT q, q || ':option:' || CASE WHEN turn % 4 = 0 THEN 'A' ELSE 'B' END, 'correct_option' FROM u""")
 def quiz_relations(spark, sf):

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loregraph.operators.store import last_wins
+
 
 def daily_counts(events: DataFrame, lateness: str = "2 days", ts: str = "ts", kind: str = "event_type") -> DataFrame:
     """day, kind, n per day of event time; rows later than the watermark are left out."""
@@ -14,10 +16,10 @@ def daily_counts(events: DataFrame, lateness: str = "2 days", ts: str = "ts", ki
     return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "kind", "n")
 
 
-def upsert_stream(rows: DataFrame, warehouse, name: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Every micro-batch is upserted into a table of the warehouse; the last row of a key wins."""
+def upsert_stream(rows: DataFrame, warehouse, name: str, keys: list[str], checkpoint: str, seq: str) -> StreamingQuery:
+    """Every micro-batch is upserted into a table of the warehouse; of the rows of a key in it that of the largest ``seq`` wins."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        warehouse.upsert(name, batch.dropDuplicates(keys), keys, F.current_timestamp())
+        warehouse.upsert(name, last_wins(batch, keys, seq), keys, F.current_timestamp())
 
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

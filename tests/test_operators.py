@@ -1,6 +1,7 @@
 """Operators on constructed rows: cases that the star schema does not have."""
 
 import datetime as dt
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ def test_text_columns(spark):
     assert one(spark, tx.label_terms(F.lit("api-gateway"))) == ["api gateway", "gateway"]
     assert one(spark, tx.snippet(F.lit("a  b\nc" * 50), 10)).endswith("…")
     assert one(spark, tx.tfidf_tokens(F.lit("Café ßtraße x1y"))) == ["cafe", "trae", "x1y"]
+    for odd in ("ﬁn ½ Ⅷ ㏂ e\u0301 ｆｕｌｌ 한 🙂 𝐁old ①②", "", "plain", "Ångström ǅ İ"):
+        assert one(spark, tx.fold(F.lit(odd))) == unicodedata.normalize("NFKD", odd).encode("ascii", "ignore").decode()
     assert one(spark, tx.domain_name(F.lit("  My Domain! "))) == "my-domain"
     assert one(spark, tx.domain_name(F.lit("!!"))) == "default"
     assert one(spark, tx.id_tail(F.lit("http://x/y#Thing"))) == "Thing"
@@ -193,10 +196,18 @@ def test_terms(spark):
     assert [(r["record_id"], r["evidence"]) for r in terms.record_links(records, t).collect()] == [("r", "matched 'oauth'")]
     gaps = terms.term_gaps(spark.createDataFrame([(1, "API Gateway")], "term_id int, canonical_label string"), spark.createDataFrame([(1, 1, "short_fact", 0.35, None)], "fact_id int, term_id int, fact_type string, confidence double, supersedes_fact_id int"), spark.createDataFrame([], "source_term_id int"), min_confidence=0.7)
     assert round(gaps.first()["priority_score"], 6) == 10.35
-    answers = spark.createDataFrame([(1, 'x {"definition": "D", "short_facts": ["a", "A", "b"], "relations": [{"target": "Token", "type": "uses", "weight": 2}], "confidence": 0.86} y'), (2, "no json")], "term_id int, answer string")
+    answers = spark.createDataFrame(
+        [
+            (1, 'x {"definition": "D", "short_facts": ["a", "A", "b"], "related_terms": [{"label": "Token", "relation": "uses", "weight": 2}, {"label": "Key"}, {"label": " "}]} y'), (2, "no json"),
+            (3, '{"definition": "OAuth ist ein Framework.", "short_facts": ["OAuth nutzt Tokens."], "related_terms": [{"label":"OpenID Connect","relation":"related_to","weight":0.8}], "confidence": 0.86}'),
+        ],
+        "term_id int, answer string",
+    )
     facts = spark.createDataFrame([(1, "short_fact", "B")], "term_id int, fact_type string, content string")
     new, links = terms.enriched(answers, facts, F.lit("2026-01-01"))
-    assert sorted(r["content"] for r in new.collect()) == ["D", "a"] and [r["weight"] for r in links.collect()] == [1.0]
+    assert sorted((r["term_id"], r["content"], r["confidence"]) for r in new.collect()) == [(1, "D", 0.6), (1, "a", 0.6), (3, "OAuth ist ein Framework.", 0.86), (3, "OAuth nutzt Tokens.", 0.86)]
+    assert sorted((r["source_term_id"], r["target_label"], r["relation_type"], r["weight"]) for r in links.collect()) == [(1, "Key", "related_to", 0.5), (1, "Token", "uses", 1.0), (3, "OpenID Connect", "related_to", 0.8)]
+    assert terms.enriched(answers, facts, F.lit("2026-01-01"), links)[1].collect() == []
 
 
 def test_jobs(spark):

@@ -64,8 +64,8 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert {(r["day"], r["kind"]): r["n"] for r in spark.table("counts").collect()} == {("2026-01-01", "view"): 2, ("2026-01-02", "click"): 1}
     w = Warehouse(spark, f"file://{tmp_path}/w")
-    timeline.upsert_stream(stream.select("id", "event_type"), w, "events", ["id"], f"file://{tmp_path}/ck").awaitTermination()
-    assert w.read("events").count() == 3
+    timeline.upsert_stream(stream.select("event_type", "id"), w, "events", ["event_type"], f"file://{tmp_path}/ck", "id").awaitTermination()
+    assert {(r["event_type"], r["id"]) for r in w.read("events").collect()} == {("view", 2), ("click", 3)}
 
 
 def test_engine(spark, tmp_path):
