@@ -6,6 +6,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -197,3 +198,78 @@ def render(template: Column, **values: Column) -> Column:
     for name, value in values.items():
         template = F.replace(template, F.lit("{{" + name + "}}"), F.coalesce(value, F.lit("")))
     return template
+
+
+def relation_target(value: Column) -> Column:
+    """(relation, target) of "relation->target"; of a prefixed or full name only its end is the relation."""
+    raw = F.trim(F.substring_index(value, "->", 1))
+    name = F.when(raw.contains(":"), F.substring_index(raw, ":", -1)).otherwise(id_tail(raw))
+    cut = F.instr(value, F.lit("->"))
+    target = F.when(cut > 0, F.trim(F.substring(value, cut + 2, F.length(value)))).otherwise(F.lit(""))
+    return F.struct(F.coalesce(name, F.lit("")).alias("relation"), F.coalesce(target, F.lit("")).alias("target"))
+
+
+def _url_file(url: Column) -> Column:
+    path = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "[?#].*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    return F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1)
+
+
+def url_slug(url: Column) -> Column:
+    """A name for a file from its address: without ending and with - for other signs; "ontology" where nothing is left."""
+    stem = F.regexp_replace(_url_file(url), "(?<=.)\\.[^.]+$", "")
+    slug = F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", "")
+    return F.when(slug == "", F.lit("ontology")).otherwise(slug)
+
+
+def url_title(url: Column, kind: str) -> Column:
+    """The file's name, or the host's, with _ for other signs."""
+    host = F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    name = F.coalesce(F.nullif(_url_file(url), F.lit("")), F.nullif(host, F.lit("")))
+    clean = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(clean, F.lit("")), F.lit(f"ontology_{kind}"))
+
+
+def artifact_preview(kind: Column, content: Column, limit: int = 240) -> Column:
+    """The first section of a summary note, its title or content otherwise; of other artifacts the text with white space squeezed."""
+    text = F.trim(F.coalesce(content, F.lit("")))
+
+    def field(path: str) -> Column:
+        return F.nullif(F.trim(F.get_json_object(text, path)), F.lit(""))
+
+    title, summary = field("$.sections[0].title"), field("$.sections[0].summary")
+    first = F.when(title.isNotNull(), F.concat(title, F.lit(": "), F.coalesce(summary, F.lit("")))).otherwise(summary)
+    note = F.when(kind == "summary_note", F.coalesce(first, field("$.title"), field("$.content")))
+    return F.substring(F.coalesce(note, squeeze(text)), 1, limit)
+
+
+def display_path(path: Column, data_root: str, home: str) -> Column:
+    """A path below the data folder or the home folder is shown from there."""
+    shown = path
+    for root, mark in ((home, "~"), (data_root, "DATADIR")):
+        root = root.rstrip("/")
+        shown = F.when(path == root, F.lit(mark)).when(path.startswith(root + "/"), F.concat(F.lit(mark), F.substring(path, len(root) + 1, 100_000))).otherwise(shown)
+    return F.coalesce(shown, F.lit("-"))
+
+
+def template_name(name: Column) -> Column:
+    c = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), "[^a-z0-9._-]+", "-"), "^[-._]+|[-._]+$", "")
+    return F.when(c == "", F.lit("default")).otherwise(c)
+
+
+def answer_lines(answer: Column) -> Column:
+    """The lines of a model's answer that are not blank."""
+    return F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def unified_diff(before: Column, after: Column) -> Column:
+    """What changed between two versions of a text, as difflib writes it."""
+    import difflib
+
+    def one(a: str | None, b: str | None) -> str:
+        return "".join(difflib.unified_diff((a or "").splitlines(keepends=True), (b or "").splitlines(keepends=True), fromfile="snapshot", tofile="current"))
+
+    @F.pandas_udf("string")
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return diff(before, after)

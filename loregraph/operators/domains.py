@@ -48,3 +48,36 @@ def file_tree(files: DataFrame, text: str = "") -> DataFrame:
     name = F.substring_index("path", "/", -1)
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     return rows.groupBy(folder.alias("folder")).agg(F.sort_array(F.collect_list(name)).alias("files"))
+
+
+def reset(gone: DataFrame, tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables without the rows of the sources (source_id) that go; how many each loses: name, deleted).
+
+    Tables with a source_id lose their own rows, those with a block_id alone the rows of lost blocks, relations (src_id,
+    dst_id) those with a lost block at either end.
+    """
+    gone = gone.select("source_id").distinct()
+    lost = tables["blocks"].join(gone, "source_id", "left_semi").select("block_id").distinct()
+    kept, counts = {}, None
+    for name, rows in tables.items():
+        if "source_id" in rows.columns:
+            left = rows.join(gone, "source_id", "left_anti")
+        elif "block_id" in rows.columns:
+            left = rows.join(lost, "block_id", "left_anti")
+        else:
+            left = rows
+            for end in ("src_id", "dst_id"):
+                left = left.join(lost.withColumnRenamed("block_id", end), end, "left_anti")
+        kept[name] = left
+        n = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(left.agg(F.count(F.lit(1)).alias("left"))))  # one row
+        n = n.select(F.lit(name).alias("name"), (F.col("n") - F.col("left")).alias("deleted"))
+        counts = n if counts is None else counts.unionByName(n)
+    return kept, counts
+
+
+def states(domains: DataFrame, files: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Per domain (domain): its files, and the rows of each table that has a domain."""
+    out = domains.select("domain").distinct()
+    for name, rows in {"files": files, **tables}.items():
+        out = out.join(rows.groupBy("domain").agg(F.count(F.lit(1)).alias(name)), "domain", "left")
+    return out.na.fill(0)

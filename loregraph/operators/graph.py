@@ -62,6 +62,14 @@ def related_label_edges(issues: DataFrame, max_label_degree: int | None = None)
     return pairs.select(both.alias("e"), "weight").select("e.src_id", "e.dst_id", F.lit("related_label").alias("relation"), "weight")
 
 
+def related_to(issues: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The related_label edges that go out from the seeds (key): each seed meets the issues of its labels, other pairs are not made."""
+    rows = issues.select("key", F.explode("labels").alias("label")).select("key", F.trim(F.lower("label")).alias("label")).where("label != ''").distinct()
+    own = rows.join(seeds.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "seed")
+    pairs = rows.join(own, "label").where("seed != key").groupBy("seed", "key").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return pairs.select(F.concat(F.lit("issue:"), "seed").alias("src_id"), F.concat(F.lit("issue:"), "key").alias("dst_id"), F.lit("related_label").alias("relation"), "weight")
+
+
 def neighbors(edges: DataFrame, nodes: DataFrame, node_id: str, relations: list[str] | None = None, limit: int | None = 25) -> DataFrame:
     """Outgoing neighbours that are nodes: node_id, node_type, relation, weight; heaviest first."""
     rows = edges.where(F.col("src_id") == node_id)

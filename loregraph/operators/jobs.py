@@ -94,3 +94,15 @@ def queue_report(jobs: DataFrame, now: Column, stale_minutes: int = 30) -> DataF
     return jobs.withColumn("age", F.greatest(F.lit(0), age)).groupBy("status").agg(
         F.count(F.lit(1)).alias("jobs"), F.max("age").alias("oldest_minutes"), F.count_if((F.col("age") >= stale_minutes) & F.col("status").isin("running", "processing")).alias("stale")
     )
+
+
+def enqueue_gaps(gaps: DataFrame, jobs: DataFrame, now: Column, limit: int = 100, job_type: str = "refine") -> DataFrame:
+    """New jobs for the most urgent gaps (term_id, priority_score, fact_count) without an open or finished one of the type."""
+    keys = gaps.orderBy(F.desc("priority_score"), "fact_count", "term_id").limit(limit).select(F.col("term_id").alias("key"))
+    return enqueue(keys, jobs, job_type, now)
+
+
+def with_prompts(jobs: DataFrame, prompts: DataFrame, now: Column) -> DataFrame:
+    """``jobs`` with the prompts (job_id, prompt) that were sent for them, and their hashes."""
+    rows = jobs.drop("prompt_text", "prompt_hash").join(prompts.select("job_id", F.col("prompt").alias("prompt_text")), "job_id", "left")
+    return rows.withColumn("prompt_hash", F.sha2("prompt_text", 256)).withColumn("updated_at", F.when(F.col("prompt_text").isNotNull(), now).otherwise(F.col("updated_at")))

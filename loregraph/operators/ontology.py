@@ -190,3 +190,14 @@ def markdown(selected: DataFrame) -> DataFrame:
     part = F.concat(F.lit("## "), F.col("rank"), F.lit(". "), F.col("label"), F.lit("\n\n"), F.coalesce("definition", F.lit("")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"])
     return selected.groupBy("path").agg(F.array_join(parts, "\n\n").alias("markdown"))
+
+
+def concept_graph(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of concepts: edges between known concepts of a document by their whole ids, to themselves as well."""
+    rows = ranked(concepts)
+    label = F.when(F.trim("label") != "", F.col("label")).otherwise(F.col("concept_id"))
+    nodes = rows.select("path", F.col("concept_id").alias("node_id"), F.lit("ontology_concept").alias("node_type"), label.alias("label"), "quality")
+    links = rows.select("path", F.col("concept_id").alias("src_id"), F.explode("relations").alias("x"))
+    links = links.select("path", "src_id", F.trim("x.target").alias("dst_id"), F.substring_index("x.name", ":", -1).alias("relation")).where("relation != ''")
+    edges = links.join(nodes.select("path", F.col("node_id").alias("dst_id")), ["path", "dst_id"]).select("path", "src_id", "dst_id", "relation", F.lit(1.0).alias("weight")).distinct()
+    return nodes, edges

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loregraph.functions import text as tx
@@ -141,6 +142,25 @@ def context_prompt(question: str, hits: DataFrame, graph_hits: DataFrame | None
     return joined.select(F.concat(F.lit(f"Question: {question}\n\nContext:\n"), F.col("context")).alias("prompt"))
 
 
+def graph_context(issues: DataFrame, hits: DataFrame, per_seed: int = 3, most: int = 8, limit: int = 4) -> DataFrame:
+    """Issues that the graph adds to hits (key, rank), with their rank: key, summary, full_text, rank.
+
+    The heaviest neighbours of the hits by shared labels, first hit first, are searched for by their keys; what
+    is no hit yet is added. The neighbours' keys are the words of a query, ``most`` of them.
+    """
+    from loregraph.operators.graph import expand, related_to
+
+    seeds = hits.select(F.concat(F.lit("issue:"), "key").alias("node_id"), "rank")
+    near = expand(related_to(issues, hits), seeds, ["related_label"], per_seed)
+    keys = [r["node_id"].removeprefix("issue:") for r in near.orderBy("rank", "r", "node_id").limit(most).collect()]
+    if not keys:
+        return issues.limit(0).select("key", "summary", "full_text", F.lit(0).alias("rank"))
+    found = lexical_search(issues.withColumn("full_text", F.concat_ws(" ", "key", "full_text")), " ".join(keys), limit)
+    order = W.orderBy(F.desc("score"), F.desc_nulls_last("updated_at"), "key")  # ``limit`` rows
+    found = found.withColumn("rank", F.row_number().over(order)).select("key", "rank")
+    return issues.join(found, "key").join(hits.select("key"), "key", "left_anti").select("key", "summary", "full_text", "rank")
+
+
 def answer(prompts: DataFrame, chat) -> DataFrame:
     """``prompts`` with an answer column; ``chat`` maps a prompt to text and runs in the tasks."""
 

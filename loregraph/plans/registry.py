@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import dates, values
 from loregraph.functions import text as tx
-from loregraph.operators import artifacts, blocks, domains, graph, jobs, mining, ontology, quiz, search, store, terms, vectors
+from loregraph.operators import artifacts, blocks, domains, graph, jobs, listings, mining, ontology, pdf_jobs, prompts, quiz, search, store, terms, vectors
 from loregraph.plans import views
 from loregraph.plans.views import table
 
@@ -383,12 +383,15 @@ def issue_neighbors(spark, sf):
     return graph.neighbors(graph.issue_edges(i), graph.issue_nodes(i), "issue:O-7", limit=6)
 
 
-@query(f"""WITH {_NODES}, seeds AS (SELECT 'issue:O-' || k AS node_id, k AS rank FROM (SELECT unnest([1, 2, 3, 5, 7]) AS k)),
-r AS (SELECT e.dst_id, s.rank, row_number() OVER (PARTITION BY e.src_id ORDER BY weight DESC, dst_id) AS r FROM v_related e JOIN seeds s ON e.src_id = s.node_id)
+@query(f"""WITH {views.ISSUES}, seeds AS (SELECT 'issue:O-' || k AS node_id, k AS rank FROM (SELECT unnest([1, 2, 3, 5, 7]) AS k)),
+ls AS (SELECT DISTINCT 'issue:' || key AS id, lower(l) AS l FROM (SELECT key, unnest(labels) AS l FROM v_issues)),
+e AS (SELECT a.id AS src_id, b.id AS dst_id, count(*) AS weight FROM ls a JOIN ls b USING (l) WHERE a.id IN (SELECT node_id FROM seeds) AND a.id <> b.id GROUP BY 1, 2),
+r AS (SELECT e.dst_id, s.rank, row_number() OVER (PARTITION BY e.src_id ORDER BY weight DESC, dst_id) AS r FROM e JOIN seeds s ON e.src_id = s.node_id)
 SELECT dst_id AS node_id, CAST(min(rank * 100 + r) // 100 AS BIGINT) AS rank, CAST(min(rank * 100 + r) % 100 AS INTEGER) AS r FROM r WHERE r <= 5 AND dst_id NOT IN (SELECT node_id FROM seeds) GROUP BY dst_id""")
 def related_issues(spark, sf):
     seeds = spark.createDataFrame([(f"issue:O-{k}", k) for k in (1, 2, 3, 5, 7)], "node_id string, rank long")
-    return graph.expand(graph.related_label_edges(_day_issues(spark, sf)), seeds, ["related_label"])
+    related = graph.related_to(views.issues(spark, sf), seeds.select(F.substring("node_id", 7, 100).alias("key")))
+    return graph.expand(related, seeds, ["related_label"])
 
 
 @query(f"""WITH {_NODES}, n AS (SELECT count(*) AS nodes FROM v_nodes), m AS (SELECT count(*) AS edges FROM (SELECT DISTINCT src_id, dst_id FROM v_edges))
@@ -483,9 +486,9 @@ def term_context(spark, sf):
 
 
 @query(f"""WITH {_GAPS}, p AS (SELECT *, CASE WHEN needs_definition THEN 5.0 ELSE 0 END + CASE WHEN needs_facts THEN 3.0 ELSE 0 END + CASE WHEN needs_relations THEN 2.0 ELSE 0 END + greatest(0.0, 0.1 - avg_confidence) AS p FROM g WHERE needs_definition OR needs_facts OR needs_relations)
-SELECT term_id, fact_count, relation_count, round(CAST(avg_confidence AS DOUBLE) + 1e-9, 6) AS avg_confidence, needs_definition, needs_facts, needs_relations, round(CAST(p AS DOUBLE) + 1e-9, 6) AS priority_score FROM p""")
+SELECT term_id, fact_count, relation_count, round(CAST(avg_confidence AS DOUBLE) + 1e-9, 6) AS avg_confidence, needs_definition, needs_facts, needs_relations, round(CAST(p AS DOUBLE) + 1e-9, 6) AS priority_score FROM p ORDER BY p DESC, fact_count, term_id LIMIT 20""")
 def term_gaps(spark, sf):
-    rows = terms.term_gaps(*_store(spark, sf), limit=None, **_LEAST)
+    rows = terms.term_gaps(*_store(spark, sf), limit=20, **_LEAST)
     return rows.select("term_id", "fact_count", "relation_count", values.stable(F.col("avg_confidence")).alias("avg_confidence"), "needs_definition", "needs_facts", "needs_relations", values.stable(F.col("priority_score")).alias("priority_score"))
 
 
@@ -776,10 +779,210 @@ def quiz_relations(spark, sf):
     return quiz.relations(_modules(spark, sf)).select("src_id", "dst_id", "relation")
 
 
-@query()
+_HITS = f"""{views.DOCS},
+hits AS (SELECT *, row_number() OVER (ORDER BY score DESC, key) AS rank FROM (SELECT *, {_SCORE} AS score FROM v_docs WHERE {_HIT} ORDER BY score DESC, key LIMIT 8))"""
+
+
+def _hits(spark, sf) -> DataFrame:
+    return search.lexical_search(views.docs(spark, sf), SEARCH_QUERY, 8).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "key")))
+
+
+@query(f"""WITH {_HITS}, c AS (SELECT rank, key, summary, trim(regexp_replace(full_text, '\\s+', ' ', 'g')) AS t FROM hits),
+b AS (SELECT rank, key, '- ' || key || ': ' || summary || chr(10) || '  ' || CASE WHEN len(t) <= 400 THEN t ELSE rtrim(substr(t, 1, 399), ' ') || '…' END AS block FROM c)
+SELECT 'Question: What is asked?' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(block, chr(10) ORDER BY rank, key) AS prompt FROM b""")
 def rag_context(spark, sf):
-    hits = search.lexical_search(views.docs(spark, sf), SEARCH_QUERY, 8).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "key")))
-    return search.context_prompt("What is asked?", hits)
+    return search.context_prompt("What is asked?", _hits(spark, sf))
+
+
+@query(f"""WITH {views.ISSUES},
+hits AS (SELECT key, row_number() OVER (ORDER BY score DESC, updated_at DESC, key) AS rank FROM (
+  SELECT *, CASE WHEN contains(lower(summary), 'widget') THEN 4 ELSE 0 END + CASE WHEN contains(lower(description), 'widget') THEN 2 ELSE 0 END + CASE WHEN contains(lower(full_text), 'widget') THEN 1 ELSE 0 END AS score
+  FROM v_issues WHERE contains(lower(full_text), 'widget')) ORDER BY rank LIMIT 3),
+ls AS (SELECT DISTINCT key, lower(l) AS l FROM (SELECT key, unnest(labels) AS l FROM v_issues)),
+e AS (SELECT a.key AS seed, b.key AS key, count(*) AS weight FROM ls a JOIN ls b USING (l) WHERE a.key IN (SELECT key FROM hits) AND a.key <> b.key GROUP BY 1, 2),
+r AS (SELECT e.key, hits.rank, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, 'issue:' || e.key) AS r FROM e JOIN hits ON hits.key = e.seed),
+n AS (SELECT key, min(rank * 100 + r) AS place FROM r WHERE r <= 3 AND key NOT IN (SELECT key FROM hits) GROUP BY key ORDER BY place, key LIMIT 8),
+f AS (SELECT v.key, updated_at, count(*) AS score FROM v_issues v, n WHERE contains(lower(v.key || ' ' || full_text), lower(n.key)) GROUP BY v.key, updated_at),
+g AS (SELECT key FROM (SELECT * FROM f ORDER BY score DESC, updated_at DESC, key LIMIT 4) WHERE key NOT IN (SELECT key FROM hits))
+SELECT key, '' AS mark FROM hits UNION ALL SELECT key, '[graph]' FROM g""")
+def graph_context(spark, sf):
+    """What an assistant is shown: hits, and what the graph adds to them."""
+    i = views.issues(spark, sf)
+    hits = search.lexical_search(i, "widget", 3)
+    hits = hits.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.desc_nulls_last("updated_at"), "key")))
+    more = search.graph_context(i, hits)
+    return hits.select("key", F.lit("").alias("mark")).unionByName(more.select("key", F.lit("[graph]").alias("mark")))
+
+
+# -- listings ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {views.ISSUES} SELECT key, updated_at FROM v_issues ORDER BY updated_at DESC, key LIMIT 50""")
+def recent_issues(spark, sf):
+    return listings.recent_issues(views.issues(spark, sf), 50).select("key", "updated_at")
+
+
+@query("""SELECT user_id AS term_id, 'user ' || user_id AS canonical_label FROM events GROUP BY user_id ORDER BY max(ts) DESC, 'user ' || user_id, user_id LIMIT 25""")
+def term_listing(spark, sf):
+    t = table(spark, sf, "events").groupBy(F.col("user_id").alias("term_id")).agg(F.max("ts").alias("updated_at"))
+    t = t.withColumn("canonical_label", F.concat(F.lit("user "), "term_id")).withColumn("status", F.lit("new"))
+    return listings.terms(t, "new", 25).select("term_id", "canonical_label")
+
+
+@query(f"""WITH {views.JOBS} SELECT job_id, key FROM v_jobs WHERE status = 'pending' AND job_type = 'type-1' ORDER BY updated_at DESC, job_id LIMIT 40""")
+def job_listing(spark, sf):
+    return listings.jobs(views.jobs(spark, sf), "pending", "type-1", 40).select("job_id", "key")
+
+
+_LINKS = """l AS (
+  SELECT user_id AS record_id, event_type AS term_id, CASE WHEN event_id % 2 = 0 THEN 'llm' ELSE 'semantic' END AS source,
+         max({'c': least(1.0, greatest(0.0, value / 100)), 'e': props}) AS x, max(ts) AS updated_at FROM events GROUP BY 1, 2, 3)"""
+
+
+def _link_rows(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    made = e.select(F.col("user_id").alias("record_id"), F.col("event_type").alias("term_id"), F.when(F.col("event_id") % 2 == 0, " LLM").otherwise(" ").alias("source"), (F.col("value") / 100).alias("confidence"), F.col("props").alias("evidence"))
+    return terms.link_rows(made, now())
+
+
+@query(f"""WITH {_LINKS} SELECT 'link:' || substr(sha1(record_id || ':' || term_id || ':' || source), 1, 24) AS link_id, record_id, term_id, source, round(x.c + 1e-9, 6) AS confidence, x.e AS evidence FROM l""")
+def record_link_store(spark, sf):
+    return _link_rows(spark, sf).select("link_id", "record_id", "term_id", "source", values.stable(F.col("confidence")).alias("confidence"), "evidence")
+
+
+@query(f"""WITH {_LINKS} SELECT 'link:' || substr(sha1(record_id || ':' || term_id || ':' || source), 1, 24) AS link_id, CASE WHEN term_id = 'view' THEN 'seen' ELSE term_id END AS term_label FROM l WHERE record_id = 7 ORDER BY x.c DESC, link_id LIMIT 5""")
+def record_link_listing(spark, sf):
+    labels = spark.createDataFrame([("view", "seen")], "term_id string, canonical_label string")
+    return listings.record_links(_link_rows(spark, sf), labels, 7, 5).select("link_id", "term_label")
+
+
+@query("SELECT 'm' || (label % 3) AS embedding_model, label AS kind, count(*) AS vectors FROM embeddings GROUP BY 1, 2")
+def embedding_counts(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("m"), F.col("label") % 3).alias("embedding_model"), F.col("label").alias("kind"))
+    return listings.embedding_counts(e, "kind")
+
+
+_EXCLUDED = """x AS (
+  SELECT trim(regexp_replace(replace(replace(lower(trim(n)), '_', ' '), '-', ' '), '\\s+', ' ', 'g')) AS normalized_term, max({'d': trim(n), 'k': k}) AS x
+  FROM (SELECT p_type || '_Item' AS n, CASE WHEN p_size % 2 = 0 THEN 'noise' ELSE 'exception' END AS k FROM part UNION ALL SELECT ' ' || p_name, 'exception' FROM part WHERE p_size > 45) GROUP BY 1)"""
+
+
+def _excluded(spark, sf) -> DataFrame:
+    p = table(spark, sf, "part")
+    named = p.select(F.concat("p_type", F.lit("_Item")).alias("display_term"), F.when(F.col("p_size") % 2 == 0, "noise").alias("kind"))
+    return listings.exclusion_rows(named.unionByName(p.where("p_size > 45").select(F.concat(F.lit(" "), "p_name").alias("display_term"), F.lit(None).cast("string").alias("kind"))), now())
+
+
+@query(f"""WITH {_EXCLUDED} SELECT normalized_term, x.d AS display_term, x.k AS kind FROM x WHERE x.k = 'exception'""")
+def stored_exclusions(spark, sf):
+    return listings.exclusions(_excluded(spark, sf), "exception").select("normalized_term", "display_term", "kind")
+
+
+@query(f"""WITH {_EXCLUDED} SELECT DISTINCT p_name AS term FROM part WHERE lower(p_name) NOT IN (SELECT normalized_term FROM x)""")
+def terms_without_excluded(spark, sf):
+    found = table(spark, sf, "part").select(F.col("p_name").alias("term")).distinct()
+    return listings.without_excluded(found, _excluded(spark, sf))
+
+
+@query(f"""WITH {views.BLOCKS} SELECT block_id FROM v_blocks WHERE source_id IN (SELECT 'c' || conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 4)""")
+def blocks_of_domain(spark, sf):
+    allowed = table(spark, sf, "conversations").groupBy("conv_id").count().where("count > 4").select(F.concat(F.lit("c"), "conv_id").alias("source_id"))
+    return listings.of_sources(views.blocks(spark, sf), allowed).select("block_id")
+
+
+@query(f"""WITH {views.BLOCKS}, gone AS (SELECT block_id FROM v_blocks WHERE substr(source_id, 2)::BIGINT % 3 = 0)
+SELECT 'blocks' AS name, count(*) AS deleted FROM gone UNION ALL SELECT 'embeddings', count(*) FROM gone
+UNION ALL SELECT 'relations', count(*) FROM v_blocks WHERE parent_id IS NOT NULL AND (block_id IN (FROM gone) OR parent_id IN (FROM gone))""")
+def domain_reset(spark, sf):
+    b = views.blocks(spark, sf)
+    gone = b.where("cast(substring(source_id, 2) as bigint) % 3 = 0").select("source_id")
+    relations = b.where("parent_id IS NOT NULL").select(F.col("block_id").alias("src_id"), F.col("parent_id").alias("dst_id"))
+    return domains.reset(gone, {"blocks": b, "embeddings": b.select("block_id"), "relations": relations})[1]
+
+
+@query(f"""WITH {_GAPS}, p AS (SELECT *, CASE WHEN needs_definition THEN 5.0 ELSE 0 END + CASE WHEN needs_facts THEN 3.0 ELSE 0 END + CASE WHEN needs_relations THEN 2.0 ELSE 0 END + greatest(0.0, 0.1 - avg_confidence) AS p FROM g WHERE needs_definition OR needs_facts OR needs_relations),
+top AS (SELECT term_id FROM p ORDER BY p DESC, fact_count, term_id LIMIT 30)
+SELECT 'user-' || term_id AS key, 'pending' AS status FROM top WHERE 'user-' || term_id NOT IN (SELECT 'user-' || user_id FROM events WHERE event_id % 50 = 1 AND event_type <> 'signup')""")
+def gap_jobs(spark, sf):
+    top = terms.term_gaps(*_store(spark, sf), limit=30, **_LEAST).withColumn("term_id", F.concat(F.lit("user-"), "term_id"))
+    old = views.jobs(spark, sf).join(table(spark, sf, "events").where("event_id % 50 = 1").select(F.concat(F.lit("job:"), "event_id").alias("job_id")), "job_id", "left_semi")
+    return jobs.enqueue_gaps(top, old.withColumn("job_type", F.lit("refine")), now()).select("key", "status")
+
+
+@query("""WITH j AS (SELECT doc_id, '/in/' || doc_id || '.pdf' AS pdf_path, source AS domain, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'done' ELSE 'processing' END END AS was, doc_id % 9 AS pages FROM documents),
+c AS (SELECT *, CASE WHEN was = 'processing' THEN was ELSE 'pending' END AS made FROM j),
+t AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'processing' ELSE made END AS began FROM c)
+SELECT 'pdf_' || substr(sha1(domain || ':' || pdf_path), 1, 16) AS job_id, CASE WHEN doc_id % 4 = 0 AND doc_id % 8 = 0 AND pages > 2 THEN 'failed' WHEN doc_id % 4 = 0 AND pages > 0 THEN 'done' ELSE began END AS status,
+CASE WHEN doc_id % 8 = 0 AND pages > 2 THEN 'page 2' END AS error_message, CAST(CASE WHEN was = 'processing' THEN 0 ELSE pages END AS INTEGER) AS pages_total FROM t""")
+def pdf_job_states(spark, sf):
+    """Files are asked for, some again; every fourth job runs, and some of these fail at their second page."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/in/"), "doc_id", F.lit(".pdf")).alias("pdf_path"), F.col("source").alias("domain"), (F.col("doc_id") % 9).cast("int").alias("pages_total"))
+    d = d.withColumn("job_id", pdf_jobs.job_id(F.col("domain"), F.col("pdf_path")))
+    empty = spark.createDataFrame([], pdf_jobs.SCHEMA)
+    old = pdf_jobs.create(d.where("doc_id % 3 = 0").withColumn("pages_total", F.lit(0)), empty, now())
+    old = pdf_jobs.complete(pdf_jobs.start(old, d.where("doc_id % 3 = 0"), now()), d.where("doc_id % 6 = 0"), now())
+    made = pdf_jobs.create(d, old, now())
+    run = d.where("doc_id % 4 = 0")
+    pages = run.where("pages_total > 0").select("job_id", "doc_id", F.explode(F.sequence(F.lit(1), "pages_total")).alias("page"))
+    pages = pages.select("job_id", "page", F.lit("text").alias("text"), F.when((F.col("doc_id") % 8 == 0) & (F.col("page") == 2) & (F.col("doc_id") % 9 > 2), "page 2").alias("error"))
+    return pdf_jobs.process(pdf_jobs.start(made, run, now()), pages, now()).select("job_id", "status", "error_message", "pages_total")
+
+
+@query(f"""WITH {_GAPS}, {views.JOBS}, p AS (SELECT *, CASE WHEN needs_definition THEN 5.0 ELSE 0 END + CASE WHEN needs_facts THEN 3.0 ELSE 0 END + CASE WHEN needs_relations THEN 2.0 ELSE 0 END + greatest(0.0, 0.1 - avg_confidence) AS p FROM g WHERE needs_definition OR needs_facts OR needs_relations),
+top AS (SELECT term_id, p, row_number() OVER (ORDER BY p DESC, fact_count, term_id) AS r FROM p),
+new AS (SELECT job_id, row_number() OVER (ORDER BY updated_at DESC, job_id) AS r FROM v_jobs),
+o AS (
+  SELECT 'total' AS section, 'terms' AS name, count(*) AS value, 0 AS rank FROM v_terms UNION ALL SELECT 'total', 'facts', count(*), 0 FROM v_facts UNION ALL SELECT 'total', 'relations', count(*), 0 FROM v_rel
+  UNION ALL SELECT 'total', 'candidates', count(*), 0 FROM part UNION ALL SELECT 'total', 'record_links', count(*), 0 FROM nation UNION ALL SELECT 'terms', 'new', count(*), 0 FROM v_terms
+  UNION ALL SELECT 'jobs', status, count(*), 0 FROM v_jobs GROUP BY status UNION ALL SELECT 'job_types', job_type || '/' || status, count(*), 0 FROM v_jobs GROUP BY job_type, status
+  UNION ALL SELECT 'gaps', 'needs_definition', count(*) FILTER (needs_definition), 0 FROM g UNION ALL SELECT 'gaps', 'needs_facts', count(*) FILTER (needs_facts), 0 FROM g
+  UNION ALL SELECT 'gaps', 'needs_relations', count(*) FILTER (needs_relations), 0 FROM g UNION ALL SELECT 'gaps', 'total_gaps', count(*) FILTER (needs_definition OR needs_facts OR needs_relations), 0 FROM g
+  UNION ALL SELECT 'top_gaps', CAST(term_id AS VARCHAR), p, r FROM top WHERE r <= 8 UNION ALL SELECT 'recent_jobs', job_id, 1, r FROM new WHERE r <= 12)
+SELECT section, name, round(CAST(value AS DOUBLE) + 1e-9, 6) AS value, CAST(rank AS INTEGER) AS rank FROM o""")
+def monitoring_snapshot(spark, sf):
+    rows = terms.snapshot(*_store(spark, sf), views.jobs(spark, sf), table(spark, sf, "part"), table(spark, sf, "nation"), **_LEAST)
+    return rows.withColumn("value", values.stable(F.col("value")))
+
+
+@query("""WITH t AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), n AS (SELECT page_id, list_last(string_split(rtrim(regexp_replace(u, '^[a-z]+://[^/]*', ''), '/'), '/')) AS f, regexp_extract(u, '^[a-z]+://([^/]*)', 1) AS h FROM t),
+c AS (SELECT page_id, trim(regexp_replace(CASE WHEN f = '' THEN h ELSE f END, '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS title, trim(regexp_replace(CASE WHEN contains(f[2:], '.') THEN regexp_replace(f, '\.[^.]+$', '') ELSE f END, '[^A-Za-z0-9._-]+', '-', 'g'), '-') AS slug FROM n)
+SELECT page_id, CASE WHEN title = '' THEN 'ontology_html' ELSE title END AS title, CASE WHEN slug = '' THEN 'ontology' ELSE slug END AS slug FROM c""")
+def url_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.url_title(F.col("url"), "html").alias("title"), tx.url_slug(F.col("url")).alias("slug"))
+
+
+@query("""SELECT p_brand AS path, 'part/' || p_partkey AS src_id, 'part/' || (p_partkey + 25) AS dst_id FROM part p WHERE EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_partkey = p.p_partkey + 25)""")
+def concept_graph(spark, sf):
+    return ontology.concept_graph(_concepts(spark, sf))[1].select("path", "src_id", "dst_id")
+
+
+def _checklists(spark, sf) -> DataFrame:
+    """Parts as items of their brands' checklists, under two templates."""
+    p = table(spark, sf, "part")
+    mark = F.when(F.col("p_size") % 3 == 0, "x").otherwise(" ")
+    body = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" :: ", "p_type", "p_name")).otherwise(F.col("p_name"))
+    item = F.concat(F.lit("- ["), mark, F.lit("] "), body)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("i")))), lambda x: x["i"])
+    return p.groupBy(F.col("p_brand").alias("path")).agg(F.concat(F.lit("# To do\n"), F.array_join(lines, "\n")).alias("text"))
+
+
+@query("""SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS line_index, p_size % 3 = 0 AS checked,
+CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE 'default' END AS template, p_name AS question FROM part""")
+def prompt_backlog(spark, sf):
+    return prompts.backlog(_checklists(spark, sf))
+
+
+@query("""SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS line_index, p_name AS question,
+CASE WHEN p_size % 2 = 0 AND p_type = 'ECONOMY' THEN 'Buy ' || p_name || ' for shop' ELSE 'Do ' || p_name END AS prompt FROM part QUALIFY p_size % 3 <> 0""")
+def backlog_prompts(spark, sf):
+    docs = _checklists(spark, sf)
+    text = "## Default\nDo {{question}}\n\n## Economy\nold\n## ECONOMY \n\nBuy {{question}} for {{domain}}\n"
+    return prompts.filled(prompts.backlog(docs), prompts.templates(docs.select("path", F.lit(text).alias("text"))), "shop")
+
+
+@query(f"""WITH {views.ISSUES} SELECT key, 'List every concrete task in this issue, one on each line.' || chr(10) || chr(10) || 'Key: ' || key || chr(10) || 'Type: ' || issue_type || chr(10) || 'Status: ' || status || chr(10) || 'Summary: ' || summary || chr(10) || 'Description: ' || description AS prompt FROM v_issues WHERE description <> ''""")
+def issue_task_prompts(spark, sf):
+    return prompts.issue_prompts(views.issues(spark, sf), "tasks")
 
 
 @query("SELECT 'c' || conv_id AS conv, CAST(count(*) AS BIGINT) AS parts FROM conversations GROUP BY conv_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import dates, values
 from loregraph.functions import text as tx
-from loregraph.operators import artifacts, blocks, domains, graph, jobs, mining, ontology, quiz, search, store, terms, vectors
+from loregraph.operators import artifacts, blocks, domains, graph, jobs, listings, mining, ontology, pdf_jobs, prompts, quiz, search, store, terms, vectors
 from loregraph.sources import issues as issue_source
 
 
@@ -254,3 +254,90 @@ def test_warehouse(spark, tmp_path):
     assert [rows[i]["v"] for i in (1, 2, 3)] == ["a", "c", "d"]
     assert rows[2]["created_at"] == dt.datetime(2026, 1, 1) and rows[2]["updated_at"] == dt.datetime(2026, 1, 2)
     assert w.delete("t", spark.createDataFrame([(1,), (9,)], "id int"), "id") == 1 and w.read("t").count() == 2
+
+
+def test_names_from_addresses_and_paths(spark):
+    def pair(value):
+        r = one(spark, tx.relation_target(F.lit(value).cast("string")))
+        return r["relation"], r["target"]
+
+    assert pair("ex:partOf-> http://x/y") == ("partOf", "http://x/y") and pair("x/y#isA->b") == ("isA", "b") and pair("plain") == ("plain", "") and pair(None) == ("", "")
+    urls = {"http://x.org/a/b c.owl?x=1": ("b-c", "b_c.owl"), "http://x.org/": ("ontology", "x.org"), "": ("ontology", "ontology_ttl"), "https://x.org/.hidden/": (".hidden", ".hidden"), None: ("ontology", "ontology_ttl")}
+    for url, want in urls.items():
+        c = F.lit(url).cast("string")
+        assert (one(spark, tx.url_slug(c)), one(spark, tx.url_title(c, "ttl"))) == want
+    shown = {"/data/a/b": "DATADIR/a/b", "/data": "DATADIR", "/home/u/x": "~/x", "/etc/x": "/etc/x", "/database": "/database", None: "-"}
+    for path, want in shown.items():
+        assert one(spark, tx.display_path(F.lit(path).cast("string"), "/data", "/home/u")) == want
+
+
+def test_previews_and_diffs(spark):
+    note = F.lit("summary_note")
+    assert one(spark, tx.artifact_preview(note, F.lit('{"sections": [{"title": "T", "summary": "s"}]}'))) == "T: s"
+    assert one(spark, tx.artifact_preview(note, F.lit('{"sections": [], "title": "X"}'))) == "X"
+    assert one(spark, tx.artifact_preview(note, F.lit("no  json\n"))) == "no json" and one(spark, tx.artifact_preview(F.lit("quiz"), F.lit(None).cast("string"))) == ""
+    diff = one(spark, tx.unified_diff(F.lit("a\nb\n"), F.lit("a\nc\n")))
+    assert diff == "--- snapshot\n+++ current\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n"
+    assert one(spark, tx.answer_lines(F.lit(" a \n\n b"))) == ["a", "b"]
+
+
+def test_checklists(spark):
+    text = "# List\n- [ ] Deep Dive! :: Why?\n* [X] done one\n- [ ]  :: alone \n- [] none\n"
+    rows = prompts.backlog(spark.createDataFrame([("p", text), ("q", None)], "path string, text string")).orderBy("line_index").collect()
+    assert [(r["line_index"], r["checked"], r["template"], r["question"]) for r in rows] == [(1, False, "deep-dive", "Why?"), (2, True, "default", "done one"), (3, False, "default", "alone")]
+    found = prompts.templates(spark.createDataFrame([("p", "x\n## Deep dive\n\nA {{question}}\n### sub\n## Empty")], "path string, text string"))
+    assert {(r["template"], r["content"]) for r in found.collect()} == {("deep-dive", "A {{question}}\n### sub"), ("empty", "")}
+
+
+def test_listings(spark):
+    assert [listings.clamped(x, 20, 1, 100) for x in ("7", 500, -3, None, "x")] == [7, 100, 1, 20, 20]
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    named = spark.createDataFrame([(" Service-Mesh ", None), ("service mesh", "noise"), (" ", "noise")], "display_term string, kind string")
+    rows = listings.exclusion_rows(named, now)
+    assert [(r["normalized_term"], r["display_term"], r["kind"]) for r in rows.collect()] == [("service mesh", "service mesh", "noise")]
+    found = spark.createDataFrame([("Service Mesh",), ("auth",)], "term string")
+    assert [r["term"] for r in listings.without_excluded(found, rows).collect()] == ["auth"]
+    e = spark.createDataFrame([("a", "m1", [1.0]), ("b", "m1", [2.0]), ("a", "m2", [3.0])], "key string, embedding_model string, vector array<double>")
+    assert {(r["embedding_model"], r["vectors"]) for r in listings.embedding_counts(e).collect()} == {("m1", 2), ("m2", 1)}
+    assert [r["vector"] for r in listings.embedding_of(e, "a", "m2").collect()] == [[3.0]]
+    s = spark.createDataFrame([("s1", "md", 1), ("s2", "pdf", 3), ("s3", "md", 2)], "source_id string, source_type string, updated_at int")
+    assert [r["source_id"] for r in listings.sources(s).collect()] == ["s2", "s3", "s1"] and [r["source_id"] for r in listings.sources(s, "md").collect()] == ["s3", "s1"]
+
+
+def test_pdf_jobs(spark):
+    now, later = (F.lit(f"2026-01-01 0{h}:00:00").cast("timestamp") for h in (1, 2))
+    none = spark.createDataFrame([], pdf_jobs.SCHEMA)
+    files = spark.createDataFrame([("/a.pdf", " ", 3), ("/b.pdf", "d", None), ("/b.pdf", "d", 4)], "pdf_path string, domain string, pages_total int")
+    made = pdf_jobs.create(files, none, now)
+    ids = {r["pdf_path"]: r["job_id"] for r in made.collect()}
+    assert {(r["domain"], r["pages_total"], r["status"]) for r in made.collect()} == {("default", 3, "pending"), ("d", 4, "pending")}
+    a, b = (spark.createDataFrame([(ids[p],)], "job_id string") for p in ("/a.pdf", "/b.pdf"))
+    jobs_ = pdf_jobs.complete(pdf_jobs.progress(pdf_jobs.start(made, a, now), a.withColumn("pages_processed", F.lit(2))), a, later)
+    row = jobs_.where(F.col("job_id") == ids["/a.pdf"]).first()
+    assert (row["status"], row["pages_processed"], row["completed_at"].hour) == ("done", 2, 2)
+    jobs_ = pdf_jobs.fail(pdf_jobs.start(jobs_, b, now), b.withColumn("error_message", F.lit("broken")), later)
+    assert {(r["job_id"], r["error_message"]) for r in pdf_jobs.listed(jobs_, "d", "failed").collect()} == {(ids["/b.pdf"], "broken")}
+    again = pdf_jobs.create(files, jobs_, later)
+    assert again.count() == 2 and {r["status"] for r in again.collect()} == {"pending"} and {r["error_message"] for r in again.collect()} == {None}
+    assert {r["pages_processed"] for r in pdf_jobs.create(files, pdf_jobs.start(jobs_, a, now), later).where(F.col("status") == "processing").collect()} == {2}
+    kept = pdf_jobs.results(again, a.select("job_id", F.lit("s").alias("source_id"), F.lit(None).cast("string").alias("artifact_id"), F.lit(None).cast("string").alias("content_preview"), F.lit("{}").alias("result_json")))
+    assert {(r["source_id"], r["result_json"]) for r in kept.collect()} == {("s", "{}"), (None, None)}
+
+
+def test_broken_ontologies_end_no_task(spark):
+    texts = ['[1, {"@id": "a", "label": "A"}]', '{"@graph": [null, {"@id": "b", "label": "B"}]}', '{"@id": "c", "label": "C", "@graph": {"@id": "x"}}', "3", '"x"', "[[]]", "{", "<a", None, ""]
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    assert {(r["path"], r["concept_id"]) for r in ontology.parse(docs).collect()} == {("0", "a"), ("1", "b"), ("2", "c")}
+    looped = spark.createDataFrame([("p", '[{"@id": "a", "label": "A", "next": {"@id": "a"}, "far": {"@id": "zz"}}]')], "path string, text string")
+    nodes, edges = ontology.concept_graph(ontology.parse(looped))
+    assert nodes.count() == 1 and [(r["src_id"], r["dst_id"], r["relation"]) for r in edges.collect()] == [("a", "a", "next")]
+
+
+def test_graph_context(spark):
+    rows = issue_table(spark, [("AE-50", "portal login", "broken", ["auth", "portal"], "2026-01-01T10:00", None), ("AE-51", "faq", "text", ["portal", "faq"], "2026-01-02T10:00", None), ("AE-52", "other", "text", ["misc"], "2026-01-02T10:00", None)])
+    hits = search.lexical_search(rows, "login", 1).withColumn("rank", F.lit(1))
+    more = search.graph_context(rows, hits)
+    assert [r["key"] for r in more.collect()] == ["AE-51"]
+    text = search.context_prompt("Why?", hits, more).first()["prompt"]
+    assert "AE-51 [graph]" in text and "AE-50:" in text
+    assert search.graph_context(rows, hits.limit(0)).collect() == []
