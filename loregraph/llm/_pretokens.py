@@ -38,6 +38,16 @@ def kinds(points: np.ndarray) -> np.ndarray:
     return out
 
 
+def require_byte_level(spec: dict) -> None:
+    """Raises an error unless a tokenizers file is the plain byte-level BPE that ``cut`` follows."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain_tokens = all(not t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    plain_model = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain_pre = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if spec.get("normalizer") or not (plain_pre and plain_model and plain_tokens):
+        raise ValueError("not a plain byte-level BPE: its normalizer, pre-tokenizer, model or added tokens have other settings")
+
+
 @dataclass
 class Words:
     data: np.ndarray  # UTF-8 bytes of the piece

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loregraph.operators.store import shared_root
+
 
 def scratch_dir(spark: SparkSession, tag: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; the setting is only filled in where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-loregraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    """A new path under the folder that ``spark.checkpoint.dir`` names."""
+    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:

@@ -49,6 +49,7 @@ class MergeRules:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _pretokens.require_byte_level(spec)
         vocab = spec["model"]["vocab"]
         self.specials = tuple(t["content"] for t in spec.get("added_tokens", []))
         self.byte = [vocab[c] for c in byte_letters()]

@@ -10,6 +10,7 @@ shard with its document index.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -133,6 +134,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        _pretokens.require_byte_level(json.loads(self.tokenizer.to_str()))
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = {t.content: k for k, t in added.items()}
         self.levels = max(1, (max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, END_ID)).bit_length())

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import re
 import zlib
 
@@ -87,6 +88,51 @@ def test_op1_tokens(spark, docs, shard_tokens):
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == collections.Counter((i, *digest(x)) for i, x in TEXTS)
 
 
+def thue_morse() -> tuple[str, str]:
+    """Two words that polynomial hashes modulo a power of two take for one."""
+    one = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = thue_morse()
+    rows = [(1, f"x {a} {b}"), (2, f"x {b} {a}"), (3, a), (4, b), (5, f"{a} w1 w2"), (6, f"{b} w1 w2")]
+    t = tokenizer()
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(table(spark, rows)).collect()}
+    assert counts == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows}
+    crcs = {r.doc_id: r.ids_crc32 for r in wavelet.token_report(table(spark, rows)).collect()}
+    assert crcs == {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for i, x in rows}
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contamination_report(table(spark, rows), bench).collect() if r.n_hit} == {1, 2, 3, 5}
+    assert all(r.component_id == r.doc_id for r in ngram_join.similarity_report(table(spark, rows)).collect())
+
+
+def test_word_table_fills_up(monkeypatch):
+    """Words are counted and encoded alike when the table that remembers them is emptied over and over."""
+    init = _pretokens.WordTable.__init__
+    monkeypatch.setattr(_pretokens.WordTable, "__init__", lambda self, bits=5: init(self, bits))
+    t, path = tokenizer(), token_counts.vocabulary_path()
+    texts = [" ".join(f"w{k}x{j} internationalisation{k % 7}" for j in range(k)) for k in range(12)]
+    counter, encoder = token_counts._Counter(path), wavelet.Encoder(path)
+    for text in [*texts, *texts[::-1]]:
+        raw = text.encode()
+        data, offsets, want = np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), t.encode(text, add_special_tokens=False).ids
+        assert counter.counts(data, offsets).tolist() == [len(want)]
+        assert encoder.encode(data, offsets)[0].tolist() == [*want, 2]
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    """A file whose settings the pre-tokeniser here does not follow."""
+    with open(token_counts.vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps({**spec, **change}), encoding="utf-8")
+        for reader in (token_counts.MergeRules, wavelet.Encoder):
+            with pytest.raises(ValueError, match="byte-level"):
+                reader(str(path))
+
+
 def test_op1_and_op8_empty(spark, empty):
     assert wavelet.token_report(empty).collect() == [] and token_counts.token_counts(empty).collect() == []
 
@@ -244,6 +290,52 @@ def test_op4_isotonic():
     assert abs((fitted - good / n).mean()) < 0.2
 
 
+def test_op4_isotonic_against_brute_force():
+    """Rates at the points against the max-min formula of isotonic regression."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        k = int(rng.integers(1, 25))
+        x, n = np.sort(rng.choice(1000, k, replace=False)).astype(float), rng.integers(1, 9, k).astype(float)
+        good = np.minimum(n, rng.integers(0, 9, k)).astype(float)
+        points, rates = quality.isotonic(x, n, good)
+        want = [max(min(good[a : b + 1].sum() / n[a : b + 1].sum() for b in range(j, k)) for a in range(j + 1)) for j in range(k)]
+        block = np.searchsorted(np.unique(want), want) if len(set(np.round(want, 12))) == len(np.unique(want)) else None
+        assert np.allclose(sorted(set(np.round(want, 9))), rates)
+        if block is not None:
+            assert np.allclose(points, [np.average(x[block == j], weights=n[block == j]) for j in range(len(rates))])
+
+
+def test_op4_features_approximate_the_kernel(monkeypatch):
+    monkeypatch.setattr(quality, "N_FEATURES", 20_000)
+    d = len(quality.STATISTICS)
+    model = quality.QualityModel(np.zeros(d), np.ones(d), np.zeros(1), np.zeros(1), np.zeros(1))
+    x = np.random.default_rng(1).normal(size=(12, d))
+    z = model.features(x)[:, :-1]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * quality.WIDTH**2 * d))
+    assert np.abs(z @ z.T - exact).max() < 0.04
+
+
+def test_op4_weights_against_a_direct_solve(spark):
+    """The summed normal equations give the ridge regression over all rows at once, and calibration is that of its raw scores."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(["the ", "House ", "x1 ", "!! ", "\n", "long-word "], 30)) for _ in range(300)]
+    y = rng.integers(0, 2, 300)
+    stats = quality.text_statistics(table(spark, list(enumerate(texts)))).repartition(7)
+    model = quality.fit(stats, spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, quality int"))
+    rows = [r for r in stats.collect() if r.bucket > 1]
+    x, t = np.array([r.stats for r in rows], dtype=float), np.array([y[r.doc_id] for r in rows], dtype=float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, np.where(x.std(0) > 1e-9, x.std(0), 1.0), atol=1e-6)
+    z = model.features(x)
+    penalty = np.sqrt(np.append(np.full(quality.N_FEATURES, quality.RIDGE * len(x) / quality.N_FEATURES), 1e-9))
+    direct = np.linalg.lstsq(np.vstack([z, np.diag(penalty)]), np.append(t, np.zeros(len(penalty))), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ direct, atol=1e-4)
+    # labels of one class, ties and no calibration fold
+    ones = quality.fit(stats, spark.createDataFrame([(k, 1) for k in range(300)], "doc_id long, quality int"))
+    assert np.allclose(ones.score(x), 1.0)
+    train_only = stats.where("bucket > 1")
+    assert len(quality.fit(train_only, spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, quality int")).levels) > 1
+
+
 def norm(t):
     return re.sub("[\x20\x09-\x0d]", "", t or "")
 
@@ -527,12 +619,16 @@ def brute_contamination(rows, items):
 @pytest.mark.parametrize("block_bytes", [32 << 20, 60])
 def test_op10_contamination(spark, empty, block_bytes):
     items = [(1, BASE), (2, "Quick, brown!"), (10, "é x1 <y>"), (3, None), (4, "--"), (5, BASE.replace("dog", "hen")), (2, "lazy dog")]
-    rows = [*TEXTS[:8], *TEXTS[10:], (50, f"é X1 y {BASE[20:]} tail"), (51, "quick é x1 y"), (52, "lazy"), (53, "and dog"), (54, BASE + " " + BASE)]
+    rows = [*TEXTS, (50, f"é X1 y {BASE[20:]} tail"), (60, f"{LONG} {BASE} {LONG}"), (51, "quick é x1 y"), (52, "lazy"), (53, "and dog"), (54, BASE + " " + BASE)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontaminate.contamination_report(table(spark, rows), bench, block_bytes=block_bytes, shard_words=40).collect()
     want = collections.Counter(brute_contamination(rows, items))
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out) == want
     assert decontaminate.contamination_report(empty, bench).collect() == []
     assert {r.n_hit for r in decontaminate.contamination_report(table(spark, rows), bench.limit(0)).collect()} == {0}
+    found = decontaminate.find_contamination(table(spark, [(54, BASE + " " + BASE), (55, "new " + BASE[4:])]), bench, block_bytes=block_bytes).select("doc_id", "matches").collect()
+    n = len(BASE.split())
+    assert [(m.item_id, m.start, m.item_start, m.length) for r in found if r.doc_id == 54 for m in r.matches if m.item_id == "1"] == [("1", 0, 0, n), ("1", n, 0, n)]
+    assert [(m.start, m.item_start, m.length) for r in found if r.doc_id == 55 for m in r.matches if m.item_id == "1"] == [(1, 1, n - 1)]
     kept = decontaminate.remove_contaminated(table(spark, rows).withColumnRenamed("lang", "spans"), bench)
     assert kept.columns == ["doc_id", "text", "spans", "source", "n_chars"] and kept.count() == sum(n for w, n in want.items() if not w[-1])
