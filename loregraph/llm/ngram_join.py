@@ -373,7 +373,8 @@ def _links(keys: DataFrame, corpus: _Corpus) -> DataFrame:
     least = F.slice(F.array_sort(F.collect_list(F.struct("key", "need"))), 1, LEAST_KEYS).alias("least")
     postings = stage(postings.drop("weight").join(postings.groupBy("node").agg(least), "node"), "jaccard-across")
     across = _across(postings, percent)
-    return edges.union(corpus.verified(across.select(*_pair()).distinct()))
+    # written, since it is read more than once
+    return stage(edges.union(corpus.verified(across.select(*_pair()).distinct())), "jaccard-edges")
 
 
 def _one_of_each(rows: DataFrame, nodes: DataFrame) -> DataFrame:
