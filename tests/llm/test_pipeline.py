@@ -4,6 +4,7 @@ import collections
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from test_llm_operators import BASE, brute_components, brute_contamination, near_copies, norm, table
 
@@ -48,3 +49,20 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows, and columns named like helpers."""
+    rows = [(None, None), (None, "the house"), (None, "the house"), (1, BASE), (1, BASE), (2, ""), (3, "x" * 200_000 + " end"), (4, BASE + " one two"), (4, "other words under one id")]
+    for name, given in (("full", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        docs = table(spark, given).withColumnRenamed("n_chars", "__row").withColumn("bin_id", F.lit("b"))
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, BASE)] if given else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        left = docs
+        for _, step in corpus_pipeline.STAGES[:-1]:
+            left = corpus_pipeline.stage(step(spark, left, folder), "odd")
+            assert left.columns == docs.columns
+        assert sorted((r.doc_id is not None, r.doc_id, r.text[:10]) for r in left.collect()) == ([(False, None, "the house"), (True, 3, "xxxxxxxxxx"), (True, 4, "other word")] if given else [])
+        packed = corpus_pipeline.run(spark, folder).collect()
+        assert sum(r.length for r in packed) == sum(len(r.text.encode()) + 1 for r in left.collect())
