@@ -91,5 +91,27 @@ class Engine:
         self.tables.upsert("terms", made.withColumn("status", F.lit("new")), ["term_id"], self._now())
         return terms.promoted_listing(self.tables.read("terms"), self.tables.read("candidates"))
 
+    def embed(self, embedder: vectors.Embedder, model: str) -> None:
+        """Store vectors of the issues' texts and of their longer fields."""
+        found = self.issues()
+        self.tables.upsert("embeddings", vectors.embed(found, embedder, "key", "full_text", model), ["key", "embedding_model"], self._now())
+        if "text_fields" in found.columns:
+            fields = vectors.field_rows(found).withColumn("field_key", F.concat_ws(":", "key", "field_name"))
+            made = vectors.embed(fields, embedder, "field_key", "text", model).withColumnRenamed("key", "field_key")
+            self.tables.upsert("field_embeddings", made.join(fields.select("field_key", "key", "field_name", "field_kind", "excerpt"), "field_key"), ["field_key", "embedding_model"], self._now())
+
+    def reimport(self, path: str, embedder: vectors.Embedder | None = None, model: str = "custom") -> DataFrame:
+        """Issues from a CSV file, and all that is made of them: vectors, nodes, edges, terms; (name, rows) of each table."""
+        self.ingest(path, "issues")
+        if embedder:
+            self.embed(embedder, model)
+        nodes, edges = self.graph()
+        self.tables.write("nodes", nodes)
+        self.tables.write("edges", edges)
+        self.tables.write("cypher", graph.cypher(nodes, edges))
+        self.promote_terms()
+        names = ["issues", "embeddings", "field_embeddings", "nodes", "edges", "cypher", "candidates", "terms"]
+        return terms.table_counts(**{n: self.tables.read(n) for n in names if self.tables.exists(n)})
+
     def artifacts(self, kind: str = "flashcards") -> DataFrame:
         return artifacts.every(self.tables.read("blocks"))[kind]

@@ -81,6 +81,26 @@ def _open(k: int, value: str) -> Column:
     return F.when(F.col(f"p{k}") > closed, F.col(value))
 
 
+def of_issues(issues: DataFrame, source_id: str | None = None) -> DataFrame:
+    """Issues as blocks: a summary, the description and each text field below it, in that order; empty ones are left out."""
+    root = F.concat("key", F.lit(":summary"))
+
+    def block(kind: str, end: Column | None, title: Column, content: Column, order: Column) -> Column:
+        own = root if end is None else F.concat("key", F.lit(":"), end)
+        path = F.col("key") if end is None else F.concat("key", F.lit(" / "), title if kind == "issue_text_field" else end)
+        return F.struct(
+            own.alias("block_id"), F.lit(kind).alias("block_type"), title.alias("title"), content.alias("content"), (F.lit(None).cast("string") if end is None else root).alias("parent_id"),
+            path.alias("path"), order.cast("long").alias("order_index"),
+        )
+
+    parts = F.array(block("issue_summary", None, F.col("key"), F.col("summary"), F.lit(0)), block("issue_description", F.lit("description"), F.col("summary"), F.col("description"), F.lit(1)))
+    if "text_fields" in issues.columns:
+        fields = F.transform(F.map_entries("text_fields"), lambda e, i: block("issue_text_field", F.concat(F.lit("field:"), e["key"]), e["key"], e["value"], i + 2))
+        parts = F.concat(parts, F.coalesce(fields, F.slice(parts, 1, 0)))
+    rows = issues.select(F.lit(source_id).alias("source_id") if source_id else F.concat(F.lit("issue:"), "key").alias("source_id"), F.inline(parts))
+    return rows.where((F.col("block_type") == "issue_summary") | (F.coalesce("content", F.lit("")) != ""))
+
+
 def only_types(blocks: DataFrame, allowed: list[str] | None) -> DataFrame:
     """Blocks of the allowed types; headings stay whatever is allowed."""
     return blocks.where(F.col("block_type").isin("heading", *allowed)) if allowed else blocks

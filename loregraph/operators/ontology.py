@@ -19,6 +19,8 @@ CONCEPTS = "path string, pos int, concept_id string, label string, definition st
 # Local names that hold labels and definitions, and elements that are concepts.
 LABELS, DEFINITIONS = ("label", "prefLabel", "name", "title"), ("definition", "comment", "description", "scopeNote")
 ELEMENTS = ("class", "concept", "description", "namedindividual")
+# Types whose members are concepts whatever else is said of them, and starts of whole ids.
+TYPES, WHOLE_IDS = ("Class", "Concept", "UcoObject"), ("http://", "https://", "urn:")
 
 
 def _tail(name: str) -> str:
@@ -99,7 +101,7 @@ def _turtle(text: str) -> Iterator[dict]:
             continue
         elif subject is None:
             subject = name_of(token)
-            concepts.setdefault(subject, {"id": subject, "label": "", "definition": "", "relations": []})
+            concepts.setdefault(subject, {"id": subject, "label": "", "definition": "", "relations": [], "typed": False})
         elif verb is None:
             verb = token if token == "a" else _tail(name_of(token))
         else:
@@ -109,7 +111,9 @@ def _turtle(text: str) -> Iterator[dict]:
                 own["label"] = own["label"] or value
             elif verb in DEFINITIONS:
                 own["definition"] = own["definition"] or value
-            elif verb not in ("a", "type") and not value:
+            elif verb in ("a", "type"):
+                own["typed"] = own["typed"] or _tail(name_of(token)) in TYPES
+            elif not value:
                 own["relations"].append((verb, name_of(token)))
     yield from concepts.values()
 
@@ -128,7 +132,7 @@ def concepts_of(text: str | None) -> list[dict]:
         pass
     except (ValueError, RecursionError):
         return []
-    return [c for c in _turtle(t) if c["label"] or c["definition"] or c["relations"]]
+    return [c for c in _turtle(t) if c["id"].startswith(WHOLE_IDS) and (c["label"] or c["definition"] or c["relations"] or c["typed"])]
 
 
 def parse(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -84,6 +84,13 @@ def records(modules: DataFrame) -> DataFrame:
     return module.unionByName(section).unionByName(question).unionByName(option).unionByName(ref)
 
 
+def counts(modules: DataFrame) -> DataFrame:
+    """What each module's document holds: source_id, sections, questions, options, records."""
+    options = F.aggregate("questions", F.lit(0), lambda n, q: n + F.coalesce(F.size(q["options"]), F.lit(0)))
+    rows = modules.select(F.concat(F.lit("quiz:"), "module_id").alias("source_id"), F.size("sections").alias("sections"), F.size("questions").alias("questions"), options.alias("options"))
+    return rows.withColumn("records", 1 + F.col("sections") + F.col("questions") + F.col("options"))
+
+
 def relations(modules: DataFrame) -> DataFrame:
     """src_id, dst_id, relation, weight: contains, same_as, has_option, correct_option."""
     source = F.concat(F.lit("quiz:"), F.col("module_id"))

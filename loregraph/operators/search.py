@@ -100,6 +100,12 @@ def field_search(fields: DataFrame, query: list[float], kind: str | None = None,
     return hits.orderBy(F.desc("score"), "key", "field_name").limit(limit) if limit else hits
 
 
+def field_search_issues(fields: DataFrame, issues: DataFrame, query: list[float], kind: str | None = None, limit: int | None = 8) -> DataFrame:
+    """Similar fields of issues that are known, with their summaries."""
+    known = fields.join(issues.select("key", "summary"), "key")
+    return field_search(known, query, kind, limit)
+
+
 def retrieval_score(terms: list[str], title: Column, snippet: Column) -> Column:
     """Substring hits of the terms, and a fifth for each that is a whole token."""
     hay = F.lower(F.concat_ws(" ", title, snippet))
@@ -161,6 +167,21 @@ def graph_context(issues: DataFrame, hits: DataFrame, per_seed: int = 3, most: i
     return issues.join(found, "key").join(hits.select("key"), "key", "left_anti").select("key", "summary", "full_text", "rank")
 
 
+#: What is said where nothing was found.
+NOTHING_FOUND = "No matching sources were found."
+
+
+def support_answer(question: str, hits: DataFrame, chat) -> DataFrame:
+    """One row: prompt, answer, sources. Without hits (title, snippet, source_id, score) the model is not asked."""
+    part = F.format_string("[%s] %s: %s", "source_id", "title", "snippet")
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "source_id", part.alias("part"))))
+    rows = hits.agg(parts.alias("p")).select(
+        F.concat(F.lit(f"Question: {question}\n\nSources:\n"), F.array_join(F.transform("p", lambda x: x["part"]), "\n")).alias("prompt"), F.transform("p", lambda x: x["source_id"]).alias("sources")
+    )
+    asked = answer(rows.where(F.size("sources") > 0), chat)
+    return asked.unionByName(rows.where(F.size("sources") == 0).withColumn("answer", F.lit(NOTHING_FOUND)))
+
+
 def answer(prompts: DataFrame, chat) -> DataFrame:
     """``prompts`` with an answer column; ``chat`` maps a prompt to text and runs in the tasks."""
 

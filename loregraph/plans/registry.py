@@ -814,6 +814,34 @@ def graph_context(spark, sf):
     return hits.select("key", F.lit("").alias("mark")).unionByName(more.select("key", F.lit("[graph]").alias("mark")))
 
 
+@query(f"""WITH {views.ISSUES} SELECT key || ':summary' AS block_id, 'issue_summary' AS block_type, summary AS content, key AS path, CAST(0 AS BIGINT) AS order_index FROM v_issues
+UNION ALL SELECT key || ':description', 'issue_description', description, key || ' / description', 1 FROM v_issues WHERE description <> ''""")
+def issue_records(spark, sf):
+    return blocks.of_issues(views.issues(spark, sf)).select("block_id", "block_type", "content", "path", "order_index")
+
+
+@query("""SELECT doc_id AS record_id, substr(trim(text), 1, 1200) AS content FROM documents WHERE doc_id % 2 = 0 AND len(trim(text)) >= 40""")
+def linkable_records(spark, sf):
+    kind = F.when(F.col("doc_id") % 2 == 0, "paragraph").otherwise("image")
+    return terms.linkable(table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), kind.alias("block_type"), F.col("text").alias("content")))
+
+
+@query(f"""WITH {_LABELS}, rw AS (SELECT DISTINCT doc_id AS record_id, unnest(string_split({_CANON.format('text')}, ' ')) AS w FROM documents),
+tw AS (SELECT DISTINCT normalized_label, unnest(string_split(normalized_label, ' ')) AS w FROM lt),
+h AS (SELECT record_id, normalized_label, count(*) AS overlap FROM rw JOIN tw USING (w) WHERE len(w) >= 4 GROUP BY 1, 2),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY overlap DESC, normalized_label DESC) AS r FROM h) WHERE r <= 12),
+f AS (SELECT normalized_label FROM (SELECT DISTINCT normalized_label FROM lt) ORDER BY normalized_label LIMIT 12)
+SELECT record_id, normalized_label, overlap FROM b UNION ALL SELECT doc_id, normalized_label, 0 FROM documents, f WHERE doc_id NOT IN (SELECT record_id FROM h)""")
+def record_best_labels(spark, sf):
+    records = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("content"))
+    return terms.candidate_labels(records, _label_terms_table(spark, sf), 12, fallback=True)
+
+
+@query("""SELECT 'quiz:m' || conv_id AS source_id, CAST(0 AS INTEGER) AS sections, CAST(count(DISTINCT turn) AS INTEGER) AS questions, CAST(2 * count(DISTINCT turn) AS INTEGER) AS options, CAST(1 + 3 * count(DISTINCT turn) AS INTEGER) AS records FROM conversations GROUP BY conv_id""")
+def quiz_counts(spark, sf):
+    return quiz.counts(_modules(spark, sf))
+
+
 # -- listings ------------------------------------------------------------------------------------------------------
 
 

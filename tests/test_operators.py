@@ -341,3 +341,24 @@ def test_graph_context(spark):
     text = search.context_prompt("Why?", hits, more).first()["prompt"]
     assert "AE-51 [graph]" in text and "AE-50:" in text
     assert search.graph_context(rows, hits.limit(0)).collect() == []
+
+
+def test_support_answer(spark):
+    hits = spark.createDataFrame([("s1", "T", "text", 2.0), ("s2", "U", "more", 3.0)], "source_id string, title string, snippet string, score double")
+    row = search.support_answer("Why?", hits, lambda p: "because").first()
+    assert row["answer"] == "because" and row["sources"] == ["s2", "s1"] and "[s2] U: more\n[s1] T: text" in row["prompt"]
+    assert search.support_answer("Why?", hits.limit(0), lambda p: 1 / 0).first()["answer"] == search.NOTHING_FOUND
+
+
+def test_issue_blocks(spark):
+    rows = spark.createDataFrame([("A-1", "s", "d", {"Comment": "c", "Empty": ""}), ("A-2", "t", None, None)], "key string, summary string, description string, text_fields map<string,string>")
+    found = {r["block_id"]: (r["parent_id"], r["path"], r["content"]) for r in blocks.of_issues(rows).collect()}
+    assert found == {
+        "A-1:summary": (None, "A-1", "s"), "A-1:description": ("A-1:summary", "A-1 / description", "d"), "A-1:field:Comment": ("A-1:summary", "A-1 / Comment", "c"), "A-2:summary": (None, "A-2", "t"),
+    }
+
+
+def test_turtle_concepts_have_whole_ids(spark):
+    text = '@prefix ex: <http://e/> .\nex:A a ex:Class .\nex:B a ex:Other .\nlocal:C ex:label "C" .\n<urn:d> ex:label "D" .'
+    rows = ontology.parse(spark.createDataFrame([("p", text)], "path string, text string")).collect()
+    assert {r["concept_id"] for r in rows} == {"http://e/A", "urn:d"}

@@ -78,3 +78,9 @@ def test_engine(spark, tmp_path):
     assert [r["key"] for r in engine.search("gateway").collect()] == ["A-1"]
     assert engine.timeline().count() == 2 and engine.graph()[1].where("relation = 'related_label'").count() == 2
     assert "auth" in {r["normalized_label"] for r in engine.promote_terms().collect()}
+    class Lengths:
+        def embed(self, text):
+            return [float(len(text)), 1.0]
+
+    made = {r["name"]: r["rows"] for r in engine.reimport(str(tmp_path / "i.csv"), Lengths(), "lengths").collect()}
+    assert made["issues"] == 2 and made["embeddings"] == 1 and made["nodes"] > 4 and made["edges"] > 4 and made["terms"] >= 1
