@@ -972,7 +972,7 @@ def monitoring_snapshot(spark, sf):
     return rows.withColumn("value", values.stable(F.col("value")))
 
 
-@query("""WITH t AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), n AS (SELECT page_id, list_last(string_split(rtrim(regexp_replace(u, '^[a-z]+://[^/]*', ''), '/'), '/')) AS f, regexp_extract(u, '^[a-z]+://([^/]*)', 1) AS h FROM t),
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), n AS (SELECT page_id, list_last(string_split(rtrim(regexp_replace(u, '^[a-z]+://[^/]*', ''), '/'), '/')) AS f, regexp_extract(u, '^[a-z]+://([^/]*)', 1) AS h FROM t),
 c AS (SELECT page_id, trim(regexp_replace(CASE WHEN f = '' THEN h ELSE f END, '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS title, trim(regexp_replace(CASE WHEN contains(f[2:], '.') THEN regexp_replace(f, '\.[^.]+$', '') ELSE f END, '[^A-Za-z0-9._-]+', '-', 'g'), '-') AS slug FROM n)
 SELECT page_id, CASE WHEN title = '' THEN 'ontology_html' ELSE title END AS title, CASE WHEN slug = '' THEN 'ontology' ELSE slug END AS slug FROM c""")
 def url_names(spark, sf):
