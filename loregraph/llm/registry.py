@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregraph.llm import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, wavelet
+from loregraph.llm import (
+    centroids, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, resampling, sharding, simhash, token_counts, wavelet,
+)
 from loregraph.llm._scratch import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +54,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op12_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample_report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_wavelet_tokens": op1_wavelet_tokens,
@@ -64,6 +78,9 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_decontaminate": op10_decontaminate,
+        "op11_simhash": op11_simhash,
+        "op12_annulus_clusters": op12_annulus_clusters,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -148,10 +165,84 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Each round is a table of its own: nearest centroids, then exact floors of the means."""
+
+    def placed(r: int) -> str:
+        return f"""
+p{r} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(c, [CAST(d AS HUGEINT), CAST(c AS HUGEINT)]) AS c, min(d) AS d FROM (
+    SELECT rid, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - w[i]) * (v[i] - w[i]))) AS d FROM ints, c{r})
+  GROUP BY rid, vec_id, v)"""
+
+    def moved(r: int) -> str:
+        return f"""
+m{r} AS MATERIALIZED (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM (
+    SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, CAST(count(*) AS BIGINT) AS n FROM p{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN m{r} USING (c))"""
+
+    start = f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ints AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(x, lambda e: CAST(floor(1024 * e) AS BIGINT)) AS v FROM kept),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) - 1 AS INTEGER) AS c, v AS w FROM ints
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) <= {k})"""
+    steps = [x for r in range(rounds) for x in (placed(r), moved(r))]
+    return ",".join([start, *steps, placed(rounds)]) + f"""
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM p{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+OP12_SQL = _clusters_sql()
+
+OP13_SQL = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(range(0, 8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END, n) ORDER BY n) AS t
+  FROM (SELECT unnest(range(0, 256)) AS n)),
+texts AS (SELECT doc_id AS id, 'd' AS kind, text FROM documents UNION ALL SELECT item_id, 'b', text FROM benchmark),
+w AS (
+  SELECT row_number() OVER () AS rid, id, kind, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feature AS (
+  SELECT rid, kind, unnest(w) AS f FROM w UNION ALL
+  SELECT rid, kind, w[i] || ' ' || w[i + 1] FROM (SELECT rid, kind, w, unnest(range(1, len(w))) AS i FROM w)),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce(
+    list_transform(range(0, strlen(f)), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+    lambda a, b: xor(t[xor(a, b) % 256 + 1], a // 256), 4294967295)) % 10000 AS bucket
+  FROM (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM feature)), crc_table),
+found AS (SELECT rid, kind, bucket FROM feature JOIN hashed USING (f)),
+counts AS (
+  SELECT bucket, CAST(count(*) FILTER (kind = 'd') AS DOUBLE) AS s, CAST(count(*) FILTER (kind = 'b') AS DOUBLE) AS t FROM found GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (total + 10000)) / ((s + 1) * (wanted + 10000)))) AS BIGINT) AS g
+  FROM counts, (SELECT sum(s) AS total, sum(t) AS wanted FROM counts)),
+mean AS (SELECT rid, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM found JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY rid),
+scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+         coalesce((g - ((g % n) + n) % n) // n, 0) + CAST(floor(-1000 * ln(-ln((
+           CAST('0x' || substr(sha256('7:' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN mean USING (rid) WHERE kind = 'd'),
+placed AS (
+  SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS r,
+         25 * count(*) FILTER (n_words >= 20) OVER () // 100 AS drawn FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CAST(CASE WHEN r <= drawn THEN r END AS BIGINT) AS rank
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_extendible_shards": OP3_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op6_line_dedup": OP6_SQL,
         "op10_decontaminate": OP10_SQL,
+        "op12_annulus_clusters": OP12_SQL,
+        "op13_importance_resampling": OP13_SQL,
     }
