@@ -61,7 +61,7 @@ class Engine:
 
     def issues(self) -> DataFrame:
         rows = self.tables.read("issues")
-        return rows.withColumn("updated_at", F.col("changed_at")).withColumn("seen", F.xxhash64("key"))
+        return rows.withColumn("updated_at", F.col("changed_at")).withColumn("seen", F.col("key"))  # issues are listed by key
 
     def search(self, query: str, limit: int = 8, hybrid: bool = False) -> DataFrame:
         found = self.issues()
@@ -85,12 +85,19 @@ class Engine:
         return graph.issue_nodes(found), graph.issue_edges(found).unionByName(graph.related_label_edges(found))
 
     def promote_terms(self) -> DataFrame:
-        found = terms.candidates(self.domain_terms(limit=None))
-        made, marked = terms.promote(found)
-        self.tables.write("candidates", marked)
+        """Mined terms as candidates, and the new ones among them as terms; what was promoted or forgotten before keeps its state."""
+        old = {name: self.tables.read(name) if self.tables.exists(name) else None for name in ("candidates", "terms")}
+        made, marked = terms.promote(terms.candidates(self.domain_terms(limit=None), old["candidates"]), old["terms"])
+        self.tables.upsert("candidates", marked, ["candidate_id"], self._now())
         self.tables.upsert("terms", made.withColumn("status", F.lit("new")), ["term_id"], self._now())
         return terms.promoted_listing(self.tables.read("terms"), self.tables.read("candidates"))
 
+    def forget_term(self, term_id: str) -> None:
+        """A term is deprecated and its candidates go; a later promotion leaves it so."""
+        kept, cands, _ = terms.forget(term_id, self.tables.read("terms"), self.tables.read("candidates"), self.tables.read("terms").select("term_id"))
+        self.tables.write("terms", kept)
+        self.tables.write("candidates", cands)
+
     def embed(self, embedder: vectors.Embedder, model: str) -> None:
         """Store vectors of the issues' texts and of their longer fields."""
         found = self.issues()

@@ -65,13 +65,36 @@ def _folded() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(to), many
 
 
+def _ranges(chars: list[str]) -> str:
+    """A character class of sorted characters, runs of neighbours as ranges."""
+    out, start, last = [], None, None
+    for p in [*sorted(map(ord, chars)), None]:
+        if start is not None and p != last + 1:
+            out.append(f"\\x{{{start:x}}}" + (f"-\\x{{{last:x}}}" if last > start else ""))
+            start = p
+        start, last = (p if start is None else start), p
+    return "[" + "".join(out) + "]"
+
+
 def fold(text: Column) -> Column:
-    """Text without marks and other non-ASCII characters (compatibility decomposition)."""
+    """Text without marks and other non-ASCII characters (compatibility decomposition).
+
+    ASCII texts pass through. Others have the characters translated that fold to one; only where something is left
+    that folds to several is the text taken apart.
+    """
     one, to, many = _folded()
     table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
-    plain = F.when(text.rlike("[" + "".join(many) + "]"), wide).otherwise(text)
-    return F.when(text.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.translate(plain, one, to), "[^\\x00-\\x7F]+", "")).otherwise(text)
+
+    def taken_apart(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
+
+    def rest(t: Column) -> Column:
+        wide = F.regexp_replace(t, "[\\x00-\\x7F]+", "").rlike(_ranges(list(many)))
+        return F.when(t.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.when(wide, taken_apart(t)).otherwise(t), "[^\\x00-\\x7F]+", "")).otherwise(t)
+
+    # bound by a function of one element, so that it is translated once
+    translated = F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, one, to)).otherwise(text)
+    return F.transform(F.array(translated), rest)[0]
 
 
 def tfidf_tokens(text: Column, folded: bool = True) -> Column:
@@ -103,8 +126,19 @@ def plain_term(term: Column) -> Column:
     return F.translate(F.lower(term), "_-", "  ")
 
 
+def compatible(text: Column) -> Column:
+    """Compatibility composition of the text (NFKC); texts of ASCII alone pass through."""
+
+    @F.pandas_udf("string")
+    def compose(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    return compose(text)
+
+
 def exclusion_term(term: Column) -> Column:
-    return squeeze(plain_term(F.trim(term)))
+    """The form by which exclusions are the same; it is composed first, so that wide or ligature forms are those of plain letters."""
+    return squeeze(plain_term(F.trim(compatible(term))))
 
 
 def canonical_term(label: Column) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from loregraph.functions import text as tx
 from loregraph.operators.store import settled
 
+#: Issues of a label that are paired within one cell; a label of more is dealt to several blocks.
+LABEL_BLOCK = 1024
+
 
 def issue_nodes(issues: DataFrame) -> DataFrame:
     """node_id, node_type, label; of several spellings of a label the one of the last issue by ``seen`` stays."""
@@ -45,26 +48,52 @@ def issue_edges(issues: DataFrame) -> DataFrame:
     return edges.unionByName(to("label", F.col("label_text"), "has_label", labels)).dropDuplicates(["src_id", "dst_id", "relation"])
 
 
-def related_label_edges(issues: DataFrame, max_label_degree: int | None = None) -> DataFrame:
+def label_rows(issues: DataFrame) -> DataFrame:
+    """(key, label): the labels of each issue, lower-cased and trimmed, each once."""
+    rows = issues.select("key", F.explode("labels").alias("label"))
+    return rows.select("key", F.trim(F.lower("label")).alias("label")).where("label != ''").distinct()
+
+
+def label_cells(rows: DataFrame, block: int = LABEL_BLOCK) -> DataFrame:
+    """(label, l, r, key, side): ``rows`` (key, label) dealt to cells, so that every two issues of a label meet in one cell.
+
+    The issues of a label are dealt to blocks of about ``block`` by a hash of their key, and each pair of
+    blocks is a cell. A row stands on one side (0) of the cells of its block with itself and later ones, and on the other (1)
+    of those with itself and earlier ones.
+    """
+    counts = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = rows.join(counts, "label").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    left = placed.select("label", F.col("own").alias("l"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("r"), "key", F.lit(0).alias("side"))
+    right = placed.select("label", F.explode(F.sequence(F.lit(0), "own")).alias("l"), F.col("own").alias("r"), "key", F.lit(1).alias("side"))
+    return left.unionByName(right)
+
+
+def related_label_edges(issues: DataFrame, max_label_degree: int | None = None, block: int = LABEL_BLOCK) -> DataFrame:
     """Edges both ways between issues that share labels; the weight is how many.
 
-    The pairs of a label grow with the square of its issues; ``max_label_degree``
-    leaves out labels of more issues than that, where a caller wants to bound it.
+    The definition pairs all issues of a label, so the edges of a label grow with the square of its
+    issues, whoever makes them; no task has to make all of them, since a label's issues
+    are dealt to blocks and pairs of blocks are joined apart (``label_cells``). ``max_label_degree``
+    leaves out labels of more issues than that, where a caller wants to bound the result itself.
     """
-    rows = issues.select(F.concat(F.lit("issue:"), F.col("key")).alias("id"), F.explode("labels").alias("label"))
-    rows = rows.select("id", F.trim(F.lower("label")).alias("label")).where("label != ''").distinct()
+    rows = label_rows(issues)
     if max_label_degree:
         small = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_label_degree).select("label")
-        rows = rows.join(small, "label")
-    pairs = rows.alias("a").join(rows.alias("b"), "label").where("a.id < b.id")
-    pairs = pairs.groupBy(F.col("a.id").alias("l"), F.col("b.id").alias("r")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    both = F.explode(F.array(F.struct(F.col("l").alias("src_id"), F.col("r").alias("dst_id")), F.struct(F.col("r").alias("src_id"), F.col("l").alias("dst_id"))))
-    return pairs.select(both.alias("e"), "weight").select("e.src_id", "e.dst_id", F.lit("related_label").alias("relation"), "weight")
+        rows = rows.join(small, "label", "left_semi")
+    cells = label_cells(rows, block)
+    left = cells.where("side = 0").select("label", "l", "r", F.col("key").alias("a"))
+    right = cells.where("side = 1").select("label", "l", "r", F.col("key").alias("b"))
+    # within a block's cell with itself each pair is met twice, in other cells once
+    pairs = left.join(right, ["label", "l", "r"]).where("(l = r AND a < b) OR l < r")
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    both = F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    edges = pairs.select("weight", both)
+    return edges.select(F.concat(F.lit("issue:"), "src").alias("src_id"), F.concat(F.lit("issue:"), "dst").alias("dst_id"), F.lit("related_label").alias("relation"), "weight")
 
 
 def related_to(issues: DataFrame, seeds: DataFrame) -> DataFrame:
     """The related_label edges that go out from the seeds (key): each seed meets the issues of its labels, other pairs are not made."""
-    rows = issues.select("key", F.explode("labels").alias("label")).select("key", F.trim(F.lower("label")).alias("label")).where("label != ''").distinct()
+    rows = label_rows(issues)
     own = rows.join(seeds.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "seed")
     pairs = rows.join(own, "label").where("seed != key").groupBy("seed", "key").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return pairs.select(F.concat(F.lit("issue:"), "seed").alias("src_id"), F.concat(F.lit("issue:"), "key").alias("dst_id"), F.lit("related_label").alias("relation"), "weight")

@@ -103,6 +103,8 @@ def enqueue_gaps(gaps: DataFrame, jobs: DataFrame, now: Column, limit: int = 100
 
 
 def with_prompts(jobs: DataFrame, prompts: DataFrame, now: Column) -> DataFrame:
-    """``jobs`` with the prompts (job_id, prompt) that were sent for them, and their hashes."""
-    rows = jobs.drop("prompt_text", "prompt_hash").join(prompts.select("job_id", F.col("prompt").alias("prompt_text")), "job_id", "left")
-    return rows.withColumn("prompt_hash", F.sha2("prompt_text", 256)).withColumn("updated_at", F.when(F.col("prompt_text").isNotNull(), now).otherwise(F.col("updated_at")))
+    """``jobs`` with the prompts (job_id, prompt) that were sent for them, and their hashes; of a job without a new one the stored one stays."""
+    held = F.col("prompt_text") if "prompt_text" in jobs.columns else F.lit(None).cast("string")
+    rows = jobs.withColumn("held", held).drop("prompt_text", "prompt_hash").join(prompts.groupBy("job_id").agg(F.max("prompt").alias("sent")), "job_id", "left")
+    rows = rows.withColumn("prompt_text", F.coalesce("sent", "held")).withColumn("prompt_hash", F.sha2("prompt_text", 256))
+    return rows.withColumn("updated_at", F.when(F.col("sent").isNotNull(), now).otherwise(F.col("updated_at"))).drop("held", "sent")

@@ -78,18 +78,22 @@ def exclusions(rows: DataFrame, kind: str | None = None) -> DataFrame:
     return listed(rows, [F.asc("kind"), F.asc("display_term")], kind=kind)
 
 
-def exclusion_rows(named: DataFrame, now: Column) -> DataFrame:
-    """Rows to upsert by normalized_term, from (display_term, kind); names without a word are left out, of one term the last by name stays."""
-    rows = named.select(F.trim("display_term").alias("display_term"), F.coalesce("kind", F.lit("exception")).alias("kind"))
+def exclusion_rows(named: DataFrame, now: Column, seq: str | None = None) -> DataFrame:
+    """Rows to upsert by normalized_term, from (display_term, kind); names without a word are left out.
+
+    Of one term the row written last stays: the one of the highest ``seq``, where the rows have an order, else the last by name.
+    """
+    order = F.col(seq) if seq else F.lit(0)
+    rows = named.select(F.trim("display_term").alias("display_term"), F.coalesce("kind", F.lit("exception")).alias("kind"), order.alias("seq"))
     rows = rows.withColumn("normalized_term", tx.exclusion_term(F.col("display_term"))).where("normalized_term != ''")
-    last = F.max(F.struct("display_term", "kind"))
-    return rows.groupBy("normalized_term").agg(last.alias("x")).select("normalized_term", "x.*", now.alias("created_at"), now.alias("updated_at"))
+    last = F.max(F.struct("seq", "display_term", "kind"))
+    return rows.groupBy("normalized_term").agg(last.alias("x")).select("normalized_term", "x.display_term", "x.kind", now.alias("created_at"), now.alias("updated_at"))
 
 
 def without_excluded(found: DataFrame, excluded: DataFrame, term: str = "term") -> DataFrame:
     """Rows whose term is not among the stored exclusions."""
-    gone = excluded.select(F.col("normalized_term").alias("__gone"))
-    return found.join(gone, tx.exclusion_term(F.col(term)) == F.col("__gone"), "left_anti")
+    gone = excluded.select(F.col("normalized_term").alias("__term")).distinct()
+    return found.withColumn("__term", tx.exclusion_term(F.col(term))).join(gone, "__term", "left_anti").drop("__term")
 
 
 def of_sources(rows: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -39,8 +39,11 @@ def daily_topics(issues: DataFrame, max_topics: int = 5, excluded: list[str] | N
 
     dated = issues.where("event_day IS NOT NULL").withColumnRenamed("event_day", "day")
     labels = dated.select("day", "seen", F.posexplode("labels").alias("pos", "topic"))
-    normal = tx.exclusion_term(F.col("topic"))
-    labels = labels.where((normal != "") & ~normal.isin(*(excluded or [""])))
+    if excluded:
+        normal = tx.exclusion_term(F.col("topic"))
+        labels = labels.withColumn("normal", normal).where((F.col("normal") != "") & ~F.col("normal").isin(*excluded)).drop("normal")
+    else:
+        labels = labels.where(tx.squeeze(tx.plain_term(F.col("topic"))) != "")
     tokens = dated.select("day", "seen", F.posexplode(tx.search_tokens(F.col("full_text"), excluded)).alias("pos", "topic"))
     top = ranked(labels).select("day", "topic", "r")
     fill = ranked(tokens).select("day", "topic", "r")

@@ -350,16 +350,17 @@ v_edges AS (
   UNION SELECT 'issue:' || key, 'status:' || lower(status), 'has_status', 1.0 FROM v_issues
   UNION SELECT 'issue:' || key, 'type:' || lower(issue_type), 'has_type', 1.0 FROM v_issues
   UNION SELECT 'issue:' || key, 'day:' || event_day, 'updated_on', 1.0 FROM v_issues
-  UNION SELECT 'issue:' || key, 'label:' || lower(l), 'has_label', 1.0 FROM (SELECT key, unnest(labels) AS l FROM v_issues)),
-v_day AS (SELECT DISTINCT 'issue:' || key AS id, event_day || '|' || lower(l) AS label FROM (SELECT key, event_day, unnest(labels) AS l FROM v_issues)),
-v_pairs AS (SELECT a.id AS l, b.id AS r, CAST(count(*) AS DOUBLE) AS weight FROM v_day a JOIN v_day b ON a.label = b.label AND a.id < b.id GROUP BY 1, 2),
-v_related AS (SELECT l AS src_id, r AS dst_id, 'related_label' AS relation, weight FROM v_pairs UNION ALL SELECT r, l, 'related_label', weight FROM v_pairs)"""
+  UNION SELECT 'issue:' || key, 'label:' || lower(l), 'has_label', 1.0 FROM (SELECT key, unnest(labels) AS l FROM v_issues))"""
 
+_RELATED = """r_rows AS (SELECT DISTINCT 'issue:O-' || l_orderkey AS id, lower(p_name) || ' ' || p_partkey AS label FROM lineitem JOIN part ON l_partkey = p_partkey),
+r_pairs AS (SELECT a.id AS l, b.id AS r, CAST(count(*) AS DOUBLE) AS weight FROM r_rows a JOIN r_rows b ON a.label = b.label AND a.id < b.id GROUP BY 1, 2)"""
 
-def _day_issues(spark, sf):
-    """Issues whose labels are of their day, so that groups that share a label do not grow with the input."""
-    i = views.issues(spark, sf)
-    return i.withColumn("labels", F.transform("labels", lambda x: F.concat("event_day", F.lit("|"), F.lower(x))))
+
+def _part_issues(spark, sf):
+    """Orders as issues whose labels are the parts ordered."""
+    part = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("label"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return lines.groupBy(F.concat(F.lit("O-"), "l_orderkey").alias("key")).agg(F.collect_set("label").alias("labels"))
 
 
 @query(f"WITH {_NODES} SELECT * FROM v_nodes")
@@ -372,9 +373,9 @@ def issue_edges(spark, sf):
     return graph.issue_edges(views.issues(spark, sf))
 
 
-@query(f"WITH {_NODES} SELECT * FROM v_related")
+@query(f"WITH {_RELATED} SELECT l AS src_id, r AS dst_id, 'related_label' AS relation, weight FROM r_pairs UNION ALL SELECT r, l, 'related_label', weight FROM r_pairs")
 def related_label_edges(spark, sf):
-    return graph.related_label_edges(_day_issues(spark, sf))
+    return graph.related_label_edges(_part_issues(spark, sf))
 
 
 @query(f"""WITH {_NODES} SELECT n.node_id, n.node_type, e.relation, e.weight FROM v_edges e JOIN v_nodes n ON e.dst_id = n.node_id WHERE e.src_id = 'issue:O-7' ORDER BY e.weight DESC, n.node_id, e.relation LIMIT 6""")
@@ -504,10 +505,14 @@ def monitoring_counts(spark, sf):
     return terms.table_counts(terms=t, facts=f, relations=r, jobs=views.jobs(spark, sf))
 
 
-def part_candidates(spark, sf) -> DataFrame:
+def _found_terms(spark, sf) -> DataFrame:
+    """Names and types of parts as mined terms."""
     p = table(spark, sf, "part").select(F.explode(F.array(F.struct(F.col("p_name").alias("term"), F.lit("description").alias("s")), F.struct(F.concat("p_type", F.lit("_systems")).alias("term"), F.lit("label").alias("s")))).alias("x"), "p_partkey")
-    found = p.groupBy("x.term").agg(F.count(F.lit(1)).alias("count"), F.count(F.lit(1)).alias("issue_count"), F.sort_array(F.collect_set("x.s")).alias("sources"), F.array(F.min("p_partkey").cast("string")).alias("sample_issue_keys"))
-    return terms.candidates(found)
+    return p.groupBy("x.term").agg(F.count(F.lit(1)).alias("count"), F.count(F.lit(1)).alias("issue_count"), F.sort_array(F.collect_set("x.s")).alias("sources"), F.array(F.min("p_partkey").cast("string")).alias("sample_issue_keys"))
+
+
+def part_candidates(spark, sf) -> DataFrame:
+    return terms.candidates(_found_terms(spark, sf))
 
 
 _CANDS = f"""c0 AS (SELECT p_name AS term, 'text' AS source_type, p_partkey FROM part UNION ALL SELECT p_type || '_systems', 'label', p_partkey FROM part),
@@ -519,6 +524,19 @@ def candidates_promote(spark, sf):
     return terms.promote(part_candidates(spark, sf), limit=None)[0].select("term_id", "canonical_label", "normalized_label")
 
 
+@query(f"""WITH {_CANDS}, c2 AS (SELECT DISTINCT normalized_label, source_type, source_type = 'label' OR normalized_label LIKE 'c%' AS known FROM c1)
+SELECT normalized_label, source_type, CASE WHEN known THEN 'old:' || normalized_label ELSE 'term:' || substr(sha1(normalized_label), 1, 20) END AS promoted_term_id, NOT known AS made FROM c2""")
+def promote_over_store(spark, sf):
+    """The types were promoted before, and terms of names in c were forgotten: none of them becomes new again."""
+    cands = part_candidates(spark, sf)
+    old_id = F.concat(F.lit("old:"), "normalized_label")
+    previous = cands.where("source_type = 'label'").select("candidate_id", old_id.alias("promoted_term_id"))
+    forgotten = cands.where("normalized_label LIKE 'c%'").select(old_id.alias("term_id"), "normalized_label", F.lit("deprecated").alias("status")).distinct()
+    made, marked = terms.promote(terms.candidates(_found_terms(spark, sf), previous), forgotten, limit=None)
+    new = made.select("normalized_label", F.lit(True).alias("made"))
+    return marked.join(new, "normalized_label", "left").select("normalized_label", "source_type", "promoted_term_id", F.coalesce("made", F.lit(False)).alias("made"))
+
+
 @query(f"""WITH {_CANDS} SELECT normalized_label, CAST(max(count) AS BIGINT) AS count, CAST(max(count) AS BIGINT) AS issue_count, string_agg(DISTINCT source_type, ',' ORDER BY source_type) AS sources FROM c1 GROUP BY normalized_label HAVING max(count) >= 20""")
 def domain_term_listing(spark, sf):
     made, marked = terms.promote(part_candidates(spark, sf), limit=None)
@@ -543,7 +561,7 @@ def _label_terms_table(spark, sf) -> DataFrame:
 _LABELS = f"""lt AS (
   SELECT 'term:' || substr(sha1(l), 1, 20) AS term_id, l AS normalized_label, min(doc_id) AS seen
   FROM (SELECT doc_id, array_to_string(string_split({_CANON.format('text')}, ' ')[1:2], ' ') AS l FROM documents) WHERE regexp_full_match(l, '[a-z]+ [a-z]+') GROUP BY l),
-tx AS (SELECT doc_id, ' ' || regexp_replace({_CANON.format('text')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') || ' ' AS t, {_CANON.format('text')} AS raw FROM documents WHERE len(trim(text)) >= 20)"""
+tx AS (SELECT doc_id, ' ' || regexp_replace({_CANON.format('text')}, '[^\\p{{L}}\\p{{N}}_ ]', ' # ', 'g') || ' ' AS t FROM documents WHERE len(trim(text)) >= 20)"""
 
 
 _ANSWERS = """a AS (
@@ -572,7 +590,7 @@ def enriched_relations(spark, sf):
     return terms.enriched(_answers(spark, sf), none, now())[1].drop("created_at")
 
 
-@query(f"""WITH {_LABELS}, h AS (SELECT doc_id AS record_id, term_id, row_number() OVER (PARTITION BY doc_id ORDER BY seen, term_id) AS r FROM tx, lt WHERE contains(t, ' ' || normalized_label || ' ') AND contains(raw, normalized_label) AND len(normalized_label) >= 4)
+@query(f"""WITH {_LABELS}, h AS (SELECT doc_id AS record_id, term_id, row_number() OVER (PARTITION BY doc_id ORDER BY seen, term_id) AS r FROM tx, lt WHERE contains(t, ' ' || normalized_label || ' ') AND len(normalized_label) >= 4)
 SELECT record_id, term_id FROM h WHERE r <= 14""")
 def record_term_links(spark, sf):
     records = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("content"))
@@ -891,14 +909,16 @@ def embedding_counts(spark, sf):
 
 
 _EXCLUDED = """x AS (
-  SELECT trim(regexp_replace(replace(replace(lower(trim(n)), '_', ' '), '-', ' '), '\\s+', ' ', 'g')) AS normalized_term, max({'d': trim(n), 'k': k}) AS x
-  FROM (SELECT p_type || '_Item' AS n, CASE WHEN p_size % 2 = 0 THEN 'noise' ELSE 'exception' END AS k FROM part UNION ALL SELECT ' ' || p_name, 'exception' FROM part WHERE p_size > 45) GROUP BY 1)"""
+  SELECT trim(regexp_replace(replace(replace(lower(trim(n)), '_', ' '), '-', ' '), '\\s+', ' ', 'g')) AS normalized_term, arg_max({'d': trim(n), 'k': k}, seq) AS x
+  FROM (SELECT p_type || '_Item' AS n, CASE WHEN p_size % 2 = 0 THEN 'noise' ELSE 'exception' END AS k, p_partkey AS seq FROM part
+        UNION ALL SELECT ' ' || p_name, 'exception', p_partkey FROM part WHERE p_size > 45) GROUP BY 1)"""
 
 
 def _excluded(spark, sf) -> DataFrame:
     p = table(spark, sf, "part")
-    named = p.select(F.concat("p_type", F.lit("_Item")).alias("display_term"), F.when(F.col("p_size") % 2 == 0, "noise").alias("kind"))
-    return listings.exclusion_rows(named.unionByName(p.where("p_size > 45").select(F.concat(F.lit(" "), "p_name").alias("display_term"), F.lit(None).cast("string").alias("kind"))), now())
+    named = p.select("p_partkey", F.concat("p_type", F.lit("_Item")).alias("display_term"), F.when(F.col("p_size") % 2 == 0, "noise").alias("kind"))
+    large = p.where("p_size > 45").select("p_partkey", F.concat(F.lit(" "), "p_name").alias("display_term"), F.lit(None).cast("string").alias("kind"))
+    return listings.exclusion_rows(named.unionByName(large), now(), "p_partkey")
 
 
 @query(f"""WITH {_EXCLUDED} SELECT normalized_term, x.d AS display_term, x.k AS kind FROM x WHERE x.k = 'exception'""")
@@ -930,11 +950,13 @@ def domain_reset(spark, sf):
 
 @query(f"""WITH {_GAPS}, p AS (SELECT *, CASE WHEN needs_definition THEN 5.0 ELSE 0 END + CASE WHEN needs_facts THEN 3.0 ELSE 0 END + CASE WHEN needs_relations THEN 2.0 ELSE 0 END + greatest(0.0, 0.1 - avg_confidence) AS p FROM g WHERE needs_definition OR needs_facts OR needs_relations),
 top AS (SELECT term_id FROM p ORDER BY p DESC, fact_count, term_id LIMIT 30)
-SELECT 'user-' || term_id AS key, 'pending' AS status FROM top WHERE 'user-' || term_id NOT IN (SELECT 'user-' || user_id FROM events WHERE event_id % 50 = 1 AND event_type <> 'signup')""")
+SELECT 'user-' || term_id AS key, 'pending' AS status FROM top WHERE term_id NOT IN (SELECT user_id FROM events GROUP BY user_id HAVING arg_max(event_type, {{'t': ts, 'e': event_id}}) <> 'signup')""")
 def gap_jobs(spark, sf):
     top = terms.term_gaps(*_store(spark, sf), limit=30, **_LEAST).withColumn("term_id", F.concat(F.lit("user-"), "term_id"))
-    old = views.jobs(spark, sf).join(table(spark, sf, "events").where("event_id % 50 = 1").select(F.concat(F.lit("job:"), "event_id").alias("job_id")), "job_id", "left_semi")
-    return jobs.enqueue_gaps(top, old.withColumn("job_type", F.lit("refine")), now()).select("key", "status")
+    # the job of a term is in the state that its last event left
+    last = F.max_by("status", F.struct("updated_at", F.substring("job_id", 5, 20).cast("long"))).alias("status")
+    old = views.jobs(spark, sf).groupBy("key").agg(last).withColumn("job_type", F.lit("refine"))
+    return jobs.enqueue_gaps(top, old, now()).select("key", "status")
 
 
 @query("""WITH j AS (SELECT doc_id, '/in/' || doc_id || '.pdf' AS pdf_path, source AS domain, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'done' ELSE 'processing' END END AS was, doc_id % 9 AS pages FROM documents),
