@@ -68,9 +68,13 @@ class StreamingDeduplicator:
         self._update()
 
     def _update(self) -> None:
-        spark = self.spark
-        # largest length first, then smallest id, null ids last
-        rank = F.struct(F.col("n_chars"), F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("neg_id"), _locator().alias("locator"))
+        # in a session of its own, so that no other query meets its settings
+        spark = self.spark.newSession()
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # largest length first, then smallest id, null ids last; the complement of an id turns its order round, for every long
+        rank = F.struct(F.col("n_chars"), F.col("doc_id").isNotNull().alias("has_id"), F.bitwise_not("doc_id").alias("not_id"), _locator().alias("locator"))
         state = (
             spark.readStream.schema(CONTENT)
             .parquet(f"{self.home}/content")
@@ -82,24 +86,17 @@ class StreamingDeduplicator:
 
         def sink(batch: DataFrame, number: int) -> None:
             batch.select(
-                "digest", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.locator").alias("locator"), "group_size"
+                "digest", F.bitwise_not("best.not_id").alias("keep_id"), F.col("best.locator").alias("locator"), "group_size"
             ).write.mode("overwrite").parquet(f"{home}/keepers/batch={number}")
 
-        before = {k: spark.conf.get(k, None) for k in STATE_STORE}
-        for k, v in STATE_STORE.items():
-            spark.conf.set(k, v)
-        try:
-            query = (
-                state.writeStream.outputMode("update")
-                .foreachBatch(sink)
-                .option("checkpointLocation", f"{home}/checkpoint")
-                .trigger(availableNow=True)
-                .start()
-            )
-            query.awaitTermination()
-        finally:
-            for k, v in before.items():
-                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        query = (
+            state.writeStream.outputMode("update")
+            .foreachBatch(sink)
+            .option("checkpointLocation", f"{home}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
     def content(self) -> DataFrame:
         """Everything that was added: digest, n_chars, doc_id, norm."""
@@ -150,9 +147,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = own.join(bad, "digest", "left_anti").join(keepers, "digest").withColumn("sha", sha)
     torn = own.join(bad, "digest")
     best = torn.groupBy("norm").agg(
-        F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("neg_id"))).alias("best"),
+        F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has_id"), F.bitwise_not("doc_id").alias("not_id"))).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
-    ).select("norm", (-F.col("best.neg_id")).alias("keep_id"), "group_size")
+    ).select("norm", F.bitwise_not("best.not_id").alias("keep_id"), "group_size")
     torn = torn.join(best, "norm").withColumn("sha", F.sha2("norm", 256))
     cols = ["doc_id", "keep_id", "group_size", "sha"]
     return _result(rows.select(cols).unionByName(torn.select(cols)))

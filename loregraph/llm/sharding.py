@@ -2,8 +2,8 @@
 
 Each row has a hash of 60 bits of its key; a directory is indexed by the leading
 bits. Only a bucket whose rows exceed the byte limit is split, on its next bit, until
-every shard fits. Rows of one key that exceed the limit are split on, by a second hash
-of 60 bits: of the text, and for equal texts of the row.
+every shard fits. Rows of one key that exceed the limit are split on by the 60 bits of a hash
+of their texts, and equal texts of one key by the bits of a number that each of them gets.
 
 Sizes are summed by cells of some more bits than the directory has, so one pass over
 the sizes settles several splits; only the cells that are still too large are summed
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.llm._scratch import fresh, scratch_dir, stage
@@ -23,10 +23,8 @@ HASH_BITS = 60
 LIMIT_BYTES = 2 << 20
 #: Bits that one pass refines a cell by.
 STEP_BITS = 12
-#: Low bits of the second hash that tell equal texts apart.
-ROW_BITS = 24
-#: Largest directory that is broadcast (entries of about 50 bytes); a larger one is joined by a shuffle.
-BROADCAST_CELLS = 500_000
+#: Largest directory that is broadcast (entries of up to 200 bytes); a larger one is joined by a shuffle.
+BROADCAST_CELLS = 200_000
 
 
 def key_hash(key: Column) -> Column:
@@ -71,21 +69,50 @@ def directory(sizes: DataFrame, limit_bytes: int = LIMIT_BYTES, step_bits: int =
     return reduce(DataFrame.unionByName, shards), open_cells
 
 
+def directory_entries(shards: DataFrame) -> DataFrame:
+    """(g, width, cell, parts): per group a directory of cells of ``width`` bits, each with the shards in it.
+
+    A group of 2 ** width shards or more, but fewer than twice as many, has cells of that width: a shallower shard has an entry in
+    each of its cells, as many together as there are shards at most, and deeper ones share a cell.
+    """
+    width = F.floor(F.log2(F.count(F.lit(1)) + 0.5)).cast("int")
+    wide = shards.join(_if_small(shards.groupBy("g").agg(width.alias("width"))), "g")
+    cells = F.when(F.col("d") >= F.col("width"), F.array(F.expr("shiftright(p, d - width)"))).otherwise(F.expr("sequence(shiftleft(p, width - d), shiftleft(p + 1, width - d) - 1)"))
+    bits = F.expr("CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), d, '0') END")
+    entry = F.struct(F.expr(f"shiftleft(p, {HASH_BITS} - d)").alias("lo"), F.expr(f"shiftleft(p + 1, {HASH_BITS} - d) - 1").alias("hi"), F.col("d"), bits.alias("s"), F.col("b"))
+    return wide.select("g", "width", F.explode(cells).alias("cell"), entry.alias("entry")).groupBy("g", "width", "cell").agg(F.collect_list("entry").alias("parts"))
+
+
 def _placed(rows: DataFrame, shards: DataFrame, g: str | None, h: str, names: tuple[str, str, str], base: Column, base_depth: int) -> DataFrame:
     """``rows`` with the names, depths and bytes of their shards; ``base`` are the bits before the prefix."""
-    cell, parts, group = fresh(rows, "cell", "parts", "group")
-    bits = F.expr("CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), d, '0') END")
-    # a directory entry is a cell of the least depth in use, with the shards below it
-    common = shards.agg(F.min("d")).first()[0] or 0
-    low = F.expr(f"shiftleft(p, {HASH_BITS} - d)")
-    entry = F.struct(low.alias("lo"), F.expr(f"shiftleft(p + 1, {HASH_BITS} - d) - 1").alias("hi"), F.col("d"), bits.alias("s"), F.col("b"))
-    table = shards.groupBy(F.col("g").alias(group), F.expr(f"shiftright(p, d - {common})").alias(cell)).agg(F.collect_list(entry).alias(parts))
-    table = _if_small(stage(table, "shard-directory"))
-    same = (_prefix(h, common) == F.col(cell)) & (F.col(group) == (F.lit(0) if g is None else F.col(g)))
+    cell, parts, group, width = fresh(rows, "cell", "parts", "group", "width")
+    table = stage(directory_entries(shards), "shard-directory").withColumnsRenamed({"g": group, "width": width, "cell": cell, "parts": parts})
+    few = (table.agg(F.sum(F.size(parts))).first()[0] or 0) <= BROADCAST_CELLS
+    if g is None:
+        found = table.select(width).first()
+        rows = rows.withColumn(width, F.lit(found[0] if found else 0)).withColumn(group, F.lit(0).cast("long"))
+    else:
+        rows = rows.join(_if_small(table.select(F.col(group).alias(g), width).distinct()), g).withColumn(group, F.col(g))
+    rows = rows.withColumn(cell, F.expr(f"shiftright(`{h}`, {HASH_BITS} - `{width}`)"))
     own = F.get(F.filter(F.col(parts), lambda x: (x["lo"] <= F.col(h)) & (F.col(h) <= x["hi"])), 0)
+    table = table.drop(width)
     # a row of a cell that is too large has no shard here
-    placed = rows.join(table, same).where(own.isNotNull()).withColumn(names[0], F.concat(base, own["s"])).withColumn(names[1], (own["d"] + base_depth).cast("int"))
-    return placed.withColumn(names[2], own["b"]).drop(cell, parts, group)
+    placed = rows.join(F.broadcast(table) if few else table, [group, cell]).where(own.isNotNull()).withColumn(names[0], F.concat(base, own["s"]))
+    return placed.withColumn(names[1], (own["d"] + base_depth).cast("int")).withColumn(names[2], own["b"]).drop(cell, parts, group, width)
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """``rows`` written with a number among those of equal ``keys``, from 0 without gaps, and its column.
+
+    Each task numbers its own rows; a key's tasks then begin where the ones before them end. So no task orders more rows than it has read.
+    """
+    task, start, number = fresh(rows, "task", "start", "number")
+    own = stage(rows.withColumn(task, F.spark_partition_id()), "shard-repeats")
+    counts = own.groupBy(*keys, task).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy(task).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*keys, task, F.coalesce(before, F.lit(0)).alias(start))
+    within = F.row_number().over(Window.partitionBy(*keys, task).orderBy(F.lit(0))) - 1
+    return own.withColumn(number, within).join(starts, [*keys, task]).withColumn(number, F.col(number) + F.col(start)).drop(task, start), number
 
 
 def assign_shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES,
@@ -94,8 +121,8 @@ def assign_shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
 
     Null keys hash as the empty text, null texts have no bytes. Rows of one key are
     in one shard where they fit together; where they do not, they are split by text,
-    and repeated rows by a number that each gets when they are set aside. So a shard
-    exceeds the limit only if it is one row that does. The shard of an input that fits
+    and equal texts by a number that each of them gets. So a shard
+    exceeds the limit only if it is one row that does, and shards do not hang on partitions. The shard of an input that fits
     as a whole is "b". Columns of ``docs`` named like ``names`` are replaced.
     """
     h, t = fresh(docs, "h", "t")
@@ -106,13 +133,20 @@ def assign_shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     placed = _placed(rows, stage(shards, "shards-of-keys"), None, h, names, F.lit("b"), 0)
     if large.take(1):
         own = _if_small(large.select(F.col("p").alias(h)))
-        of_text = F.shiftleft(F.shiftright(key_hash(F.col(text_col)), ROW_BITS), ROW_BITS)
-        of_row = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << ROW_BITS) - 1)
-        # written, so that each row keeps its number
-        aside = stage(rows.join(own, h, "left_semi").withColumn(t, of_text + of_row), "shard-large-keys")
-        finer, left = directory(aside.select(F.col(h).alias("g"), F.col(t).alias("h"), size.alias("bytes")), limit_bytes)
+        aside = stage(rows.join(own, h, "left_semi").withColumn(t, key_hash(F.col(text_col))), "shard-large-keys")
+        finer, repeats = directory(aside.select(F.col(h).alias("g"), F.col(t).alias("h"), size.alias("bytes")), limit_bytes)
         base = F.concat(F.lit("b"), F.lpad(F.bin(F.col(h)), HASH_BITS, "0"))
-        placed = placed.unionByName(_placed(aside, stage(finer.unionByName(left), "shards-of-rows"), h, t, names, base, HASH_BITS).drop(t))
+        placed = placed.unionByName(_placed(aside, stage(finer, "shards-of-texts"), h, t, names, base, HASH_BITS).drop(t))
+        if repeats.take(1):
+            own = _if_small(repeats.select(F.col("g").alias(h), F.col("p").alias(t)))
+            alike, number = _numbered(aside.join(own, [h, t], "left_semi"), [h, t])
+            g, r = fresh(alike, "group", "r")
+            # the lowest bit of the number comes first, so that halves are even
+            alike = alike.withColumn(r, F.conv(F.reverse(F.lpad(F.bin(F.col(number)), HASH_BITS, "0")), 2, 10).cast("long")).withColumn(g, F.xxhash64(h, t))
+            alike = stage(alike, "shard-numbered")
+            finest, _ = directory(alike.select(F.col(g).alias("g"), F.col(r).alias("h"), size.alias("bytes")), limit_bytes)
+            base = F.concat(base, F.lpad(F.bin(F.col(t)), HASH_BITS, "0"))
+            placed = placed.unionByName(_placed(alike, stage(finest, "shards-of-rows"), g, r, names, base, 2 * HASH_BITS).drop(t, g, r, number))
     return placed.drop(h)
 
 
