@@ -163,6 +163,11 @@ def snippet(text: Column, limit: int = 180) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, limit - 1)), F.lit("…")))
 
 
+def job_preview(text: Column, limit: int = 200) -> Column:
+    """What a listing of jobs shows of a prompt or answer: white space squeezed, cut with an ellipsis; empty where there is none."""
+    return snippet(F.coalesce(text, F.lit("")), limit)
+
+
 def short_id(identifier: Column, head: int = 8, tail: int = 6) -> Column:
     return F.when(F.length(identifier) <= head + tail + 1, identifier).otherwise(
         F.concat(F.substring(identifier, 1, head), F.lit("…"), F.right(identifier, F.lit(tail)))

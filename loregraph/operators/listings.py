@@ -65,6 +65,30 @@ def term_detail(term_id, terms: DataFrame, facts: DataFrame, relations: DataFram
     return one
 
 
+def looked_up(rows: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key: a source, record, artifact, block, term, job or vector."""
+    return rows.where(F.col(key) == value)
+
+
+def job_detail(job_id, jobs: DataFrame, terms: DataFrame, facts: DataFrame, links: DataFrame, n_facts: int = 8, n_links: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the job with the label of its term and the starts of its prompt and error, the newest current facts of the term, the newest links of a record).
+
+    A job's key is a term or a record; what it is not has no rows.
+    """
+    from loregraph.operators.terms import current_facts
+
+    labels = terms.select(F.col("term_id").alias("key"), F.col("canonical_label").alias("term_label"))
+    one = looked_up(jobs, "job_id", job_id)
+    texts = {f"{c.split('_')[0]}_preview": tx.job_preview(F.col(c) if c in jobs.columns else F.lit(None).cast("string")) for c in ("prompt_text", "error_message")}
+    job = one.join(labels, "key", "left").withColumns(texts)
+    key = one.select("key")
+    known = terms.select(F.col("term_id").alias("key")).join(key, "key", "left_semi")
+    found = current_facts(facts).join(known.withColumnRenamed("key", "term_id"), "term_id", "left_semi").orderBy(F.desc("created_at"), "fact_id").limit(n_facts)
+    record = key.join(known, "key", "left_anti").withColumnRenamed("key", "record_id")
+    own = links.join(record, "record_id", "left_semi").orderBy(F.desc("updated_at"), F.desc("confidence"), "link_id").limit(n_links)
+    return job, found, own
+
+
 def embedding_counts(embeddings: DataFrame, *kinds: str) -> DataFrame:
     """How many vectors each model has, by further columns where asked."""
     return embeddings.groupBy("embedding_model", *kinds).agg(F.count(F.lit(1)).alias("vectors"))

@@ -1,4 +1,4 @@
-"""Ontology concepts: parsing of JSON-LD, RDF/XML and a subset of Turtle, ranking, selection, import."""
+"""Ontology concepts: parsing of JSON-LD, RDF/XML and Turtle, ranking, selection, import."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loregraph.functions import text as tx
+from loregraph.operators import turtle
 
 CONCEPTS = "path string, pos int, concept_id string, label string, definition string, relations array<struct<name:string,target:string>>"
 
@@ -73,48 +74,20 @@ def _rdf_xml(text: str) -> Iterator[dict]:
         yield own
 
 
-_TURTLE = re.compile(r'<[^>]*>|"""(?:.|\n)*?"""|"(?:\\.|[^"\\])*"(?:@[\w-]+|\^\^\S+)?|[;,.\[\]](?=\s|$)|[^\s;,"<>\[\]]+?(?=[;,]|\.?(?:\s|$))')
-
-
 def _turtle(text: str) -> Iterator[dict]:
-    """Prefixed names, IRIs and strings in plain triples with ; and , lists; no blank nodes or collections."""
-    prefixes: dict[str, str] = {}
-    text = re.sub(r"(?m)^\s*#.*$", "", text)
-    for name, iri in re.findall(r"(?im)^\s*@?prefix\s+(\S*?):\s*<([^>]*)>\s*\.?", text):
-        prefixes[name] = iri
-    text = re.sub(r"(?im)^\s*@?(prefix|base)\s.*$", "", text)
-
-    def name_of(token: str) -> str:
-        if token.startswith("<"):
-            return token[1:-1]
-        head, colon, tail = token.partition(":")
-        return prefixes[head] + tail if colon and head in prefixes else token
-
+    """Subjects in the order in which they are first spoken of; what a blank node says is its own, not that of the node that names it."""
     concepts: dict[str, dict] = {}
-    subject = verb = None
-    for token in _TURTLE.findall(text):
-        if token == ".":
-            subject = verb = None
-        elif token == ";":
-            verb = None
-        elif token == ",":
-            continue
-        elif subject is None:
-            subject = name_of(token)
-            concepts.setdefault(subject, {"id": subject, "label": "", "definition": "", "relations": [], "typed": False})
-        elif verb is None:
-            verb = token if token == "a" else _tail(name_of(token))
-        else:
-            own = concepts[subject]
-            value = re.sub(r"(@[\w-]+|\^\^\S+)$", "", token).strip('"') if token.startswith('"') else ""
-            if verb in LABELS:
-                own["label"] = own["label"] or value
-            elif verb in DEFINITIONS:
-                own["definition"] = own["definition"] or value
-            elif verb in ("a", "type"):
-                own["typed"] = own["typed"] or _tail(name_of(token)) in TYPES
-            elif not value:
-                own["relations"].append((verb, name_of(token)))
+    for subject, predicate, (value, literal) in turtle.triples(text):
+        own = concepts.setdefault(subject, {"id": subject, "label": "", "definition": "", "relations": [], "typed": False})
+        verb = _tail(predicate)
+        if verb in LABELS:
+            own["label"] = own["label"] or (value.strip() if literal else "")
+        elif verb in DEFINITIONS:
+            own["definition"] = own["definition"] or (value.strip() if literal else "")
+        elif verb == "type":
+            own["typed"] = own["typed"] or _tail(value) in TYPES
+        elif not literal:
+            own["relations"].append((verb, value))
     yield from concepts.values()
 
 
@@ -132,7 +105,10 @@ def concepts_of(text: str | None) -> list[dict]:
         pass
     except (ValueError, RecursionError):
         return []
-    return [c for c in _turtle(t) if c["id"].startswith(WHOLE_IDS) and (c["label"] or c["definition"] or c["relations"] or c["typed"])]
+    try:
+        return [c for c in _turtle(t) if c["id"].startswith(WHOLE_IDS) and (c["label"] or c["definition"] or c["relations"] or c["typed"])]
+    except (ValueError, RecursionError):
+        return []
 
 
 def parse(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -63,3 +63,22 @@ def filled(backlog: DataFrame, templates: DataFrame, domain: str, fallback: str
     text = F.coalesce(F.nullif("content", F.lit("")), "default", F.lit(fallback))
     prompt = F.replace(F.replace(text, F.lit("{{domain}}"), F.lit(domain)), F.lit("{{question}}"), F.col("question"))
     return rows.select("path", "line_index", "question", prompt.alias("prompt"))
+
+
+def ticked(docs: DataFrame, done: DataFrame) -> DataFrame:
+    """``docs`` (path, text) with the items ``done`` (path, line_index) ticked; texts end in one line break, as after a run."""
+    own = done.groupBy("path").agg(F.collect_set("line_index").alias("__done"))
+    line = lambda x, i: F.when(F.array_contains("__done", i), F.regexp_replace(x, "\\[ \\](.*)$", "[x]$1")).otherwise(x)
+    rows = docs.join(own, "path", "left").withColumn("__done", F.coalesce("__done", F.array().cast("array<int>")))
+    text = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\\r?\\n"), line), "\n")
+    return rows.withColumn("text", F.concat(F.regexp_replace(text, "^\\s+|\\s+$", ""), F.lit("\n"))).drop("__done")
+
+
+def run_batch(docs: DataFrame, templates: DataFrame, domain: str, chat, fallback: str = "{{question}}") -> tuple[DataFrame, DataFrame]:
+    """(answers: path, line_index, question, prompt, answer; ``docs`` with the answered items ticked). ``chat`` maps a prompt to text, in the tasks."""
+    from loregraph.operators.search import answer
+    from loregraph.operators.store import settled
+
+    asked = filled(backlog(docs), templates, domain, fallback)
+    answers = settled(answer(asked, chat))  # the model is asked once
+    return answers, ticked(docs, answers.where("answer IS NOT NULL"))

@@ -114,9 +114,39 @@ def retrieval_score(terms: list[str], title: Column, snippet: Column) -> Column:
     return hits + 0.2 * whole
 
 
-def support_search(passages: DataFrame, query: str, limit: int | None = 8) -> DataFrame:
-    """Passages (source_type, source_id, title, snippet) of several sources, by score, then longer ones."""
+#: Rows of a CSV file that support search looks at, and characters of each.
+CSV_ROWS, CSV_CHARS = 12, 500
+
+
+def text_passages(texts: DataFrame, kind: str) -> DataFrame:
+    """Passages (source_type, source_id, title, domain, snippet) of files (path, domain, text) of Markdown, PDF or ontologies."""
+    name = F.substring_index("path", "/", -1)
+    stem = F.coalesce(F.nullif(F.regexp_replace(name, "(?<=.)\\.[^.]*$", ""), F.lit("")), name)
+    return texts.select(F.lit(kind).alias("source_type"), F.concat(F.lit(f"{kind}:"), "path").alias("source_id"), stem.alias("title"), "domain", F.explode(tx.chunks(F.col("text"))).alias("snippet"))
+
+
+def csv_passages(rows: DataFrame) -> DataFrame:
+    """Passages of the first rows of each CSV file, from (path, domain, line, cells: an array of name and value): "name: value" of what is not blank."""
+    name = F.regexp_replace(F.substring_index("path", "/", -1), "(?<=.)\\.[^.]*$", "")
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("path").orderBy("line"))).where(F.col("r") <= CSV_ROWS)
+    filled = F.filter("cells", lambda c: F.trim(F.coalesce(c["value"], F.lit(""))) != "")
+    text = F.substring(F.array_join(F.transform(filled, lambda c: F.concat(c["name"], F.lit(": "), c["value"])), " "), 1, CSV_CHARS)
+    first = first.select(F.lit("jira").alias("source_type"), F.concat(F.lit("jira:"), "path").alias("source_id"), name.alias("title"), "domain", text.alias("snippet"))
+    return first.where("snippet != ''")
+
+
+def support_search(passages: DataFrame, query: str, limit: int | None = 8, domain: str | None = None, types: list[str] | None = None) -> DataFrame:
+    """Passages (source_type, source_id, title, snippet) of several sources, by score, then longer ones.
+
+    With ``domain``, those of that domain (column ``domain``); with ``types``, those of the kinds of source that these names stand for.
+    """
     spark = passages.sparkSession
+    if not query.strip():
+        return passages.limit(0).withColumn("score", F.lit(0.0))
+    if domain:
+        passages = passages.where(F.col("domain") == domain)
+    if types:
+        passages = passages.where(F.col("source_type").isin(*source_types(types)))
     terms = sorted(spark.range(1).select(tx.retrieval_tokens(F.lit(query)).alias("t")).first()["t"])
     hits = passages.withColumn("score", F.round(retrieval_score(terms, F.col("title"), F.col("snippet")), 3)).where("score > 0")
     cut = F.when(F.col("source_type") == "jira", F.substring("snippet", 1, 500)).otherwise(F.substring("snippet", 1, 800))
@@ -167,6 +197,30 @@ def graph_context(issues: DataFrame, hits: DataFrame, per_seed: int = 3, most: i
     return issues.join(found, "key").join(hits.select("key"), "key", "left_anti").select("key", "summary", "full_text", "rank")
 
 
+def context_issues(issues: DataFrame, question: str, limit: int = 8, weights: DataFrame | None = None, query_weights: DataFrame | None = None) -> DataFrame:
+    """Hits (key, rank) that a question is answered from: of the hybrid search where there are vectors, else of the lexical one."""
+    hybrid = weights is not None and query_weights is not None
+    rows = hybrid_search(issues, weights, question, query_weights, limit) if hybrid else lexical_search(issues, question, limit)
+    order = [F.desc("combined_score"), F.asc("key")] if hybrid else [F.desc("score"), F.desc_nulls_last("updated_at"), F.asc("key")]
+    return rows.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("key", "rank")  # ``limit`` rows
+
+
+def ask(issues: DataFrame, question: str, chat=None, limit: int = 8, weights: DataFrame | None = None, query_weights: DataFrame | None = None, with_graph: bool = True) -> DataFrame:
+    """One row: prompt, answer, sources (keys of hits), graph_expanded (keys that the graph added). Without ``chat`` the answer is null."""
+    from loregraph.operators.store import settled
+
+    hits = settled(context_issues(issues, question, limit, weights, query_weights))
+    found = issues.join(F.broadcast(hits), "key").select("key", "summary", "full_text", "rank")  # ``limit`` rows
+    more = settled(graph_context(issues, hits)) if with_graph else found.limit(0)
+    prompts = context_prompt(question, found, more)
+
+    def keys(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias(name))
+
+    prompts = prompts.crossJoin(keys(hits, "sources")).crossJoin(keys(more, "graph_expanded"))  # one row each
+    return answer(prompts, chat) if chat else prompts.withColumn("answer", F.lit(None).cast("string"))
+
+
 #: What is said where nothing was found.
 NOTHING_FOUND = "No matching sources were found."
 

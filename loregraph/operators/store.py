@@ -56,10 +56,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """``rows`` written to the shared checkpoint folder and read back, which cuts their lineage."""
     spark = rows.sparkSession
-    path = f"{shared_root(spark)}/settled-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "settled")
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

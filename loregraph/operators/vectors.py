@@ -24,6 +24,34 @@ class Embedder(Protocol):
     def embed(self, text: str) -> list[float]: ...
 
 
+class BlockEmbedder(Embedder, Protocol):
+    """An embedder that learns from the texts first: ``fit(texts)`` gives the one that is shipped to the tasks."""
+
+    def fit(self, texts: DataFrame) -> Embedder: ...
+
+
+class VocabularyEmbedder:
+    """Word shares over the most frequent words of the texts that it was fitted on; a table of ``most`` words is all it holds."""
+
+    def __init__(self, words: list[str] | None = None, most: int = 4096):
+        self.words, self.most = {w: i for i, w in enumerate(words or [])}, most
+
+    def fit(self, texts: DataFrame) -> VocabularyEmbedder:
+        """From ``texts`` (text): words by their frequency, then by name."""
+        counts = texts.select(F.explode(tx.word_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        return VocabularyEmbedder([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(self.most).collect()], self.most)
+
+    def embed(self, text: str) -> list[float]:
+        import re
+
+        found = re.findall(tx.WORD_TOKEN, (text or "").lower())
+        out = [0.0] * len(self.words)
+        for w in found:
+            if w in self.words:
+                out[self.words[w]] += 1 / len(found)
+        return out
+
+
 def terms_of(docs: DataFrame, tokens: Column, key: str = "key") -> DataFrame:
     """(key, term, n, first): occurrences of each token and the place of the first."""
     rows = docs.select(F.col(key).alias("key"), F.posexplode(tokens).alias("pos", "term"))
@@ -91,6 +119,16 @@ def field_rows(issues: DataFrame, least: int = 40) -> DataFrame:
     return rows.where(F.length(F.trim("text")) >= least).withColumn("excerpt", F.substring(F.trim("text"), 1, 280))
 
 
+def with_top_terms(fields: DataFrame, most: int = 6) -> DataFrame:
+    """``fields`` (key, field_name, text, ...) with ``top_terms``, the most frequent tokens of the text, first seen before others."""
+    from loregraph.operators.mining import top_terms
+
+    own = fields.select(F.struct("key", "field_name").alias("key"), "text")
+    found = top_terms(own, limit=most).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("top_terms"))
+    rows = fields.join(found.select("key.*", "top_terms"), ["key", "field_name"], "left")
+    return rows.withColumn("top_terms", F.coalesce("top_terms", F.array().cast("array<string>")))
+
+
 def choose_embedder(probe: Callable[[], bool], remote: Embedder, fallback: Embedder) -> Embedder:
     """The remote embedder if its probe succeeds, else the fallback."""
     try:

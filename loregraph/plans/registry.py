@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import dates, values
 from loregraph.functions import text as tx
-from loregraph.operators import artifacts, blocks, domains, graph, jobs, listings, mining, ontology, pdf_jobs, prompts, quiz, search, store, terms, vectors
+from loregraph.operators import artifacts, blocks, claims, domains, graph, jobs, listings, mining, ontology, pdf_jobs, prompts, quiz, search, store, terms, text_index, vector_index, vectors
 from loregraph.plans import views
 from loregraph.plans.views import table
 
@@ -59,6 +61,23 @@ def lexical_scores(spark, sf):
     return search.lexical_search(views.docs(spark, sf), SEARCH_QUERY, None).select("key", "score")
 
 
+_INDEX_QUERIES = ["estion outre Ingor", "hntiwh", "the", "a b", "zzzzzz", "ther ENTI"]
+
+
+def _index_query_sql(q: str) -> str:
+    tokens = [t for t in re.findall(tx.SEARCH_TOKEN, q.lower()) if t not in tx.STOPWORDS] or [q.strip().lower()]
+    score = " + ".join(f"CASE WHEN contains(lower({c}), '{t}') THEN {w} ELSE 0 END" for t in tokens for c, w in search.WEIGHTS.items())
+    return f"SELECT '{q}' AS query, key, CAST({score} AS BIGINT) AS score FROM v_docs WHERE " + " OR ".join(f"contains(lower(full_text), '{t}')" for t in tokens)
+
+
+@query(f"WITH {views.DOCS} " + " UNION ALL ".join(map(_index_query_sql, _INDEX_QUERIES)))
+def indexed_lexical_search(spark, sf):
+    """Searches over a trigram index of all documents: the same hits and scores as a scan of them."""
+    index = text_index.TextIndex.build(views.docs(spark, sf), store.scratch(spark, "text-index"))
+    hits = [index.search(q, None).select(F.lit(q).alias("query"), "key", "score") for q in _INDEX_QUERIES]
+    return reduce(DataFrame.unionByName, hits)
+
+
 @query(f"""WITH {views.DOCS}
 SELECT key, CAST(CASE WHEN contains(lower(summary), 'a b') THEN 4 ELSE 0 END + CASE WHEN contains(lower(description), 'a b') THEN 2 ELSE 0 END + 1 AS BIGINT) AS score
 FROM v_docs WHERE contains(lower(full_text), 'a b')""")
@@ -301,6 +320,17 @@ def field_search(spark, sf):
     return search.field_search(rows, q, "comment", 25).select("key", "field_name", values.stable(F.col("score")).alias("score"))
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+s AS (SELECT q.vec_id AS q, e.vec_id AS key, round(list_cosine_similarity(q.v, e.v), 9) AS score FROM e q, e WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT q, key, round(score + 1e-9, 6) AS score, rank FROM r WHERE rank <= 10""")
+def vector_index_search(spark, sf):
+    """An index of all vectors, searched for the ten nearest of every fiftieth, exactly."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    index = vector_index.VectorIndex.build(e, store.scratch(spark, "vector-index"))
+    return index.search(e.where("key % 50 = 0"), 10, exact=True).withColumn("score", values.stable(F.col("score")))
+
+
 _HQ = "estion outre ingor the"
 _SEM = f"""{_TF},
 q0 AS (SELECT unnest(['estion', 'outre', 'ingor', 'the']) AS term),
@@ -753,19 +783,27 @@ def domain_sources(spark, sf):
     ).distinct()
 
 
+#: Documents made of parts: those of a brand among 400 parts that follow each other, so that none grows with the table.
+_SHARE = "p_brand || '/' || (p_partkey // 400)"
+
+
+def _share():
+    return F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 400))
+
+
 def _concepts(spark, sf) -> DataFrame:
-    """Parts as JSON-LD concepts of their brands."""
+    """Parts as JSON-LD concepts of documents."""
     p = table(spark, sf, "part")
     node = F.struct(F.concat(F.lit("part/"), "p_partkey").alias("@id"), F.col("p_name").alias("label"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("comment"), F.struct(F.concat(F.lit("part/"), (F.col("p_partkey") + 25)).alias("@id")).alias("next"))
-    return ontology.parse(p.groupBy(F.col("p_brand").alias("path")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("p_partkey", node.alias("n")))).getField("n").alias("@graph"))).alias("text")))
+    return ontology.parse(p.groupBy(_share().alias("path")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("p_partkey", node.alias("n")))).getField("n").alias("@graph"))).alias("text")))
 
 
-@query("""SELECT p_brand AS path, 'part/' || p_partkey AS concept_id, CAST(2 + CASE WHEN len(p_name || ' ' || p_type || ' ' || p_brand) >= 60 THEN 2 WHEN len(p_name || ' ' || p_type || ' ' || p_brand) >= 20 THEN 1 ELSE 0 END + 1 AS BIGINT) AS quality FROM part""")
+@query(f"""SELECT {_SHARE} AS path, 'part/' || p_partkey AS concept_id, CAST(2 + CASE WHEN len(p_name || ' ' || p_type || ' ' || p_brand) >= 60 THEN 2 WHEN len(p_name || ' ' || p_type || ' ' || p_brand) >= 20 THEN 1 ELSE 0 END + 1 AS BIGINT) AS quality FROM part""")
 def ontology_quality(spark, sf):
     return ontology.ranked(_concepts(spark, sf)).select("path", "concept_id", "quality")
 
 
-@query("""WITH c AS (SELECT p_brand AS path, 'part/' || p_partkey AS concept_id, CASE WHEN len(p_name || ' ' || p_type || ' ' || p_brand) >= 20 THEN 1 ELSE 0 END AS q, contains(lower(p_name), 'ring') AS f, p_partkey FROM part),
+@query(f"""WITH c AS (SELECT {_SHARE} AS path, 'part/' || p_partkey AS concept_id, CASE WHEN len(p_name || ' ' || p_type || ' ' || p_brand) >= 20 THEN 1 ELSE 0 END AS q, contains(lower(p_name), 'ring') AS f, p_partkey FROM part),
 r AS (SELECT path, concept_id, row_number() OVER (PARTITION BY path ORDER BY f DESC, q DESC, p_partkey) AS rank FROM c)
 SELECT path, concept_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def ontology_select(spark, sf):
@@ -1001,28 +1039,29 @@ def url_names(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.url_title(F.col("url"), "html").alias("title"), tx.url_slug(F.col("url")).alias("slug"))
 
 
-@query("""SELECT p_brand AS path, 'part/' || p_partkey AS src_id, 'part/' || (p_partkey + 25) AS dst_id FROM part p WHERE EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_partkey = p.p_partkey + 25)""")
+@query(f"""WITH p AS (SELECT p_partkey, {_SHARE} AS path FROM part)
+SELECT p.path, 'part/' || p.p_partkey AS src_id, 'part/' || (p.p_partkey + 25) AS dst_id FROM p JOIN p q ON q.path = p.path AND q.p_partkey = p.p_partkey + 25""")
 def concept_graph(spark, sf):
     return ontology.concept_graph(_concepts(spark, sf))[1].select("path", "src_id", "dst_id")
 
 
 def _checklists(spark, sf) -> DataFrame:
-    """Parts as items of their brands' checklists, under two templates."""
+    """Parts as items of checklists, under two templates."""
     p = table(spark, sf, "part")
     mark = F.when(F.col("p_size") % 3 == 0, "x").otherwise(" ")
     body = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" :: ", "p_type", "p_name")).otherwise(F.col("p_name"))
     item = F.concat(F.lit("- ["), mark, F.lit("] "), body)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("i")))), lambda x: x["i"])
-    return p.groupBy(F.col("p_brand").alias("path")).agg(F.concat(F.lit("# To do\n"), F.array_join(lines, "\n")).alias("text"))
+    return p.groupBy(_share().alias("path")).agg(F.concat(F.lit("# To do\n"), F.array_join(lines, "\n")).alias("text"))
 
 
-@query("""SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS line_index, p_size % 3 = 0 AS checked,
+@query(f"""SELECT {_SHARE} AS path, CAST(row_number() OVER (PARTITION BY {_SHARE} ORDER BY p_partkey) AS INTEGER) AS line_index, p_size % 3 = 0 AS checked,
 CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE 'default' END AS template, p_name AS question FROM part""")
 def prompt_backlog(spark, sf):
     return prompts.backlog(_checklists(spark, sf))
 
 
-@query("""SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS line_index, p_name AS question,
+@query(f"""SELECT {_SHARE} AS path, CAST(row_number() OVER (PARTITION BY {_SHARE} ORDER BY p_partkey) AS INTEGER) AS line_index, p_name AS question,
 CASE WHEN p_size % 2 = 0 AND p_type = 'ECONOMY' THEN 'Buy ' || p_name || ' for shop' ELSE 'Do ' || p_name END AS prompt FROM part QUALIFY p_size % 3 <> 0""")
 def backlog_prompts(spark, sf):
     docs = _checklists(spark, sf)
@@ -1049,3 +1088,114 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT user_id AS job_id, CAST(event_id % 2 + 1 AS INTEGER) AS attempt, {'at': CAST(ts AS TIMESTAMP), 'id': 'c' || event_id, 'who': 'w' || (event_id % 5)} AS x FROM events),
+g(job_id, attempt, x) AS (
+  SELECT job_id, attempt, min(x) FROM c GROUP BY 1, 2
+  UNION ALL
+  SELECT g.job_id, g.attempt, min(c.x) FROM g JOIN c ON c.job_id = g.job_id AND c.attempt = g.attempt AND c.x['at'] >= g.x['at'] + INTERVAL 12 HOUR GROUP BY g.job_id, g.attempt)
+SELECT job_id, attempt, x['who'] AS claimer, x['id'] AS claim_id FROM g""")
+def claim_grants(spark, sf):
+    """Events as claims of five workers on the jobs of users, with leases of twelve hours."""
+    e = table(spark, sf, "events")
+    asked = e.select(
+        F.col("user_id").alias("job_id"), (F.col("event_id") % 2 + 1).cast("int").alias("attempt"), F.concat(F.lit("w"), F.col("event_id") % 5).alias("claimer"),
+        F.col("ts").cast("timestamp").alias("claimed_at"), F.concat(F.lit("c"), "event_id").alias("claim_id"),
+    )
+    return claims.grants(asked, 12 * 3600).select("job_id", "attempt", "claimer", "claim_id")
+
+
+@query(f"""SELECT {_SHARE} AS path, 'http://x.org/part' || p_partkey AS concept_id, p_name AS label, p_name || ' "' || p_type || '" ' || p_brand AS definition,
+'of->_:,next->http://x.org/part' || (p_partkey + 25) || ',next->http://x.org/part' || (p_partkey + 1) AS relations FROM part""")
+def turtle_concepts(spark, sf):
+    """Parts as concepts of Turtle documents, with prefixes, a base, long strings, blank nodes and collections."""
+    p = table(spark, sf, "part")
+    head = "@prefix ex: <http://x.org/> .\nBASE <http://x.org/>\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
+    part = lambda n: F.concat(F.lit("part"), n)
+    key = F.col("p_partkey")
+    text = F.concat(
+        F.lit("ex:"), part(key), F.lit(' a rdfs:Class ; # of its brand\n  rdfs:label "'), "p_name", F.lit('"@en ; rdfs:comment """'), "p_name", F.lit(' "'), "p_type", F.lit('" '), "p_brand", F.lit('""" ;\n'),
+        F.lit('  ex:of [ rdfs:label "inner" ; ex:sizes ( '), F.col("p_size").cast("string"), F.lit(" ex:"), part(key + 1), F.lit(" ( ) ) ] ;\n  ex:next ex:"), part(key + 25), F.lit(" , <"), part(key + 1), F.lit("> .\n"),
+    )
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("t")))), lambda x: x["t"]), "")
+    found = ontology.parse(p.groupBy(_share().alias("path")).agg(F.concat(F.lit(head), parts).alias("text")))
+    # blank nodes are numbered within a document
+    shown = F.transform("relations", lambda x: F.concat(x["name"], F.lit("->"), F.regexp_replace(x["target"], "^_:.*$", "_:")))
+    return found.select("path", "concept_id", "label", "definition", F.array_join(shown, ",").alias("relations"))
+
+
+@query("""WITH j AS (SELECT doc_id, source AS domain, doc_id % 4 AS pages, doc_id % 7 = 0 AND doc_id % 4 >= 2 AS bad, 'd' || doc_id || '.pdf' AS file, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'This is a page of the document number ' || doc_id END AS body FROM documents),
+s AS (SELECT *, CASE WHEN bad THEN 'page 2' WHEN pages = 0 OR trim(body) = '' THEN 'PDF contains no extractable text' END AS error, pages - CASE WHEN bad THEN 1 ELSE 0 END AS n FROM j)
+SELECT 'pdf_' || substr(sha1(domain || ':/in/' || file), 1, 16) AS job_id, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status, error AS error_message, CAST(n AS INTEGER) AS pages_processed,
+CASE WHEN error IS NULL THEN 'pdf:' || domain || '/' || file END AS source_id, CASE WHEN error IS NULL THEN 'artifact:summary_note:pdf:' || domain || '_' || file || ':summary_note' END AS artifact_id,
+CASE WHEN error IS NULL THEN array_to_string(list_transform(range(1, pages + 1), lambda k: '## Page ' || k || ' ' || body), ' ') END AS content_preview,
+CASE WHEN error IS NULL THEN CAST(2 * pages AS BIGINT) END AS n_blocks FROM s""")
+def pdf_imports(spark, sf):
+    """Every document is a file of up to three pages whose job waits: clean-up, import, notes."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/in/d"), "doc_id", F.lit(".pdf")).alias("pdf_path"), F.col("source").alias("domain"), (F.col("doc_id") % 4).cast("int").alias("pages_total"))
+    d = d.withColumn("job_id", pdf_jobs.job_id(F.col("domain"), F.col("pdf_path")))
+    jobs_ = pdf_jobs.create(d, spark.createDataFrame([], pdf_jobs.SCHEMA), now())
+    body = F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit("This is a page  of\nthe document number "), "doc_id"))
+    pages = d.where("pages_total > 0").select("job_id", "doc_id", F.explode(F.sequence(F.lit(1), "pages_total")).alias("page"))
+    pages = pages.select("job_id", "page", body.alias("text"), F.when((F.col("doc_id") % 7 == 0) & (F.col("page") == 2), "page 2").alias("error"))
+    after, made, _, _ = pdf_jobs.process_pending(jobs_, lambda running: pages.join(running.select("job_id"), "job_id", "left_semi"), now())
+    n = made.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return after.join(n, "source_id", "left").select("job_id", "status", "error_message", "pages_processed", "source_id", "artifact_id", "content_preview", "n_blocks")
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 2),
+s AS (SELECT vec_id AS key, 'f' || label AS field_name, c_name AS summary, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS s FROM embeddings JOIN customer ON vec_id = c_custkey, q WHERE label % 2 = 1)
+SELECT key, field_name, summary, round(s + 1e-9, 6) AS score FROM s WHERE s > 0 ORDER BY s DESC, key LIMIT 30""")
+def field_issue_search(spark, sf):
+    """Fields of one kind, of the issues that are known (customers), with their summaries."""
+    e = table(spark, sf, "embeddings")
+    rows = e.select(
+        F.col("vec_id").alias("key"), F.concat(F.lit("f"), "label").alias("field_name"), F.when(F.col("label") % 2 == 1, "comment").otherwise("description").alias("field_kind"),
+        F.col("embedding").cast("array<double>").alias("vector"),
+    )
+    known = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("summary"))
+    hits = search.field_search_issues(rows, known, list(rows.where("key = 2").first()["vector"]), "comment", 30)
+    return hits.select("key", "field_name", "summary", values.stable(F.col("score")).alias("score"))
+
+
+@query(f"""WITH f AS (SELECT conv_id || ':' || turn AS key, 'text' AS field_name, text, {tokens_sql('text')} AS tk FROM conversations),
+t AS (SELECT key, unnest(tk) AS term, generate_subscripts(tk, 1) AS pos FROM f WHERE len(trim(text)) >= 40),
+r AS (SELECT key, term, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(pos)) AS r FROM t GROUP BY key, term)
+SELECT f.key, coalesce(string_agg(r.term, ',' ORDER BY r.r), '') AS top_terms, substr(trim(any_value(f.text)), 1, 280) AS excerpt FROM f LEFT JOIN r ON f.key = r.key AND r.r <= 6 WHERE len(trim(f.text)) >= 40 GROUP BY f.key""")
+def field_top_terms(spark, sf):
+    """Turns of conversations as fields of issues, with what is stored beside their vectors."""
+    c = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.col("text").alias("description"), F.lit(None).cast("map<string,string>").alias("text_fields"))
+    rows = vectors.with_top_terms(vectors.field_rows(c))
+    return rows.select("key", F.array_join("top_terms", ",").alias("top_terms"), "excerpt")
+
+
+@query(f"""WITH {_CHUNKS.replace('FROM v_md)', "FROM (SELECT path, m.text FROM v_md m JOIN documents d ON path = 'doc-' || d.doc_id || '.md' WHERE d.lang = 'en'))")},
+md AS (SELECT 'md:' || path AS source_id, regexp_replace(path, '.md$', '') AS title, chunk AS snippet FROM v_chunks),
+lines AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+csv AS (SELECT 'jira:/csv/u' || user_id || '.csv' AS source_id, 'u' || user_id AS title, substr('kind: ' || event_type || ' props: ' || props, 1, 500) AS snippet FROM lines WHERE r <= 12),
+every AS (SELECT 'md' AS source_type, * FROM md UNION ALL SELECT 'jira', * FROM csv),
+scored AS (SELECT *, {_RSCORE} AS score FROM every),
+r AS (SELECT source_type, source_id, title, score, snippet, row_number() OVER (ORDER BY score DESC, len(cut) DESC, source_type, source_id, cut) AS r FROM (SELECT *, CASE WHEN source_type = 'jira' THEN substr(snippet, 1, 500) ELSE substr(snippet, 1, 800) END AS cut FROM scored WHERE score > 0))
+SELECT source_type, source_id, title, score, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 40""")
+def support_search_sources(spark, sf):
+    """Markdown, PDF, ontology and CSV passages of two domains; asked for are Markdown and CSV of one, in the order in which they are shown."""
+    d = table(spark, sf, "documents")
+    texts = views.markdown(spark, sf).join(d.select(F.concat(F.lit("doc-"), "doc_id", F.lit(".md")).alias("path"), F.col("lang").alias("domain")), "path")
+    e = table(spark, sf, "events")
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in (("kind", F.col("event_type")), ("empty", F.lit(" ")), ("props", F.col("props")), ("none", F.lit(None)))])
+    rows = search.csv_passages(e.select(F.concat(F.lit("/csv/u"), "user_id", F.lit(".csv")).alias("path"), F.lit("en").alias("domain"), F.col("event_id").alias("line"), cells.alias("cells")))
+    every = reduce(DataFrame.unionByName, [search.text_passages(texts, "md"), search.text_passages(texts, "pdf"), search.text_passages(texts, "owl"), rows])
+    hits = search.support_search(every, "Enou THER tion", 40, "en", ["Markdown", "csv"])
+    order = W.orderBy(F.desc("score"), F.desc(F.length("snippet")), "source_type", "source_id", "snippet")  # 40 rows
+    return hits.select("source_type", "source_id", "title", "score", F.row_number().over(order).alias("rank"))
+
+
+@query(f"""WITH i AS (SELECT {_SHARE} AS path, p_partkey, CASE WHEN p_size % 3 = 0 OR p_size % 5 = 0 THEN 'x' ELSE ' ' END AS mark, CASE WHEN p_size % 2 = 0 THEN p_type || ' :: ' || p_name ELSE p_name END AS body FROM part)
+SELECT path, '# To do' || chr(10) || string_agg('- [' || mark || '] ' || body, chr(10) ORDER BY p_partkey) || chr(10) AS text FROM i GROUP BY path""")
+def backlog_ticked(spark, sf):
+    """Checklists after every fifth size of part was answered."""
+    p = table(spark, sf, "part")
+    place = F.row_number().over(W.partitionBy(_share()).orderBy("p_partkey"))
+    done = p.select("p_size", _share().alias("path"), place.alias("line_index")).where("p_size % 5 = 0")
+    return prompts.ticked(_checklists(spark, sf), done.select("path", "line_index"))
