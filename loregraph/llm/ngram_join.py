@@ -1,7 +1,7 @@
 """Jaccard join on word n-grams with token-combination prefixes.
 
 A document is the set of its distinct word shingles, as 63-bit hashes, which
-are the tokens here. Documents with one set form a node. Tokens are ordered
+are the tokens here. Documents with one set form a node, told apart by two hashes of the set. Tokens are ordered
 rare ones first, then frequent ones, each class by hash. Two sets of n and m that
 share at least t tokens share one among the first n - t + 1 of the one and the
 first m - t + 1 of the other. So
@@ -53,6 +53,9 @@ MANY_PAIRS = 32
 #: So many of the least keys of a set are carried along to make a pair of sets once, not at every key that they share.
 LEAST_KEYS = 8
 
+#: Bits of a set's bitmap, in words of 64.
+SKETCH_WORDS = 8
+
 _MULTS = np.random.default_rng(4).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -103,8 +106,21 @@ def node_of(tokens: np.ndarray) -> int:
     return int(_scan.mix(total + np.array([len(tokens)], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _scan_sets(n: int, percent: int, whole: bool):
+def second_hash(tokens: np.ndarray) -> int:
+    """Another hash of the set, independent of ``node_of``."""
+    return int(_scan.mix(tokens * _MULTS[42] ^ _MULTS[43]).sum(dtype=np.uint64, keepdims=True).view(np.int64)[0])
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bits on which an odd number of the tokens fall."""
+    at = (_scan.mix(tokens ^ _MULTS[44]) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _scan_sets(n: int, percent: int, whole: bool, node_bits: int = 64):
     bounds = Bounds(percent)
+    mask = (1 << node_bits) - 1 if node_bits < 64 else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,17 +130,28 @@ def _scan_sets(n: int, percent: int, whole: bool):
                 at = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
                 flat = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
                 own = [
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([node_of(s) & mask if len(s) else None for s in sets], pa.int64()),
+                    pa.array([second_hash(s) for s in sets], pa.int64()),
+                    pa.array([sketch(s).tolist() if len(s) else None for s in sets], pa.list_(pa.int64())),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
                 ]
                 cols = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row")]
-                yield pa.RecordBatch.from_arrays([*cols, *own], names=["doc_id", "row", "node", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([*cols, *own], names=["doc_id", "row", "node", "second", "sketch", "n", "tokens"])
 
     return run
 
 
-_SETS = "doc_id long, row long, node long, n long, tokens array<long>"
+_SETS = "doc_id long, row long, node long, second long, sketch array<long>, n long, tokens array<long>"
+
+
+def _renamed(rows: DataFrame, clashing: DataFrame | None) -> DataFrame:
+    """``rows`` whose node stands for several sets get a node made from both hashes."""
+    if clashing is None:
+        return rows
+    hit = clashing.select(F.col("node").alias("c_node"))
+    out = rows.join(F.broadcast(hit) if hit.count() <= BROADCAST_IDS else hit, F.col("node") == F.col("c_node"), "left")
+    return out.withColumn("node", F.when(F.col("c_node").isNull(), F.col("node")).otherwise(F.xxhash64("node", "second"))).drop("c_node")
 
 
 class Marks:
@@ -250,9 +277,10 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(right) if few else right, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")), "left_semi")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, percent: int, node_bits: int, clashing: DataFrame | None) -> DataFrame:
     """(node, n, tokens) of the documents ``wanted`` (doc_id, row), one of each node."""
-    found = stage(_texts_of(docs, wanted).mapInArrow(_scan_sets(n, percent, True), _SETS).select("node", "n", "tokens"), "jaccard-sets")
+    sets = _renamed(_texts_of(docs, wanted).mapInArrow(_scan_sets(n, percent, True, node_bits), _SETS), clashing)
+    found = stage(sets.select("node", "n", "tokens"), "jaccard-sets")
     # a document is found again only where rows repeat its id and text
     return found if found.count() <= wanted.count() else stage(found.dropDuplicates(["node"]), "jaccard-sets")
 
@@ -279,7 +307,7 @@ def _verify(n: int, percent: int):
 
 
 class _Corpus:
-    """Documents (doc_id, row, text), their nodes (node, n, doc_id, row), and the test of pairs of nodes on their words."""
+    """Documents (doc_id, row, text), their nodes (node, n, sketch, doc_id, row), and the test of pairs of nodes on their words."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, percent: int):
         self.docs, self.nodes, self.n, self.percent = docs, nodes, n, percent
@@ -304,6 +332,13 @@ def _fits(percent: int):
     return by_size & (F.col("need") <= F.col("n") - t) & (F.col("other_need") <= F.col("m") - t)
 
 
+def _close(percent: int):
+    """The bitmaps differ in no more bits than tokens that two linked sets of these sizes may have in one of them alone."""
+    t = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    differ = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("other_sketch", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
+    return differ <= F.col("n") + F.col("m") - 2 * t
+
+
 def _paired_before(percent: int):
     """The two sets share a smaller key that they may use, among the least keys of either: the pair is made there."""
     t = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
@@ -323,12 +358,12 @@ def _across(postings: DataFrame, percent: int) -> DataFrame:
 
     Both sides rename every column alike, so that one exchange serves both.
     """
-    own = ("key", "node", "n", "need", "comp", "least")
+    own = ("key", "node", "n", "need", "comp", "least", "sketch")
     left = postings.select(*[F.col(c).alias(f"own_{c}") for c in own])
-    right = postings.select(*[F.col(c).alias(x) for c, x in zip(own, ("other_key", "other", "m", "other_need", "other_comp", "other_least"), strict=True)])
+    right = postings.select(*[F.col(c).alias(x) for c, x in zip(own, ("other_key", "other", "m", "other_need", "other_comp", "other_least", "other_sketch"), strict=True)])
     both = left.join(right, F.col("own_key") == F.col("other_key")).withColumnsRenamed({f"own_{c}": c for c in own})
     apart = (F.col("node") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & _fits(percent)
-    return both.where(apart & ~_paired_before(percent))
+    return both.where(apart & _close(percent) & ~_paired_before(percent))
 
 
 def _centres(postings: DataFrame, turn: int) -> DataFrame:
@@ -371,7 +406,8 @@ def _links(keys: DataFrame, corpus: _Corpus) -> DataFrame:
             break
         before = left
     least = F.slice(F.array_sort(F.collect_list(F.struct("key", "need"))), 1, LEAST_KEYS).alias("least")
-    postings = stage(postings.drop("weight").join(postings.groupBy("node").agg(least), "node"), "jaccard-across")
+    sketches = corpus.nodes.select("node", "sketch")
+    postings = stage(postings.drop("weight").join(postings.groupBy("node").agg(least).join(sketches, "node"), "node"), "jaccard-across")
     across = _across(postings, percent)
     # written, since it is read more than once
     return stage(edges.union(corpus.verified(across.select(*_pair()).distinct())), "jaccard-edges")
@@ -389,22 +425,31 @@ def _one_of_each(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return stage(left.dropDuplicates(["node"]), "jaccard-one") if repeated else left
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+def _nodes(rows: DataFrame) -> DataFrame:
+    """A row per node: its set's size and bitmap, its first document, its documents, and whether its sets are several."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    own = [F.first("n").alias("n"), F.first("sketch").alias("sketch"), first.alias("x"), F.count(F.lit(1)).alias("k"), (F.min("second") != F.max("second")).alias("several")]
+    return stage(rows.where("node is not null").groupBy("node").agg(*own).select("node", "n", "sketch", "x.doc_id", "x.row", "k", "several"), "jaccard-nodes")
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, node_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, row (hash of the text), comp (a label of the component), n_shingles, component_id.
 
     A set holds the distinct shingles of ``n`` words (A-Z lower-cased, cut at
     ``[\\x20\\x09-\\x0D]``); fewer words are one shingle; null texts and texts
     without words have none and link with nothing: their component is their own
     id. The component is the smallest id that is reachable by links; null ids are
-    passed over, and where no other is known it is null. Sets are counted and
-    compared for being equal by 63-bit hashes of their shingles; links are
-    verified on the words themselves.
+    passed over, and where no other is known it is null. Sets are taken for equal where two 64-bit hashes of their
+    shingles are; ``node_bits`` shortens the first one, results stay the same. Links are verified on the words themselves.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    rows = stage(docs.mapInArrow(_scan_sets(n, percent, False), _SETS), "jaccard-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), first.alias("x"), F.count(F.lit(1)).alias("k"))
-    nodes = stage(nodes.select("node", "n", "x.doc_id", "x.row", "k"), "jaccard-nodes")
+    rows = stage(docs.mapInArrow(_scan_sets(n, percent, False, node_bits), _SETS), "jaccard-rows")
+    nodes, clashing = _nodes(rows), None
+    if nodes.where("several").take(1):
+        clashing = nodes.where("several").select("node")
+        rows = stage(_renamed(rows, clashing), "jaccard-rows")
+        nodes = _nodes(rows)
+    rows = rows.drop("second", "sketch")
     can = _one_of_each(rows.where(F.size("tokens") > 0), nodes)
 
     counts = stage(can.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-counts")
@@ -415,7 +460,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         found = stage(can.mapInArrow(_dense(frequent, percent, known), "node long, doc_id long, row long"), "jaccard-dense")
         if not found.take(1):
             break
-        more = _whole_sets(docs, found, n, percent)
+        more = _whole_sets(docs, found, n, percent, node_bits, clashing)
         dense = more if dense is None else dense.unionByName(more)
         if known is None:
             tokens = dense.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")

@@ -564,6 +564,22 @@ def test_op9_short_variants(spark, monkeypatch, bits, n, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("node_bits", [1, 3])
+def test_op9_sets_of_one_short_hash_stay_apart(spark, node_bits):
+    rows = near_copies(3) + [(i if i is None else i + 1000, t) for i, t in TEXTS]
+    out = ngram_join.similarity_report(table(spark, rows), node_bits=node_bits).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == collections.Counter(brute_components(rows, 4, 85))
+
+
+def test_op9_bitmaps_differ_in_no_more_bits_than_sets_differ_in_tokens():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 3000, int(rng.integers(1, 900)))).astype(np.uint64) for _ in range(2))
+        b = np.union1d(b, rng.permutation(a)[: int(rng.integers(0, len(a) + 1))])
+        bits = np.bitwise_count((ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64)).sum()
+        assert bits <= len(np.setxor1d(a, b)) and not (ngram_join.sketch(a) ^ ngram_join.sketch(a)).any()
+
+
 def test_op9_keys_lose_no_pair():
     """Sets that link share a key that both may use, whatever tokens are frequent."""
     rng = np.random.default_rng(9)
@@ -632,3 +648,36 @@ def test_op10_contamination(spark, empty, block_bytes):
     assert [(m.start, m.item_start, m.length) for r in found if r.doc_id == 55 for m in r.matches if m.item_id == "1"] == [(1, 1, n - 1)]
     kept = decontaminate.remove_contaminated(table(spark, rows).withColumnRenamed("lang", "spans"), bench)
     assert kept.columns == ["doc_id", "text", "spans", "source", "n_chars"] and kept.count() == sum(n for w, n in want.items() if not w[-1])
+
+
+def test_op3_many_equal_rows_of_one_key(spark):
+    """More repeats than any short hash tells apart: every shard keeps the limit, and shards do not hang on partitions."""
+    rows = [(7, "r" * 600)] * 8000 + [(7, "s" * 400)] * 3 + [(8, "t" * 300), (8, "u" * 900), (None, "v" * 5000)]
+    found = []
+    for parts in (3, 11):
+        out = sharding.assign_shards(table(spark, rows).repartition(parts), limit_bytes=1000).select("doc_id", "text", "shard", "depth", "shard_bytes").collect()
+        shards = collections.defaultdict(list)
+        for r in out:
+            shards[r.shard].append(len(r.text))
+        assert len(out) == len(rows) and all(sum(x) <= 1000 or len(x) == 1 for x in shards.values())
+        assert all(r.shard_bytes == sum(shards[r.shard]) and r.depth == len(r.shard) - 1 for r in out)
+        found.append(collections.Counter((r.shard, r.shard_bytes) for r in out))
+    assert found[0] == found[1]
+
+
+def test_op3_directory_of_uneven_groups(spark):
+    """A group of many shards next to one of few: cells hold a bounded list each, whatever the other groups are."""
+    shards = [(1, 12, p, 10, 1) for p in range(4096)] + [(2, 1, 0, 10, 1), (2, 2, 2, 10, 1), (2, 3, 6, 10, 1), (2, 3, 7, 10, 1)] + [(3, 0, 0, 5, 1)]
+    df = spark.createDataFrame(shards, "g long, d int, p long, b long, n long")
+    rows = sharding.directory_entries(df).collect()
+    assert {r.g: r.width for r in rows} == {1: 12, 2: 2, 3: 0} and max(len(r.parts) for r in rows) == 2
+    assert sum(len(r.parts) for r in rows) <= 2 * len(shards)
+
+
+def test_op5_every_long_id(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    rows = [(least, "a b"), (most, "ab"), (0, "a  b"), (-1, " ab"), (least, "c"), (most, "c "), (None, "c\n"), (most, "d"), (least, "d")]
+    for digest_bytes in (32, 1):
+        out = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(spark, rows), digest_bytes=digest_bytes).collect()}
+        c = {(least, most, 3, False), (most, most, 3, True), (None, most, 3, False)}
+        assert out == {(0, 0, 4, True), (least, 0, 4, False), (most, 0, 4, False), (-1, 0, 4, False), (least, least, 2, True), (most, least, 2, False)} | c
