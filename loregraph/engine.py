@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loregraph.operators import artifacts, blocks, graph, mining, ontology, quiz, search, terms, vectors
-from loregraph.operators.store import Warehouse
+from loregraph.operators.store import Warehouse, settled
 from loregraph.sources import files, issues
 
 
@@ -53,9 +53,9 @@ class Engine:
         """Blocks of a source that is read again take the place of its old ones."""
         if self.tables.exists(name):
             old = self.tables.read(name).join(rows.select("source_id").distinct(), "source_id", "left_anti")
-            self.tables.write(name, old.unionByName(rows, allowMissingColumns=True))
+            self.tables.write(name, old.unionByName(rows, allowMissingColumns=True), ["source_id"])
         else:
-            self.tables.write(name, rows)
+            self.tables.write(name, rows, ["source_id"])
 
     # -- questions
 
@@ -87,7 +87,8 @@ class Engine:
     def promote_terms(self) -> DataFrame:
         """Mined terms as candidates, and the new ones among them as terms; what was promoted or forgotten before keeps its state."""
         old = {name: self.tables.read(name) if self.tables.exists(name) else None for name in ("candidates", "terms")}
-        made, marked = terms.promote(terms.candidates(self.domain_terms(limit=None), old["candidates"]), old["terms"])
+        # both are settled before either table changes
+        made, marked = map(settled, terms.promote(terms.candidates(self.domain_terms(limit=None), old["candidates"]), old["terms"]))
         self.tables.upsert("candidates", marked, ["candidate_id"], self._now())
         self.tables.upsert("terms", made.withColumn("status", F.lit("new")), ["term_id"], self._now())
         return terms.promoted_listing(self.tables.read("terms"), self.tables.read("candidates"))
@@ -95,8 +96,8 @@ class Engine:
     def forget_term(self, term_id: str) -> None:
         """A term is deprecated and its candidates go; a later promotion leaves it so."""
         kept, cands, _ = terms.forget(term_id, self.tables.read("terms"), self.tables.read("candidates"), self.tables.read("terms").select("term_id"))
-        self.tables.write("terms", kept)
-        self.tables.write("candidates", cands)
+        self.tables.write("terms", kept, ["term_id"])
+        self.tables.write("candidates", cands, ["candidate_id"])
 
     def embed(self, embedder: vectors.Embedder, model: str) -> None:
         """Store vectors of the issues' texts and of their longer fields."""

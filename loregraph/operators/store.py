@@ -1,12 +1,9 @@
-"""Tables as Parquet snapshots: upserts, appends, deletes.
-
-A write makes a new part of a table and then a pointer row with the parts that the
-table has from then on; readers see the parts of the newest pointer, so a writer that is
-lost leaves no half table. Parts that no pointer needs any more may be deleted at leisure.
-"""
+"""Tables of the catalog: upserts, appends, deletes; and tables between steps."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 
@@ -69,52 +66,112 @@ def settled(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+#: Partitions of a table, and the column that names a row's.
+PARTS, PART = 16, "__part"
+
+
 class Warehouse:
-    """Named tables below a folder that all executors share; one writer at a time."""
+    """Catalog tables of one database, whose folder all executors share; one writer at a time.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    Rows are dealt to partitions by a hash of the table's keys. An upsert or a delete writes the partitions anew that hold its
+    keys, and leaves the others alone. What is to be written is settled first, so it may come from the table itself; a writer that
+    is lost while it commits can be started again. A table that the catalog of a new session does not know is registered from its folder.
+    """
 
-    def _pointer(self, name: str) -> tuple[int, list[str]] | None:
-        try:
-            row = self.spark.read.schema("version long, parts array<string>").parquet(f"{self.root}/{name}/pointer").orderBy(F.desc("version")).first()
-        except AnalysisException:  # no such path
-            return None
-        return (row["version"], row["parts"]) if row else None
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+        self.database = f"kb_{hashlib.md5(self.root.encode()).hexdigest()[:16]}"
+        # a write replaces the whole table, or only the partitions that it has rows for; neither setting is the caller's
+        self._whole, self._writer = spark.newSession(), spark.newSession()
+        self._whole.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+        self._writer.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}` LOCATION '{self.root}'")
 
-    def _point(self, name: str, rows: DataFrame, kept: list[str], version: int) -> None:
-        part = f"part-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}/{part}")
-        pointer = self.spark.createDataFrame([(version + 1, [*kept, part])], "version long, parts array<string>")
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/pointer")
+    def _table(self, name: str) -> str:
+        return f"`{self.database}`.`{name}`"
 
     def exists(self, name: str) -> bool:
-        return self._pointer(name) is not None
-
-    def read(self, name: str) -> DataFrame:
-        found = self._pointer(name)
-        if found is None:
+        if self.spark.catalog.tableExists(self._table(name)):
+            return True
+        try:
+            self.spark.read.parquet(f"{self.root}/{name}")
+        except AnalysisException:  # no such folder, or nothing in it
+            return False
+        self.spark.sql(f"CREATE TABLE {self._table(name)} USING parquet LOCATION '{self.root}/{name}'")
+        self.spark.sql(f"ALTER TABLE {self._table(name)} RECOVER PARTITIONS")
+        return True
+
+    def _keys(self, name: str) -> list[str]:
+        found = {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self._table(name)}").collect()}
+        return json.loads(found.get("keys", "[]"))
+
+    def _stored(self, name: str) -> DataFrame:
+        if not self.exists(name):
             raise KeyError(name)
-        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{name}/{p}" for p in found[1]])
+        self.spark.catalog.refreshTable(self._table(name))
+        return self.spark.table(self._table(name))
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        """Replace a table."""
-        self._point(name, rows, [], (self._pointer(name) or (0, []))[0])
+    def read(self, name: str) -> DataFrame:
+        return self._stored(name).drop(PART)
+
+    def _dealt(self, rows: DataFrame, keys: list[str], session: SparkSession | None = None) -> DataFrame:
+        """``rows`` with their partitions, settled, in the session that writes them."""
+        path = scratch(self.spark, "warehouse")
+        placed = rows.withColumn(PART, F.pmod(F.xxhash64(*keys), F.lit(self.parts)).cast("int"))
+        placed.write.parquet(path)
+        return (session or self._writer).read.schema(placed.schema).parquet(path)
+
+    def write(self, name: str, rows: DataFrame, keys: list[str] | None = None) -> None:
+        """Replace a table; without ``keys`` rows are dealt by their first column."""
+        dealt = self._dealt(rows, keys or rows.columns[:1], self._whole)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+        # the table is external, so its folder is overwritten here
+        dealt.write.mode("overwrite").partitionBy(PART).option("path", f"{self.root}/{name}").saveAsTable(self._table(name))
+        self.spark.sql(f"ALTER TABLE {self._table(name)} SET TBLPROPERTIES ('keys' = '{json.dumps(keys or [])}')")
+
+    def _replace(self, name: str, dealt: DataFrame) -> None:
+        """Replace the partitions of ``dealt``; columns that are new to the table are added, those that it lacks are null."""
+        known = self._stored(name).columns
+        new = [f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name not in known]
+        if new:
+            self.spark.sql(f"ALTER TABLE {self._table(name)} ADD COLUMNS ({', '.join(new)})")
+        fields = self._writer.table(self._table(name)).schema
+        dealt.select(*[F.col(f"`{f.name}`") if f.name in dealt.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).write.mode("overwrite").insertInto(self._table(name))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        version, parts = self._pointer(name) or (0, [])
-        self._point(name, rows, parts, version)
+        """Rows as they are, also such as are there already."""
+        if not self.exists(name):
+            self.write(name, rows)
+            return
+        dealt = self._dealt(rows, self._keys(name) or rows.columns[:1])
+        known = self._writer.table(self._table(name)).schema
+        dealt.select(*[F.col(f"`{f.name}`") if f.name in dealt.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in known]).write.mode("append").insertInto(self._table(name))
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], now: Column, keep: tuple[str, ...] = ("created_at",)) -> None:
-        if self.exists(name):
-            self.write(name, merged(self.read(name), rows, keys, now, keep))
-        else:
-            self.write(name, rows.withColumn("created_at", now).withColumn("updated_at", now))
+        if not self.exists(name):
+            self.write(name, rows.withColumn("created_at", now).withColumn("updated_at", now), keys)
+            return
+        if self._keys(name) != keys:
+            self.write(name, self.read(name), keys)
+        # settled once: what is merged has to be what tells the partitions
+        fresh = settled(rows.withColumn(PART, F.pmod(F.xxhash64(*keys), F.lit(self.parts)).cast("int")))
+        touched = [r[0] for r in fresh.select(PART).distinct().collect()]  # PARTS at most
+        old = self._stored(name).where(F.col(PART).isin(touched)).drop(PART)
+        self._replace(name, self._dealt(merged(old, fresh.drop(PART), keys, now, keep), keys))
 
     def delete(self, name: str, gone: DataFrame, key: str) -> int:
         """Rows deleted."""
-        rows = self.read(name)
-        n = rows.join(gone.select(key), key, "left_semi").count()
-        if n:
-            self.write(name, without(rows, gone, key))
-        return n
+        stored, ids = self._stored(name), settled(gone.select(key).distinct())
+        lost = {r[PART]: r["n"] for r in stored.join(ids, key, "left_semi").groupBy(PART).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if lost:
+            path = scratch(self.spark, "warehouse")
+            left = stored.where(F.col(PART).isin(*lost)).join(ids, key, "left_anti")
+            left.select(*stored.columns).write.parquet(path)
+            left = self._writer.read.schema(stored.schema).parquet(path)
+            emptied = set(lost) - {r[0] for r in left.select(PART).distinct().collect()}
+            self._replace(name, left)
+            for part in emptied:
+                # a write without rows for a partition would leave it as it is
+                none = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in stored.schema if f.name != PART)
+                self._writer.sql(f"INSERT OVERWRITE {self._table(name)} PARTITION ({PART} = {part}) SELECT {none} WHERE false")
+        return sum(lost.values())

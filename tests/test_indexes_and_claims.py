@@ -178,3 +178,40 @@ def test_streamed_retries(spark, tmp_path):
     shown = [(r["status"], r["attempts"], r["next_retry_at"]) for r in sorted(rows, key=lambda r: r["updated_at"])]
     # the start at 60 comes too early: the retry is due two minutes after the failure
     assert shown == [("pending", 0, None), ("processing", 1, None), ("pending", 1, at(122)), ("due", 1, None), ("processing", 2, None), ("done", 2, None)]
+
+
+def test_warehouse_writes_only_the_partitions_of_its_keys(spark, tmp_path):
+    from pathlib import Path
+
+    from loregraph.operators.store import Warehouse
+
+    root = f"file://{tmp_path}/w"
+    w = Warehouse(spark, root, parts=8)
+    early, late = (F.lit(t).cast("timestamp") for t in ("2026-01-01", "2026-01-02"))
+    w.upsert("t", spark.createDataFrame([(i, f"a{i}") for i in range(40)], "id int, v string"), ["id"], early)
+
+    def files():
+        return {str(f.relative_to(tmp_path)) for f in Path(tmp_path, "w/t").rglob("*.parquet")}
+
+    before = files()
+    w.upsert("t", spark.createDataFrame([(3, "b3", 1.5), (99, "b99", None)], "id int, v string, more double"), ["id"], late)
+    assert len({f.split("/")[2] for f in before - files()}) <= 2 and before & files()  # other partitions have their files still
+    rows = {r["id"]: (r["v"], r["more"], r["created_at"].day, r["updated_at"].day) for r in w.read("t").collect()}
+    assert len(rows) == 41 and rows[3] == ("b3", 1.5, 1, 2) and rows[99] == ("b99", None, 2, 2) and rows[4] == ("a4", None, 1, 1)
+    w.upsert("t", w.read("t").where("id < 10").select("id", F.lit("own").alias("v")), ["id"], late)  # from the table itself
+    assert w.read("t").where("v = 'own'").count() == 10 and w.read("t").count() == 41
+    assert w.delete("t", spark.createDataFrame([(i,) for i in range(0, 200, 2)], "id int"), "id") == 20 and w.delete("t", w.read("t").limit(0), "id") == 0
+    assert {r["id"] for r in w.read("t").collect()} == {*range(1, 40, 2), 99}
+    assert w.delete("t", w.read("t"), "id") == 21 and w.read("t").count() == 0  # every partition is emptied
+    w.append("t", spark.createDataFrame([(1, "x"), (1, "x")], "id int, v string"))
+    assert w.read("t").count() == 2 and w.read("t").columns == ["id", "v", "created_at", "updated_at", "more"]
+    w.write("t", spark.createDataFrame([("k", 1)], "key string, n int"))
+    assert [tuple(r) for r in w.read("t").collect()] == [("k", 1)]
+    # a session whose catalog does not know the table
+    spark.sql(f"DROP TABLE `{w.database}`.`t`")
+    again = Warehouse(spark, root, parts=8)
+    assert not again.exists("none") and [tuple(r) for r in again.read("t").collect()] == [("k", 1)]
+    again.upsert("t", spark.createDataFrame([("k", 2), ("m", 3)], "key string, n int"), ["key"], late)
+    assert {r["key"]: r["n"] for r in again.read("t").collect()} == {"k": 2, "m": 3}
+    with pytest.raises(KeyError):
+        w.read("none")
