@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -96,12 +97,12 @@ class WaveletMatrix:
         return hi - lo
 
     def _select(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) ``bit`` of a plane."""
-        starts = np.arange(self.ones.shape[1], dtype=np.int64) * BLOCK
-        counts = self.ones[level].astype(np.int64) if bit else starts - self.ones[level]
-        block = int(np.searchsorted(counts, k, side="right")) - 1
+        """Position of the k-th (from 0) ``bit`` of a plane, by a binary search among its blocks."""
+        ones = self.ones[level]
+        counts = (lambda b: int(ones[b])) if bit else (lambda b: b * BLOCK - int(ones[b]))
+        block = bisect_right(range(len(ones)), k, key=counts) - 1
         bits = np.unpackbits(self.planes[level, block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(counts[block])])
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - counts(block)])
 
     def select(self, token: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of ``token``; -1 where there is none."""
@@ -114,6 +115,18 @@ class WaveletMatrix:
             i = self._select(level, bit, i - self.zeros[level] if bit else i)
         return i
 
+    def occurrences(self, token: int) -> np.ndarray:
+        """Positions of all occurrences of ``token``, ascending."""
+        lo, hi = self._range(token, self.n)
+        if hi - lo <= self.n // (BLOCK * 4):
+            return np.array([self.select(token, k) for k in range(hi - lo)], dtype=np.int64)
+        at = np.arange(lo, hi, dtype=np.int64)
+        for level in reversed(range(self.levels)):
+            bit = token >> (self.levels - 1 - level) & 1
+            own = np.flatnonzero(np.unpackbits(self.planes[level], count=self.n, bitorder="little") == bit)
+            at = own[at - self.zeros[level] if bit else at]
+        return at
+
     def decode(self) -> np.ndarray:
         """All ids in order, from the lowest plane up."""
         current = np.zeros(self.n, dtype=np.uint16 if self.levels <= 16 else np.uint32)
@@ -275,16 +288,67 @@ def _decode_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def _placed_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The shards with ``start``, the ids of all shards before them."""
     shards = spark.read.schema(FORMAT).parquet(path)
     # one row per written partition, of which there are as many as tasks wrote files
     parts = shards.groupBy("part").agg(F.sum("n").alias("total"))
     parts = parts.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("part_start"))
-    placed = shards.join(F.broadcast(parts), "part").select(
+    return shards.join(F.broadcast(parts), "part").select(
         (F.col("part_start") + F.col("before")).alias("start"), "n", "levels", "zeros", "planes", "ones", "doc_ids", "doc_tokens"
     )
-    return placed.mapInArrow(_decode_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    return _placed_shards(spark, path).mapInArrow(_decode_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _each_shard(answer, names: list[str], types: list[pa.DataType]):
+    """Rows that ``answer`` gives for each shard (start, matrix, document ids, their first positions)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                m, doc_ids, sizes = read_shard(row)
+                cols = answer(row["start"], m, doc_ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return run
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each of ``tokens`` stands in the files, by rank within each shard; nothing is decoded."""
+
+    def answer(start: int, m: WaveletMatrix, doc_ids: list, first: np.ndarray) -> tuple:
+        return tokens, [m.rank(t) for t in tokens]
+
+    found = _placed_shards(spark, path).mapInArrow(_each_shard(answer, ["token", "n"], [pa.int64(), pa.int64()]), "token long, n long")
+    return found.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def find_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, doc_id, position, offset): every occurrence of each of ``tokens``, among all ids and within its document, by select."""
+
+    def answer(start: int, m: WaveletMatrix, doc_ids: list, first: np.ndarray) -> tuple:
+        at = [m.occurrences(t) for t in tokens]
+        every = np.concatenate(at) if at else np.zeros(0, np.int64)
+        doc = np.searchsorted(first, every, side="right") - 1
+        return np.repeat(tokens, [len(x) for x in at]), [doc_ids[d] for d in doc.tolist()], start + every, every - first[doc]
+
+    names = ["token", "doc_id", "position", "offset"]
+    return _placed_shards(spark, path).mapInArrow(_each_shard(answer, names, [pa.int64()] * 4), "token long, doc_id long, position long, offset long")
+
+
+def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
+    """(position, token) of those of ``positions`` that exist; each is read from its shard by access."""
+    wanted = np.unique(np.array(positions, dtype=np.int64))
+
+    def answer(start: int, m: WaveletMatrix, doc_ids: list, first: np.ndarray) -> tuple:
+        own = wanted[np.searchsorted(wanted, start) : np.searchsorted(wanted, start + m.n)]
+        return own, [m.access(int(p - start)) for p in own]
+
+    return _placed_shards(spark, path).mapInArrow(_each_shard(answer, ["position", "token"], [pa.int64(), pa.int64()]), "position long, token long")
 
 
 def token_report(docs: DataFrame, **options) -> DataFrame:

@@ -58,6 +58,32 @@ def test_pretokens_follow_the_library():
             assert len(own) == len(cut(texts[lo + k] or "")) and "".join(own) == (texts[lo + k] or "")
 
 
+@pytest.mark.parametrize("shard_tokens", [1 << 20, 300])
+def test_op1_questions_to_the_files(spark, tmp_path, shard_tokens):
+    """Counts, occurrences and tokens at places, from the files alone, against the library's ids."""
+    path, t = f"file://{tmp_path}/tokens", tokenizer()
+    rows = [(i, x) for i, x in TEXTS if i is not None and i != 12]
+    wavelet.write_tokens(table(spark, rows), path, shard_tokens=shard_tokens)
+    order = sorted(rows, key=lambda r: r[0])
+    ids = {}
+    flat = []
+    for i, x in order:
+        if i != 13:  # two texts share this id
+            ids[i] = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+    listed = {r.doc_id: r.start for r in wavelet.read_tokens(spark, path).where("doc_id != 13").collect()}
+    every = [2, ids[1][0], ids[9][0], ids[9][1], ids[9][3], 50255]
+    found = collections.defaultdict(set)
+    for r in wavelet.find_tokens(spark, path, every).where("doc_id != 13").collect():
+        assert r.position == listed[r.doc_id] + r.offset
+        found[r.token].add((r.doc_id, r.offset))
+    assert {k: found[k] for k in every} == {k: {(i, j) for i, own in ids.items() for j, x in enumerate(own) if x == k} for k in every}
+    whole = {r.token: r.n for r in wavelet.count_tokens(spark, path, every).collect()}
+    assert whole == {k: wavelet.find_tokens(spark, path, [k]).count() for k in every}
+    places = [listed[9], listed[9] + 777, listed[10] + len(ids[10]) - 1, listed[5], 10**9, -1]
+    flat = {r.position: r.token for r in wavelet.tokens_at(spark, path, places).collect()}
+    assert flat == {listed[9]: ids[9][0], listed[9] + 777: ids[9][777], listed[10] + len(ids[10]) - 1: 2, listed[5]: 2}
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (1, 511, 512, 513, 3000):
@@ -71,6 +97,7 @@ def test_wavelet_matrix():
             end = int(rng.integers(0, n + 1))
             assert m.rank(t) == len(at) and m.rank(t, end) == (ids[:end] == t).sum()
             assert [m.select(t, k) for k in range(len(at))] == at.tolist() and m.select(t, len(at)) == -1
+            assert m.occurrences(int(t)).tolist() == at.tolist()
 
 
 @pytest.mark.parametrize("shard_tokens", [1 << 20, 20])
