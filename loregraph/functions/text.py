@@ -118,7 +118,8 @@ def query_words(text: str) -> list[str]:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "\\s+", " "))
+    """Every run of white space is one blank, none at the ends; blanks that stand alone are left as they are."""
+    return F.trim(F.regexp_replace(text, "\\s{2,}|[\\t\\n\\x0B\\f\\r]", " "))
 
 
 def plain_term(term: Column) -> Column:

@@ -21,20 +21,27 @@ def query_tokens(spark, query: str, excluded: list[str] | None = None) -> list[s
     return list(row["t"]) or [query.strip().lower()]
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def lexical_score(tokens: list[str], weights: dict[str, int] | None = None) -> Column:
     """Weighted substring hits; a repeated token counts again, null columns count nothing."""
-    hits = [
-        F.when(F.coalesce(F.lower(c).contains(t), F.lit(False)), F.lit(w)).otherwise(F.lit(0))
-        for t in tokens
-        for c, w in (weights or WEIGHTS).items()
-    ]
-    return reduce(lambda a, b: a + b, hits).cast("long")
+
+    def hits(column: str, weight: int) -> Column:
+        def count(text: Column) -> Column:
+            return reduce(lambda a, b: a + b, [F.when(text.contains(t), F.lit(weight)).otherwise(F.lit(0)) for t in tokens])
+
+        return _once(F.lower(column), count)
+
+    return reduce(lambda a, b: a + b, [hits(c, w) for c, w in (weights or WEIGHTS).items()]).cast("long")
 
 
 def lexical_search(issues: DataFrame, query: str, limit: int | None = 8, excluded: list[str] | None = None) -> DataFrame:
     """Issues whose text holds a token of the query, best score first, then newest, then key."""
     tokens = query_tokens(issues.sparkSession, query, excluded)
-    found = reduce(lambda a, b: a | b, [F.lower("full_text").contains(t) for t in tokens])
+    found = _once(F.lower("full_text"), lambda text: reduce(lambda a, b: a | b, [text.contains(t) for t in tokens]))
     hits = issues.where(found).withColumn("score", lexical_score(tokens))
     return hits.orderBy(F.desc("score"), F.desc_nulls_last("updated_at"), "key").limit(limit) if limit else hits
 

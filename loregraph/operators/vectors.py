@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import text as tx
 from loregraph.functions.values import smoothed_idf
+from loregraph.operators.store import settled
 
 
 #: Vocabularies of a bound up to this are broadcast.
@@ -71,9 +72,12 @@ def vocabulary(terms: DataFrame, n_docs: int, min_df: int = 1, max_features: int
 
 
 def tfidf(docs: DataFrame, key: str = "key", text: str = "text", min_df: int = 1, max_features: int | None = 2048, folded: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(weights: key, term, weight; vocabulary). Frequencies count all tokens, also those outside the vocabulary."""
-    terms = terms_of(docs, tx.tfidf_tokens(F.col(text), folded), key)
-    vocab = vocabulary(terms, docs.count(), min_df, max_features)
+    """(weights: key, term, weight; vocabulary). Frequencies count all tokens, also those outside the vocabulary.
+
+    Texts are tokenized once: their terms and the vocabulary are written, and totals and weights come from there.
+    """
+    terms = settled(terms_of(docs, tx.tfidf_tokens(F.col(text), folded), key))
+    vocab = settled(vocabulary(terms, docs.count(), min_df, max_features))
     return weigh(terms, F.broadcast(vocab) if max_features and max_features <= BROADCAST_TERMS else vocab), vocab
 
 

@@ -443,17 +443,36 @@ def node_types(spark, sf):
     return graph.histogram(graph.issue_nodes(views.issues(spark, sf)), "node_type")
 
 
-@query(f"""WITH {views.BLOCKS} SELECT block_id AS src_id, parent_id AS dst_id, 'parent_of' AS relation, 1.0::DOUBLE AS weight FROM v_blocks WHERE parent_id IS NOT NULL""")
+def _together(**results: DataFrame) -> DataFrame:
+    """Several results as one: (result, row), each row as text, so that all that an operator gives is compared."""
+    parts = [r.select(F.lit(name).alias("result"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in r.columns]).alias("row")) for name, r in results.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return _together(node=nodes.select("node_id", "node_type", F.md5("label").alias("label")), edge=edges.select("src_id", "dst_id", "relation", F.format_string("%.1f", "weight").alias("weight")))
+
+
+_BLOCK_LINKS = """b_links AS (SELECT block_id AS src_id, 'c' || conv_id || ':0' AS dst_id, 'starts' AS relation, 0.5::DOUBLE AS weight FROM v_blocks JOIN conversations ON block_id = 'c' || conv_id || ':' || turn WHERE turn % 3 = 2)"""
+
+
+def _block_links(spark, sf) -> DataFrame:
+    """Every third turn has a stored relation to the first one."""
+    c = table(spark, sf, "conversations").where("turn % 3 = 2").dropDuplicates(["conv_id", "turn"])
+    return c.select(F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("src_id"), F.concat(F.lit("c"), "conv_id", F.lit(":0")).alias("dst_id"), F.lit("starts").alias("relation"), F.lit(0.5).alias("weight"))
+
+
+@query(f"""WITH {views.BLOCKS}, {_BLOCK_LINKS}, e AS (SELECT block_id AS src_id, parent_id AS dst_id, 'parent_of' AS relation, '1.0' AS weight FROM v_blocks WHERE parent_id IS NOT NULL UNION SELECT src_id, dst_id, relation, '0.5' FROM b_links)
+SELECT 'node' AS result, block_id || '|' || block_type || '|' || md5(substr(content, 1, 120)) AS row FROM v_blocks UNION ALL SELECT 'edge', src_id || '|' || dst_id || '|' || relation || '|' || weight FROM e""")
 def block_graph(spark, sf):
-    return graph.block_graph(views.blocks(spark, sf))[1]
+    return _graph_rows(*graph.block_graph(views.blocks(spark, sf), _block_links(spark, sf)))
 
 
-@query(f"""WITH {views.BLOCKS}, n AS (SELECT * FROM v_blocks WHERE source_id = 'c7' ORDER BY order_index, block_id LIMIT 400)
-SELECT a.block_id AS src_id, a.parent_id AS dst_id, 'parent_of' AS relation, 1.0::DOUBLE AS weight FROM n a JOIN n b ON a.parent_id = b.block_id""")
+@query(f"""WITH {views.BLOCKS}, n AS (SELECT * FROM v_blocks WHERE source_id = 'c7' ORDER BY order_index, block_id LIMIT 400), {_BLOCK_LINKS},
+e AS (SELECT a.block_id AS src_id, a.parent_id AS dst_id, 'parent_of' AS relation, '1.0' AS weight FROM n a JOIN n b ON a.parent_id = b.block_id UNION SELECT src_id, dst_id, relation, '0.5' FROM b_links WHERE src_id IN (SELECT block_id FROM n) AND dst_id IN (SELECT block_id FROM n))
+SELECT 'node' AS result, block_id || '|' || block_type || '|' || md5(substr(content, 1, 120)) AS row FROM n UNION ALL SELECT 'edge', src_id || '|' || dst_id || '|' || relation || '|' || weight FROM e""")
 def source_subgraph(spark, sf):
-    b = views.blocks(spark, sf)
-    none = spark.createDataFrame([], "src_id string, dst_id string, relation string, weight double")
-    return graph.source_subgraph(b, none, "c7")[1]
+    return _graph_rows(*graph.source_subgraph(views.blocks(spark, sf), _block_links(spark, sf), "c7"))
 
 
 @query(f"WITH {views.BLOCKS} SELECT parent_id, block_id, CAST(order_index AS BIGINT) AS order_index FROM v_blocks WHERE parent_id = 'c3:0'")
@@ -510,10 +529,14 @@ def term_relations(spark, sf):
     return terms.term_relations(r, t.where("term_id % 3 <> 0")).select("relation_id", "source_term_id", "target_label", "weight")
 
 
-@query(f"""WITH {views.FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY created_at DESC, fact_id) AS r FROM v_current) SELECT fact_id, term_id FROM r WHERE r <= 6""")
+@query(f"""WITH {views.FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY created_at DESC, fact_id) AS r FROM v_current),
+l AS (SELECT *, row_number() OVER (PARTITION BY source_term_id ORDER BY weight DESC, created_at DESC, target_term_id) AS r FROM v_rel)
+SELECT 'fact' AS result, fact_id || '|' || term_id AS row FROM r WHERE r <= 6
+UNION ALL SELECT 'relation', source_term_id || '|' || target_term_id || '|' || strftime(created_at, '%Y-%m-%d %H:%M:%S') FROM l WHERE r <= 8""")
 def term_context(spark, sf):
     _, f, r = _store(spark, sf)
-    return terms.term_context(f, r)[0].select("fact_id", "term_id")
+    facts, relations = terms.term_context(f, r)
+    return _together(fact=facts.select("fact_id", "term_id"), relation=relations.select("source_term_id", "target_term_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")))
 
 
 @query(f"""WITH {_GAPS}, p AS (SELECT *, CASE WHEN needs_definition THEN 5.0 ELSE 0 END + CASE WHEN needs_facts THEN 3.0 ELSE 0 END + CASE WHEN needs_relations THEN 2.0 ELSE 0 END + greatest(0.0, 0.1 - avg_confidence) AS p FROM g WHERE needs_definition OR needs_facts OR needs_relations)
@@ -573,17 +596,21 @@ def domain_term_listing(spark, sf):
     return terms.promoted_listing(made, marked, 20).select("normalized_label", "count", "issue_count", F.array_join("sources", ",").alias("sources"))
 
 
-@query(f"""WITH {views.FACTS} SELECT term_id, CASE WHEN term_id = 7 THEN 'deprecated' ELSE 'new' END AS status FROM v_terms""")
+@query(f"""WITH {views.FACTS} SELECT 'term' AS result, term_id || '|' || CASE WHEN term_id = 7 THEN 'deprecated' ELSE 'new' END AS row FROM v_terms
+UNION ALL SELECT 'candidate', event_id || '|' || CASE WHEN event_id % 3 = 0 THEN '-' ELSE CAST(user_id AS VARCHAR) END FROM events WHERE event_id % 3 = 0 OR user_id <> 7
+UNION ALL SELECT 'alias', user_id || '|' || event_type FROM events WHERE user_id <> 7""")
 def forget_term(spark, sf):
-    t = views.user_terms(spark, sf)
-    cands, aliases = t.select("term_id", F.col("term_id").alias("promoted_term_id")), t.select("term_id")
-    return terms.forget(7, t, cands, aliases)[0].select("term_id", "status")
+    """Events as candidates of users, some of them not promoted, and as their aliases."""
+    e = table(spark, sf, "events")
+    cands = e.select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("promoted_term_id"))
+    kept, left, aliases = terms.forget(7, views.user_terms(spark, sf), cands, e.select(F.col("user_id").alias("term_id"), "event_type"))
+    return _together(term=kept.select("term_id", "status"), candidate=left.select("event_id", "promoted_term_id"), alias=aliases.select("term_id", "event_type"))
 
 
 def _label_terms_table(spark, sf) -> DataFrame:
     """The two words that each document starts with, as terms."""
     d = table(spark, sf, "documents")
-    first = F.array_join(F.slice(F.split(tx.canonical_term(F.col("text")), " "), 1, 2), " ")
+    first = F.substring_index(tx.canonical_term(F.col("text")), " ", 2)
     rows = d.select("doc_id", first.alias("normalized_label")).groupBy("normalized_label").agg(F.min("doc_id").alias("seen"))
     return rows.where(F.col("normalized_label").rlike("^[a-z]+ [a-z]+$")).select(tx.hashed_id("term:", F.col("normalized_label")).alias("term_id"), "normalized_label", "seen")
 
@@ -709,11 +736,14 @@ def upsert_keep_column(spark, sf):
 
 
 @query(f"""WITH {views.BLOCKS}, gone AS (SELECT block_id FROM v_blocks WHERE order_index = 1), e AS (SELECT block_id, parent_id FROM v_blocks WHERE parent_id IS NOT NULL)
-SELECT block_id AS src_id, parent_id AS dst_id FROM e WHERE block_id NOT IN (SELECT block_id FROM gone) AND parent_id NOT IN (SELECT block_id FROM gone)""")
+SELECT 'block' AS result, block_id || '|' || block_type AS row FROM v_blocks WHERE order_index <> 1
+UNION ALL SELECT 'embedding', block_id || '|' || order_index FROM v_blocks WHERE order_index <> 1 AND order_index % 2 = 1
+UNION ALL SELECT 'relation', block_id || '|' || parent_id FROM e WHERE block_id NOT IN (SELECT block_id FROM gone) AND parent_id NOT IN (SELECT block_id FROM gone)""")
 def cascade_delete(spark, sf):
+    """Second turns go, with their vectors (odd turns have one) and relations."""
     b = views.blocks(spark, sf)
-    edges = graph.block_graph(b)[1]
-    return store.cascade(b, b.select("block_id"), edges, b.where("order_index = 1").select("block_id"))[2].select("src_id", "dst_id")
+    left, vectors_, relations = store.cascade(b, b.where("order_index % 2 = 1").select("block_id", "order_index"), graph.block_graph(b)[1], b.where("order_index = 1").select("block_id"))
+    return _together(block=left.select("block_id", "block_type"), embedding=vectors_.select("block_id", "order_index"), relation=relations.select("src_id", "dst_id"))
 
 
 # -- artifacts -----------------------------------------------------------------------------------------------------
@@ -770,17 +800,16 @@ def markdown_blocks(spark, sf):
     return blocks.parse_markdown(views.markdown(spark, sf)).select("path", "block_type", "block_id", "parent_id", "heading_path", "order_index")
 
 
-@query("""SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain, count(DISTINCT page_id) AS sources, count(DISTINCT page_id) AS records FROM pages WHERE regexp_extract(url, '^https?://([^/:?#]+)', 1) <> '' GROUP BY 1""")
+@query("""SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS domain, count(DISTINCT page_id) AS sources, count(DISTINCT page_id) AS records, count(DISTINCT CASE WHEN page_id % 3 = 0 THEN page_id END) AS artifacts FROM pages WHERE regexp_extract(url, '^https?://([^/:?#]+)', 1) <> '' GROUP BY 1""")
 def domain_summary(spark, sf):
     p = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("domain"), F.col("page_id").alias("source_id")).where("domain != ''")
-    return domains.summary(p, p.select("source_id"), p.limit(0)).select("domain", "sources", "records")
+    return domains.summary(p, p.select("source_id").distinct(), p.where("source_id % 3 = 0").select("source_id").distinct())
 
 
-@query("""SELECT page_id FROM pages WHERE contains(url, '/en/') OR starts_with(url, 'https://www.')""")
+@query("""SELECT page_id FROM pages WHERE contains(url, '/en/') OR starts_with(url, 'https://www.example.org/') OR starts_with(url, 'http://theouc.example.com/') OR page_id % 50 = 3""")
 def domain_sources(spark, sf):
-    return table(spark, sf, "pages").where(domains.in_domain(F.col("url"), "en", [])).select("page_id").union(
-        table(spark, sf, "pages").where(F.col("url").startswith("https://www.")).select("page_id")
-    ).distinct()
+    named = F.when(F.col("page_id") % 50 == 3, "en").otherwise("none")
+    return table(spark, sf, "pages").where(domains.in_domain(F.col("url"), "en", ["https://www.example.org", "http://theouc.example.com"], named)).select("page_id")
 
 
 #: Documents made of parts: those of a brand among 400 parts that follow each other, so that none grows with the table.
@@ -1074,12 +1103,12 @@ def issue_task_prompts(spark, sf):
     return prompts.issue_prompts(views.issues(spark, sf), "tasks")
 
 
-@query("SELECT 'c' || conv_id AS conv, CAST(count(*) AS BIGINT) AS parts FROM conversations GROUP BY conv_id")
+@query("""WITH p AS (SELECT conv_id, turn, '## ' || upper(role[1]) || lower(role[2:]) || chr(10) || chr(10) || coalesce(text, '') AS part FROM conversations)
+SELECT 'c' || conv_id AS conv, string_agg(part, chr(10) || chr(10) ORDER BY turn, part) AS markdown FROM p GROUP BY conv_id""")
 def transcripts(spark, sf):
     from loregraph.sources.files import transcript
 
-    t = transcript(table(spark, sf, "conversations"))
-    return t.select(F.concat(F.lit("c"), "conv_id").alias("conv"), F.size(F.filter(F.split("markdown", "\n\n"), lambda x: x.isin("## User", "## Assistant", "## System"))).cast("long").alias("parts"))
+    return transcript(table(spark, sf, "conversations")).select(F.concat(F.lit("c"), "conv_id").alias("conv"), "markdown")
 
 
 def queries() -> dict[str, Query]:
