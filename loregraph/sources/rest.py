@@ -53,7 +53,7 @@ def moment(text: str) -> datetime:
 class Client:
     """Options: url, user, token, attempts (5), backoff (seconds before the second attempt, doubled each time; 1)."""
 
-    def __init__(self, options: dict, transport: Transport):
+    def __init__(self, options: dict, transport: Transport = http_get):
         self.base, self.transport = options["url"].rstrip("/"), transport
         self.attempts, self.backoff = int(options.get("attempts", 5)), float(options.get("backoff", 1))
         self.headers = {"Accept": "application/json"}
@@ -101,7 +101,7 @@ class Single(InputPartition):
 class IssueReader(DataSourceReader):
     """The issue that option ``key`` or a filter on key names, or up to ``maxresults`` issues of ``jql``, a partition for each ``pagesize`` of them."""
 
-    def __init__(self, options: dict, transport: Transport):
+    def __init__(self, options: dict, transport: Transport = http_get):
         self.options, self.client, self.key = options, Client(options, transport), options.get("key")
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
@@ -137,7 +137,7 @@ class IssueStreamReader(DataSourceStreamReader):
     from the minute of the last issue that it has seen, not from a number of issues, and leaves out what it has seen or what lies outside its span.
     """
 
-    def __init__(self, options: dict, transport: Transport):
+    def __init__(self, options: dict, transport: Transport = http_get):
         self.options, self.client = options, Client(options, transport)
         self.size, self.most = int(options.get("pagesize", 50)), int(options.get("maxpartitions", 8))
 
