@@ -318,7 +318,8 @@ def _each_shard(answer, names: list[str], types: list[pa.DataType]):
 
 
 def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
-    """(token, n): how often each of ``tokens`` stands in the files, by rank within each shard; nothing is decoded."""
+    """(token, n): how often each of ``tokens`` stands in the files, by rank within each shard; nothing is decoded. A token that is named twice counts once."""
+    tokens = sorted(set(tokens))
 
     def answer(start: int, m: WaveletMatrix, doc_ids: list, first: np.ndarray) -> tuple:
         return tokens, [m.rank(t) for t in tokens]
@@ -329,6 +330,7 @@ def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame
 
 def find_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
     """(token, doc_id, position, offset): every occurrence of each of ``tokens``, among all ids and within its document, by select."""
+    tokens = sorted(set(tokens))
 
     def answer(start: int, m: WaveletMatrix, doc_ids: list, first: np.ndarray) -> tuple:
         at = [m.occurrences(t) for t in tokens]
