@@ -15,6 +15,20 @@ def in_domain(location: Column, domain: str, roots: list[str], metadata_domain:
     return hit | F.coalesce(metadata_domain == domain, F.lit(False)) if metadata_domain is not None else hit
 
 
+def created(names: DataFrame, root: str) -> DataFrame:
+    """Names of domains (name) as rows: domain, valid, and the folders of its Markdown, issues, ontologies and prompts below ``root``.
+
+    A name without a sign that may stand in one would be the default domain; unless it is called so, it is not valid.
+    """
+    from loregraph.functions import text as tx
+
+    domain = tx.domain_name(F.coalesce("name", F.lit("")))
+    asked = F.lower(F.trim(F.coalesce("name", F.lit(""))))
+    rows = names.select("name", domain.alias("domain"), ((asked != "") & ((domain != "default") | (asked == "default"))).alias("valid"))
+    folders = {f"{kind}_dir": F.when(F.col("valid"), F.concat(F.lit(root.rstrip("/") + "/"), "domain", F.lit(f"/{kind}"))) for kind in ("markdown", "jira", "ontology", "prompts")}
+    return rows.withColumns(folders)
+
+
 def summary(sources: DataFrame, blocks: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Per domain of ``sources`` (domain, source_id): sources, records, artifacts."""
     own = sources.select("domain", "source_id").distinct()

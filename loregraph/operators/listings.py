@@ -70,6 +70,31 @@ def looked_up(rows: DataFrame, key: str, value) -> DataFrame:
     return rows.where(F.col(key) == value)
 
 
+def browse(source_rows: DataFrame, block_rows: DataFrame, artifact_rows: DataFrame, relations: DataFrame, source_type: str | None = None, source_id: str | None = None, query: str = "", limit: int = 20) -> dict[str, DataFrame]:
+    """What a reader of the store sees: sources, the selected one, search_results, and its records, artifacts, nodes and edges.
+
+    Selected is the source that is asked for, else the first of the listing; where there is none, what belongs to it is empty.
+    """
+    from loregraph.operators.graph import source_subgraph
+    from loregraph.operators.search import block_search
+
+    listing = sources(source_rows, None if not source_type or source_type == "(all)" else source_type)
+    chosen = (source_id or "").strip()
+    if not chosen:
+        first = listing.select("source_id").first()
+        chosen = first["source_id"] if first else ""
+    nodes, edges = source_subgraph(block_rows, relations, chosen, min(max(limit, 1) * 10, 400))
+    return {
+        "sources": listing,
+        "selected": looked_up(source_rows, "source_id", chosen),
+        "search_results": block_search(block_rows, query, limit) if query.strip() else block_rows.limit(0),
+        "records": listed(block_rows, [F.asc("order_index"), F.asc("block_id")], limit, source_id=chosen),
+        "artifacts": artifacts(artifact_rows, source_id=chosen),
+        "nodes": nodes,
+        "edges": edges,
+    }
+
+
 def job_detail(job_id, jobs: DataFrame, terms: DataFrame, facts: DataFrame, links: DataFrame, n_facts: int = 8, n_links: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(the job with the label of its term and the starts of its prompt and error, the newest current facts of the term, the newest links of a record).
 

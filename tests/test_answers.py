@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loregraph.functions import text as tx
-from loregraph.operators import listings, prompts, search, vectors
+from loregraph.operators import domains, listings, prompts, search, vectors
 
 
 def issues(spark):
@@ -89,3 +89,25 @@ def test_fields_have_their_top_terms(spark):
     rows = spark.createDataFrame([("A-1", "gateway fails and gateway restarts, router waits for the gateway door", {"Comment": "nothing here " * 4})], "key string, description string, text_fields map<string,string>")
     found = {r["field_name"]: (r["top_terms"], r["field_kind"]) for r in vectors.with_top_terms(vectors.field_rows(rows)).collect()}
     assert found == {"description": (["gateway", "fails", "restarts", "router", "waits", "door"], "description"), "Comment": (["nothing", "here"], "comment")}
+
+
+def test_browse(spark):
+    sources = spark.createDataFrame([("s1", "md", 1), ("s2", "pdf", 3), ("s3", "md", 2)], "source_id string, source_type string, updated_at int")
+    rows = [(s, f"{s}:{k}", "paragraph", f"{s}:{k - 1}" if k else None, f"gateway {k}" if k % 2 else "door", k) for s in ("s1", "s2", "s3") for k in range(30)]
+    blocks = spark.createDataFrame(rows, "source_id string, block_id string, block_type string, parent_id string, content string, order_index int")
+    made = spark.createDataFrame([("a1", "s2", 1), ("a2", "s3", 2)], "artifact_id string, source_id string, updated_at int")
+    none = spark.createDataFrame([], "src_id string, dst_id string, relation string, weight double")
+    seen = listings.browse(sources, blocks, made, none, query="GATEWAY", limit=2)
+    assert [r["source_id"] for r in seen["sources"].collect()] == ["s2", "s3", "s1"] and seen["selected"].first()["source_id"] == "s2"
+    assert [r["block_id"] for r in seen["search_results"].collect()] == ["s1:1", "s2:1"] and [r["block_id"] for r in seen["records"].collect()] == ["s2:0", "s2:1"]
+    assert [r["artifact_id"] for r in seen["artifacts"].collect()] == ["a1"] and seen["nodes"].count() == 20 and seen["edges"].count() == 19
+    typed = listings.browse(sources, blocks, made, none, "md")
+    assert typed["selected"].first()["source_id"] == "s3" and typed["search_results"].count() == 0 and typed["records"].count() == 20 and typed["nodes"].count() == 30
+    assert listings.browse(sources, blocks, made, none, "(all)", " s1 ")["selected"].first()["source_id"] == "s1"
+    empty = listings.browse(sources, blocks, made, none, "no such")
+    assert all(empty[k].count() == 0 for k in empty)
+
+
+def test_created_domains(spark):
+    rows = domains.created(spark.createDataFrame([("My Shop",), ("!!",), (" Default ",), ("",), (None,)], "name string"), "/data/").collect()
+    assert [(r["domain"], r["valid"], r["prompts_dir"]) for r in rows] == [("my-shop", True, "/data/my-shop/prompts"), ("default", False, None), ("default", True, "/data/default/prompts"), ("default", False, None), ("default", False, None)]
