@@ -116,3 +116,18 @@ def test_promotion_leaves_forgotten_terms(spark, tmp_path):
     assert after["auth"]["status"] == "deprecated" and after["gateway"]["status"] == "new" and {r["term_id"] for r in after.values()} == set(created)
     assert {r["normalized_label"]: r["promoted_term_id"] for r in engine.tables.read("candidates").collect()} == first
     assert engine.tables.read("terms").count() == len(first)
+
+
+def test_canonical_terms_and_their_starts(spark):
+    def canonical(t):
+        c = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9äöüß+.#/ ]+", " ", t.lower().replace("_", " ").replace("-", " "))).strip(" ").replace("oauth2", "oauth")
+        return re.sub(r" (service|system)s$", r" \1", c)
+
+    rng = random.Random(3)
+    bits = ["oauth2", "OAuth2", " ", "\n", "\t", "service", "services", " systems", "_", "-", "K", "ẞ", "Ä", "B9", "+", ".", "é", "🙂", "\xa0"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(500)] + ["", "--", "Auth services", "auth services now", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = rows.select("i", tx.canonical_term(F.col("t")).alias("c"), tx.canonical_start(F.col("t"), 2).alias("s")).collect()
+    expected = {i: None if t is None else canonical(t) for i, t in enumerate(texts)}
+    assert {r["i"]: r["c"] for r in out} == expected
+    assert {r["i"]: r["s"] for r in out} == {i: c and " ".join(c.split(" ")[:2]) for i, c in expected.items()}
