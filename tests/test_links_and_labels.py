@@ -131,3 +131,28 @@ def test_canonical_terms_and_their_starts(spark):
     expected = {i: None if t is None else canonical(t) for i, t in enumerate(texts)}
     assert {r["i"]: r["c"] for r in out} == expected
     assert {r["i"]: r["s"] for r in out} == {i: c and " ".join(c.split(" ")[:2]) for i, c in expected.items()}
+
+
+@pytest.mark.parametrize("in_memory", [100, 2])
+def test_candidate_labels_count_each_pair_once_without_a_shuffle_of_pairs(spark, in_memory):
+    rng = random.Random(4)
+    names = ["gate", "Token", "über", "cache", "abc", "relay", "naïve", "ßßßß"]
+    records = [(k % 40, " ".join(rng.choices(names, k=rng.randint(0, 5)))) for k in range(60)] + [(90, None), (91, "abc of")]
+    labels = [" ".join(rng.sample(["gate", "token", "über", "cache", "abc", "relay", "ßßßß"], rng.randint(1, 3))) for _ in range(25)]
+    labels = sorted({*labels}) + labels[:3]
+    rows = spark.createDataFrame(records, "record_id int, content string")
+    known = spark.createDataFrame([(f"t{i}", label) for i, label in enumerate(labels)], "term_id string, normalized_label string")
+    own: dict[int, set] = {}
+    for i, text in records:
+        own.setdefault(i, set()).update(w for w in (text or "").lower().split() if len(w) >= 4)
+    every = {(i, label): n for i, ws in own.items() for label in labels if (n := len(ws & {w for w in label.split() if len(w) >= 4}))}
+    found = terms.candidate_labels(rows, known, None, in_memory=in_memory)
+    out = found.collect()
+    assert {(r["record_id"], r["normalized_label"]): r["overlap"] for r in out} == every and len(out) == len(every)
+    if in_memory == 100:
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate") > plan.index("MapInArrow")
+    best = {(i, label): n for i in own for n, label in sorted(((n, label) for (j, label), n in every.items() if j == i), key=lambda x: (x[0], x[1].encode()))[-3:]}
+    best |= {(i, label): 0 for i in own if not any(j == i for j, _ in every) for label in sorted({*labels})[:3]}
+    out = terms.candidate_labels(rows, known, 3, fallback=True, in_memory=in_memory).collect()
+    assert {(r["record_id"], r["normalized_label"]): r["overlap"] for r in out} == best and len(out) == len(best)
