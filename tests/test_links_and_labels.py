@@ -156,3 +156,17 @@ def test_candidate_labels_count_each_pair_once_without_a_shuffle_of_pairs(spark,
     best |= {(i, label): 0 for i in own if not any(j == i for j, _ in every) for label in sorted({*labels})[:3]}
     out = terms.candidate_labels(rows, known, 3, fallback=True, in_memory=in_memory).collect()
     assert {(r["record_id"], r["normalized_label"]): r["overlap"] for r in out} == best and len(out) == len(best)
+
+
+def test_concept_graph_of_a_brand_crosses_its_documents(spark, tmp_path):
+    from loregraph.plans import registry
+
+    rows = [(k, f"name {k}", f"Brand#{k % 2}", "LARGE", 1, 1.0) for k in (370, 380, 395, 405, 420, 430, 445)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    out = {tuple(r) for r in registry.queries()["concept_graph"](spark, str(tmp_path)).collect()}
+    # brands are even and odd keys here, so an edge to the key plus 25 has none; equal brands need another key
+    assert out == set()
+    same = [(k, f"name {k}", "Brand#1", "LARGE", 1, 1.0) for k in (370, 380, 395, 405, 420, 430, 445)]
+    spark.createDataFrame(same, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    out = {tuple(r) for r in registry.queries()["concept_graph"](spark, str(tmp_path)).collect()}
+    assert out == {("Brand#1", f"part/{a}", f"part/{a + 25}") for a in (370, 380, 395, 405, 420)}
