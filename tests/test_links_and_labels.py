@@ -170,3 +170,25 @@ def test_concept_graph_of_a_brand_crosses_its_documents(spark, tmp_path):
     spark.createDataFrame(same, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
     out = {tuple(r) for r in registry.queries()["concept_graph"](spark, str(tmp_path)).collect()}
     assert out == {("Brand#1", f"part/{a}", f"part/{a + 25}") for a in (370, 380, 395, 405, 420)}
+
+
+def test_neighbours_of_few_seeds_are_not_dealt_by_seed(spark):
+    seeds = spark.createDataFrame([(f"issue:K-{k}", k) for k in (1, 2)], "node_id string, rank long")
+    issues = spark.createDataFrame([(f"K-{k}", ["all", f"l{k % 3}"]) for k in range(30)], "key string, labels array<string>")
+    related = graph.related_to(issues, seeds.select(F.substring("node_id", 7, 100).alias("key")))
+    found = graph.expand(related, seeds, ["related_label"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.expand(related, seeds, ["related_label"])._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        out = {r["node_id"]: (r["rank"], r["r"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    near = {s: sorted((k for k in range(30) if k != s), key=lambda k: (-(1 + (k % 3 == s % 3)), f"issue:K-{k}"))[:5] for s in (1, 2)}
+    best = {}
+    for s in (1, 2):
+        for r, k in enumerate(near[s], 1):
+            if k not in (1, 2):
+                best.setdefault(f"issue:K-{k}", (s, r))
+    assert out == best
