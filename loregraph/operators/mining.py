@@ -56,8 +56,9 @@ def daily_topics(issues: DataFrame, max_topics: int = 5, excluded: list[str] | N
 
 def top_terms(docs: DataFrame, key: str = "key", text: str = "text", limit: int = 6) -> DataFrame:
     """key, rank, term, n: the most frequent tokens of each text, first seen before others."""
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(tx.search_tokens(F.col(text))).alias("pos", "term"))
-    counts = rows.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    from loregraph.operators.vectors import terms_of
+
+    counts = terms_of(docs, tx.search_tokens(F.col(text)), key)
     order = W.partitionBy("key").orderBy(F.desc("n"), "first")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("key", "rank", "term", "n")
 

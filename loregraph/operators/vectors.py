@@ -54,8 +54,14 @@ class VocabularyEmbedder:
 
 
 def terms_of(docs: DataFrame, tokens: Column, key: str = "key") -> DataFrame:
-    """(key, term, n, first): occurrences of each token and the place of the first."""
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(tokens).alias("pos", "term"))
+    """(key, term, n, first): occurrences of each token and the place of the first.
+
+    Tokens are dealt by their text before they are taken apart: texts are shorter than rows of their terms, and what follows by key needs no other shuffle.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(F.col(key).alias("key"), tokens.alias("tokens")).repartition(parts, "key")
+    # an outer one, since for the inner one Spark would take the tokens of every text once more to leave out those without any
+    rows = dealt.select("key", F.posexplode_outer("tokens").alias("pos", "term")).where("pos IS NOT NULL")
     return rows.groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
 
 

@@ -362,3 +362,13 @@ def test_turtle_concepts_have_whole_ids(spark):
     text = '@prefix ex: <http://e/> .\nex:A a ex:Class .\nex:B a ex:Other .\nlocal:C ex:label "C" .\n<urn:d> ex:label "D" .'
     rows = ontology.parse(spark.createDataFrame([("p", text)], "path string, text string")).collect()
     assert {r["concept_id"] for r in rows} == {"http://e/A", "urn:d"}
+
+
+def test_terms_are_dealt_by_text_and_tokens_taken_once(spark):
+    rows = spark.createDataFrame([(1, "red blue red"), (1, "red"), (2, ""), (3, None), (4, "blue")], "key int, text string")
+    found = vectors.terms_of(rows, tx.word_tokens(F.col("text")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "blue", 1, 1), (1, "red", 3, 0), (4, "blue", 1, 0)]
+    assert plan.count("Exchange hashpartitioning(key") == 1 and plan.count("regexp_extract_all") == 1
+    ranked = mining.top_terms(rows)._jdf.queryExecution().executedPlan().toString()
+    assert ranked.count("Exchange hashpartitioning") == 1
