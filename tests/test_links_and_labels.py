@@ -36,6 +36,20 @@ def test_related_labels_of_a_label_that_all_share(spark):
     assert graph.related_label_edges(rows.limit(0)).count() == 0
 
 
+def test_related_labels_shuffle_no_pairs(spark):
+    issues = [(f"K-{i}", [f"l{j}" for j in range(80) if (i >> j % 5) & 1 and (i + j) % 3]) for i in range(40)]
+    rows = spark.createDataFrame(issues, "key string, labels array<string>")
+    own = dict(issues)
+    expected = {(f"issue:{a}", f"issue:{b}"): len(set(own[a]) & set(own[b])) for a in own for b in own if a != b and set(own[a]) & set(own[b])}
+    for block in (3, 1024):
+        out = graph.related_label_edges(rows, block=block)
+        # what comes after the join of a label's issues stays in its tasks
+        after = out._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+        assert "Exchange" not in after and "Aggregate" not in after
+        got = out.collect()
+        assert {(r["src_id"], r["dst_id"]): r["weight"] for r in got} == expected and len(got) == len(expected)
+
+
 LABELS = ["oauth", "api gateway", "gateway", "the api", "c++", "is the", ".net", "a+b", "über uns", "abc", "api", "retry policy of a", "gateway api gateway"]
 CONTENTS = [
     "OAuth retries via API-Gateway, the API gateway api gateway is. the end", "oauths xoauth is thederer and this the", "Use C++ and .NET here: a+b, über_uns Über Uns", None, "", "short",
