@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loregraph.functions import text as tx
+from loregraph.operators.store import settled
 
 # Weights of a label hit and of a text hit.
 LABEL_WEIGHT, TEXT_WEIGHT = 6, 1
+#: So many issues of the least keys are looked at first for the sample keys of terms.
+FIRST_KEYS = 2_000
 
 
 def daily_timeline(issues: DataFrame, last_days: int = 0) -> DataFrame:
@@ -63,38 +66,56 @@ def top_terms(docs: DataFrame, key: str = "key", text: str = "text", limit: int
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("key", "rank", "term", "n")
 
 
-def term_hits(issues: DataFrame, excluded: list[str] | None = None) -> DataFrame:
-    """(key, term, source, hits): label and text terms of each issue, summed per issue before any shuffle by term."""
-    labels = issues.select("key", F.explode("labels").alias("label")).select("key", F.explode(tx.label_terms(F.col("label"), excluded)).alias("term"), F.lit("label").alias("source"))
-    texts = issues.select("key", F.explode(tx.text_terms(F.col("description"), excluded)).alias("term"), F.lit("description").alias("source"))
-    rows = labels.unionByName(texts)
-    if "text_fields" in issues.columns:
+def issue_terms(issues: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """(key, hits): label, description and comment terms of each issue with their sources and repeats, one row an issue."""
+    fields = "text_fields" in issues.columns
+    lists = {"labels": F.flatten(F.collect_list("labels")), "texts": F.collect_list("description")} | ({"fields": F.collect_list("text_fields")} if fields else {})
+    # issues are shuffled as they are, their terms never
+    rows = issues.groupBy("key").agg(*[c.alias(n) for n, c in lists.items()])
+
+    def marked(terms: Column, source: str) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(source).alias("source")))
+
+    hits = [marked(F.flatten(F.transform("labels", lambda x: tx.label_terms(x, excluded))), "label"), marked(F.flatten(F.transform("texts", lambda x: tx.text_terms(x, excluded))), "description")]
+    if fields:
         from loregraph.functions.values import comment_fields
 
-        comments = issues.select("key", F.explode(comment_fields(F.col("text_fields"))).alias("name", "text"))
-        rows = rows.unionByName(comments.select("key", F.explode(tx.text_terms(F.col("text"), excluded)).alias("term"), F.lit("comment").alias("source")))
-    return rows.groupBy("key", "term", "source").agg(F.count(F.lit(1)).alias("hits"))
+        comments = F.flatten(F.transform("fields", lambda m: F.map_values(comment_fields(m))))
+        hits.append(marked(F.flatten(F.transform(comments, lambda x: tx.text_terms(x, excluded))), "comment"))
+    return rows.select("key", F.concat(*hits).alias("hits"))
+
+
+def sample_keys(per_issue: DataFrame, terms: DataFrame, n: int = 5) -> DataFrame:
+    """(term, sample_issue_keys): the ``n`` least keys of the issues of each term (term, issue_count).
+
+    Most terms have theirs among the least keys of all; only the rows of the others are ranked.
+    """
+
+    def least(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        found = rows.select("key", F.explode(F.array_distinct(F.transform("hits", lambda h: h["term"]))).alias("term")).join(wanted, "term", "left_semi")
+        found = found.withColumn("r", F.row_number().over(W.partitionBy("term").orderBy("key"))).where(F.col("r") <= n)
+        return found.groupBy("term").agg(F.sort_array(F.collect_list("key")).alias("sample_issue_keys"))
+
+    first = settled(least(per_issue.orderBy("key").limit(FIRST_KEYS), terms))
+    full = terms.join(first, "term", "left").where(F.coalesce(F.size("sample_issue_keys"), F.lit(0)) < F.least(F.lit(n), "issue_count")).select("term")
+    if full.isEmpty():
+        return first
+    return first.join(full, "term", "left_anti").unionByName(least(per_issue, full))
 
 
 def domain_terms(issues: DataFrame, min_count: int = 2, limit: int | None = 40, excluded: list[str] | None = None) -> DataFrame:
     """term, count (weighted), issue_count, label_hits, sources, sample_issue_keys, best first."""
-    by_label = F.col("source") == "label"
-    per_issue = term_hits(issues, excluded).groupBy("term", "key").agg(
-        F.sum(F.when(by_label, F.col("hits")).otherwise(0)).alias("label_hits"),
-        F.sum(F.when(by_label, 0).otherwise(F.col("hits"))).alias("text_hits"),
-        F.collect_set("source").alias("sources"),
-    )
-    low = F.min("key")
-    terms = per_issue.groupBy("term").agg(
-        F.sum("label_hits").alias("label_hits"), F.sum("text_hits").alias("text_hits"), F.count(F.lit(1)).alias("issue_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"), low.alias("first_key"),
-    )
+    per_issue = issue_terms(issues, excluded)
+    # an issue counts once for each of its terms; counts by source are longs, so terms are hashed and never sorted
+    once = F.transform(F.array_distinct(F.transform("hits", lambda h: h["term"])), lambda t: F.struct(t.alias("term"), F.lit("issue").alias("source")))
+    counts = {n: F.count_if(F.col("source") == s) for n, s in (("label_hits", "label"), ("described", "description"), ("commented", "comment"), ("issue_count", "issue"))}
+    terms = per_issue.select(F.inline(F.concat("hits", once))).groupBy("term").agg(*[c.alias(n) for n, c in counts.items()]).withColumn("text_hits", F.col("described") + F.col("commented"))
     terms = terms.withColumn("count", LABEL_WEIGHT * F.col("label_hits") + TEXT_WEIGHT * F.col("text_hits"))
     gates = (F.col("label_hits") > 0) | ((F.col("count") >= min_count + 1) & (F.col("issue_count") >= 2) & (F.col("text_hits") >= min_count))
     terms = terms.where(gates)
+    sources = [F.when(F.col(c) > 0, F.lit(s)) for c, s in (("commented", "comment"), ("described", "description"), ("label_hits", "label"))]
+    terms = terms.withColumn("sources", F.array_compact(F.array(*sources)))
     if limit:
         terms = terms.orderBy(F.desc("label_hits"), F.desc("count"), F.desc("issue_count"), F.length("term"), "term").limit(limit)
-    order = W.partitionBy("term").orderBy("key")
-    samples = per_issue.join(terms.select("term"), "term", "left_semi").withColumn("r", F.row_number().over(order)).where("r <= 5")
-    samples = samples.groupBy("term").agg(F.sort_array(F.collect_list("key")).alias("sample_issue_keys"))
-    return terms.join(samples, "term").select("term", "count", "issue_count", "label_hits", "sources", "sample_issue_keys")
+    terms = settled(terms)
+    return terms.join(sample_keys(per_issue, terms), "term").select("term", "count", "issue_count", "label_hits", "sources", "sample_issue_keys")

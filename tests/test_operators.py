@@ -96,6 +96,28 @@ def test_domain_terms(spark):
     assert "auth" not in {r["term"] for r in mining.domain_terms(rows, 1, 10, excluded=["auth"]).collect()}
 
 
+def test_domain_terms_of_many_issues(spark, monkeypatch):
+    issues = [(f"K-{i % 70}", [["Red_Car", "blue", None][i % 3]], f"common word{i % 9} common", {"comment 1": f"word{i % 4} spoken"} if i % 5 else None) for i in range(80)] + [("A-0", None, None, None)]
+    rows = spark.createDataFrame(issues, "key string, labels array<string>, description string, text_fields map<string,string>")
+    hits = {}
+    for key, labels, text, fields in issues:
+        marked = [("label", t) for x in labels or [] if x for t in {"red car", "blue"} if t == x.lower().replace("_", " ")]
+        marked += [("description", t) for t in (text or "").split()] + [("comment", t) for v in (fields or {}).values() for t in v.split()]
+        for source, t in marked:
+            hits.setdefault(t, []).append((source, key))
+    for first in (2_000, 3):
+        monkeypatch.setattr(mining, "FIRST_KEYS", first)
+        found = mining.domain_terms(rows, 1, None)
+        if first > len(issues):  # no ranking of the issues of a common term
+            assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        found = {r["term"]: r for r in found.collect()}
+        assert set(hits) <= set(found)
+        for t, h in hits.items():
+            keys, labels = sorted({k for _, k in h}), sum(s == "label" for s, _ in h)
+            assert (found[t]["count"], found[t]["issue_count"], found[t]["label_hits"]) == (len(h) + 5 * labels, len(keys), labels)
+            assert found[t]["sources"] == sorted({s for s, _ in h}) and found[t]["sample_issue_keys"] == keys[:5]
+
+
 def test_long_path(spark):
     ids = [f"n{k:02}" for k in range(14)]
     chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src_id string, dst_id string")
