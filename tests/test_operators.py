@@ -2,6 +2,7 @@
 
 import datetime as dt
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,29 @@ def test_graph(spark):
     assert graph.statistics(two, one_edge).first()["density"] == 0.5
 
 
+def test_graph_of_issues_in_one_pass(spark):
+    cols = ("assignee", "status", "issue_type", "event_day")
+    issues = [(f"K-{i % 50}", f"s{i}", i, ["Ann", "ann", None][i % 3], ["Open", None][i % 2], "Bug", "2026-01-01" if i % 4 else None, [["X", "x", "Y"], ["y", None], [], None][i % 4]) for i in range(70)]
+    rows = spark.createDataFrame(issues, "key string, summary string, seen long, assignee string, status string, issue_type string, event_day string, labels array<string>")
+    last, links = {}, set()
+    for key, summary, seen, *values, labels in issues:
+        last.setdefault(f"issue:{key}", []).append((seen, summary, "issue"))
+        named = [*zip(("assignee", "status", "type", "day"), ("assigned_to", "has_status", "has_type", "updated_on"), values, strict=True), *[("label", "has_label", x) for x in labels or []]]
+        for kind, relation, value in named:
+            if value is not None:
+                last.setdefault(f"{kind}:{value.lower()}", []).append((seen, value, kind))
+                links.add((f"issue:{key}", f"{kind}:{value.lower()}", relation, 1.0))
+    nodes, edges = graph.issue_nodes(rows), graph.issue_edges(rows)
+    assert sorted(map(tuple, nodes.collect())) == sorted((n, max(v)[2], max(v)[1]) for n, v in last.items())
+    assert sorted(map(tuple, edges.collect())) == sorted(links) and len({x[:2] for x in links}) == len(links)
+    for simple in (False, True):
+        degree = {r["node_id"]: r["degree"] for r in graph.degrees(edges, simple).collect()}
+        assert degree == Counter(x for link in links for x in link[:2])
+        assert graph.statistics(nodes, edges, simple).first()[:2] == (len(last), len(links))
+    # the issues are read once for all of their edges
+    assert "Union" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
 MARKDOWN = """intro
 text
 
