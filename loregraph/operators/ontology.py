@@ -17,6 +17,9 @@ from loregraph.operators import turtle
 
 CONCEPTS = "path string, pos int, concept_id string, label string, definition string, relations array<struct<name:string,target:string>>"
 
+#: Rows of concepts that a task hands on at once.
+CONCEPT_ROWS = 1_000
+
 # Local names that hold labels and definitions, and elements that are concepts.
 LABELS, DEFINITIONS = ("label", "prefLabel", "name", "title"), ("definition", "comment", "description", "scopeNote")
 ELEMENTS = ("class", "concept", "description", "namedindividual")
@@ -77,7 +80,7 @@ def _rdf_xml(text: str) -> Iterator[dict]:
 def _turtle(text: str) -> Iterator[dict]:
     """Subjects in the order in which they are first spoken of; what a blank node says is its own, not that of the node that names it."""
     concepts: dict[str, dict] = {}
-    for subject, predicate, (value, literal) in turtle.triples(text):
+    for subject, predicate, (value, literal) in turtle.Reader(text).triples():
         own = concepts.setdefault(subject, {"id": subject, "label": "", "definition": "", "relations": [], "typed": False})
         verb = _tail(predicate)
         if verb in LABELS:
@@ -112,16 +115,20 @@ def concepts_of(text: str | None) -> list[dict]:
 
 
 def parse(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Concept rows (CONCEPTS) of documents; broken documents have none."""
+    """Concept rows (CONCEPTS) of documents; broken documents have none. A task holds a document's concepts and a few more at a time."""
+
+    columns = ["path", "pos", "concept_id", "label", "definition", "relations"]
 
     def run(frames):
+        rows = []
         for frame in frames:
-            rows = [
-                (p, i, c["id"], c["label"] or _tail(c["id"]), c["definition"], [{"name": n, "target": t} for n, t in c["relations"]])
-                for p, t0 in zip(frame["path"], frame["text"], strict=True)
-                for i, c in enumerate(concepts_of(t0))
-            ]
-            yield pd.DataFrame(rows, columns=["path", "pos", "concept_id", "label", "definition", "relations"])
+            for p, t0 in zip(frame["path"], frame["text"], strict=True):
+                for i, c in enumerate(concepts_of(t0)):
+                    rows.append((p, i, c["id"], c["label"] or _tail(c["id"]), c["definition"], [{"name": n, "target": t} for n, t in c["relations"]]))
+                    if len(rows) == CONCEPT_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(run, CONCEPTS)
 

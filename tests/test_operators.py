@@ -4,6 +4,7 @@ import datetime as dt
 import unicodedata
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -418,3 +419,19 @@ def test_terms_are_dealt_by_text_and_tokens_taken_once(spark):
     assert plan.count("Exchange hashpartitioning(key") == 1 and plan.count("regexp_extract_all") == 1
     ranked = mining.top_terms(rows)._jdf.queryExecution().executedPlan().toString()
     assert ranked.count("Exchange hashpartitioning") == 1
+
+
+def test_concepts_leave_a_task_in_small_frames(spark):
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    text = "".join(f'<http://e/{k}> a <http://e/Class> ; <http://e/label> "c{k}" .\n' for k in range(30))
+    frame = pd.DataFrame({"path": [f"p{i}" for i in range(200)], "text": [text, "<http://e/x> broken"] * 100})
+    made = list(ontology.parse(Docs())(iter([frame, frame.head(0)])))
+    assert max(map(len, made)) <= ontology.CONCEPT_ROWS < sum(map(len, made)) == 3_000
+    rows = pd.concat(made)
+    assert [(r.path, r.pos, r.label) for r in rows.itertuples()] == [(f"p{i}", k, f"c{k}") for i in range(0, 200, 2) for k in range(30)]
