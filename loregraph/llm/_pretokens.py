@@ -156,7 +156,8 @@ class WordTable:
         return ((h[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64) + probe * probe) & ((1 << self.bits) - 1)
 
     def _holds(self, slots: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return (self.values[slots] >= 0) & (self.keys[slots] == h).all(1)
+        keys = self.keys[slots]
+        return (self.values[slots] >= 0) & (keys[:, 0] == h[:, 0]) & (keys[:, 1] == h[:, 1])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the words with the two hashes ``h``; -1 where there is none."""

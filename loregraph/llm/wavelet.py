@@ -151,7 +151,7 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.specials = {t.content: k for k, t in added.items()}
         self.levels = max(1, (max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, END_ID)).bit_length())
-        self.letters = {b: c for b, c in enumerate(byte_letters())}
+        self.letters = np.array([ord(c) for c in byte_letters()], dtype="<u4")
         self._reset()
 
     def _reset(self) -> None:
@@ -160,11 +160,15 @@ class Encoder:
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.words = 0
 
-    def _ids(self, words: _pretokens.Words, k: int) -> list[int]:
-        text = words.text(k)
-        if words.special[k] >= 0:
-            return [self.specials[text]]
-        return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+    def _ids(self, words: _pretokens.Words, which: np.ndarray) -> list[list[int]]:
+        """Ids of some words; the letters of their bytes are looked up for the whole piece at once."""
+        text = self.letters[words.data].tobytes().decode("utf-32-le")
+        tokenize = self.tokenizer.model.tokenize
+        spans = zip(words.at[words.starts[which]].tolist(), words.at[words.ends[which]].tolist(), strict=True)
+        out = [[t.id for t in tokenize(text[a:b])] for a, b in spans]
+        for i in np.flatnonzero(words.special[which] >= 0).tolist():
+            out[i] = [self.specials[words.text(which[i])]]
+        return out
 
     def _remember(self, ids: list[list[int]]) -> None:
         flat = [x for own in ids for x in own]
@@ -190,7 +194,7 @@ class Encoder:
                 self._reset()
                 return self.encode(data, offsets) if len(own) < len(self.known.keys) // 2 else self._plain(data, offsets)
             values = np.arange(self.words, self.words + len(own), dtype=np.int32)
-            self._remember([self._ids(words, k) for k in new[at].tolist()])
+            self._remember(self._ids(words, new[at]))
             self.known.add(own, values)
             out[new] = values[back]
         count = self.first[out + 1] - self.first[out]

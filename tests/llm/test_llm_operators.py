@@ -708,3 +708,17 @@ def test_op5_every_long_id(spark):
         out = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(spark, rows), digest_bytes=digest_bytes).collect()}
         c = {(least, most, 3, False), (most, most, 3, True), (None, most, 3, False)}
         assert out == {(0, 0, 4, True), (least, 0, 4, False), (most, 0, 4, False), (-1, 0, 4, False), (least, least, 2, True), (most, least, 2, False)} | c
+
+
+def test_new_words_are_tokenized_without_cutting_each(monkeypatch):
+    encoder = wavelet.Encoder(wavelet.vocabulary_path(wavelet.VOCABULARY))
+    special = next(iter(encoder.specials), "")
+    texts = ["Ein Wort, größer als 12 🙂🙂 don't", "", f"a{special}b {special}", " \n\n x y ", "日本語 text " * 3]
+    asked = []
+    own = wavelet._pretokens.Words.text
+    monkeypatch.setattr(wavelet._pretokens.Words, "text", lambda words, k: asked.append(own(words, k)) or asked[-1])
+    data = "".join(texts).encode()
+    flat, count = encoder.encode(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    expected = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, wavelet.END_ID] for t in texts]
+    assert flat.tolist() == [x for ids in expected for x in ids] and count.tolist() == [len(ids) for ids in expected]
+    assert set(asked) <= set(encoder.specials)  # all others are spans of one string
