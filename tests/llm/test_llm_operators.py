@@ -722,3 +722,15 @@ def test_new_words_are_tokenized_without_cutting_each(monkeypatch):
     expected = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, wavelet.END_ID] for t in texts]
     assert flat.tolist() == [x for ids in expected for x in ids] and count.tolist() == [len(ids) for ids in expected]
     assert set(asked) <= set(encoder.specials)  # all others are spans of one string
+
+
+def test_components_need_no_job_to_see_that_they_are_done(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from loregraph.llm._components import components
+
+    monkeypatch.setattr(DataFrame, "take", lambda *a: pytest.fail("a job of its own"))
+    chain = [(k, k + 1) for k in range(0, 40) if k != 25] + [(7, 7), (60, 50), (50, 55)]
+    found = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
+    assert found == {**{k: 0 if k <= 25 else 26 for k in range(41)}, 50: 50, 55: 50, 60: 50}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
