@@ -4,11 +4,12 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from loregraph.operators import claims, jobs, pdf_jobs, search
+from loregraph.operators import claims, jobs, pdf_jobs, search, text_index
 from loregraph.operators.text_index import TextIndex
 from loregraph.operators.vector_index import VectorIndex
 from loregraph.streaming import job_states
@@ -87,6 +88,47 @@ def test_text_index_finds_what_a_scan_finds(spark, tmp_path):
     assert TextIndex.build(texts.limit(0), f"file://{tmp_path}/none").search("gateway").count() == 0
 
 
+def brute_grams(texts):
+    out = {}
+    for key, t in texts:
+        for i in range(len(t or "") - 2):
+            out.setdefault(t[i : i + 3], set()).add(key)
+    return out
+
+
+@pytest.mark.parametrize("piece", [1, 40, 10_000])
+def test_text_index_makes_a_list_for_each_trigram_of_a_piece(monkeypatch, piece):
+    monkeypatch.setattr(text_index, "PIECE", piece)
+    rng = random.Random(2)
+    letters = "".join(map(chr, [*range(0x20, 0x7F), *range(0x4E00, 0x5E00), 0x1F642]))
+    rows = [(f"k{i}", "".join(rng.choices(letters if i % 2 else "ab ", k=rng.choice([0, 1, 2, 3, 30])))) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], names=["key", "text"])
+    found, parts = {}, 0
+    for part in text_index._postings(iter([batch, batch.slice(0, 0)])):
+        grams, parts = part.column("gram").to_pylist(), parts + 1
+        assert grams == sorted(set(grams)) and part.column("n").to_pylist() == [len(k) for k in part.column("keys").to_pylist()]
+        for g, keys in zip(grams, part.column("keys").to_pylist(), strict=True):
+            assert len(keys) == len(set(keys)) and not found.get(g, set()) & set(keys)
+            found.setdefault(g, set()).update(keys)
+    assert found == brute_grams(rows) and (parts == 1 if piece == 10_000 else parts > 3)
+
+
+def test_text_index_stores_few_rows_and_scans_for_frequent_trigrams(spark, tmp_path, monkeypatch):
+    rows = [(i, f"the same words in all {i}" if i % 2 else f"the rare{i % 10}", None, None, None) for i in range(400)]
+    texts = spark.createDataFrame(rows, "key int, full_text string, summary string, description string, updated_at string")
+    index = TextIndex.build(texts, f"file://{tmp_path}/ix")
+    grams = brute_grams([(k, t) for k, t, *_ in rows])
+    assert {r["gram"]: r["n"] for r in index.counts.collect()} == {g: len(keys) for g, keys in grams.items()}
+    assert index.postings.count() <= len(grams) * index.texts.rdd.getNumPartitions() < sum(map(len, grams.values()))  # not a row for each key
+    assert index.candidates(["same"]) is None and index.candidates(["the", "rare4"]) is None  # half of the texts or all of them
+    assert sorted(r["key"] for r in index.candidates(["rare4"]).collect()) == [i for i in range(400) if i % 10 == 4]
+    expected = sorted(search.lexical_search(texts, "rare4", None).select("key", "score").collect())
+    for named, most in ((2_000, 500_000), (5, 500_000), (5, 5)):  # named in the filter, broadcast, joined
+        monkeypatch.setattr(text_index, "NAMED", named)
+        monkeypatch.setattr(text_index, "BROADCAST_KEYS", most)
+        assert sorted(index.search("rare4", None).select("key", "score").collect()) == expected and len(expected) == 40
+
+
 def test_grants_in_turn(spark):
     rows = [("j", 1, "a", at(0), "c1"), ("j", 1, "b", at(0), "c2"), ("j", 1, "b", at(599), "c3"), ("j", 1, "c", at(600), "c4"), ("j", 1, "a", at(1300), "c5"), ("j", 1, "a", at(1300), "c5"), ("j", 2, "b", at(1), "c6"), ("k", 1, "b", None, "c7")]
     table = spark.createDataFrame(rows, claims.SCHEMA)
