@@ -30,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loregraph.llm import _scan
@@ -45,7 +46,8 @@ FREQUENT = 3
 MAX_FREQUENT = 4_000_000
 #: Up to this many ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Tokens are marked in bitmaps of 2 to this power bits, whose size depends on nothing else.
+#: Tokens are marked in bitmaps of SPARSE bits for each, but at most 2 to the power of MARK_BITS.
+SPARSE = 128
 MARK_BITS = 27
 
 #: Lists are dealt to other centres once more while they hold more than so many pairs for each entry.
@@ -161,29 +163,45 @@ class Marks:
     every set is held against the same bitmap.
     """
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, held: np.ndarray | Broadcast):
+        self.held = held
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.held.value if isinstance(self.held, Broadcast) else self.held
 
     @classmethod
     def none(cls, bits: int | None = None) -> Marks:
-        return cls(np.zeros(1 << ((bits or MARK_BITS) - 6), dtype=np.uint64))
+        return cls(np.zeros(1 << max((bits or MARK_BITS) - 6, 0), dtype=np.uint64))
 
     @classmethod
     def of(cls, tokens: DataFrame, name: str = "token") -> Marks:
         """What reaches the driver is the bitmap, at most 2 ** (MARK_BITS - 6) words."""
-        at = F.col(name).bitwiseAND((1 << MARK_BITS) - 1)
+        bits = min(MARK_BITS, (SPARSE * tokens.count()).bit_length())
+        at = F.col(name).bitwiseAND((1 << bits) - 1)
         bit = F.expr(f"shiftleft(1L, cast({name} & 63 as int))")
         rows = tokens.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        out = cls.none()
-        out.words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        out = cls.none(max(bits, 6))
+        for part in rows.to_batches():
+            out.words[part.column("word").to_numpy()] = part.column("bits").to_numpy().view(np.uint64)
         return out
 
     def __or__(self, other: Marks) -> Marks:
-        return Marks(self.words | other.words)
+        less, more = sorted((self.words, other.words), key=len)
+        return Marks(more | np.tile(less, len(more) // len(less)))
+
+    def sent(self, spark: SparkSession) -> Marks:
+        """The same bitmap as a broadcast, which all functions that it is given to share; else each would carry a copy through the driver."""
+        return Marks(spark.sparkContext.broadcast(self.words))
+
+    def drop(self) -> None:
+        """Nothing will ask the sent bitmap again."""
+        self.held.destroy()
 
     def has(self, tokens: np.ndarray) -> np.ndarray:
-        at = (tokens & np.uint64(64 * len(self.words) - 1)).astype(np.int64)
-        return (self.words[at >> 6] >> (tokens & np.uint64(63))) & np.uint64(1) > 0
+        words = self.words
+        at = (tokens & np.uint64(64 * len(words) - 1)).astype(np.int64)
+        return (words[at >> 6] >> (tokens & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _frequent(tokens: DataFrame) -> Marks:
@@ -453,7 +471,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     can = _one_of_each(rows.where(F.size("tokens") > 0), nodes)
 
     counts = stage(can.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-counts")
-    frequent, dense = _frequent(counts), None
+    spark = docs.sparkSession
+    frequent, dense = _frequent(counts).sent(spark), None
+    sent = [frequent]
     # Sets with too few rare tokens among the measured ones are counted as a whole. That makes more tokens frequent, and so
     # some more sets dense; they need no count of their own, since all that matters is that every set sees the same classes.
     for known in (None, frequent):
@@ -464,16 +484,20 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         dense = more if dense is None else dense.unionByName(more)
         if known is None:
             tokens = dense.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-            frequent = frequent | _frequent(stage(tokens, "jaccard-dense-counts"))
+            frequent = (frequent | _frequent(stage(tokens, "jaccard-dense-counts"))).sent(spark)
+            sent.append(frequent)
     # a key of one set only links nothing: most such rare tokens are left out before any shuffle
-    shared = Marks.of(counts)
-    keys = can.mapInArrow(_emit_keys(frequent, percent, shared), _KEYS)
+    shared, whole = Marks.of(counts), None
     if dense is not None:
         # rare tokens of dense sets may be others than those that were counted
         whole = stage(dense.mapInArrow(_emit_keys(frequent, percent), _KEYS), "jaccard-dense-keys")
         shared = shared | Marks.of(whole, "key")
-        keys = can.mapInArrow(_emit_keys(frequent, percent, shared), _KEYS).unionByName(whole)
-    labels = components(_links(stage(keys, "jaccard-keys"), _Corpus(docs, nodes, n, percent)))
+    shared = shared.sent(spark)
+    keys = can.mapInArrow(_emit_keys(frequent, percent, shared), _KEYS)
+    keys = stage(keys if whole is None else keys.unionByName(whole), "jaccard-keys")
+    for marks in (*sent, shared):
+        marks.drop()
+    labels = components(_links(keys, _Corpus(docs, nodes, n, percent)))
     placed = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     placed = stage(placed.join(least, "comp").select("node", "comp", "component_id"), "jaccard-components")

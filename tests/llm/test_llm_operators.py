@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from loregraph.llm import _pretokens, _scan, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, sharding, token_counts, wavelet
@@ -607,6 +608,23 @@ def test_op9_bitmaps_differ_in_no_more_bits_than_sets_differ_in_tokens():
         assert bits <= len(np.setxor1d(a, b)) and not (ngram_join.sketch(a) ^ ngram_join.sketch(a)).any()
 
 
+def test_op9_bitmaps_of_tokens_are_small_where_tokens_are_few_and_pass_through_the_driver_once(spark, docs, monkeypatch):
+    rng = np.random.default_rng(5)
+    few, many, other = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (50, 3000, 3000))
+    made = [ngram_join.Marks.of(spark.createDataFrame([(int(t),) for t in x], "token long")) for x in (few, many)]
+    assert [m.words.nbytes <= 2 * ngram_join.SPARSE * n // 8 for m, n in zip(made, (50, 3000), strict=True)] == [True, True]
+    both = made[0] | made[1]
+    assert made[0].has(few).all() and both.has(few).all() and both.has(many).all() and both.has(other).mean() < 0.1
+    none = ngram_join.Marks.of(spark.createDataFrame([], "token long"))
+    assert not none.has(few).any() and ((none | made[1]).words == made[1].words).all()
+    sent = both.sent(spark)
+    assert sent.has(many).all()
+    sent.drop()
+    emit = ngram_join._emit_keys
+    monkeypatch.setattr(ngram_join, "_emit_keys", lambda *marks: emit(*marks) if len(cloudpickle.dumps(emit(*marks))) < 5_000 else pytest.fail("a function that carries a bitmap"))
+    assert ngram_join.similarity_report(docs).count() == docs.count()
+
+
 def test_op9_keys_lose_no_pair():
     """Sets that link share a key that both may use, whatever tokens are frequent."""
     rng = np.random.default_rng(9)
