@@ -172,6 +172,38 @@ def test_candidate_labels_count_each_pair_once_without_a_shuffle_of_pairs(spark,
     assert {(r["record_id"], r["normalized_label"]): r["overlap"] for r in out} == best and len(out) == len(best)
 
 
+@pytest.mark.parametrize(("in_memory", "in_file"), [(1000, 1 << 19), (1000, 40), (7, 40)])
+def test_candidate_labels_are_dealt_to_files_and_blocks_whole(spark, monkeypatch, in_memory, in_file):
+    monkeypatch.setattr(terms, "PAIR_RECORDS", 3)
+    monkeypatch.setattr(terms, "PAIR_CELLS", 7)
+    rng = random.Random(5)
+    names = ["gate", "token", "über", "cache", "abc", "relay", "ßßßß", "that", "with"]
+    records = [(f"r{k % 50}", " ".join(rng.choices(names, k=rng.randint(0, 6)))) for k in range(70)] + [("none", None), ("empty", ""), ("short", "abc of")]
+    labels = sorted({" ".join(rng.sample(names, rng.randint(1, 4))) for _ in range(40)} | {"that"})
+    rows = spark.createDataFrame(records, "record_id string, content string").repartition(3)
+    known = spark.createDataFrame([(f"t{i}", label) for i, label in enumerate(labels)], "term_id string, normalized_label string")
+    own: dict[str, set] = {}
+    for i, text in records:
+        own.setdefault(i, set()).update(w for w in (text or "").split() if len(w) >= 4)
+    every = {(i, label): n for i, ws in own.items() for label in labels if (n := len(ws & {w for w in label.split() if len(w) >= 4}))}
+    out = terms.candidate_labels(rows, known, None, in_memory=in_memory, in_file=in_file).collect()
+    assert {(r["record_id"], r["normalized_label"]): r["overlap"] for r in out} == every and len(out) == len(every)
+    assert terms.candidate_labels(rows, known.limit(0), None, in_memory=in_memory, in_file=in_file).count() == 0
+
+
+def test_files_of_candidate_labels_hold_each_label_once(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    # more than a megabyte of labels, which a single file would write out row by row
+    labels = [f"{'x' * 60} gate w{k:05d}" for k in range(16_000)]
+    known = spark.createDataFrame([(f"t{i}", label) for i, label in enumerate(labels)], "term_id string, normalized_label string")
+    records = spark.createDataFrame([(k, "the gate") for k in range(20)], "record_id long, content string")
+    terms.candidate_labels(records, known, None).write.parquet(f"{tmp_path}/out")
+    files = [m for f in tmp_path.glob("out/*.parquet") if (m := pq.ParquetFile(f).metadata).num_rows]
+    assert sum(m.num_rows for m in files) == 20 * len(labels)
+    assert not any("PLAIN" in m.row_group(k).column(1).encodings for m in files for k in range(m.num_row_groups))
+
+
 def test_concept_graph_of_a_brand_crosses_its_documents(spark, tmp_path):
     from loregraph.plans import registry
 
