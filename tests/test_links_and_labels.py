@@ -218,6 +218,25 @@ def test_concept_graph_of_a_brand_crosses_its_documents(spark, tmp_path):
     assert out == {("Brand#1", f"part/{a}", f"part/{a + 25}") for a in (370, 380, 395, 405, 420)}
 
 
+def test_cypher_export_has_every_node_and_edge(spark, tmp_path):
+    from datetime import date
+
+    from loregraph.plans import registry
+
+    n, tables = 700, {}
+    tables["part"] = spark.createDataFrame([(1, "bolt", "Brand#1")], "p_partkey long, p_name string, p_brand string")
+    tables["customer"] = spark.createDataFrame([(1, "Ann")], "c_custkey long, c_name string")
+    tables["orders"] = spark.createDataFrame([(k, 1, "O", "1-URGENT", date(2024, 1, 1 + k % 28)) for k in range(n)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate date")
+    tables["lineitem"] = spark.createDataFrame([(k, 1) for k in range(n)], "l_orderkey long, l_partkey long")
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = [(r["part"], r["line"]) for r in registry.queries()["cypher_export"](spark, str(tmp_path)).collect()]
+    # an issue has an edge to its assignee, status, type, day and label; those are nodes too
+    assert Counter(part for part, _ in out) == {1: n + 4 + 28, 2: 5 * n} and len(set(out)) == len(out)
+    assert {line for part, line in out if part == 1 and ":Issue" in line} == {f"MERGE (n_issue_O_{k}:Issue {{id: 'issue:O-{k}'}}) SET n_issue_O_{k}.name = 'bolt';" for k in range(n)}
+    assert "LIMIT" not in registry.oracle_sql()["cypher_export"]
+
+
 def test_neighbours_of_few_seeds_are_not_dealt_by_seed(spark):
     seeds = spark.createDataFrame([(f"issue:K-{k}", k) for k in (1, 2)], "node_id string, rank long")
     issues = spark.createDataFrame([(f"K-{k}", ["all", f"l{k % 3}"]) for k in range(30)], "key string, labels array<string>")
