@@ -84,6 +84,27 @@ def test_record_links_against_every_label_in_every_text(spark, in_memory, most):
     assert terms.record_links(records, known.limit(0), in_memory=in_memory).count() == 0
 
 
+def test_labels_by_their_words_are_those_of_the_automaton():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    bits = ["a", "b", "ab", "c++", ".", "+", "/", "ä", "#", " ", " ", " ", "x1", "_"]
+    for _ in range(60):
+        labels = sorted({"".join(rng.choices(bits, k=rng.randint(1, 6))) for _ in range(30)})
+        texts = [re.sub(" +", " ", "".join(rng.choices(bits, k=rng.randint(0, 25)))).strip() for _ in range(20)] + [None, ""]
+        automaton = terms.LabelAutomaton([(label, k) for k, label in enumerate(labels)])
+        text, rank = terms.LabelWords(pa.array(labels)).ranks(pa.array(["b a", *texts]).slice(1))
+        assert list(zip(text.tolist(), rank.tolist(), strict=True)) == [(i, k) for i, t in enumerate(texts) if t for k in automaton.ranks(t)]
+
+
+def test_many_labels_are_looked_up_without_a_shuffle_of_word_pairs(spark):
+    records = spark.createDataFrame([(k, f"the gate is number {1000 * k} Gate, w{k} gate and w{k}. gate") for k in range(9)], "record_id int, content string")
+    known = spark.range(200_100).select(F.concat(F.lit("t"), "id").alias("term_id"), F.concat(F.lit("w"), "id", F.lit(" gate")).alias("normalized_label"), F.col("id").alias("seen"))
+    out = terms.record_links(records, known, max_words=2)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["record_id"], r["term_id"]) for r in out.collect()) == [(k, f"t{k}") for k in range(9)]
+
+
 def test_terms_of_one_label_all_link(spark):
     records = spark.createDataFrame([("r", "the api gateway is slow today")], "record_id string, content string")
     known = spark.createDataFrame([(f"t{k}", "api gateway", k) for k in range(20)], "term_id string, normalized_label string, seen int")
